@@ -138,4 +138,4 @@ def iso_date(d: str | Column) -> Column:
 
 def hours_between(a: str | Column, b: str | Column) -> Column:
     """T5: ``EXTRACT(EPOCH FROM (b - a)) / 3600`` as double."""
-    return F.timestampdiff("SECOND", _c(a), _c(b)) / 3600.0
+    return F.timestamp_diff("SECOND", _c(a), _c(b)) / 3600.0

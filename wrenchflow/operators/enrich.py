@@ -262,7 +262,10 @@ def payments_joined(g: Garage) -> DataFrame:
             .join(_owners(g), F.col("customer_id") == F.col("_cid"))
             .join(_vehicles(g), F.col("vehicle_id") == F.col("_vid"))
             .join(_mechanic_labels(g), F.col("mechanic_id") == F.col("_mid"), "left")
-            .drop("_pb", "_sid", "_cid", "_vid", "_mid"))
+            .select("payment_id", "booking_id", "payment_method", "is_down_payment", "down_payment_percent",
+                    "down_payment_amount", "payment_status", "admin_notes", "payment_date", "booking_date",
+                    "status", "total_price", "service_name", "service_price", "customer_name", "make",
+                    "model", "license_plate", "mechanic_name"))
 
 
 def payments_history(g: Garage, start: Date | None = None, end: Date | None = None,
@@ -313,7 +316,7 @@ def testimonial_wall(g: Garage, scope: str = "approved", service_id: int | None
 def orphan_bookings(g: Garage, vehicles: DataFrame | None = None) -> DataFrame:
     """Bookings whose vehicle row is missing (anti join), with names."""
     v = (vehicles if vehicles is not None else g.vehicles).select(F.col("id").alias("vehicle_id"))
-    return (g.bookings.join(v, "vehicle_id", "left_anti")
+    return (g.bookings.drop("customer_name").join(v, "vehicle_id", "left_anti")
             .join(_owners(g), F.col("customer_id") == F.col("_cid"), "left")
             .join(_services(g), F.col("service_id") == F.col("_sid"), "left")
             .select("id", "vehicle_id", "customer_id", "customer_name", "service_name", "booking_date"))

@@ -297,7 +297,7 @@ def pending_testimonials_count(g: Garage) -> DataFrame:
 
 def booking_report_summary(g: Garage, start: Date, end: Date) -> DataFrame:
     """Totals and mean service hours (1 dp, 0 if none) of the range."""
-    secs = F.timestampdiff("SECOND", F.col("started_at"), F.col("completed_at"))
+    secs = F.timestamp_diff("SECOND", F.col("started_at"), F.col("completed_at"))
     return (g.bookings.where(_in_range(start, end))
             .agg(F.count("*").alias("total_bookings"),
                  _count_if(_status_is("completed")).alias("completed_bookings"),

@@ -49,3 +49,676 @@ WHERE booking_date >= DATE '{AS_OF}' - INTERVAL 30 DAY GROUP BY status""")
 def q_bookings_by_status(g):
     """Bookings of the last 30 days per status, workflow order."""
     return A.bookings_by_status(g, AS_OF)
+
+
+# ---------------------------------------------------------------- joins (J)
+CUST = "customers c JOIN users u ON c.user_id = u.id"
+MECH = "mechanics m JOIN users mu ON m.user_id = mu.id"
+
+
+@register("todays_bookings", J1_SQL + f"WHERE b.booking_date = DATE '{AS_OF}'")
+def q_todays_bookings(g):
+    """J1 for the bookings of ``AS_OF``."""
+    return J.todays_bookings(g, AS_OF)
+
+
+@register("recent_bookings", f"""
+SELECT b.id, CAST(b.booking_date AS VARCHAR) AS booking_date, b.status, CAST(b.total_price AS DOUBLE) AS total_price,
+  u.name AS customer_name, s.name AS service_name
+FROM (SELECT * FROM bookings ORDER BY booking_date DESC, id DESC LIMIT 10) b
+JOIN {CUST} ON b.customer_id = c.id JOIN services s ON b.service_id = s.id""")
+def q_recent_bookings(g):
+    """Newest ten bookings with customer and service names."""
+    return J.recent_bookings(g, 10)
+
+
+@register("mechanic_roster", """
+SELECT m.id, m.user_id, u.name, u.email, u.status, m.specialization, m.experience
+FROM mechanics m JOIN users u ON m.user_id = u.id WHERE u.status = 'active'""")
+def q_mechanic_roster(g):
+    """Active mechanics with their user name."""
+    return J.mechanic_roster(g)
+
+
+TASK_COLS_SQL = f"""
+SELECT t.id AS task_id, b.id AS booking_id, t.mechanic_id AS task_mechanic_id, t.status AS task_status,
+  t.start_min AS task_start_min, t.end_min AS task_end_min, CAST(b.booking_date AS VARCHAR) AS booking_date,
+  b.start_min, b.status AS booking_status, s.name AS service_name, CAST(s.price AS DOUBLE) AS service_price,
+  s.estimated_time, b.customer_id, u.name AS customer_name, v.make, v.model, v.license_plate
+FROM mechanic_tasks t JOIN bookings b ON t.booking_id = b.id JOIN services s ON b.service_id = s.id
+JOIN {CUST} ON b.customer_id = c.id JOIN vehicles v ON b.vehicle_id = v.id"""
+
+
+@register("mechanic_tasks_view", TASK_COLS_SQL)
+def q_mechanic_tasks_view(g):
+    """Every task with booking, service, customer and vehicle."""
+    return J.mechanic_tasks_view(g)
+
+
+@register("mechanic_tasks_in_progress", TASK_COLS_SQL + " WHERE t.status = 'in-progress'")
+def q_mechanic_tasks_in_progress(g):
+    """J5 with a status filter: tasks in progress."""
+    return J.mechanic_tasks_view(g, status="in-progress")
+
+
+OUTER_SQL = f"""
+SELECT b.id, b.mechanic_id, CAST(b.booking_date AS VARCHAR) AS booking_date, b.start_min, b.status AS booking_status,
+  s.name AS service_name, CAST(s.price AS DOUBLE) AS service_price, s.estimated_time, b.customer_id,
+  u.name AS customer_name, v.make, v.model, v.license_plate, t.id AS task_id, t.status AS task_status,
+  t.start_min AS task_start_min, t.end_min AS task_end_min, b.notes AS customer_notes
+FROM bookings b
+LEFT JOIN mechanic_tasks t ON b.id = t.booking_id AND t.mechanic_id = b.mechanic_id
+JOIN services s ON b.service_id = s.id JOIN {CUST} ON b.customer_id = c.id JOIN vehicles v ON b.vehicle_id = v.id
+WHERE b.mechanic_id IS NOT NULL"""
+
+
+@register("mechanic_tasks_outer", OUTER_SQL)
+def q_mechanic_tasks_outer(g):
+    """Every assigned booking with its task, if any (compound LEFT join)."""
+    return J.mechanic_tasks_outer(g)
+
+
+@register("mechanic_tasks_outer_completed",
+          OUTER_SQL + f" AND t.status = 'completed' AND b.booking_date BETWEEN DATE '{R_START}' AND DATE '{R_END}'")
+def q_mechanic_tasks_outer_completed(g):
+    """J6 with task-status and date-range filters."""
+    return J.mechanic_tasks_outer(g, status="completed", start=R_START, end=R_END)
+
+
+@register("field_notes_enriched", f"""
+SELECT n.id AS note_id, b.id AS booking_id, n.mechanic_id AS note_mechanic_id, mu.name AS mechanic_name, n.note,
+  CAST(n.date AS VARCHAR) AS note_date, n.parts_needed, n.status AS note_status, s.name AS service_name,
+  b.customer_id, u.name AS customer_name, v.make, v.model, v.license_plate
+FROM field_notes n JOIN bookings b ON n.booking_id = b.id JOIN services s ON b.service_id = s.id
+JOIN {CUST} ON b.customer_id = c.id JOIN vehicles v ON b.vehicle_id = v.id
+LEFT JOIN {MECH} ON n.mechanic_id = m.id""")
+def q_field_notes_enriched(g):
+    """Field notes with booking, service, customer, vehicle and mechanic."""
+    return J.field_notes_enriched(g)
+
+
+@register("vehicles_with_owner", f"""
+SELECT v.id, v.customer_id, v.make, v.model, v.year, v.license_plate, v.vin, u.name AS owner_name, u.email AS owner_email
+FROM vehicles v JOIN {CUST} ON v.customer_id = c.id""")
+def q_vehicles_with_owner(g):
+    """Vehicles with owner name and e-mail."""
+    return J.vehicles_with_owner(g)
+
+
+@register("tasks_on_dates", f"""
+SELECT * FROM mechanic_tasks WHERE booking_id IN
+  (SELECT id FROM bookings WHERE booking_date BETWEEN DATE '{R_START}' AND DATE '{R_END}')""")
+def q_tasks_on_dates(g):
+    """Tasks whose booking lies in the report range (semi join)."""
+    return J.tasks_on_dates(g, R_START, R_END)
+
+
+@register("completed_without_testimonial", """
+SELECT b.id, CAST(b.booking_date AS VARCHAR) AS booking_date, b.customer_id, b.service_id, s.name AS service_name, b.mechanic_id
+FROM bookings b JOIN services s ON b.service_id = s.id
+WHERE b.status = 'completed' AND NOT EXISTS
+  (SELECT 1 FROM testimonials t WHERE t.service_id = b.service_id AND t.customer_id = b.customer_id)""")
+def q_completed_without_testimonial(g):
+    """Completed bookings not yet reviewed (anti join on two keys)."""
+    return J.completed_without_testimonial(g)
+
+
+def _note_refs(g):
+    from pyspark.sql import functions as F
+    n = g.field_notes
+    return n.select(F.col("booking_id").alias("ref")).unionByName(n.select(F.col("id").cast("string").alias("ref")))
+
+
+@register("resolve_task_or_booking", """
+WITH r AS (SELECT DISTINCT ref FROM (SELECT booking_id AS ref FROM field_notes
+                                     UNION ALL SELECT CAST(id AS VARCHAR) FROM field_notes)),
+bt AS (SELECT r.ref, t.id AS task_id, t.booking_id, t.status AS task_status, t.mechanic_id, 'task' AS matched_by
+       FROM r JOIN mechanic_tasks t ON r.ref = CAST(t.id AS VARCHAR)),
+bb AS (SELECT r.ref, t.id AS task_id, b.id AS booking_id, t.status AS task_status, b.mechanic_id, 'booking' AS matched_by
+       FROM r JOIN bookings b ON r.ref = b.id
+       LEFT JOIN mechanic_tasks t ON t.booking_id = b.id AND t.mechanic_id = b.mechanic_id
+       WHERE r.ref NOT IN (SELECT ref FROM bt))
+SELECT * FROM bt UNION ALL SELECT * FROM bb""")
+def q_resolve_task_or_booking(g):
+    """References (booking ids and task ids of field notes) resolved to tasks or bookings."""
+    return J.resolve_task_or_booking(g, _note_refs(g))
+
+
+@register("related_bookings", """
+WITH bs AS (SELECT b.*, s.price AS service_price FROM bookings b JOIN services s ON b.service_id = s.id),
+grp AS (SELECT customer_id, booking_date, start_min, vehicle_id, count(*) AS related_count,
+          sum(service_price) AS total_services_price, min(id) AS first_booking_id
+        FROM bs GROUP BY 1, 2, 3, 4 HAVING count(*) > 1)
+SELECT bs.id, grp.customer_id, CAST(grp.booking_date AS VARCHAR) AS booking_date, grp.start_min, grp.vehicle_id,
+  grp.related_count, CAST(grp.total_services_price AS DOUBLE) AS total_services_price, grp.first_booking_id
+FROM bs JOIN grp ON bs.customer_id = grp.customer_id AND bs.booking_date = grp.booking_date
+  AND bs.start_min = grp.start_min AND bs.vehicle_id = grp.vehicle_id""")
+def q_related_bookings(g):
+    """Bookings made together, with group size and total service price."""
+    return J.related_bookings(g)
+
+
+PAY_SQL = f"""
+SELECT p.id AS payment_id, p.booking_id, p.payment_method, p.is_down_payment, p.down_payment_percent,
+  CAST(p.down_payment_amount AS DOUBLE) AS down_payment_amount, p.payment_status, p.admin_notes,
+  {TS.format(c='p.payment_date')} AS payment_date, CAST(b.booking_date AS VARCHAR) AS booking_date, b.status,
+  CAST(b.total_price AS DOUBLE) AS total_price, s.name AS service_name, CAST(s.price AS DOUBLE) AS service_price,
+  u.name AS customer_name, v.make, v.model, v.license_plate, mu.name AS mechanic_name
+FROM payments p JOIN bookings b ON p.booking_id = b.id JOIN services s ON b.service_id = s.id
+JOIN {CUST} ON b.customer_id = c.id JOIN vehicles v ON b.vehicle_id = v.id
+LEFT JOIN {MECH} ON b.mechanic_id = m.id"""
+
+
+@register("payments_history", PAY_SQL + " WHERE p.payment_status <> 'pending'")
+def q_payments_history(g):
+    """Settled payments with booking, service, customer, vehicle, mechanic."""
+    return J.payments_history(g)
+
+
+@register("payments_history_search", PAY_SQL + f""" WHERE p.payment_status <> 'pending'
+  AND CAST(p.payment_date AS DATE) BETWEEN DATE '{R_START}' AND DATE '{R_END}'
+  AND (p.booking_id ILIKE '%7%' OR u.name ILIKE '%7%' OR v.license_plate ILIKE '%7%')""")
+def q_payments_history_search(g):
+    """J15 with date range and text search over booking id, customer and plate."""
+    return J.payments_history(g, start=R_START, end=R_END, term="7")
+
+
+@register("payments_pending", PAY_SQL + " WHERE p.payment_status = 'pending'")
+def q_payments_pending(g):
+    """Pending payments."""
+    return J.payments_pending(g)
+
+
+TEST_SQL = f"""
+SELECT t.id, t.customer_id, t.service_id, t.mechanic_id, t.rating, t.comment, CAST(t.date AS VARCHAR) AS date,
+  t.approved, t.featured, u.name AS customer_name, s.name AS service_name, mu.name AS mechanic_name
+FROM testimonials t JOIN {CUST} ON t.customer_id = c.id JOIN services s ON t.service_id = s.id
+LEFT JOIN {MECH} ON t.mechanic_id = m.id"""
+
+
+@register("testimonial_wall", TEST_SQL + " WHERE t.approved")
+def q_testimonial_wall(g):
+    """Approved testimonials with names."""
+    return J.testimonial_wall(g, "approved")
+
+
+@register("testimonial_wall_featured", TEST_SQL + " WHERE t.approved AND t.featured")
+def q_testimonial_wall_featured(g):
+    """Featured testimonials."""
+    return J.testimonial_wall(g, "featured")
+
+
+@register("testimonial_wall_pending", TEST_SQL + " WHERE NOT t.approved")
+def q_testimonial_wall_pending(g):
+    """Testimonials awaiting approval."""
+    return J.testimonial_wall(g, "pending")
+
+
+def _registered_vehicles(g):
+    """Parent table with the pre-1995 vehicles removed (deregistered)."""
+    from pyspark.sql import functions as F
+    return g.vehicles.where(F.col("year") >= 1995)
+
+
+@register("orphan_bookings", f"""
+SELECT b.id, b.vehicle_id, b.customer_id, u.name AS customer_name, s.name AS service_name,
+  CAST(b.booking_date AS VARCHAR) AS booking_date
+FROM bookings b LEFT JOIN (SELECT * FROM vehicles WHERE year >= 1995) v ON b.vehicle_id = v.id
+LEFT JOIN {CUST} ON b.customer_id = c.id LEFT JOIN services s ON b.service_id = s.id
+WHERE v.id IS NULL""")
+def q_orphan_bookings(g):
+    """Bookings whose vehicle is no longer registered (anti join)."""
+    return J.orphan_bookings(g, _registered_vehicles(g))
+
+
+@register("unowned_vehicles", "SELECT * FROM vehicles WHERE customer_id IS NULL")
+def q_unowned_vehicles(g):
+    """Vehicles without an owner."""
+    return J.unowned_vehicles(g)
+
+
+@register("user_profile", """
+SELECT u.id, u.name, u.email, u.role, u.status,
+  CASE WHEN u.role = 'mechanic' THEN m.id END AS mechanic_id,
+  CASE WHEN u.role = 'mechanic' THEN m.specialization END AS specialization,
+  CASE WHEN u.role = 'mechanic' THEN m.experience END AS experience,
+  CASE WHEN u.role = 'customer' THEN c.id END AS customer_id,
+  CASE WHEN u.role = 'customer' THEN c.address END AS address
+FROM users u LEFT JOIN mechanics m ON m.user_id = u.id LEFT JOIN customers c ON c.user_id = u.id""")
+def q_user_profile(g):
+    """Users with role-specific attributes."""
+    return J.user_profile(g)
+
+
+@register("customer_activity", f"""
+SELECT a.id, u.name, u.email, a.total_bookings, CAST(a.total_spent AS DOUBLE) AS total_spent
+FROM (SELECT customer_id AS id, count(*) AS total_bookings,
+        coalesce(sum(CASE WHEN status = 'completed' THEN total_price END), 0) AS total_spent
+      FROM bookings GROUP BY customer_id) a JOIN {CUST} ON a.id = c.id""")
+def q_customer_activity(g):
+    """Per-customer spend with e-mail."""
+    return A.customer_activity(g)
+
+
+@register("referential_check", """
+SELECT b.*, v.id IS NOT NULL AS parent_exists FROM
+  (SELECT id, vehicle_id FROM bookings) b
+  LEFT JOIN (SELECT DISTINCT id FROM vehicles WHERE year >= 1995) v ON b.vehicle_id = v.id""")
+def q_referential_check(g):
+    """Each booking flagged by whether its vehicle is still registered."""
+    return J.referential_check(g.bookings.select("id", "vehicle_id"), "vehicle_id", _registered_vehicles(g))
+
+
+# ---------------------------------------------------------------- metrics (A)
+def _cnt(s):
+    return f"count(*) FILTER (WHERE status = '{s}')"
+
+
+BUCKETS = f"count(*) AS bookings, {_cnt('completed')} AS completed, {_cnt('cancelled')} AS cancelled"
+IN_R = f"booking_date BETWEEN DATE '{R_START}' AND DATE '{R_END}'"
+M_START, M_END = "2000-06-01", "2000-06-30"      # monthly report of 2000-06-15
+I_START, I_END = "2001-04-15", "2001-07-15"      # quarter before AS_OF
+P_START, P_END = "2001-01-15", "2001-04-15"      # the quarter before that
+
+
+@register("dashboard_stats", f"""
+SELECT
+  (SELECT {_cnt('pending')} FROM bookings) AS pending_bookings,
+  (SELECT {_cnt('confirmed')} FROM bookings) AS confirmed_bookings,
+  (SELECT {_cnt('in-progress')} FROM bookings) AS in_progress_bookings,
+  (SELECT {_cnt('completed')} FROM bookings) AS completed_bookings,
+  (SELECT {_cnt('cancelled')} FROM bookings) AS cancelled_bookings,
+  (SELECT count(*) FROM bookings) AS total_bookings,
+  (SELECT CAST(coalesce(sum(total_price) FILTER (WHERE status = 'completed'
+      AND booking_date >= date_trunc('month', DATE '{AS_OF}')), 0) AS DOUBLE) FROM bookings) AS monthly_revenue,
+  (SELECT count(*) FROM mechanics m JOIN users u ON m.user_id = u.id WHERE u.status = 'active') AS active_mechanics,
+  (SELECT count(*) FILTER (WHERE approved) FROM testimonials) AS approved_testimonials,
+  (SELECT count(*) FILTER (WHERE NOT approved) FROM testimonials) AS pending_testimonials,
+  (SELECT count(*) FROM customers) AS total_customers,
+  (SELECT count(*) FROM services) AS total_services,
+  (SELECT count(*) FROM vehicles) AS total_vehicles,
+  (SELECT count(*) FILTER (WHERE type = 'incoming' AND NOT is_read) FROM customer_messages) AS unread_messages,
+  (SELECT coalesce({RHU.format(x='avg(rating) FILTER (WHERE approved)', s=100)}, 0.0) FROM testimonials) AS average_rating""")
+def q_dashboard_stats(g):
+    """A1: one-row dashboard statistics."""
+    return A.dashboard_stats(g, AS_OF)
+
+
+@register("bookings_by_weekday", f"""
+SELECT strftime(booking_date, '%a') AS name, CAST(dayofweek(booking_date) AS INT) AS dow, {BUCKETS}
+FROM bookings WHERE booking_date >= DATE '{AS_OF}' - INTERVAL 7 DAY GROUP BY 1, 2""")
+def q_bookings_by_weekday(g):
+    """A2: last 7 days (no upper bound) by weekday."""
+    return A.bookings_by_weekday(g, AS_OF)
+
+
+@register("bookings_by_week", f"""
+SELECT CAST(weekofyear(booking_date) AS INT) AS week, {BUCKETS},
+  concat('Week ', CAST(weekofyear(booking_date) - weekofyear(DATE '{AS_OF[:8]}01') + 1 AS VARCHAR)) AS name
+FROM bookings WHERE booking_date >= date_trunc('month', DATE '{AS_OF}') GROUP BY 1, 5""")
+def q_bookings_by_week(g):
+    """A3: month to date by ISO week."""
+    return A.bookings_by_week(g, AS_OF)
+
+
+@register("bookings_by_month", f"""
+SELECT strftime(booking_date, '%b') AS name, CAST(month(booking_date) AS INT) AS month, {BUCKETS}
+FROM bookings WHERE booking_date >= date_trunc('year', DATE '{AS_OF}') GROUP BY 1, 2""")
+def q_bookings_by_month(g):
+    """A4: year to date by month."""
+    return A.bookings_by_month(g, AS_OF)
+
+
+@register("service_stats", """
+SELECT s.name, count(b.id) AS value FROM services s LEFT JOIN bookings b ON s.id = b.service_id
+GROUP BY s.name ORDER BY value DESC, s.name LIMIT 5""")
+def q_service_stats(g):
+    """A5: top five service names by bookings."""
+    return A.service_stats(g, 5)
+
+
+@register("mechanic_performance_top", f"""
+SELECT name, jobs, rating FROM (
+  SELECT u.id, u.name, count(*) FILTER (WHERE b.status = 'completed') AS jobs,
+    coalesce({RHU.format(x='avg(b.rating)', s=100)}, 0.0) AS rating
+  FROM users u JOIN mechanics m ON u.id = m.user_id LEFT JOIN bookings b ON m.id = b.mechanic_id
+  WHERE u.role = 'mechanic' GROUP BY u.id, u.name ORDER BY jobs DESC, u.id LIMIT 5)""")
+def q_mechanic_performance_top(g):
+    """Top five mechanics by completed jobs with average rating."""
+    return A.mechanic_performance_top(g, 5)
+
+
+@register("mechanic_workload", f"""
+SELECT m.id AS mechanic_id, u.name AS mechanic_name,
+  count(CASE WHEN b.status = 'pending' THEN 1 END) AS pending_tasks,
+  count(CASE WHEN b.status = 'confirmed' THEN 1 END) AS confirmed_tasks,
+  count(CASE WHEN b.status = 'in-progress' THEN 1 END) AS in_progress_tasks,
+  count(CASE WHEN b.status = 'completed' AND b.booking_date >= DATE '{AS_OF}' - INTERVAL 30 DAY THEN 1 END) AS completed_tasks_30d,
+  count(b.id) AS total_tasks
+FROM mechanics m JOIN users u ON m.user_id = u.id
+LEFT JOIN bookings b ON m.id = b.mechanic_id AND b.booking_date >= DATE '{AS_OF}' - INTERVAL 30 DAY
+WHERE u.status = 'active' GROUP BY m.id, u.name""")
+def q_mechanic_workload(g):
+    """Per active mechanic, bookings of the last 30 days by status."""
+    return A.mechanic_workload(g, AS_OF)
+
+
+@register("service_popularity", f"""
+SELECT s.id, s.name, s.category, count(b.id) AS total_bookings,
+  count(*) FILTER (WHERE b.status = 'completed') AS completed_bookings,
+  {RHU.format(x='avg(b.rating)', s=100)} AS average_rating, CAST(s.price AS DOUBLE) AS price
+FROM services s LEFT JOIN bookings b ON s.id = b.service_id GROUP BY s.id, s.name, s.category, s.price""")
+def q_service_popularity(g):
+    """Per service totals, completed, average rating and price."""
+    return A.service_popularity(g)
+
+
+@register("bookings_by_service", f"""
+SELECT s.id AS service_id, s.name AS service_name, s.category, count(b.id) AS booking_count,
+  CAST(sum(s.price) AS DOUBLE) AS total_revenue
+FROM services s LEFT JOIN bookings b ON s.id = b.service_id
+  AND b.booking_date >= DATE '{AS_OF}' - INTERVAL 30 DAY AND b.status != 'cancelled'
+GROUP BY s.id, s.name, s.category""")
+def q_bookings_by_service(g):
+    """A10 (faithful T19 form): per service bookings of the last 30 days and summed price."""
+    return A.bookings_by_service(g, AS_OF, 30, faithful=True)
+
+
+@register("customer_spend", """
+SELECT customer_id AS id, count(*) AS total_bookings,
+  CAST(coalesce(sum(CASE WHEN status = 'completed' THEN total_price END), 0) AS DOUBLE) AS total_spent
+FROM bookings GROUP BY customer_id""")
+def q_customer_spend(g):
+    """Per customer bookings and completed spend."""
+    return A.customer_spend(g)
+
+
+@register("revenue_by_month", f"""
+SELECT strftime(booking_date, '%Y-%m') AS period,
+  CAST(coalesce(sum(total_price) FILTER (WHERE status = 'completed'), 0) AS DOUBLE) AS total_revenue,
+  {_cnt('completed')} AS completed_bookings
+FROM bookings WHERE booking_date BETWEEN DATE '2000-07-15' AND DATE '{AS_OF}' GROUP BY 1""")
+def q_revenue_by_month(g):
+    """Monthly revenue over the default 12 months up to AS_OF."""
+    return A.revenue_by_period(g, "monthly", as_of=AS_OF)
+
+
+@register("revenue_by_week", f"""
+SELECT strftime(date_trunc('week', booking_date), '%Y-%m-%d') AS period,
+  CAST(coalesce(sum(total_price) FILTER (WHERE status = 'completed'), 0) AS DOUBLE) AS total_revenue,
+  {_cnt('completed')} AS completed_bookings
+FROM bookings WHERE {IN_R} GROUP BY 1""")
+def q_revenue_by_week(g):
+    """Weekly revenue over the report range."""
+    return A.revenue_by_period(g, "weekly", R_START, R_END)
+
+
+@register("revenue_by_year", """
+SELECT strftime(booking_date, '%Y') AS period,
+  CAST(coalesce(sum(total_price) FILTER (WHERE status = 'completed'), 0) AS DOUBLE) AS total_revenue,
+  count(*) FILTER (WHERE status = 'completed') AS completed_bookings
+FROM bookings WHERE booking_date BETWEEN DATE '1995-01-01' AND DATE '2001-12-31' GROUP BY 1""")
+def q_revenue_by_year(g):
+    """Yearly revenue over the whole span."""
+    return A.revenue_by_period(g, "yearly", "1995-01-01", "2001-12-31")
+
+
+@register("bookings_by_hour", f"""
+SELECT CAST(floor(start_min / 60) AS BIGINT) AS hour, count(*) AS booking_count FROM bookings
+WHERE booking_date >= DATE '{AS_OF}' - INTERVAL 90 DAY AND status != 'cancelled' GROUP BY 1""")
+def q_bookings_by_hour(g):
+    """Non-cancelled bookings of the last 90 days per hour."""
+    return A.bookings_by_hour(g, AS_OF)
+
+
+@register("pending_testimonials_count", "SELECT count(*) FILTER (WHERE NOT approved) AS pending_count FROM testimonials")
+def q_pending_testimonials_count(g):
+    """Unapproved testimonials."""
+    return A.pending_testimonials_count(g)
+
+
+@register("booking_report_summary", f"""
+SELECT count(*) AS total_bookings, {_cnt('completed')} AS completed_bookings, {_cnt('cancelled')} AS cancelled_bookings,
+  coalesce({RHU.format(x="avg(date_diff('second', started_at, completed_at)) / 3600.0", s=10)}, 0.0) AS average_service_time
+FROM bookings WHERE {IN_R}""")
+def q_booking_report_summary(g):
+    """Booking report totals of the report range."""
+    return A.booking_report_summary(g, R_START, R_END)
+
+
+@register("booking_report_detail", f"""
+SELECT b.id, CAST(b.booking_date AS VARCHAR) AS date, u.name AS customer_name, s.name AS service_name,
+  coalesce(mu.name, '-') AS mechanic_name, b.status,
+  CASE WHEN b.completed_at IS NOT NULL AND b.started_at IS NOT NULL
+       THEN {RHU.format(x="date_diff('second', b.started_at, b.completed_at) / 3600.0", s=10)} END AS duration
+FROM bookings b JOIN {CUST} ON b.customer_id = c.id JOIN services s ON b.service_id = s.id
+JOIN vehicles v ON b.vehicle_id = v.id
+LEFT JOIN {MECH} ON b.mechanic_id = m.id WHERE b.{IN_R}""")
+def q_booking_report_detail(g):
+    """Booking report rows of the report range."""
+    return A.booking_report_detail(g, R_START, R_END)
+
+
+@register("feedback_report_summary", f"""
+SELECT count(*) AS total_testimonials, coalesce({RHU.format(x='avg(rating)', s=100)}, 0.0) AS average_rating,
+  CAST(coalesce({RHU0.format(x="count(*) FILTER (WHERE rating >= 4) * 100.0 / nullif(count(*), 0)")}, 0) AS BIGINT) AS satisfaction_rate
+FROM testimonials WHERE date >= DATE '{R_START}' AND date < DATE '{R_END}' + INTERVAL 1 DAY""")
+def q_feedback_report_summary(g):
+    """Testimonial report totals of the report range."""
+    return A.feedback_report_summary(g, R_START, R_END)
+
+
+@register("feedback_report_detail", f"""
+SELECT t.id, CAST(t.date AS VARCHAR) AS date, u.name AS customer_name, s.name AS service_name, t.rating, t.comment
+FROM testimonials t JOIN {CUST} ON t.customer_id = c.id JOIN services s ON t.service_id = s.id
+WHERE t.date >= DATE '{R_START}' AND t.date < DATE '{R_END}' + INTERVAL 1 DAY""")
+def q_feedback_report_detail(g):
+    """Testimonial report rows of the report range."""
+    return A.feedback_report_detail(g, R_START, R_END)
+
+
+@register("generate_report", f"""
+WITH b AS (SELECT b.*, s.name AS service_name, s.price FROM bookings b JOIN services s ON b.service_id = s.id
+           WHERE b.booking_date BETWEEN DATE '{M_START}' AND DATE '{M_END}'),
+t AS (SELECT count(*) AS total_bookings, {_cnt('completed')} AS completed_bookings, {_cnt('cancelled')} AS cancelled_bookings,
+        CAST(coalesce(sum(CASE WHEN status = 'completed' THEN price ELSE 0 END), 0) AS DOUBLE) AS total_revenue,
+        {RHU.format(x="avg(CASE WHEN status = 'completed' THEN rating END)", s=100)} AS average_rating FROM b),
+ts AS (SELECT service_name AS top_service FROM b GROUP BY service_name ORDER BY count(*) DESC, service_name LIMIT 1),
+tm AS (SELECT mu.name AS top_mechanic FROM b JOIN {MECH} ON b.mechanic_id = m.id WHERE b.status = 'completed'
+       GROUP BY mu.name ORDER BY count(*) DESC, mu.name LIMIT 1)
+SELECT 'monthly' AS report_type, '2000-06-15' AS report_date, '{M_START}' AS start_date, '{M_END}' AS end_date,
+  t.*, (SELECT top_service FROM ts) AS top_service, (SELECT top_mechanic FROM tm) AS top_mechanic FROM t""")
+def q_generate_report(g):
+    """Monthly report for 2000-06-15."""
+    return A.generate_report(g, "monthly", "2000-06-15")
+
+
+@register("period_growth", f"""
+SELECT count(*) FILTER (WHERE {IN_R.replace(R_START, I_START).replace(R_END, I_END)}) AS current_bookings,
+  count(*) FILTER (WHERE {IN_R.replace(R_START, P_START).replace(R_END, P_END)}) AS previous_bookings,
+  CAST(CASE WHEN previous_bookings > 0 THEN {RHU0.format(x='(current_bookings - previous_bookings) * 100.0 / previous_bookings')}
+       ELSE 0 END AS BIGINT) AS growth_rate
+FROM bookings""")
+def q_period_growth(g):
+    """Bookings of the last quarter vs the one before, growth %."""
+    return A.period_growth(g, "quarter", AS_OF)
+
+
+INSIGHT_B = f"""bookings b JOIN services s ON b.service_id = s.id
+WHERE b.booking_date BETWEEN DATE '{I_START}' AND DATE '{I_END}'"""
+
+
+@register("insight_top_service", f"""
+SELECT name, bookings, CAST(revenue AS DOUBLE) AS revenue FROM (
+  SELECT s.name, count(*) AS bookings, sum(b.total_price) AS revenue, 0 AS p FROM {INSIGHT_B}
+  GROUP BY s.name UNION ALL SELECT 'No data', 0, 0, 1) ORDER BY p, bookings DESC, name LIMIT 1""")
+def q_insight_top_service(g):
+    """Most booked service of the last quarter."""
+    return A.insight_top_service(g, "quarter", AS_OF)
+
+
+@register("insight_top_mechanic", f"""
+SELECT name, completed_jobs, rating FROM (
+  SELECT mu.name, count(*) AS completed_jobs, {RHU.format(x='avg(b.rating)', s=10)} AS rating, 0 AS p
+  FROM bookings b JOIN {MECH} ON b.mechanic_id = m.id
+  WHERE b.booking_date BETWEEN DATE '{I_START}' AND DATE '{I_END}' AND b.status = 'completed'
+  GROUP BY mu.name UNION ALL SELECT 'No data', 0, 0.0, 1) ORDER BY p, completed_jobs DESC, name LIMIT 1""")
+def q_insight_top_mechanic(g):
+    """Mechanic with most completed jobs in the last quarter."""
+    return A.insight_top_mechanic(g, "quarter", AS_OF)
+
+
+@register("potential_revenue", f"""
+SELECT CAST(coalesce({RHU0.format(x='CAST(sum(s.price) AS DOUBLE) * count(DISTINCT b.booking_date) * 10 / count(s.price)')}, 0)
+  AS BIGINT) AS potential FROM {INSIGHT_B}""")
+def q_potential_revenue(g):
+    """Potential revenue of the last quarter."""
+    return A.potential_revenue(g, "quarter", AS_OF)
+
+
+@register("insight_top_services", f"""
+SELECT s.name, count(*) AS bookings, CAST(sum(b.total_price) AS DOUBLE) / 100000 AS revenue FROM {INSIGHT_B}
+GROUP BY s.name ORDER BY bookings DESC, s.name LIMIT 5""")
+def q_insight_top_services(g):
+    """Top five services of the last quarter."""
+    return A.insight_top_services(g, "quarter", AS_OF)
+
+
+@register("report_by_service", f"""
+SELECT s.name AS service_name, count(*) AS booking_count,
+  count(*) FILTER (WHERE b.status = 'completed') AS completed_count,
+  count(*) FILTER (WHERE b.status = 'cancelled') AS cancelled_count,
+  CAST(coalesce(sum(b.total_price), 0) AS DOUBLE) AS total_revenue
+FROM bookings b JOIN services s ON b.service_id = s.id WHERE b.{IN_R} GROUP BY s.name""")
+def q_report_by_service(g):
+    """Report range per service name."""
+    return A.report_by_service(g, R_START, R_END)
+
+
+@register("report_by_mechanic", f"""
+SELECT mu.name AS mechanic_name, count(*) AS booking_count,
+  count(*) FILTER (WHERE b.status = 'completed') AS completed_count,
+  {RHU.format(x="avg(CASE WHEN b.status = 'completed' THEN b.rating END)", s=100)} AS average_rating
+FROM bookings b JOIN {MECH} ON b.mechanic_id = m.id WHERE b.{IN_R} GROUP BY mu.name""")
+def q_report_by_mechanic(g):
+    """Report range per mechanic name."""
+    return A.report_by_mechanic(g, R_START, R_END)
+
+
+@register("report_by_day", f"""
+SELECT strftime(booking_date, '%Y-%m-%d') AS booking_date, count(*) AS booking_count,
+  {_cnt('completed')} AS completed_count, {_cnt('cancelled')} AS cancelled_count,
+  CAST(coalesce(sum(total_price), 0) AS DOUBLE) AS daily_revenue
+FROM bookings WHERE {IN_R} GROUP BY 1""")
+def q_report_by_day(g):
+    """Report range per day."""
+    return A.report_by_day(g, R_START, R_END)
+
+
+TOTALS_SQL = f"""count(*) AS total_bookings, {_cnt('completed')} AS completed_bookings,
+  {_cnt('cancelled')} AS cancelled_bookings, CAST(coalesce(sum(total_price), 0) AS DOUBLE) AS total_revenue,
+  {RHU.format(x="avg(CASE WHEN status = 'completed' THEN rating END)", s=100)} AS average_rating"""
+
+
+@register("report_totals", f"SELECT {TOTALS_SQL} FROM bookings WHERE {IN_R}")
+def q_report_totals(g):
+    """Report range totals."""
+    return A.report_totals(g, R_START, R_END)
+
+
+@register("customer_booking_counter", """
+SELECT coalesce(c.id, a.customer_id) AS customer_id, c.total_bookings AS stored_bookings,
+  coalesce(a.n, 0) AS actual_bookings, c.id IS NOT NULL AS customer_exists
+FROM customers c FULL OUTER JOIN (SELECT customer_id, count(*) AS n FROM bookings GROUP BY customer_id) a
+  ON c.id = a.customer_id
+WHERE c.total_bookings IS DISTINCT FROM coalesce(a.n, 0)""")
+def q_customer_booking_counter(g):
+    """Customers whose stored booking counter disagrees with the bookings."""
+    return A.customer_booking_counter(g)
+
+
+@register("mechanic_day_week_stats", f"""
+SELECT m.id AS mechanic_id,
+  coalesce(x.completed_today, 0) AS completed_today, coalesce(x.pending_today, 0) AS pending_today,
+  coalesce(x.total_week, 0) AS total_week, coalesce(m.rating, 0.0) AS rating
+FROM mechanics m LEFT JOIN (
+  SELECT t.mechanic_id,
+    count(*) FILTER (WHERE t.status = 'completed' AND b.booking_date = DATE '{AS_OF}') AS completed_today,
+    count(*) FILTER (WHERE t.status IN ('pending', 'in-progress') AND b.booking_date = DATE '{AS_OF}') AS pending_today,
+    count(*) FILTER (WHERE b.booking_date BETWEEN DATE '2001-07-15' AND DATE '2001-07-21') AS total_week
+  FROM mechanic_tasks t JOIN bookings b ON t.booking_id = b.id GROUP BY t.mechanic_id) x ON m.id = x.mechanic_id""")
+def q_mechanic_day_week_stats(g):
+    """Per mechanic today's and this week's task counts."""
+    return A.mechanic_day_week_stats(g, AS_OF)
+
+
+@register("mechanic_performance", f"""
+SELECT m.id, mu.name, m.specialization, m.experience, m.rating,
+  coalesce(x.completed_jobs, 0) AS completed_jobs, coalesce(x.total_jobs, 0) AS total_jobs,
+  CASE WHEN coalesce(x.total_jobs, 0) > 0 THEN {RHU.format(x='x.completed_jobs * 100.0 / x.total_jobs', s=100)} ELSE 0.0 END
+    AS completion_rate,
+  coalesce(x.upcoming_bookings, 0) AS upcoming_bookings
+FROM {MECH} LEFT JOIN (
+  SELECT mechanic_id, {_cnt('completed')} AS completed_jobs, count(*) AS total_jobs,
+    count(*) FILTER (WHERE booking_date >= DATE '{AS_OF}' AND status IN ('pending', 'confirmed')) AS upcoming_bookings
+  FROM bookings WHERE mechanic_id IS NOT NULL GROUP BY mechanic_id) x ON m.id = x.mechanic_id""")
+def q_mechanic_performance(g):
+    """Per mechanic completion rate and upcoming work."""
+    return A.mechanic_performance(g, AS_OF)
+
+
+@register("user_booking_counts", """
+SELECT u.id, u.name, u.email, u.role, u.status,
+  CASE WHEN u.role = 'customer' THEN coalesce(x.n, 0) ELSE 0 END AS bookings
+FROM users u LEFT JOIN (SELECT c.user_id, count(*) AS n FROM customers c JOIN bookings b ON b.customer_id = c.id
+                        GROUP BY c.user_id) x ON u.id = x.user_id""")
+def q_user_booking_counts(g):
+    """Every user with its booking count."""
+    return A.user_booking_counts(g)
+
+
+@register("page_totals", """
+SELECT count(*) AS total_items, 3 AS page, 25 AS page_size, CAST(ceil(count(*) / 25) AS BIGINT) AS total_pages,
+  3 < ceil(count(*) / 25) AS has_next, true AS has_previous
+FROM bookings WHERE status = 'completed'""")
+def q_page_totals(g):
+    """Pagination block of the completed-bookings listing (page 3 of 25)."""
+    from wrenchflow.functions.predicates import filter_bookings
+    return A.page_totals(filter_bookings(g.bookings, status="completed"), 3, 25)
+
+
+@register("service_usage_counts", """
+SELECT s.id AS service_id, count(b.id) AS booking_count FROM services s
+LEFT JOIN bookings b ON b.service_id = s.id GROUP BY s.id""")
+def q_service_usage_counts(g):
+    """Bookings referencing each service."""
+    return A.usage_counts(g, "service")
+
+
+@register("vehicle_usage_counts", """
+SELECT v.id AS vehicle_id, count(b.id) AS booking_count FROM vehicles v
+LEFT JOIN bookings b ON b.vehicle_id = v.id GROUP BY v.id""")
+def q_vehicle_usage_counts(g):
+    """Bookings referencing each vehicle."""
+    return A.usage_counts(g, "vehicle")
+
+
+@register("generate_booking_report", f"""
+SELECT {TOTALS_SQL},
+  coalesce({RHU.format(x="avg(date_diff('second', started_at, completed_at)) / 3600.0", s=10)}, 0.0) AS average_service_time
+FROM bookings WHERE {IN_R}""")
+def q_generate_booking_report(g):
+    """Booking report bundle of the report range."""
+    return A.generate_booking_report(g, R_START, R_END)
+
+
+@register("upcoming_bookings", f"""
+SELECT b.id, CAST(b.booking_date AS VARCHAR) AS booking_date, b.start_min, b.status, u.name AS customer_name,
+  s.name AS service_name, mu.name AS mechanic_name, v.make, v.model, v.license_plate
+FROM (SELECT * FROM bookings WHERE booking_date >= DATE '{AS_OF}' AND status NOT IN ('cancelled', 'completed')
+      ORDER BY booking_date, start_min, id LIMIT 10) b
+JOIN services s ON b.service_id = s.id JOIN {CUST} ON b.customer_id = c.id JOIN vehicles v ON b.vehicle_id = v.id
+LEFT JOIN {MECH} ON b.mechanic_id = m.id""")
+def q_upcoming_bookings(g):
+    """Next ten live bookings from AS_OF."""
+    return A.upcoming_bookings(g, AS_OF)
