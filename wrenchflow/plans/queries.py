@@ -722,3 +722,74 @@ LEFT JOIN {MECH} ON b.mechanic_id = m.id""")
 def q_upcoming_bookings(g):
     """Next ten live bookings from AS_OF."""
     return A.upcoming_bookings(g, AS_OF)
+
+
+# ---------------------------------------------------------------- intervals
+from wrenchflow.operators import intervals as IV  # noqa: E402
+
+SLOT_DATE = "2001-07-16"    # a Monday after AS_OF
+IV_SQL = """iv AS (SELECT b.id, b.mechanic_id, b.booking_date, b.start_min,
+    b.start_min + coalesce(s.estimated_time, 60) AS end_min
+  FROM bookings b LEFT JOIN services s ON b.service_id = s.id
+  WHERE b.mechanic_id IS NOT NULL AND b.status <> 'cancelled')"""
+
+
+@register("schedule_conflicts", f"""
+WITH {IV_SQL}
+SELECT a.id, a.mechanic_id, CAST(a.booking_date AS VARCHAR) AS booking_date, a.start_min, a.end_min,
+  count(*) - 1 AS conflict_count, count(*) > 1 AS has_conflict
+FROM iv a JOIN iv o ON a.mechanic_id = o.mechanic_id AND a.booking_date = o.booking_date
+  AND o.start_min < a.end_min AND o.end_min > a.start_min
+GROUP BY a.id, a.mechanic_id, a.booking_date, a.start_min, a.end_min""")
+def q_schedule_conflicts(g):
+    """Per live assigned booking, overlapping bookings of the same mechanic and day."""
+    return IV.schedule_conflicts(g)
+
+
+@register("within_availability", f"""
+WITH {IV_SQL}
+SELECT iv.id, iv.mechanic_id, CAST(iv.booking_date AS VARCHAR) AS booking_date, iv.start_min, iv.end_min,
+  CAST(dayofweek(iv.booking_date) AS INT) AS dow,
+  EXISTS (SELECT 1 FROM mechanic_availability a WHERE a.mechanic_id = iv.mechanic_id
+          AND a.day_of_week = dayofweek(iv.booking_date) AND a.start_min <= iv.start_min AND a.end_min >= iv.end_min)
+    AS within_availability
+FROM iv""")
+def q_within_availability(g):
+    """Each live assigned booking flagged by availability containment."""
+    return IV.within_availability(g).select("id", "mechanic_id", "booking_date", "start_min", "end_min", "dow",
+                                            "within_availability")
+
+
+@register("available_time_slots", f"""
+WITH d AS (SELECT coalesce(max(estimated_time), 60) AS dur FROM services WHERE id = 1),
+win AS (SELECT a.mechanic_id, a.start_min, a.end_min, d.dur FROM mechanic_availability a, d
+        WHERE a.day_of_week = dayofweek(DATE '{SLOT_DATE}') AND a.end_min - d.dur >= a.start_min),
+slots AS (SELECT DISTINCT mechanic_id, dur, unnest(range(start_min, end_min - dur + 1, 30)) AS slot_start FROM win),
+busy AS (SELECT b.mechanic_id, b.start_min, b.start_min + coalesce(s.estimated_time, 60) AS end_min
+         FROM bookings b LEFT JOIN services s ON b.service_id = s.id
+         WHERE b.booking_date = DATE '{SLOT_DATE}' AND b.mechanic_id IS NOT NULL AND b.status <> 'cancelled')
+SELECT s.mechanic_id, '{SLOT_DATE}' AS booking_date, CAST(s.slot_start AS INT) AS slot_start,
+  CAST(s.slot_start + s.dur AS INT) AS slot_end, {HHMM.format(m='CAST(s.slot_start AS INT)')} AS slot_time
+FROM slots s WHERE NOT EXISTS (SELECT 1 FROM busy WHERE busy.mechanic_id = s.mechanic_id
+  AND busy.start_min < s.slot_start + s.dur AND busy.end_min > s.slot_start)""")
+def q_available_time_slots(g):
+    """free 30-minute-grid start times for service 1 on SLOT_DATE, all mechanics."""
+    return IV.available_time_slots(g, SLOT_DATE, service_id=1)
+
+
+def visit_assignment_requests(g):
+    """Stand-in requests: each pending booking asks for the lowest-numbered
+    mechanic already working on the same visit; request order = booking key."""
+    from pyspark.sql import functions as F
+    b = g.bookings
+    crew = b.where(F.col("mechanic_id").isNotNull()).groupBy("visit_id").agg(F.min("mechanic_id").alias("mechanic_id"))
+    return (b.where(F.col("status") == "pending").select(F.col("id").alias("booking_id"), "visit_id")
+            .join(crew, "visit_id")
+            .select("booking_id", "mechanic_id",
+                    F.substring("booking_id", 3, 40).cast("long").alias("request_seq")))
+
+
+@register("assign_mechanics")
+def q_assign_mechanics(g):
+    """M4: batch mechanic assignment with availability, conflicts and in-batch order (no SQL oracle: iterative)."""
+    return IV.assign_mechanics(g, visit_assignment_requests(g))
