@@ -21,6 +21,10 @@ INSIGHT_RANGES = ["month", "quarter", "year"]
 DEFAULT_DURATION_MIN = 60     # booking length when the service has no estimate
 TAX_RATE_HISTORY = "0.10"     # tax shown on settled payments
 SLOT_STEP_MIN = 30            # grid of offered start times (our rule)
+LABEL_UNKNOWN_CUSTOMER = "Unknown Customer"
+LABEL_UNKNOWN_SERVICE = "Unknown Service"
+LABEL_NO_MECHANIC = "Belum ditugaskan"   # "not yet assigned"
+LABEL_ADMIN = "Admin"
 # -------------------------------------------------------------------------
 
 MONEY = T.DecimalType(12, 2)

@@ -264,7 +264,7 @@ def payments_joined(g: Garage) -> DataFrame:
             .join(_mechanic_labels(g), F.col("mechanic_id") == F.col("_mid"), "left")
             .select("payment_id", "booking_id", "payment_method", "is_down_payment", "down_payment_percent",
                     "down_payment_amount", "payment_status", "admin_notes", "payment_date", "booking_date",
-                    "status", "total_price", "service_name", "service_price", "customer_name", "make",
+                    "status", "total_price", "service_id", "service_name", "service_price", "customer_name", "make",
                     "model", "license_plate", "mechanic_name"))
 
 

@@ -202,7 +202,7 @@ PAY_SQL = f"""
 SELECT p.id AS payment_id, p.booking_id, p.payment_method, p.is_down_payment, p.down_payment_percent,
   CAST(p.down_payment_amount AS DOUBLE) AS down_payment_amount, p.payment_status, p.admin_notes,
   {TS.format(c='p.payment_date')} AS payment_date, CAST(b.booking_date AS VARCHAR) AS booking_date, b.status,
-  CAST(b.total_price AS DOUBLE) AS total_price, s.name AS service_name, CAST(s.price AS DOUBLE) AS service_price,
+  CAST(b.total_price AS DOUBLE) AS total_price, b.service_id, s.name AS service_name, CAST(s.price AS DOUBLE) AS service_price,
   u.name AS customer_name, v.make, v.model, v.license_plate, mu.name AS mechanic_name
 FROM payments p JOIN bookings b ON p.booking_id = b.id JOIN services s ON b.service_id = s.id
 JOIN {CUST} ON b.customer_id = c.id JOIN vehicles v ON b.vehicle_id = v.id
@@ -793,3 +793,118 @@ def visit_assignment_requests(g):
 def q_assign_mechanics(g):
     """M4: batch mechanic assignment with availability, conflicts and in-batch order (no SQL oracle: iterative)."""
     return IV.assign_mechanics(g, visit_assignment_requests(g))
+
+
+# ---------------------------------------------------------------- nested documents (N)
+from pyspark.sql import functions as _F  # noqa: E402
+
+from wrenchflow.operators import nested as N  # noqa: E402
+
+
+def _render(arr, *fields, sep=";"):
+    """Array of structs -> 'f1:f2;f1:f2' text, for flat comparison."""
+    return _F.array_join(_F.transform(_F.col(arr), lambda t: _F.concat_ws(":", *[t[f].cast("string") for f in fields])),
+                         sep)
+
+
+def _agg_sql(table, fields, where, order):
+    cols = ", ".join(f"CAST({f} AS VARCHAR)" for f in fields)
+    return f"(SELECT string_agg(concat_ws(':', {cols}), ';' ORDER BY {order}) FROM {table} x WHERE {where})"
+
+
+@register("booking_document", f"""
+SELECT b.id, CAST(b.booking_date AS VARCHAR) AS booking_date, b.start_min, b.status, b.customer_id, b.service_id,
+  b.vehicle_id, b.mechanic_id, 0 AS part,
+  {_agg_sql('mechanic_tasks', ['x.id', 'x.status'], 'x.booking_id = b.id', 'x.id')} AS tasks_text,
+  {_agg_sql('field_notes', ['x.id', 'x.note'], 'x.booking_id = b.id', 'x.date DESC, x.id DESC')} AS notes_text
+FROM bookings b""")
+def q_booking_document(g):
+    """Booking + tasks[] + field_notes[] (arrays rendered as text)."""
+    d = N.booking_document(g)
+    return d.select("id", "booking_date", "start_min", "status", "customer_id", "service_id", "vehicle_id",
+                    "mechanic_id", "part", _render("tasks", "id", "status").alias("tasks_text"),
+                    _render("field_notes", "id", "note").alias("notes_text"))
+
+
+@register("mechanic_document", f"""
+SELECT m.id, m.user_id, m.specialization, m.experience, p.name, p.completed_jobs, p.total_jobs, p.completion_rate,
+  p.upcoming_bookings, 0 AS part,
+  {_agg_sql('mechanic_availability', ['x.day_of_week', 'x.start_min', 'x.end_min'], 'x.mechanic_id = m.id',
+            'x.day_of_week, x.start_min, x.end_min')} AS availability_text,
+  {_agg_sql('testimonials', ['x.id', 'x.rating'], 'x.mechanic_id = m.id AND x.approved', 'x.date DESC, x.id DESC')}
+    AS testimonials_text
+FROM mechanics m LEFT JOIN (
+  SELECT m.id, mu.name, coalesce(x.completed_jobs, 0) AS completed_jobs, coalesce(x.total_jobs, 0) AS total_jobs,
+    CASE WHEN coalesce(x.total_jobs, 0) > 0 THEN {RHU.format(x='x.completed_jobs * 100.0 / x.total_jobs', s=100)} ELSE 0.0 END
+      AS completion_rate, coalesce(x.upcoming_bookings, 0) AS upcoming_bookings
+  FROM {MECH} LEFT JOIN (
+    SELECT mechanic_id, {_cnt('completed')} AS completed_jobs, count(*) AS total_jobs,
+      count(*) FILTER (WHERE booking_date >= DATE '{AS_OF}' AND status IN ('pending', 'confirmed')) AS upcoming_bookings
+    FROM bookings WHERE mechanic_id IS NOT NULL GROUP BY mechanic_id) x ON m.id = x.mechanic_id) p ON m.id = p.id""")
+def q_mechanic_document(g):
+    """Mechanic + availability[] + performance{} + testimonials[]."""
+    d = N.mechanic_document(g, AS_OF)
+    return d.select("id", "user_id", "specialization", "experience", "name", "performance.completed_jobs",
+                    "performance.total_jobs", "performance.completion_rate", "performance.upcoming_bookings", "part",
+                    _render("availability", "day_of_week", "start_min", "end_min").alias("availability_text"),
+                    _render("testimonials", "id", "rating").alias("testimonials_text"))
+
+
+@register("service_document", f"""
+SELECT s.id, s.name, s.category, CAST(s.price AS DOUBLE) AS price, 0 AS part,
+  {_agg_sql('testimonials', ['x.id', 'x.rating'], 'x.service_id = s.id AND x.approved', 'x.date DESC, x.id DESC')}
+    AS testimonials_text
+FROM services s""")
+def q_service_document(g):
+    """Service + approved testimonials[]."""
+    d = N.service_document(g)
+    return d.select("id", "name", "category", "price", "part", _render("testimonials", "id", "rating").alias("testimonials_text"))
+
+
+@register("vehicle_document", f"""
+SELECT v.id, v.customer_id, v.make, v.model, v.year, v.license_plate, u.name AS owner_name, 0 AS part,
+  {_agg_sql('bookings', ['x.id', 'x.status'], 'x.vehicle_id = v.id', 'x.booking_date DESC, x.start_min DESC, x.id DESC')}
+    AS history_text
+FROM vehicles v LEFT JOIN {CUST} ON v.customer_id = c.id""")
+def q_vehicle_document(g):
+    """Vehicle + booking history[] newest first."""
+    d = N.vehicle_document(g)
+    return d.select("id", "customer_id", "make", "model", "year", "license_plate", "owner_name", "part",
+                    _render("booking_history", "id", "status").alias("history_text"))
+
+
+@register("task_document", f"""
+SELECT t.id, t.booking_id, t.mechanic_id, t.status, t.start_min, t.end_min, 0 AS part,
+  {_agg_sql('field_notes', ['x.id', 'x.note'], 'x.booking_id = t.booking_id AND x.mechanic_id = t.mechanic_id',
+            'x.date DESC, x.id DESC')} AS notes_text
+FROM mechanic_tasks t""")
+def q_task_document(g):
+    """Task + its field notes[]."""
+    d = N.task_document(g)
+    return d.select("id", "booking_id", "mechanic_id", "status", "start_min", "end_min", "part",
+                    _render("field_notes", "note_id", "note").alias("notes_text"))
+
+
+@register("payment_document", f"""
+SELECT p.id, p.booking_id, concat('INV/', strftime(p.payment_date, '%Y/%m'), '/', CAST(p.id AS VARCHAR)) AS invoice_number,
+  coalesce(u.name, 'Unknown Customer') AS customer_name, v.license_plate AS vehicle_plate,
+  concat('S', CAST(b.service_id AS VARCHAR)) AS item_id, coalesce(s.name, 'Unknown Service') AS item_name,
+  CAST(s.price AS DOUBLE) AS subtotal, CAST(round(s.price * CAST(0.10 AS DECIMAL(4,2)), 2) AS DOUBLE) AS tax,
+  CAST(CASE WHEN p.is_down_payment THEN p.down_payment_amount ELSE s.price END AS DOUBLE) AS total_amount,
+  p.payment_status AS status, CASE WHEN p.payment_status = 'approved' THEN 'paid' ELSE 'unpaid' END AS payment_label,
+  coalesce(mu.name, 'Belum ditugaskan') AS mechanic_name,
+  CASE WHEN p.payment_status = 'approved' THEN 'Admin' END AS approved_by,
+  CASE WHEN p.payment_status = 'rejected' THEN 'Admin' END AS rejected_by,
+  CASE WHEN p.payment_status = 'rejected' THEN p.admin_notes END AS rejection_reason,
+  coalesce(p.admin_notes, '') AS admin_notes
+FROM payments p JOIN bookings b ON p.booking_id = b.id JOIN services s ON b.service_id = s.id
+JOIN {CUST} ON b.customer_id = c.id JOIN vehicles v ON b.vehicle_id = v.id
+LEFT JOIN {MECH} ON b.mechanic_id = m.id WHERE p.payment_status <> 'pending'""")
+def q_payment_document(g):
+    """Settled payments as invoices."""
+    d = N.payment_document(g)
+    return d.select("id", "booking_id", "invoice_number", "customer_name", "vehicle_plate",
+                    _F.col("service_items")[0]["item_id"].alias("item_id"),
+                    _F.col("service_items")[0]["name"].alias("item_name"), "subtotal", "tax", "total_amount",
+                    "status", "payment_label", "mechanic_name", "approved_by", "rejected_by", "rejection_reason",
+                    "admin_notes")
