@@ -908,3 +908,223 @@ def q_payment_document(g):
                     _F.col("service_items")[0]["name"].alias("item_name"), "subtotal", "tax", "total_amount",
                     "status", "payment_label", "mechanic_name", "approved_by", "rejected_by", "rejection_reason",
                     "admin_notes")
+
+
+# ---------------------------------------------------------------- scans, search, paging, distinct
+from wrenchflow.functions.predicates import filter_bookings  # noqa: E402
+from wrenchflow.operators import listing as L  # noqa: E402
+from wrenchflow.operators import messages as G  # noqa: E402
+from wrenchflow.operators import quality as Q  # noqa: E402
+
+
+@register("schedule_scan", f"""
+SELECT id, CAST(booking_date AS VARCHAR) AS booking_date, start_min, {HHMM.format(m='start_min')} AS booking_time, status
+FROM bookings""")
+def q_schedule_scan(g):
+    """Schedule projection, newest date first, time ascending."""
+    return L.schedule_scan(g)
+
+
+@register("filter_bookings", J1_SQL + " WHERE b.status = 'completed' AND (u.name ILIKE '%9%' OR s.name ILIKE '%anvil%')")
+def q_filter_bookings(g):
+    """J1 with status and text filters AND-ed ('anvil' or '9' in names)."""
+    from pyspark.sql import functions as F
+    from wrenchflow.functions.predicates import contains_ci
+    e = filter_bookings(J.bookings_enriched(g), status="completed")
+    return e.where(contains_ci(["customer_name"], "9") | contains_ci(["service_name"], "anvil"))
+
+
+@register("search_bookings", J1_SQL + " WHERE u.name ILIKE '%gear%' OR s.name ILIKE '%gear%'")
+def q_search_bookings(g):
+    """Bookings whose customer or service name contains 'gear'."""
+    return L.search_bookings(g, "gear")
+
+
+SVC_COLS = ("id, name, description, category, CAST(price AS DOUBLE) AS price, estimated_time, stock > 0 AS in_stock, "
+            "featured, stock")
+
+
+@register("search_services", f"SELECT {SVC_COLS} FROM services WHERE name ILIKE '%steel%' OR description ILIKE '%steel%'")
+def q_search_services(g):
+    """Services whose name or description contains 'steel'."""
+    return L.search_services(g, term="steel")
+
+
+@register("services_by_category", f"SELECT {SVC_COLS} FROM services WHERE category = 'PROMO'")
+def q_services_by_category(g):
+    """Services of one category."""
+    return L.search_services(g, category="PROMO")
+
+
+@register("services_featured", f"SELECT {SVC_COLS} FROM services WHERE featured")
+def q_services_featured(g):
+    """Featured services."""
+    return L.search_services(g, featured=True)
+
+
+@register("search_vehicles", f"""
+SELECT v.id, v.customer_id, v.make, v.model, v.year, v.license_plate, v.vin, u.name AS owner_name
+FROM vehicles v LEFT JOIN {CUST} ON v.customer_id = c.id
+WHERE v.license_plate ILIKE '%77%' OR v.vin ILIKE '%77%'""")
+def q_search_vehicles(g):
+    """Vehicles whose plate or VIN contains '77', with owner."""
+    return L.search_vehicles(g, "77")
+
+
+INITIALS_SQL = ("upper(substr(array_to_string(list_transform(list_filter(string_split(name, ' '), lambda w: w <> ''), "
+                "lambda w: substr(w, 1, 1)), ''), 1, 2))")
+
+
+@register("search_users", f"""
+SELECT id, name, email, role, status, {INITIALS_SQL} AS initials FROM users
+WHERE (name ILIKE '%00001%' OR email ILIKE '%00001%') AND role IN ('customer', 'mechanic')""")
+def q_search_users(g):
+    """P5 + E1: users matching '00001' in name or e-mail among two roles, with initials."""
+    return L.search_users(g, "00001", ["customer", "mechanic"])
+
+
+@register("users_by_role", f"SELECT id, name, email, role, status, {INITIALS_SQL} AS initials FROM users WHERE role = 'mechanic'")
+def q_users_by_role(g):
+    """Users of one role."""
+    return L.search_users(g, roles="mechanic")
+
+
+@register("duplicate_testimonials", """
+SELECT customer_id, service_id, mechanic_id, count(*) AS row_count FROM testimonials
+GROUP BY customer_id, service_id, mechanic_id HAVING count(*) > 1""")
+def q_duplicate_testimonials(g):
+    """Reviews repeating (customer, service, mechanic) with NULL-safe equality."""
+    return Q.duplicate_keys(g.testimonials, ["customer_id", "service_id", "mechanic_id"])
+
+
+@register("visible_bookings", """
+SELECT u.id AS user_id, u.role, b.id AS booking_id, 'own' AS scope
+FROM users u JOIN customers c ON c.user_id = u.id JOIN bookings b ON b.customer_id = c.id WHERE u.role = 'customer'
+UNION ALL
+SELECT u.id, u.role, b.id, 'assigned' FROM users u JOIN mechanics m ON m.user_id = u.id
+JOIN bookings b ON b.mechanic_id = m.id WHERE u.role = 'mechanic'
+UNION ALL
+SELECT id, role, NULL, 'all' FROM users WHERE role IN ('admin', 'staff', 'owner')""")
+def q_visible_bookings(g):
+    """Row-level visibility of bookings for every user."""
+    return L.visible_bookings(g)
+
+
+@register("vehicles_by_customer", "SELECT * FROM vehicles WHERE customer_id IS NOT NULL")
+def q_vehicles_by_customer(g):
+    """Every customer's vehicles ordered by make and model."""
+    return L.vehicles_by_customer(g)
+
+
+@register("availability_by_mechanic", f"""
+SELECT mechanic_id, day_of_week, start_min, end_min, {HHMM.format(m='start_min')} AS start_time,
+  {HHMM.format(m='end_min')} AS end_time FROM mechanic_availability""")
+def q_availability_by_mechanic(g):
+    """Weekly windows per mechanic."""
+    return L.availability_by_mechanic(g)
+
+
+@register("bookings_page", J1_SQL + " ORDER BY b.booking_date DESC, b.start_min DESC, b.id LIMIT 25 OFFSET 50")
+def q_bookings_page(g):
+    """L1 + L3: third page of 25 of the newest-first enriched listing."""
+    from pyspark.sql import functions as F
+    order = [F.col("booking_date").desc_nulls_first(), F.col("start_min").desc_nulls_first(), F.col("id").asc()]
+    return L.paginate(J.bookings_enriched(g), order, page=3, size=25)
+
+
+@register("service_categories", "SELECT DISTINCT category FROM services WHERE category IS NOT NULL")
+def q_service_categories(g):
+    """Distinct service categories."""
+    return L.service_categories(g)
+
+
+@register("service_name_uniqueness", f"""
+SELECT {SVC_COLS.replace('stock > 0 AS in_stock', 's.in_stock').replace('id,', 's.id,', 1).replace(' name,', ' s.name,', 1)},
+  coalesce(x.n > 1 OR x.lo <> s.id OR x.hi <> s.id, false) AS taken_by_other,
+  coalesce(x.n > 1, false) AS duplicate_in_batch
+FROM services s LEFT JOIN (SELECT name, count(*) AS n, min(id) AS lo, max(id) AS hi FROM services GROUP BY name) x
+  ON s.name = x.name""")
+def q_service_name_uniqueness(g):
+    """Services whose name is used by another service or repeats in the batch."""
+    return L.uniqueness_check(g.services, g.services, "name")
+
+
+# ---------------------------------------------------------------- messages (G)
+MSG_SQL = f"""SELECT m.customer_id, m.turn, m.type, m.is_read, m.message, u.name AS customer_name
+FROM customer_messages m LEFT JOIN {CUST} ON m.customer_id = c.id"""
+
+
+@register("messages_by_customer", MSG_SQL)
+def q_messages_by_customer(g):
+    """G1: message threads with customer names."""
+    return G.messages_by_customer(g)
+
+
+@register("unread_messages", MSG_SQL + " WHERE m.type = 'incoming' AND NOT m.is_read")
+def q_unread_messages(g):
+    """Unread incoming messages."""
+    return G.unread_messages(g)
+
+
+@register("mark_read", """
+SELECT m.customer_id, m.turn, m.type, m.is_read OR coalesce(m.type = 'incoming' AND m.turn <= r.up_to_turn, false) AS is_read,
+  m.message
+FROM customer_messages m LEFT JOIN (SELECT customer_id, max(turn) AS up_to_turn FROM customer_messages
+                                    WHERE type = 'outgoing' GROUP BY customer_id) r ON m.customer_id = r.customer_id""")
+def q_mark_read(g):
+    """Read receipts implied by staff replies applied to the threads."""
+    return G.mark_read(g.customer_messages, G.reply_receipts(g.customer_messages))
+
+
+# ---------------------------------------------------------------- data quality (D)
+MAX_YEAR = int(AS_OF[:4]) + 1
+_PRESENT = "coalesce(trim(CAST({c} AS VARCHAR)) <> '', false)"
+VEHICLE_RULES_SQL = [
+    ("make", Q.MSG_MAKE, f"NOT {_PRESENT.format(c='make')}"),
+    ("model", Q.MSG_MODEL, f"NOT {_PRESENT.format(c='model')}"),
+    ("year", Q.MSG_YEAR, f"NOT coalesce(year BETWEEN 1900 AND {MAX_YEAR}, false)"),
+    ("license_plate", Q.MSG_PLATE_EMPTY, f"NOT {_PRESENT.format(c='license_plate')}"),
+    ("license_plate", Q.MSG_PLATE_FORMAT, f"NOT coalesce(regexp_matches(license_plate, '{Q.PLATE_RE}'), false)"),
+    ("vin", Q.MSG_VIN_LEN, "vin IS NOT NULL AND vin <> '' AND length(vin) <> 17"),
+    ("vin", Q.MSG_VIN_FORMAT, f"vin IS NOT NULL AND vin <> '' AND NOT regexp_matches(vin, '{Q.VIN_RE}')"),
+    ("customer_id", Q.MSG_CUSTOMER_ID, "customer_id IS NOT NULL AND customer_id < 1"),
+]
+
+
+@register("validate_vehicles", "SELECT id, concat_ws(';', "
+          + ", ".join(f"CASE WHEN {cond} THEN '{f}:{m}' END" for f, m, cond in VEHICLE_RULES_SQL)
+          + ") AS errors_text, " + " + ".join(f"CAST({cond} AS INT)" for _, _, cond in VEHICLE_RULES_SQL)
+          + " AS error_count FROM vehicles")
+def q_validate_vehicles(g):
+    """Vehicle rule chain; errors rendered as 'field:message;...'."""
+    from pyspark.sql import functions as F
+    v = Q.validate(g.vehicles, Q.vehicle_rules(MAX_YEAR))
+    return v.select("id", _render("errors", "field", "message").alias("errors_text"),
+                    F.size("errors").alias("error_count"))
+
+
+@register("vehicle_quality_report", "SELECT field, message, count(*) AS error_count, 'vehicles' AS table_name FROM ("
+          + " UNION ALL ".join(f"SELECT '{f}' AS field, '{m}' AS message FROM vehicles WHERE {cond}"
+                               for f, m, cond in VEHICLE_RULES_SQL)
+          + ") GROUP BY field, message")
+def q_vehicle_quality_report(g):
+    """Vehicle error counts per field and message."""
+    return Q.quality_report(Q.validate(g.vehicles, Q.vehicle_rules(MAX_YEAR)), "vehicles")
+
+
+@register("schema_check_bookings")
+def q_schema_check_bookings(g):
+    """D3: bookings columns vs the model schema with NULL counts (no SQL oracle: types are engine-specific)."""
+    return Q.schema_check(g.bookings, "bookings")
+
+
+@register("status_vocabulary_check", """
+SELECT status, count(*) AS row_count,
+  coalesce(status IN ('pending', 'confirmed', 'in-progress', 'completed', 'cancelled'), false) AS in_vocabulary,
+  CASE WHEN NOT coalesce(status IN ('pending', 'confirmed', 'in-progress', 'completed', 'cancelled'), false)
+        AND replace(status, '_', '-') IN ('pending', 'confirmed', 'in-progress', 'completed', 'cancelled')
+       THEN replace(status, '_', '-') END AS repair
+FROM mechanic_tasks GROUP BY status""")
+def q_status_vocabulary_check(g):
+    """Task statuses against the booking vocabulary."""
+    return Q.status_vocabulary_check(g.mechanic_tasks)

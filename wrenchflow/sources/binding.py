@@ -251,7 +251,7 @@ testimonials AS (
     CAST(l_shipdate AS DATE) AS date, l_tax < 0.06 AS approved, l_tax = 0 AS featured
   FROM job0 WHERE status = 'completed' AND l_linenumber <= 5 AND l_discount >= 0.05),
 mechanic_availability AS (
-  SELECT s_suppkey AS mechanic_id, d.dow AS day_of_week, 480 AS start_min, 1020 AS end_min
+  SELECT s_suppkey AS mechanic_id, CAST(d.dow AS INT) AS day_of_week, 480 AS start_min, 1020 AS end_min
   FROM supplier, (SELECT unnest(range(1, 6)) AS dow) d
   WHERE (s_suppkey + d.dow) % 4 <> 0),
 mechanic_tasks AS (
