@@ -66,7 +66,8 @@ def compare(spark, con, name, fn, sql, sf_dir):
     else:
         kinds = [(c, _kind(sp[c].dtype), _kind(du[c].dtype)) for c in sorted(sp.columns)]
         def nullable_int(c, a, b):
-            return {a[:3], b[:3]} == {"int", "flo"} and (sp[c].isna().any() or du[c].isna().any())
+            pair = {a[:3], b[:3]}
+            return pair in ({"int", "flo"}, {"obj", "boo"}) and (sp[c].isna().any() or du[c].isna().any())
         bad = [k for k in kinds if k[1] != k[2] and not (len(sp) == 0 or len(du) == 0)
                and not nullable_int(*k)]
         if bad:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from wrenchflow.operators import enrich as J
 from wrenchflow.operators import metrics as A
-from wrenchflow.plans.catalog import register
+from wrenchflow.plans.catalog import REGISTRY, register
 from wrenchflow.sources.binding import AS_OF
 
 # fixture parameters (dates inside the bound data's span)
@@ -1128,3 +1128,399 @@ FROM mechanic_tasks GROUP BY status""")
 def q_status_vocabulary_check(g):
     """Task statuses against the booking vocabulary."""
     return Q.status_vocabulary_check(g.mechanic_tasks)
+
+
+# ---------------------------------------------------------------- batch state changes (M)
+import uuid as _uuid  # noqa: E402
+
+from wrenchflow.operators import changes as M  # noqa: E402
+from wrenchflow.plans import standins as SI  # noqa: E402
+
+BIG = SI.BIG
+SINCE = "2001-06-15"
+NUM = "CAST(substr({c}, 3) AS BIGINT)"
+LEAD_SQL = "(SELECT visit_id, min(mechanic_id) AS lead FROM bookings WHERE mechanic_id IS NOT NULL GROUP BY visit_id)"
+
+
+@register("apply_new_bookings", f"""
+WITH req AS (
+  SELECT {NUM.format(c='b.id')} AS request_seq, b.customer_id AS cust, b.service_id, b.vehicle_id,
+    CAST(b.booking_date + INTERVAL 30 DAY AS DATE) AS booking_date, b.start_min, 'follow-up' AS notes,
+    p.payment_method, p.is_down_payment, p.down_payment_percent, p.down_payment_amount
+  FROM bookings b LEFT JOIN payments p ON b.visit_id = p.visit_id WHERE b.status = 'completed' AND b.rating = 5),
+r AS (SELECT req.*, s.id AS sid, s.in_stock, s.price, v.id AS vid, v.customer_id AS owner
+      FROM req LEFT JOIN services s ON req.service_id = s.id LEFT JOIN vehicles v ON req.vehicle_id = v.id),
+adopt AS (SELECT vehicle_id, arg_min(cust, request_seq) AS adopter FROM r
+          WHERE vid IS NOT NULL AND owner IS NULL AND sid IS NOT NULL AND in_stock GROUP BY vehicle_id),
+chk AS (SELECT r.*, coalesce(r.owner, a.adopter) AS owner_now,
+  CASE WHEN coalesce(r.service_id, 0) = 0 OR coalesce(r.vehicle_id, 0) = 0
+         THEN 'Service, vehicle, date and time are required'
+       WHEN r.sid IS NULL THEN 'Service not found'
+       WHEN NOT r.in_stock THEN 'Service is currently unavailable'
+       WHEN r.vid IS NULL THEN 'Vehicle not found'
+       WHEN coalesce(coalesce(r.owner, a.adopter) <> r.cust, false) THEN 'Vehicle does not belong to this customer' END
+    AS reject_reason
+  FROM r LEFT JOIN adopt a ON r.vehicle_id = a.vehicle_id),
+top AS (SELECT max(TRY_CAST(regexp_extract(id, '^B-(\\d+)$', 1) AS BIGINT)) AS t FROM bookings)
+SELECT request_seq, cust AS customer_id, service_id, vehicle_id, CAST(booking_date AS VARCHAR) AS booking_date,
+  start_min, notes, CAST(NULL AS BIGINT) AS mechanic_id, CAST(NULL AS VARCHAR) AS customer_name,
+  CAST(price AS DOUBLE) AS total_price, payment_method, coalesce(is_down_payment, false) AS is_down_payment,
+  CASE WHEN is_down_payment THEN down_payment_percent ELSE 0 END AS down_payment_percent,
+  CAST(CASE WHEN is_down_payment THEN down_payment_amount ELSE 0 END AS DOUBLE) AS down_payment_amount,
+  CASE WHEN vid IS NOT NULL THEN owner_now END AS vehicle_owner_after, reject_reason,
+  CASE WHEN reject_reason IS NULL THEN concat('B-', CAST((SELECT t FROM top)
+       + row_number() OVER (PARTITION BY reject_reason IS NULL ORDER BY request_seq) AS VARCHAR)) END AS id,
+  CASE WHEN reject_reason IS NULL THEN 'pending' END AS status,
+  CASE WHEN reject_reason IS NULL AND payment_method IS NOT NULL THEN 'pending' END AS payment_status
+FROM chk""")
+def q_apply_new_bookings(g):
+    """M1 + M14: follow-up booking requests checked, numbered B-<n>, with pending payments."""
+    return M.apply_new_bookings(g, SI.new_booking_requests(g))
+
+
+M2_TS = f"{AS_OF} 17:00:00"
+
+
+@register("apply_status_changes", f"""
+WITH ch AS (
+  SELECT id AS change_seq, booking_id, status AS new_status, 'mechanic' AS actor_role, mechanic_id AS actor_mechanic_id
+  FROM mechanic_tasks
+  UNION ALL
+  SELECT {BIG} + {NUM.format(c='b.id')}, b.id, 'completed', 'mechanic', l.lead
+  FROM bookings b JOIN {LEAD_SQL} l ON b.visit_id = l.visit_id WHERE b.status = 'in-progress'),
+c AS (SELECT ch.*, b.status AS old_status,
+  CASE WHEN b.id IS NULL THEN 'Booking not found'
+       WHEN actor_role IN ('admin', 'staff') AND NOT coalesce(new_status IN
+         ('pending', 'confirmed', 'in-progress', 'completed', 'cancelled'), false) THEN 'Valid status is required'
+       WHEN actor_role = 'mechanic' AND b.mechanic_id IS DISTINCT FROM actor_mechanic_id
+         THEN 'Not authorized to update this booking'
+       WHEN actor_role = 'mechanic' AND NOT coalesce(new_status IN ('in-progress', 'completed'), false)
+         THEN 'Valid status is required. Mechanics can only set in-progress or completed status.'
+       WHEN actor_role IS NULL OR actor_role NOT IN ('admin', 'staff', 'mechanic')
+         THEN 'Not authorized to update booking status' END AS reject_reason
+  FROM ch LEFT JOIN bookings b ON ch.booking_id = b.id),
+l AS (SELECT booking_id, max(change_seq) AS last FROM c WHERE reject_reason IS NULL GROUP BY booking_id)
+SELECT c.change_seq, c.booking_id, c.actor_role, c.actor_mechanic_id, c.old_status, c.new_status, c.reject_reason,
+  CASE WHEN c.reject_reason IS NULL AND c.new_status = 'completed' THEN '{M2_TS}' END AS completed_at,
+  l.last IS NOT NULL AS is_final
+FROM c LEFT JOIN l ON c.booking_id = l.booking_id AND c.change_seq = l.last""")
+def q_apply_status_changes(g):
+    """M2: mechanics' status reports checked by role rules; last accepted change per booking marked."""
+    return M.apply_status_changes(g, SI.status_change_set(g), M2_TS)
+
+
+@register("apply_cancellations", f"""
+WITH r0 AS (SELECT {NUM.format(c='b.id')} AS request_seq, b.id AS booking_id, b.customer_id, c.user_id, b.status
+            FROM bookings b JOIN customers c ON b.customer_id = c.id WHERE b.booking_date >= DATE '{SINCE}'),
+req AS (SELECT request_seq, booking_id, customer_id, user_id FROM r0
+        UNION ALL SELECT request_seq + {BIG}, booking_id, customer_id, user_id FROM r0 WHERE status = 'pending'),
+c AS (SELECT req.*, b.status AS old_status,
+        CASE WHEN b.id IS NULL THEN 'Booking not found or not owned by you'
+             WHEN NOT coalesce(b.status IN ('pending', 'confirmed'), false)
+               THEN 'Only pending or confirmed bookings can be cancelled' END AS r
+      FROM req LEFT JOIN bookings b ON req.booking_id = b.id AND req.customer_id = b.customer_id),
+f AS (SELECT booking_id, min(request_seq) AS first FROM c WHERE r IS NULL GROUP BY booking_id),
+x AS (SELECT c.*, coalesce(c.r, CASE WHEN c.request_seq <> f.first
+                                     THEN 'Only pending or confirmed bookings can be cancelled' END) AS reject_reason
+      FROM c LEFT JOIN f ON c.booking_id = f.booking_id)
+SELECT request_seq, booking_id, customer_id, user_id, old_status, reject_reason,
+  CASE WHEN reject_reason IS NULL THEN 'cancel_booking' END AS audit_action,
+  CASE WHEN reject_reason IS NULL THEN 'bookings' END AS audit_table,
+  CASE WHEN reject_reason IS NULL THEN concat('{{"status":"', old_status, '"}}') END AS old_values,
+  CASE WHEN reject_reason IS NULL THEN '{{"status":"cancelled"}}' END AS new_values
+FROM x""")
+def q_apply_cancellations(g):
+    """M3 + E13: customers cancel recent bookings (pending ones twice); audit JSON for accepted ones."""
+    return M.apply_cancellations(g, SI.cancellation_requests(g, SINCE))
+
+
+@register("apply_task_status", f"""
+WITH ch AS (
+  SELECT {NUM.format(c='id')} AS change_seq, id AS ref, mechanic_id, 'in-progress' AS status, start_min + 5 AS now_min
+  FROM bookings WHERE status = 'confirmed'
+  UNION ALL
+  SELECT {BIG} + id, CAST(id AS VARCHAR), mechanic_id, 'completed', start_min + 60 FROM mechanic_tasks
+  WHERE status = 'in-progress'),
+c AS (SELECT ch.*, b.id AS bid, b.start_min AS bstart, t.id AS tid, t.start_min AS ts, t.end_min AS te
+      FROM ch LEFT JOIN bookings b ON ch.ref = b.id AND ch.mechanic_id = b.mechanic_id
+      LEFT JOIN mechanic_tasks t ON b.id = t.booking_id AND ch.mechanic_id = t.mechanic_id),
+x AS (SELECT c.*, bt.id AS xt, bt.booking_id AS xb, bt.start_min AS xs, bt.end_min AS xe
+      FROM c LEFT JOIN (SELECT t.*, b2.mechanic_id AS bm2 FROM mechanic_tasks t JOIN bookings b2 ON t.booking_id = b2.id) bt
+        ON c.bid IS NULL AND c.ref = CAST(bt.id AS VARCHAR) AND c.mechanic_id = bt.bm2),
+y AS (SELECT x.*,
+  CASE WHEN NOT coalesce(status IN ('pending', 'in-progress', 'completed'), false)
+         THEN 'Valid status is required (pending, in-progress, completed)'
+       WHEN bid IS NULL AND xt IS NULL THEN 'Task or booking not found or not assigned to you' END AS reject_reason,
+  bid IS NOT NULL AND tid IS NULL AS created,
+  CASE WHEN bid IS NOT NULL AND tid IS NULL THEN now_min WHEN bid IS NOT NULL THEN ts ELSE xs END AS s0,
+  CASE WHEN bid IS NOT NULL AND tid IS NULL THEN bstart WHEN bid IS NOT NULL THEN te ELSE xe END AS e0 FROM x)
+SELECT change_seq, ref, mechanic_id, status, reject_reason,
+  CASE WHEN reject_reason IS NULL THEN CASE WHEN bid IS NOT NULL THEN tid ELSE xt END END AS task_id,
+  CASE WHEN reject_reason IS NULL THEN CASE WHEN bid IS NOT NULL THEN bid ELSE xb END END AS booking_id,
+  CASE WHEN reject_reason IS NULL THEN created END AS task_created,
+  CASE WHEN reject_reason IS NULL THEN CASE WHEN status = 'in-progress' AND (s0 IS NULL OR s0 = e0) THEN now_min
+                                            ELSE s0 END END AS start_min,
+  CASE WHEN reject_reason IS NULL THEN CASE WHEN status = 'completed' AND e0 IS NULL THEN now_min ELSE e0 END END AS end_min,
+  CASE WHEN reject_reason IS NULL THEN CASE WHEN status IN ('in-progress', 'completed') THEN status END END AS booking_status
+FROM y""")
+def q_apply_task_status(g):
+    """M5 + J11: mechanics start confirmed jobs by booking id and finish tasks by task id."""
+    return M.apply_task_status(g, SI.task_status_changes(g))
+
+
+@register("apply_payment_decisions", """
+WITH d AS (SELECT id AS decision_seq, id AS payment_id, CASE WHEN is_down_payment THEN 'approve' ELSE 'reject' END AS decision,
+             CASE WHEN NOT is_down_payment THEN 'no down payment' END AS admin_notes
+           FROM payments WHERE payment_status = 'pending'),
+x AS (SELECT d.*, p.booking_id, p.payment_status AS old_status,
+        CASE WHEN p.id IS NULL THEN 'Payment not found'
+             WHEN NOT coalesce(d.decision IN ('approve', 'reject'), false) THEN 'Unknown decision' END AS reject_reason
+      FROM d LEFT JOIN payments p ON d.payment_id = p.id),
+l AS (SELECT payment_id, max(decision_seq) AS last FROM x WHERE reject_reason IS NULL GROUP BY payment_id)
+SELECT x.decision_seq, x.payment_id, x.booking_id, x.old_status, x.decision, x.reject_reason,
+  CASE WHEN x.reject_reason IS NULL THEN CASE WHEN x.decision = 'approve' THEN 'approved' ELSE 'rejected' END END
+    AS new_payment_status,
+  CASE WHEN x.reject_reason IS NULL THEN coalesce(x.admin_notes, '') END AS admin_notes,
+  CASE WHEN x.reject_reason IS NULL AND x.decision = 'approve' THEN 'confirmed' END AS booking_status,
+  l.last IS NOT NULL AS is_final
+FROM x LEFT JOIN l ON x.payment_id = l.payment_id AND x.decision_seq = l.last""")
+def q_apply_payment_decisions(g):
+    """M6: pending payments approved (down payment made) or rejected."""
+    return M.apply_payment_decisions(g, SI.payment_decisions(g))
+
+
+@register("apply_testimonials", f"""
+WITH s0 AS (SELECT {NUM.format(c='id')} AS submission_seq, customer_id, service_id, mechanic_id, rating,
+              concat('Review of ', id) AS comment FROM bookings WHERE status = 'completed' AND rating IS NOT NULL),
+x AS (SELECT s0.*,
+  CASE WHEN coalesce(s0.service_id, 0) = 0 OR s0.rating IS NULL OR s0.rating = 0 OR s0.comment IS NULL OR s0.comment = ''
+         THEN 'Service ID, rating, and comment are required'
+       WHEN s0.rating < 1 OR s0.rating > 5 THEN 'Rating must be between 1 and 5'
+       WHEN sv.id IS NULL THEN 'Service not found'
+       WHEN s0.mechanic_id IS NOT NULL AND m.id IS NULL THEN 'Mechanic not found'
+       WHEN EXISTS (SELECT 1 FROM testimonials t WHERE t.customer_id = s0.customer_id AND t.service_id = s0.service_id
+                    AND t.mechanic_id IS NOT DISTINCT FROM s0.mechanic_id)
+         THEN 'You have already submitted a testimonial for this service/mechanic combination' END AS r
+  FROM s0 LEFT JOIN services sv ON s0.service_id = sv.id LEFT JOIN mechanics m ON s0.mechanic_id = m.id),
+f AS (SELECT customer_id, service_id, mechanic_id, min(submission_seq) AS first FROM x WHERE r IS NULL
+      GROUP BY customer_id, service_id, mechanic_id),
+y AS (SELECT x.*, coalesce(x.r, CASE WHEN x.submission_seq <> f.first
+        THEN 'You have already submitted a testimonial for this service/mechanic combination' END) AS reject_reason
+      FROM x LEFT JOIN f ON x.customer_id = f.customer_id AND x.service_id = f.service_id
+        AND x.mechanic_id IS NOT DISTINCT FROM f.mechanic_id)
+SELECT submission_seq, customer_id, service_id, mechanic_id, rating, comment, reject_reason,
+  CASE WHEN reject_reason IS NULL THEN '{AS_OF}' END AS date,
+  CASE WHEN reject_reason IS NULL THEN false END AS approved, CASE WHEN reject_reason IS NULL THEN false END AS featured
+FROM y""")
+def q_apply_testimonials(g):
+    """M7 + P11: reviews of rated jobs; NULL-safe duplicates (stored or earlier in batch) refused."""
+    return M.apply_testimonials(g, SI.testimonial_submissions(g), AS_OF)
+
+
+@register("moderate_testimonials", """
+WITH a AS (
+  SELECT id * 2 AS action_seq, id AS testimonial_id, 'approve' AS action, true AS value FROM testimonials
+  WHERE NOT approved AND rating >= 4
+  UNION ALL SELECT id * 2 + 1, id, 'feature', true FROM testimonials WHERE NOT approved AND rating >= 4
+  UNION ALL SELECT id * 2, id, 'feature', true FROM testimonials WHERE NOT approved AND rating < 4
+  UNION ALL SELECT id * 2, id, 'feature', rating >= 4 FROM testimonials WHERE approved),
+x AS (SELECT a.*, t.id AS tid, t.approved AS a0,
+        last_value(CASE WHEN action = 'approve' THEN value END IGNORE NULLS) OVER (PARTITION BY testimonial_id
+          ORDER BY action_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ab
+      FROM a LEFT JOIN testimonials t ON a.testimonial_id = t.id),
+y AS (SELECT x.*, coalesce(ab, a0) AS before,
+        CASE WHEN tid IS NULL THEN 'Testimonial not found'
+             WHEN action = 'feature' AND value AND NOT coalesce(ab, a0) THEN 'Cannot feature an unapproved testimonial'
+        END AS reject_reason FROM x)
+SELECT action_seq, testimonial_id, action, value, reject_reason,
+  CASE WHEN reject_reason IS NULL THEN CASE WHEN action = 'approve' THEN value ELSE before END END AS approved_after,
+  CASE WHEN reject_reason IS NULL THEN CASE WHEN action = 'approve' THEN false ELSE value END END AS featured_after
+FROM y""")
+def q_moderate_testimonials(g):
+    """M8: approve/feature actions applied in order; featuring needs approval at that moment."""
+    return M.moderate_testimonials(g, SI.moderation_actions(g))
+
+
+@register("partial_update_services", """
+SELECT id, name, description, category,
+  CAST(CASE WHEN featured THEN CAST(round(price * CAST(1.10 AS DECIMAL(3,2)), 2) AS DECIMAL(12,2)) ELSE price END AS DOUBLE)
+    AS price,
+  estimated_time, CASE WHEN stock < 3 THEN false ELSE in_stock END AS in_stock, featured,
+  CASE WHEN stock < 3 THEN 0 ELSE stock END AS stock
+FROM services""")
+def q_partial_update_services(g):
+    """M9: services patched field by field (price rise, stock-out) as a new table version."""
+    return M.partial_update(g.services, SI.service_patches(g))
+
+
+@register("replace_availability", """
+WITH ns AS (SELECT mechanic_id, day_of_week, start_min + 60 AS start_min, end_min + 60 AS end_min FROM mechanic_availability
+            UNION ALL SELECT id, 6, 600, 600 FROM mechanics WHERE experience = 0),
+ok AS (SELECT mechanic_id FROM ns GROUP BY mechanic_id
+       HAVING bool_and(coalesce(day_of_week BETWEEN 0 AND 6 AND start_min IS NOT NULL AND end_min IS NOT NULL
+                                AND start_min < end_min, false)))
+SELECT a.mechanic_id, a.day_of_week, a.start_min, a.end_min, false AS replaced FROM mechanic_availability a
+WHERE a.mechanic_id NOT IN (SELECT mechanic_id FROM ok)
+UNION ALL
+SELECT mechanic_id, day_of_week, start_min, end_min, true FROM ns WHERE mechanic_id IN (SELECT mechanic_id FROM ok)""")
+def q_replace_availability(g):
+    """Weekly availability sets replaced all-or-nothing per mechanic."""
+    return M.replace_child_set(g.mechanic_availability, SI.availability_sets(g), "mechanic_id", M.availability_valid())
+
+
+CASCADE_IDS = """ids AS (SELECT id FROM users WHERE status = 'inactive'),
+gc AS (SELECT id FROM customers WHERE user_id IN (SELECT id FROM ids)),
+gm AS (SELECT id FROM mechanics WHERE user_id IN (SELECT id FROM ids))"""
+
+
+def _inactive_users(g):
+    from pyspark.sql import functions as F
+    return g.users.where(F.col("status") == "inactive").select(F.col("id").alias("user_id"))
+
+
+@register("cascade_delete_users", f"""
+WITH {CASCADE_IDS}
+SELECT b.id, b.customer_id, CASE WHEN b.mechanic_id IN (SELECT id FROM gm) THEN NULL ELSE b.mechanic_id END AS mechanic_id,
+  b.status
+FROM bookings b WHERE b.customer_id NOT IN (SELECT id FROM gc)""")
+def q_cascade_delete_users(g):
+    """Bookings after deleting every inactive user with the reference's cascade."""
+    return M.cascade_delete_users(g, _inactive_users(g)).bookings.select("id", "customer_id", "mechanic_id", "status")
+
+
+@register("cascade_delete_summary", f"""
+WITH {CASCADE_IDS}
+SELECT 'testimonials' AS table_name, count(*) AS row_count FROM testimonials WHERE customer_id NOT IN (SELECT id FROM gc)
+UNION ALL SELECT 'vehicles', count(*) FROM vehicles WHERE customer_id IS NULL OR customer_id NOT IN (SELECT id FROM gc)
+UNION ALL SELECT 'customers', count(*) FROM customers WHERE id NOT IN (SELECT id FROM gc)
+UNION ALL SELECT 'mechanics', count(*) FROM mechanics WHERE id NOT IN (SELECT id FROM gm)
+UNION ALL SELECT 'users', count(*) FROM users WHERE id NOT IN (SELECT id FROM ids)""")
+def q_cascade_delete_summary(g):
+    """Row counts of the other cascaded tables after the delete."""
+    from functools import reduce
+    from pyspark.sql import functions as F
+    after = M.cascade_delete_users(g, _inactive_users(g))
+    parts = [getattr(after, t).agg(F.count("*").alias("row_count")).select(F.lit(t).alias("table_name"), "row_count")
+             for t in ("testimonials", "vehicles", "customers", "mechanics", "users")]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+@register("delete_services", """
+SELECT id, service_id FROM bookings WHERE service_id NOT IN (SELECT id FROM services WHERE NOT in_stock)""")
+def q_delete_services(g):
+    """Bookings after deleting the out-of-stock services (cascade)."""
+    from pyspark.sql import functions as F
+    ids = g.services.where(~F.col("in_stock")).select(F.col("id").alias("service_id"))
+    return M.delete_services(g, ids).bookings.select("id", "service_id")
+
+
+@register("delete_vehicles", """
+SELECT v.id AS vehicle_id,
+  CASE WHEN v.id IN (SELECT vehicle_id FROM bookings) THEN 'Cannot delete vehicle that is used in bookings' END AS reject_reason,
+  v.id NOT IN (SELECT vehicle_id FROM bookings) AS deleted
+FROM vehicles v WHERE v.customer_id IS NULL""")
+def q_delete_vehicles(g):
+    """Deleting the owner-less vehicles, refused while bookings use them."""
+    from pyspark.sql import functions as F
+    ids = g.vehicles.where(F.col("customer_id").isNull()).select(F.col("id").alias("vehicle_id"))
+    return M.delete_vehicles(g, ids)
+
+
+@register("fill_unowned_vehicles", """
+WITH f AS (SELECT c.id FROM customers c JOIN users u ON c.user_id = u.id ORDER BY u.name, c.id LIMIT 1)
+SELECT v.id, coalesce(v.customer_id, (SELECT id FROM f)) AS customer_id, v.make, v.model, v.year, v.license_plate,
+  v.vin, v.color FROM vehicles v""")
+def q_fill_unowned_vehicles(g):
+    """Owner-less vehicles given to the first customer by name."""
+    return M.fill_unowned_vehicles(g)
+
+
+@register("append_field_notes", f"""
+WITH n AS (
+  SELECT mt.id AS note_seq, mt.booking_id, mt.mechanic_id, concat('progress ', CAST(mt.id AS VARCHAR)) AS note,
+    b.booking_date AS date FROM mechanic_tasks mt JOIN bookings b ON mt.booking_id = b.id
+  UNION ALL
+  SELECT {BIG} + {NUM.format(c='b.id')}, b.id, l.lead, 'lead check', b.booking_date
+  FROM bookings b JOIN {LEAD_SQL} l ON b.visit_id = l.visit_id),
+x AS (SELECT n.*, CASE WHEN n.booking_id IS NULL OR n.booking_id = '' OR n.note IS NULL OR n.note = ''
+                         THEN 'Booking ID and note are required'
+                       WHEN b.id IS NULL THEN 'Booking not found or not assigned to you' END AS reject_reason
+      FROM n LEFT JOIN bookings b ON n.booking_id = b.id AND n.mechanic_id = b.mechanic_id),
+nw AS (SELECT booking_id, first(note ORDER BY date DESC, note_seq DESC) AS booking_note_after FROM x
+       WHERE reject_reason IS NULL GROUP BY booking_id)
+SELECT x.note_seq, x.booking_id, x.mechanic_id, x.note, CAST(x.date AS VARCHAR) AS date, x.reject_reason,
+  CASE WHEN x.reject_reason IS NULL THEN 'pending' END AS status, nw.booking_note_after
+FROM x LEFT JOIN nw ON x.booking_id = nw.booking_id""")
+def q_append_field_notes(g):
+    """Field notes accepted only from the assigned mechanic; newest copied to the booking."""
+    return M.append_field_notes(g, SI.field_note_appends(g))
+
+
+@register("provision_users", f"""
+WITH rows AS (
+  SELECT id AS row_seq, email, name, role, 'general' AS specialization, 1 AS experience, CAST(NULL AS VARCHAR) AS address
+  FROM users WHERE role = 'mechanic'
+  UNION ALL
+  SELECT {BIG} + customer_id, concat('thread', CAST(customer_id AS VARCHAR), '@example.com'),
+    concat('Chat Customer ', CAST(customer_id AS VARCHAR)), 'customer', NULL, NULL, 'online'
+  FROM (SELECT DISTINCT customer_id FROM customer_messages)),
+x AS (SELECT rows.*, CASE WHEN lower(email) IN (SELECT lower(email) FROM users) THEN 'Email already in use'
+                          WHEN role = 'mechanic' AND (specialization IS NULL OR specialization = '' OR experience IS NULL)
+                            THEN 'Specialization and experience are required for mechanics' END AS r FROM rows),
+f AS (SELECT lower(email) AS e, min(row_seq) AS first FROM x WHERE r IS NULL GROUP BY 1),
+y AS (SELECT x.*, coalesce(x.r, CASE WHEN x.row_seq <> f.first THEN 'Email already in use' END) AS reject_reason
+      FROM x LEFT JOIN f ON lower(x.email) = f.e)
+SELECT row_seq, email, name, role, specialization, experience, address, reject_reason,
+  CASE WHEN reject_reason IS NULL THEN (SELECT max(id) FROM users)
+       + row_number() OVER (PARTITION BY reject_reason IS NULL ORDER BY row_seq) END AS user_id,
+  CASE WHEN reject_reason IS NULL THEN {INITIALS_SQL} END AS initials
+FROM y""")
+def q_provision_users(g):
+    """M16 + E1: account rows provisioned unless the e-mail is taken; new ids after the largest."""
+    return M.provision_users(g, SI.user_rows(g))
+
+
+@register("backfill_renamed_columns", "SELECT id, CAST(booking_date AS VARCHAR) AS booking_date FROM bookings")
+def q_backfill_renamed_columns(g):
+    """Legacy ``date`` values copied into ``booking_date`` where missing, old column dropped."""
+    return M.backfill_renamed_columns(SI.legacy_bookings(g), {"date": "booking_date"}).select("id", "booking_date")
+
+
+# ---------------------------------------------------------------- sinks and stream (S, X)
+from wrenchflow.sources import sinks as S  # noqa: E402
+from wrenchflow.streaming import activity as X  # noqa: E402
+
+
+def _run_dir(g, name):
+    from wrenchflow.session import scratch_path
+    return scratch_path(g.bookings.sparkSession, f"runs/{name}/{_uuid.uuid4().hex}")
+
+
+@register("refresh_stats_table", REGISTRY["dashboard_stats"].sql)
+def q_refresh_stats_table(g):
+    """S3: dashboard stats recomputed into a table and read back."""
+    return S.refresh_stats_table(A.dashboard_stats(g, AS_OF), _run_dir(g, "dashboard_stats"))
+
+
+@register("append_report")
+def q_append_report(g):
+    """The generated monthly report appended to the reports table and read back (no SQL oracle: writes)."""
+    return S.append_report(A.generate_report(g, "monthly", "2000-06-15"), _run_dir(g, "reports"))
+
+
+@register("append_audit_log")
+def q_append_audit_log(g):
+    """Audit rows of accepted cancellations appended and read back (no SQL oracle: writes)."""
+    from pyspark.sql import functions as F
+    c = M.apply_cancellations(g, SI.cancellation_requests(g, SINCE)).where(F.col("reject_reason").isNull())
+    audit = c.select(F.col("user_id"), F.col("audit_action").alias("action"), F.col("audit_table").alias("table_name"),
+                     F.col("booking_id").alias("record_id"), "old_values", "new_values")
+    return S.append_audit_log(audit, _run_dir(g, "audit_logs"))
+
+
+@register("activity_log_stream", """
+SELECT user_id, action, detail, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at
+FROM activity_log WHERE ok AND user_id IS NOT NULL""")
+def q_activity_log_stream(g):
+    """X1 + S5: successful actions of known users through a Structured Streaming append (availableNow)."""
+    return X.run_activity_feed(g.activity_log, _run_dir(g, "activity_feed"))
