@@ -426,14 +426,14 @@ def partial_update(old: DataFrame, patches: DataFrame, key: str = "id", seq: str
     """M9: only supplied columns change; presence (``fields`` array) differs from NULL.
 
     Several patches of one row apply in ``seq`` order: per column the last
-    patch that supplies it wins (``max_by``, a partial aggregate).
+    patch that supplies it wins (``max`` of (seq, value), a partial aggregate).
     """
     cols = [c for c in old.columns if c != key and c in patches.columns]
     aggs = []
     for c in cols:
         supplied = F.array_contains(F.col(fields), c)
-        aggs.append(F.max_by(F.when(supplied, F.struct(F.col(c).alias("v"))), F.when(supplied, F.col(seq)))
-                    .alias(f"_p_{c}"))
+        # max of (seq, value) over the patches that supply c: the last one wins, NULL when none does
+        aggs.append(F.max(F.when(supplied, F.struct(F.col(seq).alias("s"), F.col(c).alias("v")))).alias(f"_p_{c}"))
     per_key = patches.groupBy(F.col(key).alias("_pk")).agg(*aggs)
     j = old.join(per_key, F.col(key) == F.col("_pk"))
     changed = j.select(*[F.when(F.col(f"_p_{c}").isNotNull(), F.col(f"_p_{c}.v")).otherwise(F.col(c)).alias(c)

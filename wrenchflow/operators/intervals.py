@@ -8,7 +8,8 @@ number of intervals of its key overlapping it is
 
     #{intervals with start < pe}  -  #{intervals with end <= ps}
 
-(valid for every interval with start <= end).  Both terms are running sums
+(valid for every interval with start <= end; a zero-length interval lying
+exactly on a zero-length probe is added back).  Both terms are running sums
 over *pre-aggregated* histograms: intervals are first counted per
 (key, start) and per (key, end) with a map-side partial aggregate, then one
 window per key runs over the distinct time values (at most one row per
@@ -68,8 +69,15 @@ def overlap_counts(probes: DataFrame, intervals: DataFrame, keys: list[str], pro
                             F.col(probe_end) == F.col("_pe")], "left")
     j = j.join(e_cum, [*[F.col(k) == F.col(a + "e") for k, a in zip(keys, kk)],
                        F.col(probe_start) == F.col("_ps")], "left")
-    return (j.withColumn(out, F.coalesce(F.col("_s"), F.lit(0)) - F.coalesce(F.col("_e"), F.lit(0)))
-            .drop("_pe", "_ps", "_s", "_e", *[a + "s" for a in kk], *[a + "e" for a in kk]))
+    # the difference over-subtracts a zero-length interval sitting exactly on a zero-length probe
+    zl = (iv.where(F.col(iv_start) == F.col(iv_end)).groupBy(*[F.col(k).alias(a + "z") for k, a in zip(keys, kk)],
+                                                             F.col(iv_start).alias("_zt"))
+          .agg(F.count("*").alias("_z")))
+    j = j.join(zl, [*[F.col(k) == F.col(a + "z") for k, a in zip(keys, kk)], F.col(probe_start) == F.col("_zt"),
+                    F.col(probe_start) == F.col(probe_end)], "left")
+    return (j.withColumn(out, F.coalesce(F.col("_s"), F.lit(0)) - F.coalesce(F.col("_e"), F.lit(0))
+                         + F.coalesce(F.col("_z"), F.lit(0)))
+            .drop("_pe", "_ps", "_s", "_e", "_zt", "_z", *[a + x for a in kk for x in "sez"]))
 
 
 def booking_intervals(g: Garage, bookings: DataFrame | None = None, live_only: bool = True,
