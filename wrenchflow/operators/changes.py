@@ -375,11 +375,15 @@ def segmented_last(df: DataFrame, key: str, order: str, value: str, out: str, pa
     (key, order); a window over (partition, key) gives the in-partition
     running value; each (partition, key)'s final value is a carry, and a
     window over the small carry table (one row per partition and key)
-    supplies the value coming from earlier partitions.
+    supplies the value coming from earlier partitions.  The partitioned rows
+    are checkpointed (shared checkpoint folder) so the partition ids the
+    two branches read are the same.
     """
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    r = df.repartitionByRange(n, key, order).withColumn("_p", F.spark_partition_id())
+    checkpoint_dir(spark)
+    # range bounds come from sampling: checkpoint once so both branches see the same partition ids
+    r = df.repartitionByRange(n, key, order).withColumn("_p", F.spark_partition_id()).checkpoint()
     w_in = (Window.partitionBy("_p", key).orderBy(order)
             .rowsBetween(Window.unboundedPreceding, -1))
     r = r.withColumn("_local", F.last(value, ignorenulls=True).over(w_in))

@@ -31,53 +31,48 @@ from wrenchflow.session import checkpoint_dir
 from wrenchflow.sources.tables import Garage
 
 
-def _running(points: DataFrame, keys: list[str]) -> DataFrame:
-    """Running sum of ``w`` per key ordered by (t, rank); rows (keys, t, rank, cum)."""
-    w = Window.partitionBy(*keys).orderBy("t", "rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return points.withColumn("cum", F.sum("w").over(w))
-
-
 def overlap_counts(probes: DataFrame, intervals: DataFrame, keys: list[str], probe_start: str = "start_min",
                    probe_end: str = "end_min", iv_start: str = "start_min", iv_end: str = "end_min",
                    out: str = "n_overlap") -> DataFrame:
     """Add ``out`` = number of ``intervals`` of the same key overlapping each probe.
 
     Overlap is ``iv_start < probe_end AND iv_end > probe_start`` (the
-    reference's conflict predicate).  See the module docstring for the
-    scalability argument.
+    reference's conflict predicate).  Intervals and probes are each scanned
+    once and exploded into time events; one pre-aggregation gives, per
+    (key, t), the starts, ends and zero-length intervals at t (probe times
+    contribute zeros so every looked-up t exists); one running-sum window
+    per key turns that into #{start < t} and #{end <= t}; both look-ups
+    join the same table, so its shuffle is reused.  See the module
+    docstring for the scalability argument.
     """
     iv = intervals.where(F.col(iv_start).isNotNull() & F.col(iv_end).isNotNull()
                          & (F.col(iv_end) >= F.col(iv_start)))
     kk = [f"_k{i}" for i in range(len(keys))]
     ren = [F.col(k).alias(a) for k, a in zip(keys, kk)]
-    starts = iv.groupBy(*ren, F.col(iv_start).alias("t")).agg(F.count("*").alias("w"))
-    ends = iv.groupBy(*ren, F.col(iv_end).alias("t")).agg(F.count("*").alias("w"))
-    pe = probes.select(*ren, F.col(probe_end).alias("t")).distinct()
-    ps = probes.select(*ren, F.col(probe_start).alias("t")).distinct()
-    zero = F.lit(0).cast("long")
-    # count of starts strictly before t: query rows sort before starts at the same t
-    s_cum = (_running(starts.withColumn("rank", F.lit(1))
-                      .unionByName(pe.withColumn("w", zero).withColumn("rank", F.lit(0))), kk)
-             .where(F.col("rank") == 0).select(*[F.col(a).alias(a + "s") for a in kk],
-                                               F.col("t").alias("_pe"), F.col("cum").alias("_s")))
-    # count of ends at or before t: query rows sort after ends at the same t
-    e_cum = (_running(ends.withColumn("rank", F.lit(0))
-                      .unionByName(ps.withColumn("w", zero).withColumn("rank", F.lit(1))), kk)
-             .where(F.col("rank") == 1).select(*[F.col(a).alias(a + "e") for a in kk],
-                                               F.col("t").alias("_ps"), F.col("cum").alias("_e")))
-    j = probes.join(s_cum, [*[F.col(k) == F.col(a + "s") for k, a in zip(keys, kk)],
-                            F.col(probe_end) == F.col("_pe")], "left")
-    j = j.join(e_cum, [*[F.col(k) == F.col(a + "e") for k, a in zip(keys, kk)],
-                       F.col(probe_start) == F.col("_ps")], "left")
+    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
+    is_zero = F.when(F.col(iv_start) == F.col(iv_end), one).otherwise(zero)
+    iv_events = iv.select(*ren, F.explode(F.array(
+        F.struct(F.col(iv_start).alias("t"), one.alias("ws"), zero.alias("we"), is_zero.alias("wz")),
+        F.struct(F.col(iv_end).alias("t"), zero.alias("ws"), one.alias("we"), zero.alias("wz")))).alias("_ev"))
+    probe_events = probes.select(*ren, F.explode(F.array(
+        F.struct(F.col(probe_start).alias("t"), zero.alias("ws"), zero.alias("we"), zero.alias("wz")),
+        F.struct(F.col(probe_end).alias("t"), zero.alias("ws"), zero.alias("we"), zero.alias("wz")))).alias("_ev"))
+    events = iv_events.unionByName(probe_events).select(*kk, "_ev.*")
+    hist = events.groupBy(*kk, "t").agg(F.sum("ws").alias("ws"), F.sum("we").alias("we"), F.sum("wz").alias("wz"))
+    w = Window.partitionBy(*kk).orderBy("t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cum = hist.select(*kk, "t", (F.sum("ws").over(w) - F.col("ws")).alias("s_lt"),
+                      F.sum("we").over(w).alias("e_le"), F.col("wz").alias("z_at"))
+    a, b = cum.alias("_a"), cum.alias("_b")
+    j = (probes.alias("_p")
+         .join(a, [*[F.col(f"_p.{k}") == F.col(f"_a.{x}") for k, x in zip(keys, kk)],
+                   F.col(f"_p.{probe_end}") == F.col("_a.t")], "left")
+         .join(b, [*[F.col(f"_p.{k}") == F.col(f"_b.{x}") for k, x in zip(keys, kk)],
+                   F.col(f"_p.{probe_start}") == F.col("_b.t")], "left"))
     # the difference over-subtracts a zero-length interval sitting exactly on a zero-length probe
-    zl = (iv.where(F.col(iv_start) == F.col(iv_end)).groupBy(*[F.col(k).alias(a + "z") for k, a in zip(keys, kk)],
-                                                             F.col(iv_start).alias("_zt"))
-          .agg(F.count("*").alias("_z")))
-    j = j.join(zl, [*[F.col(k) == F.col(a + "z") for k, a in zip(keys, kk)], F.col(probe_start) == F.col("_zt"),
-                    F.col(probe_start) == F.col(probe_end)], "left")
-    return (j.withColumn(out, F.coalesce(F.col("_s"), F.lit(0)) - F.coalesce(F.col("_e"), F.lit(0))
-                         + F.coalesce(F.col("_z"), F.lit(0)))
-            .drop("_pe", "_ps", "_s", "_e", "_zt", "_z", *[a + x for a in kk for x in "sez"]))
+    z = F.when(F.col(f"_p.{probe_start}") == F.col(f"_p.{probe_end}"), F.coalesce(F.col("_b.z_at"), F.lit(0)))
+    n = (F.coalesce(F.col("_a.s_lt"), F.lit(0)) - F.coalesce(F.col("_b.e_le"), F.lit(0))
+         + F.coalesce(z, F.lit(0)))
+    return j.select("_p.*", n.alias(out))
 
 
 def booking_intervals(g: Garage, bookings: DataFrame | None = None, live_only: bool = True,
