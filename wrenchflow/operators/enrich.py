@@ -354,3 +354,23 @@ def referential_check(child: DataFrame, fk: str, parent: DataFrame, parent_key:
     return (child.join(keys, F.col(fk) == F.col("_pk"), "left")
             .withColumn(flag, F.coalesce(F.col("_hit"), F.lit(False)))
             .drop("_pk", "_hit"))
+
+
+def mechanic_daily_tasks(g: Garage, date: Date | None = None) -> DataFrame:
+    """J6 daily form + E14: assigned bookings (of one date, or all) with task columns
+    and the booking's field notes joined as ``'a, b, c'`` (sorted; the reference's
+    ``string_agg`` order is unspecified).
+
+    Notes are nested with ``nest_children`` (bounded parts): a booking with
+    more notes than one part holds appears once per part.
+    """
+    from wrenchflow.operators.nested import nest_children
+    day = None if date is None else date
+    base = mechanic_tasks_outer(g)
+    if day is not None:
+        base = base.where(F.col("booking_date") == _d(day))
+    notes = nest_children(g.field_notes, "booking_id", ["note", "id"], "_notes")
+    txt = notes.select(F.col("booking_id").alias("_nb"), "part",
+                       F.array_join(F.transform("_notes", lambda n: n["note"]), ", ").alias("field_notes"))
+    return (base.join(txt, F.col("id") == F.col("_nb"), "left").drop("_nb")
+            .withColumn("part", F.coalesce(F.col("part"), F.lit(0))))

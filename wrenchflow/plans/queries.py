@@ -1524,3 +1524,74 @@ FROM activity_log WHERE ok AND user_id IS NOT NULL""")
 def q_activity_log_stream(g):
     """X1 + S5: successful actions of known users through a Structured Streaming append (availableNow)."""
     return X.run_activity_feed(g.activity_log, _run_dir(g, "activity_feed"))
+
+
+# ---------------------------------------------------------------- remaining section-2 items
+@register("bookings_last_30_days", f"""
+SELECT id, CAST(booking_date AS VARCHAR) AS booking_date, status FROM bookings
+WHERE booking_date >= DATE '{AS_OF}' - INTERVAL 30 DAY""")
+def q_bookings_last_30_days(g):
+    """Bookings from 30 days before AS_OF on, no upper bound."""
+    from wrenchflow.functions.predicates import last_n_days
+    return g.bookings.where(last_n_days("booking_date", 30, AS_OF)).select("id", "booking_date", "status")
+
+
+@register("bookings_year_to_date", f"""
+SELECT id, CAST(booking_date AS VARCHAR) AS booking_date, status FROM bookings
+WHERE booking_date >= date_trunc('year', DATE '{AS_OF}')""")
+def q_bookings_year_to_date(g):
+    """Bookings from the start of AS_OF's year."""
+    from wrenchflow.functions.predicates import period_to_date
+    return g.bookings.where(period_to_date("booking_date", "year", AS_OF)).select("id", "booking_date", "status")
+
+
+@register("payments_between", f"""
+SELECT id, {TS.format(c='payment_date')} AS payment_date, payment_status FROM payments
+WHERE payment_date >= DATE '2000-01-01' AND payment_date < DATE '2000-01-31' + INTERVAL 1 DAY""")
+def q_payments_between(g):
+    """P10 + T13: payments whose timestamp falls on 2000-01-01 .. 2000-01-31, whole last day included."""
+    from wrenchflow.functions.predicates import between_dates
+    return g.payments.where(between_dates("payment_date", "2000-01-01", "2000-01-31")).select(
+        "id", "payment_date", "payment_status")
+
+
+@register("live_bookings", "SELECT id, status FROM bookings WHERE status NOT IN ('cancelled', 'completed')")
+def q_live_bookings(g):
+    """Bookings neither cancelled nor completed."""
+    from wrenchflow.functions.predicates import exclude_status
+    return g.bookings.where(exclude_status("cancelled", "completed")).select("id", "status")
+
+
+@register("mechanic_daily_tasks", OUTER_SQL.replace(
+    "b.notes AS customer_notes",
+    "b.notes AS customer_notes, 0 AS part, (SELECT string_agg(x.note, ', ' ORDER BY x.note, x.id) "
+    "FROM field_notes x WHERE x.booking_id = b.id) AS field_notes"))
+def q_mechanic_daily_tasks(g):
+    """J6 daily form + E14: assigned work with task columns and the notes of each booking as text."""
+    return J.mechanic_daily_tasks(g)
+
+
+@register("load_tables_roundtrip", """
+SELECT id, visit_id, customer_id, service_id, mechanic_id, vehicle_id, CAST(booking_date AS VARCHAR) AS booking_date,
+  start_min, status, CAST(total_price AS DOUBLE) AS total_price FROM bookings""")
+def q_load_tables_roundtrip(g):
+    """Every table written as Parquet (bookings partitioned by month) and read back with fixed schemas."""
+    from wrenchflow.sources.tables import load_tables, write_tables
+    path = _run_dir(g, "tables")
+    write_tables(g, path)
+    b = load_tables(g.bookings.sparkSession, path).bookings
+    return b.select("id", "visit_id", "customer_id", "service_id", "mechanic_id", "vehicle_id", "booking_date",
+                    "start_min", "status", "total_price")
+
+
+@register("testimonial_reject_classes", "SELECT reject_reason, count(*) AS row_count, CASE "
+          "WHEN reject_reason IS NULL THEN NULL WHEN regexp_matches(reject_reason, 'already|duplicate') THEN 'unique_violation' "
+          "WHEN regexp_matches(reject_reason, 'not found|missing') THEN 'foreign_key_violation' "
+          "WHEN regexp_matches(reject_reason, 'required|kosong') THEN 'not_null_violation' ELSE 'validation_error' END "
+          "AS error_class FROM (" + REGISTRY["apply_testimonials"].sql + ") GROUP BY reject_reason")
+def q_testimonial_reject_classes(g):
+    """Reject reasons of the review batch with their error class."""
+    from pyspark.sql import functions as F
+    out = M.apply_testimonials(g, SI.testimonial_submissions(g), AS_OF)
+    return (out.groupBy("reject_reason").agg(F.count("*").alias("row_count"))
+            .withColumn("error_class", Q.error_class(F.col("reject_reason"))))
