@@ -47,7 +47,7 @@ def q_bookings_enriched(g):
 SELECT status, count(*) AS count FROM bookings
 WHERE booking_date >= DATE '{AS_OF}' - INTERVAL 30 DAY GROUP BY status""")
 def q_bookings_by_status(g):
-    """Bookings of the last 30 days per status, workflow order."""
+    """A7 + L4: bookings of the last 30 days per status, in workflow (CASE) order."""
     return A.bookings_by_status(g, AS_OF)
 
 
@@ -373,7 +373,7 @@ def q_bookings_by_month(g):
 SELECT s.name, count(b.id) AS value FROM services s LEFT JOIN bookings b ON s.id = b.service_id
 GROUP BY s.name ORDER BY value DESC, s.name LIMIT 5""")
 def q_service_stats(g):
-    """A5: top five service names by bookings."""
+    """A5 + L2: top five service names by bookings (ORDER BY ... LIMIT with tie-breaker)."""
     return A.service_stats(g, 5)
 
 
@@ -495,7 +495,7 @@ FROM bookings b JOIN {CUST} ON b.customer_id = c.id JOIN services s ON b.service
 JOIN vehicles v ON b.vehicle_id = v.id
 LEFT JOIN {MECH} ON b.mechanic_id = m.id WHERE b.{IN_R}""")
 def q_booking_report_detail(g):
-    """Booking report rows of the report range."""
+    """A16 + E10: booking report rows of the report range ('-' for no mechanic)."""
     return A.booking_report_detail(g, R_START, R_END)
 
 
@@ -529,7 +529,7 @@ tm AS (SELECT mu.name AS top_mechanic FROM b JOIN {MECH} ON b.mechanic_id = m.id
 SELECT 'monthly' AS report_type, '2000-06-15' AS report_date, '{M_START}' AS start_date, '{M_END}' AS end_date,
   t.*, (SELECT top_service FROM ts) AS top_service, (SELECT top_mechanic FROM tm) AS top_mechanic FROM t""")
 def q_generate_report(g):
-    """Monthly report for 2000-06-15."""
+    """A19 + E7: monthly report for 2000-06-15 (range derived from the report type)."""
     return A.generate_report(g, "monthly", "2000-06-15")
 
 
@@ -540,7 +540,7 @@ SELECT count(*) FILTER (WHERE {IN_R.replace(R_START, I_START).replace(R_END, I_E
        ELSE 0 END AS BIGINT) AS growth_rate
 FROM bookings""")
 def q_period_growth(g):
-    """Bookings of the last quarter vs the one before, growth %."""
+    """A20 + E8: bookings of the last quarter vs the one before, growth %."""
     return A.period_growth(g, "quarter", AS_OF)
 
 
@@ -648,7 +648,7 @@ FROM mechanics m LEFT JOIN (
     count(*) FILTER (WHERE b.booking_date BETWEEN DATE '2001-07-15' AND DATE '2001-07-21') AS total_week
   FROM mechanic_tasks t JOIN bookings b ON t.booking_id = b.id GROUP BY t.mechanic_id) x ON m.id = x.mechanic_id""")
 def q_mechanic_day_week_stats(g):
-    """Per mechanic today's and this week's task counts."""
+    """A29 + E9: per mechanic today's and this (Sunday-Saturday) week's task counts."""
     return A.mechanic_day_week_stats(g, AS_OF)
 
 
@@ -742,7 +742,7 @@ FROM iv a JOIN iv o ON a.mechanic_id = o.mechanic_id AND a.booking_date = o.book
   AND o.start_min < a.end_min AND o.end_min > a.start_min
 GROUP BY a.id, a.mechanic_id, a.booking_date, a.start_min, a.end_min""")
 def q_schedule_conflicts(g):
-    """Per live assigned booking, overlapping bookings of the same mechanic and day."""
+    """J12 + E6: per live assigned booking (end = start + estimate, default 60), overlapping bookings of the same mechanic and day."""
     return IV.schedule_conflicts(g)
 
 
@@ -901,7 +901,7 @@ FROM payments p JOIN bookings b ON p.booking_id = b.id JOIN services s ON b.serv
 JOIN {CUST} ON b.customer_id = c.id JOIN vehicles v ON b.vehicle_id = v.id
 LEFT JOIN {MECH} ON b.mechanic_id = m.id WHERE p.payment_status <> 'pending'""")
 def q_payment_document(g):
-    """Settled payments as invoices."""
+    """Settled payments as invoices (E2 number, E3 amounts, E4 labels, E5 items)."""
     d = N.payment_document(g)
     return d.select("id", "booking_id", "invoice_number", "customer_name", "vehicle_plate",
                     _F.col("service_items")[0]["item_id"].alias("item_id"),
@@ -946,7 +946,7 @@ SVC_COLS = ("id, name, description, category, CAST(price AS DOUBLE) AS price, es
 
 @register("search_services", f"SELECT {SVC_COLS} FROM services WHERE name ILIKE '%steel%' OR description ILIKE '%steel%'")
 def q_search_services(g):
-    """Services whose name or description contains 'steel'."""
+    """P3 + E11: services whose name or description contains 'steel', with in_stock = stock > 0."""
     return L.search_services(g, term="steel")
 
 
@@ -1174,7 +1174,7 @@ SELECT request_seq, cust AS customer_id, service_id, vehicle_id, CAST(booking_da
   CASE WHEN reject_reason IS NULL AND payment_method IS NOT NULL THEN 'pending' END AS payment_status
 FROM chk""")
 def q_apply_new_bookings(g):
-    """M1 + M14: follow-up booking requests checked, numbered B-<n>, with pending payments."""
+    """M1 + M14 + E12: follow-up booking requests checked (JS-falsy fields, boolean coercion), numbered B-<n>, with pending payments."""
     return M.apply_new_bookings(g, SI.new_booking_requests(g))
 
 
