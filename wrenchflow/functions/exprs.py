@@ -46,13 +46,7 @@ def coerce_bool(c: str | Column) -> Column:
 
 def coerce_number(c: str | Column, default=0) -> Column:
     """``Number(x)`` with missing or unparsable -> default."""
-    return F.coalesce(F.expr("try_cast({} AS DOUBLE)".format(_sql(c))), F.lit(default).cast("double"))
-
-
-def _sql(c: str | Column) -> str:
-    if isinstance(c, str):
-        return f"`{c}`"
-    raise TypeError("coerce_number takes a column name")
+    return F.coalesce(_c(c).cast("string").try_cast("double"), F.lit(default).cast("double"))
 
 
 def safe_ratio(num: Column, den: Column) -> Column:

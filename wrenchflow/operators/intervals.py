@@ -201,30 +201,19 @@ def assign_mechanics(g: Garage, requests: DataFrame, max_rounds: int = 64) -> Da
     x = (r.join(b, F.col("booking_id") == F.col("_bid"), "left")
          .join(mech, F.col("mechanic_id") == F.col("_mid"), "left")
          .join(cur, F.col("booking_id") == F.col("_cb"), "left"))
-    avail = within_availability(g, x.where(F.col("_bid").isNotNull() & F.col("_m_ok"))
-                                .select(F.col("booking_id").alias("id"), "mechanic_id", "booking_date",
-                                        "start_min", "end_min", "request_seq"),
-                                row_key=("id", "mechanic_id", "request_seq"))
-    x = x.join(avail.select(F.col("id").alias("_aid"), F.col("mechanic_id").alias("_amid"),
-                            F.col("request_seq").alias("_aseq"), "within_availability"),
-               (F.col("booking_id") == F.col("_aid")) & (F.col("mechanic_id") == F.col("_amid"))
-               & (F.col("request_seq") == F.col("_aseq")), "left")
-    live = booking_intervals(g)
-    counted = overlap_counts(x.where(F.col("_bid").isNotNull()), live, ["mechanic_id", "booking_date"])
+    # both checks keep the request columns, so they chain without joining back
+    x = within_availability(g, x, row_key=("booking_id", "mechanic_id", "request_seq"))
+    x = overlap_counts(x, booking_intervals(g), ["mechanic_id", "booking_date"])
     self_hit = ((F.col("_cur_mech") == F.col("mechanic_id")) & (F.col("_cur_status") != "cancelled")).cast("int")
-    counted = counted.withColumn("_others", F.col("n_overlap") - F.coalesce(self_hit, F.lit(0)))
-    x = x.join(counted.select(F.col("booking_id").alias("_ob"), F.col("mechanic_id").alias("_om"),
-                              F.col("request_seq").alias("_os"), "_others"),
-               (F.col("booking_id") == F.col("_ob")) & (F.col("mechanic_id") == F.col("_om"))
-               & (F.col("request_seq") == F.col("_os")), "left")
+    others = F.col("n_overlap") - F.coalesce(self_hit, F.lit(0))
     reason = (F.when(F.col("_bid").isNull(), "booking not found")
               .when(F.col("_m_ok").isNull(), "mechanic not found")
               .when(~F.coalesce(F.col("within_availability"), F.lit(False)), "outside availability")
-              .when(F.col("_others") > 0, "schedule conflict"))
+              .when(others > 0, "schedule conflict"))
+    checkpoint_dir(x.sparkSession)
     checked = x.select("booking_id", "mechanic_id", "request_seq", "booking_date", "start_min", "end_min",
-                       reason.alias("reject_reason"))
-    ckpt = checkpoint_dir(checked.sparkSession)  # noqa: F841  (ensures a shared checkpoint folder is set)
-    pending = checked.where(F.col("reject_reason").isNull()).checkpoint()
+                       reason.alias("reject_reason")).checkpoint()
+    pending = checked.where(F.col("reject_reason").isNull())
     decided = [checked.where(F.col("reject_reason").isNotNull())]
     keys = ["mechanic_id", "booking_date"]
     for _ in range(max_rounds):
