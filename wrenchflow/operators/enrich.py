@@ -373,4 +373,5 @@ def mechanic_daily_tasks(g: Garage, date: Date | None = None) -> DataFrame:
     txt = notes.select(F.col("booking_id").alias("_nb"), "part",
                        F.array_join(F.transform("_notes", lambda n: n["note"]), ", ").alias("field_notes"))
     return (base.join(txt, F.col("id") == F.col("_nb"), "left").drop("_nb")
-            .withColumn("part", F.coalesce(F.col("part"), F.lit(0))))
+            .withColumn("part", F.coalesce(F.col("part"), F.lit(0)))
+            .withColumn("field_notes", F.coalesce(F.col("field_notes"), F.lit(""))))

@@ -149,3 +149,20 @@ def uniqueness_check(incoming: DataFrame, stored: DataFrame, key: str, id_col: s
     return (j.withColumn("taken_by_other", F.coalesce(other, F.lit(False)))
             .withColumn("duplicate_in_batch", F.coalesce(F.col("_bn") > 1, F.lit(False)))
             .drop("_k", "_n", "_lo", "_hi", "_bk", "_bn"))
+
+
+def bookings_page(g: Garage, order: list[Column], page: int = 1, size: int = 10) -> DataFrame:
+    """L1 + L3 over J1, cut before enriching.
+
+    Rows J1's inner joins would drop (no service, customer/user or vehicle)
+    are removed with key-only semi joins; the page is then taken on the
+    narrow booking rows (bounded top-(offset+size)), and only those rows are
+    enriched -- the wide joins see ``size`` rows instead of the whole table.
+    ``order`` may only use booking columns.
+    """
+    from wrenchflow.operators.enrich import customer_names
+    b = (g.bookings
+         .join(g.services.select(F.col("id").alias("_s")), F.col("service_id") == F.col("_s"), "left_semi")
+         .join(customer_names(g).select(F.col("id").alias("_c")), F.col("customer_id") == F.col("_c"), "left_semi")
+         .join(g.vehicles.select(F.col("id").alias("_v")), F.col("vehicle_id") == F.col("_v"), "left_semi"))
+    return bookings_enriched(g, paginate(b, order, page, size))

@@ -73,16 +73,18 @@ def garage_for(spark: SparkSession, sf_dir: str) -> Garage:
     """
     key = (id(spark), sf_dir)
     if key not in _GARAGES:
-        _GARAGES[key] = materialise(bind(spark, sf_dir), scratch_path(spark, f"garage/{uuid.uuid4().hex}"))
+        path = scratch_path(spark, f"garage/{uuid.uuid4().hex}")
+        _GARAGES[key] = materialise(bind(spark, sf_dir, jobs_path=f"{path}/_jobs"), path)
     return _GARAGES[key]
 
 
-def materialise(g: Garage, path: str, booking_files: int = 8) -> Garage:
+def materialise(g: Garage, path: str, booking_files: int | None = None) -> Garage:
     """Write every table of ``g`` under ``path`` and return the tables read back."""
     out = {}
     for name, df in g.as_dict().items():
         if name == "bookings":
-            df = df.repartitionByRange(booking_files, "booking_date").sortWithinPartitions("booking_date", "id")
+            n = booking_files or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            df = df.repartitionByRange(n, "booking_date").sortWithinPartitions("booking_date", "id")
         df.write.mode("overwrite").parquet(f"{path}/{name}")
         out[name] = df.sparkSession.read.parquet(f"{path}/{name}")
     return Garage(**out)

@@ -809,7 +809,7 @@ def _render(arr, *fields, sep=";"):
 
 def _agg_sql(table, fields, where, order):
     cols = ", ".join(f"CAST({f} AS VARCHAR)" for f in fields)
-    return f"(SELECT string_agg(concat_ws(':', {cols}), ';' ORDER BY {order}) FROM {table} x WHERE {where})"
+    return f"coalesce((SELECT string_agg(concat_ws(':', {cols}), ';' ORDER BY {order}) FROM {table} x WHERE {where}), '')"
 
 
 @register("booking_document", f"""
@@ -1029,7 +1029,7 @@ def q_bookings_page(g):
     """L1 + L3: third page of 25 of the newest-first enriched listing."""
     from pyspark.sql import functions as F
     order = [F.col("booking_date").desc_nulls_first(), F.col("start_min").desc_nulls_first(), F.col("id").asc()]
-    return L.paginate(J.bookings_enriched(g), order, page=3, size=25)
+    return L.bookings_page(g, order, page=3, size=25)
 
 
 @register("service_categories", "SELECT DISTINCT category FROM services WHERE category IS NOT NULL")
@@ -1564,8 +1564,8 @@ def q_live_bookings(g):
 
 @register("mechanic_daily_tasks", OUTER_SQL.replace(
     "b.notes AS customer_notes",
-    "b.notes AS customer_notes, 0 AS part, (SELECT string_agg(x.note, ', ' ORDER BY x.note, x.id) "
-    "FROM field_notes x WHERE x.booking_id = b.id) AS field_notes"))
+    "b.notes AS customer_notes, 0 AS part, coalesce((SELECT string_agg(x.note, ', ' ORDER BY x.note, x.id) "
+    "FROM field_notes x WHERE x.booking_id = b.id), '') AS field_notes"))
 def q_mechanic_daily_tasks(g):
     """J6 daily form + E14: assigned work with task columns and the notes of each booking as text."""
     return J.mechanic_daily_tasks(g)

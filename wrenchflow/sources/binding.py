@@ -27,9 +27,23 @@ AS_OF = "2001-07-15"
 AS_OF_EVENTS = "2024-01-30"
 
 
+class _LazyTables(dict):
+    """Driver tables opened on first use (each open lists files and reads a footer)."""
+
+    def __init__(self, spark: SparkSession, base: str):
+        super().__init__()
+        self._spark, self._base = spark, base
+
+    def __missing__(self, name: str) -> DataFrame:
+        if name not in DRIVER_TABLES:
+            raise KeyError(name)
+        df = self._spark.read.parquet(f"{self._base}/{name}.parquet")
+        self[name] = df
+        return df
+
+
 def driver_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    base = sf_dir.rstrip("/")
-    return {n: spark.read.parquet(f"{base}/{n}.parquet") for n in DRIVER_TABLES}
+    return _LazyTables(spark, sf_dir.rstrip("/"))
 
 
 def _job_status() -> F.Column:
@@ -62,10 +76,18 @@ def _vehicle_id() -> F.Column:
     return F.col("o_custkey") * 10 + F.substring("o_orderpriority", 1, 1).cast("int")
 
 
-def bind(spark: SparkSession, sf_dir: str) -> Garage:
-    """Build every shop table (lazily) from the driver tables in ``sf_dir``."""
+def bind(spark: SparkSession, sf_dir: str, jobs_path: str | None = None) -> Garage:
+    """Build every shop table (lazily) from the driver tables in ``sf_dir``.
+
+    With ``jobs_path`` the numbered job rows (four tables derive from them)
+    are written there once and read back, instead of being re-derived by
+    each table that uses them.
+    """
     t = driver_tables(spark, sf_dir)
     jobs = _jobs(t)
+    if jobs_path:
+        jobs.write.mode("overwrite").parquet(jobs_path)
+        jobs = spark.read.parquet(jobs_path)
     done = F.col("status") == "completed"
 
     bookings = jobs.select(
