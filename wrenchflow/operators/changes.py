@@ -108,13 +108,12 @@ def number_rows(df: DataFrame, order: list[str], start: Column | int = 0, out: s
 
 def assign_booking_ids(new: DataFrame, existing: DataFrame, order: list[str]) -> DataFrame:
     """``B-<n>`` keys continuing after the largest existing number."""
-    # one-row global aggregate: exactly one row, safe to broadcast on a constant key
-    top = existing.select(F.max(F.regexp_extract("id", r"^B-(\d+)$", 1).try_cast("long")).alias("_top"))
+    # scalar subquery: the largest existing number, evaluated once
+    top = existing.select(F.max(F.regexp_extract("id", r"^B-(\d+)$", 1).try_cast("long"))).scalar()
     numbered = number_rows(new, order)
-    with_top = numbered.join(F.broadcast(top.withColumn("_k", F.lit(1))), F.lit(1) == F.col("_k")).drop("_k")
-    return (with_top.withColumn("id", F.concat(F.lit("B-"), (F.coalesce("_top", F.lit(0)) + F.col("row_no"))
+    return (numbered.withColumn("id", F.concat(F.lit("B-"), (F.coalesce(top, F.lit(0)) + F.col("row_no"))
                                                .cast("string")))
-            .drop("_top", "row_no"))
+            .drop("row_no"))
 
 
 # --- M1 -------------------------------------------------------------------
@@ -519,14 +518,11 @@ def delete_vehicles(g: Garage, vehicle_ids: DataFrame) -> DataFrame:
 def fill_unowned_vehicles(g: Garage) -> DataFrame:
     """Give every owner-less vehicle to the first customer by name (then id).
 
-    The first customer is a one-row top-1 frame (exactly one row: safe to
-    broadcast) joined on a constant key.
+    The first customer is a top-1 scalar subquery, evaluated once.
     """
     first = (g.customers.join(g.users.select(F.col("id").alias("_uid"), "name"), F.col("user_id") == F.col("_uid"))
-             .orderBy(F.col("name").asc_nulls_last(), F.col("id")).limit(1)
-             .select(F.col("id").alias("_first"), F.lit(1).alias("_k")))
-    return (g.vehicles.withColumn("_k", F.lit(1)).join(F.broadcast(first), "_k", "left")
-            .withColumn("customer_id", F.coalesce("customer_id", "_first")).drop("_k", "_first"))
+             .orderBy(F.col("name").asc_nulls_last(), F.col("id")).limit(1).select("id"))
+    return g.vehicles.withColumn("customer_id", F.coalesce(F.col("customer_id"), first.scalar()))
 
 
 # --- M15 / M16 / M17 -------------------------------------------------------------------------
@@ -569,10 +565,9 @@ def provision_users(g: Garage, rows: DataFrame) -> DataFrame:
     r = r.join(first, F.lower("email") == F.col("_fe"), "left")
     reason = F.coalesce(F.col("_r"), F.when(F.col("row_seq") != F.col("_first"), F.lit(R_EMAIL_IN_USE)))
     r = r.withColumn("reject_reason", reason).drop("_e", "_known", "_r", "_fe", "_first")
-    top = g.users.select(F.max("id").alias("_top"))
+    top = g.users.select(F.max("id")).scalar()        # scalar subquery, evaluated once
     ok = number_rows(r.where(F.col("reject_reason").isNull()), ["row_seq"])
-    ok = (ok.join(F.broadcast(top.withColumn("_k", F.lit(1))), F.lit(1) == F.col("_k"))
-          .withColumn("user_id", F.coalesce("_top", F.lit(0)) + F.col("row_no")).drop("_k", "_top", "row_no"))
+    ok = ok.withColumn("user_id", F.coalesce(top, F.lit(0)) + F.col("row_no")).drop("row_no")
     bad = r.where(F.col("reject_reason").isNotNull()).withColumn("user_id", F.lit(None).cast("long"))
     return ok.unionByName(bad).withColumn("initials", F.when(F.col("reject_reason").isNull(), initials("name")))
 

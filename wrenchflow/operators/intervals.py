@@ -144,17 +144,16 @@ def available_time_slots(g: Garage, date: Date, service_id: int | None = None,
     window; the overlap test is ``overlap_counts``.
     """
     if duration is None:
-        est = g.services.where(F.col("id") == F.lit(service_id)).select(
-            F.coalesce(F.max("estimated_time"), F.lit(60)).alias("duration"))
+        # the service's estimate as a scalar subquery (evaluated once)
+        dur = g.services.where(F.col("id") == F.lit(service_id)).select(
+            F.coalesce(F.max("estimated_time"), F.lit(60))).scalar()
     else:
-        est = g.services.sparkSession.range(1).select(F.lit(int(duration)).alias("duration"))
+        dur = F.lit(int(duration))
     day = _d(date)
     a = g.mechanic_availability.where(F.col("day_of_week") == weekday0(day))
     if mechanic_id is not None:
         a = a.where(F.col("mechanic_id") == F.lit(mechanic_id))
-    # est is one row by construction (a global aggregate); the join key is constant
-    win = a.join(F.broadcast(est.withColumn("_k", F.lit(1))), F.lit(1) == F.col("_k")).drop("_k")
-    win = win.where(F.col("end_min") - F.col("duration") >= F.col("start_min"))
+    win = a.withColumn("duration", dur).where(F.col("end_min") - F.col("duration") >= F.col("start_min"))
     slots = win.select("mechanic_id", day.alias("booking_date"), "duration",
                        F.explode(F.sequence("start_min", F.col("end_min") - F.col("duration"), F.lit(step)))
                        .alias("slot_start"))
