@@ -53,14 +53,25 @@ def _kind(dtype) -> str:
     return "object"
 
 
+SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "smallint": "SMALLINT"}
+
+
 def compare(spark, con, name, fn, sql, sf_dir):
     t0 = time.time()
-    sp = fn(spark, sf_dir).toPandas()
+    sdf = fn(spark, sf_dir)
+    sp = sdf.toPandas()
     t1 = time.time()
     if sql is None:
         return f"{name}: SPARK-ONLY rows={len(sp)} ({t1 - t0:.1f}s)"
-    du = con.sql(sql).df()
+    rel = con.sql(sql)
+    declared = dict(zip(rel.columns, [str(t) for t in rel.types]))
+    du = rel.df()
     problems = []
+    type_diffs = [(f.name, f.dataType.simpleString(), declared.get(f.name)) for f in sdf.schema.fields
+                  if SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString()) != declared.get(f.name)]
+    if type_diffs:
+        problems.append(f"declared types {type_diffs}")
     if sorted(sp.columns) != sorted(du.columns):
         problems.append(f"columns spark={sorted(sp.columns)} duck={sorted(du.columns)}")
     else:
