@@ -1595,3 +1595,9 @@ def q_testimonial_reject_classes(g):
     out = M.apply_testimonials(g, SI.testimonial_submissions(g), AS_OF)
     return (out.groupBy("reject_reason").agg(F.count("*").alias("row_count"))
             .withColumn("error_class", Q.error_class(F.col("reject_reason"))))
+
+
+@register("testimonial_wall_all", TEST_SQL)
+def q_testimonial_wall_all(g):
+    """Every testimonial (staff scope) with names."""
+    return J.testimonial_wall(g, "all")

@@ -30,9 +30,17 @@ def activity_filter(raw: DataFrame) -> DataFrame:
             .select("user_id", "action", "detail", "created_at"))
 
 
-def activity_log_stream(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint: str):
-    """Start the feed: ``readStream`` Parquet -> filter -> ``writeStream`` append (availableNow)."""
-    raw = spark.readStream.schema(SCHEMAS["activity_log"]).parquet(source_dir)
+def activity_log_stream(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint: str,
+                        max_files_per_trigger: int | None = None):
+    """Start the feed: ``readStream`` Parquet -> filter -> ``writeStream`` append (availableNow).
+
+    ``max_files_per_trigger`` bounds each micro-batch, so a large backlog is
+    worked off in several committed batches instead of one huge one.
+    """
+    reader = spark.readStream.schema(SCHEMAS["activity_log"])
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
+    raw = reader.parquet(source_dir)
     return (activity_filter(raw).writeStream.format("parquet").outputMode("append")
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start(sink_dir))
 
