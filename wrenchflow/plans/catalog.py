@@ -59,7 +59,7 @@ def present(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-_GARAGES: dict[tuple[int, str], Garage] = {}
+_GARAGES: dict[tuple[str, int, str], Garage] = {}
 
 
 def garage_for(spark: SparkSession, sf_dir: str) -> Garage:
@@ -71,8 +71,9 @@ def garage_for(spark: SparkSession, sf_dir: str) -> Garage:
     binding nor carry its lineage.  Bookings are range-partitioned and
     sorted by date so date predicates skip files and row groups.
     """
-    key = (id(spark), sf_dir)
-    if key not in _GARAGES:
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir)
+    cached = _GARAGES.get(key)
+    if cached is None or cached.bookings.sparkSession is not spark:
         path = scratch_path(spark, f"garage/{uuid.uuid4().hex}")
         _GARAGES[key] = materialise(bind(spark, sf_dir, jobs_path=f"{path}/_jobs"), path)
     return _GARAGES[key]
