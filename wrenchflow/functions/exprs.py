@@ -111,11 +111,6 @@ def json_diff(old: Column, new: Column) -> tuple[Column, Column]:
     return F.to_json(old), F.to_json(new)
 
 
-def notes_concat(notes: Column, sep: str = ", ") -> Column:
-    """``string_agg(note, ', ')`` made deterministic by sorting (aggregate)."""
-    return F.array_join(F.sort_array(F.collect_list(notes)), sep)
-
-
 def weekday0(d: str | Column) -> Column:
     """Day of week with Sunday = 0 (PostgreSQL ``EXTRACT(DOW)``)."""
     return F.dayofweek(_c(d)) - 1

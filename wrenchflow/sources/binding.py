@@ -59,7 +59,9 @@ def _jobs(t: dict[str, DataFrame]) -> DataFrame:
     """Line items joined to their order, numbered within the order.
 
     (l_orderkey, l_linenumber) is not unique in the driver data, so the job
-    number is a row_number per order over all line columns.
+    number is a row_number per order over all line columns.  This window is
+    fixture shaping only (the library never windows over an unbounded key);
+    its groups are the lines of one order, which TPC-H caps at seven.
     """
     orders = t["orders"].select("o_orderkey", "o_custkey", "o_orderpriority", "o_totalprice")
     w = Window.partitionBy("l_orderkey").orderBy(
