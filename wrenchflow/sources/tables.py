@@ -68,3 +68,24 @@ def write_tables(garage: Garage, path: str, mode: str = "overwrite") -> None:
             df = df.withColumn("booking_month", F.date_format("booking_date", "yyyy-MM"))
             writer = df.write.mode(mode).partitionBy("booking_month")
         writer.parquet(f"{path.rstrip('/')}/{name}.parquet")
+
+
+def load_tables_jdbc(spark: SparkSession, url: str, properties: dict, partition_columns: dict[str, tuple],
+                     num_partitions: int = 64) -> Garage:
+    """S1 from the operational database: every table through ``spark.read.jdbc``.
+
+    ``partition_columns`` maps a table to (column, lower, upper); those
+    tables are read in ``num_partitions`` parallel range queries instead of
+    one connection.  Rows are conformed to the fixed schemas.  (Not exercised
+    in this repository's tests: no database is available here.)
+    """
+    frames = {}
+    for name in SCHEMAS:
+        if name in partition_columns:
+            col, lo, hi = partition_columns[name]
+            df = spark.read.jdbc(url, name, column=col, lowerBound=lo, upperBound=hi,
+                                 numPartitions=num_partitions, properties=properties)
+        else:
+            df = spark.read.jdbc(url, name, properties=properties)
+        frames[name] = conform(df, name)
+    return Garage(**frames)
