@@ -789,9 +789,50 @@ def visit_assignment_requests(g):
                     F.substring("booking_id", 3, 40).cast("long").alias("request_seq")))
 
 
-@register("assign_mechanics")
+# Oracle: the same checks, then the sequential rule replayed by a recursive CTE per (mechanic, date)
+# (depth = the largest group), carrying the accepted intervals as a list.
+M4_SQL = """WITH RECURSIVE
+crew AS (SELECT visit_id, min(mechanic_id) AS mechanic_id FROM bookings WHERE mechanic_id IS NOT NULL GROUP BY visit_id),
+req AS (SELECT b.id AS booking_id, c.mechanic_id, CAST(substr(b.id, 3) AS BIGINT) AS request_seq
+        FROM bookings b JOIN crew c ON b.visit_id = c.visit_id WHERE b.status = 'pending'),
+bi AS (SELECT b.id, b.booking_date, b.start_min, b.start_min + coalesce(s.estimated_time, 60) AS end_min,
+         b.mechanic_id AS cur_mech, b.status AS cur_status FROM bookings b LEFT JOIN services s ON b.service_id = s.id),
+live AS (SELECT * FROM bi WHERE cur_mech IS NOT NULL AND cur_status <> 'cancelled'),
+x AS (SELECT r.*, bi.booking_date, bi.start_min, bi.end_min, bi.cur_mech, bi.cur_status, bi.id IS NOT NULL AS has_b,
+        r.mechanic_id IN (SELECT id FROM mechanics) AS has_m FROM req r LEFT JOIN bi ON r.booking_id = bi.id),
+chk AS (SELECT x.*,
+  CASE WHEN NOT has_b THEN 'booking not found'
+       WHEN NOT coalesce(has_m, false) THEN 'mechanic not found'
+       WHEN NOT EXISTS (SELECT 1 FROM mechanic_availability a WHERE a.mechanic_id = x.mechanic_id
+                        AND a.day_of_week = dayofweek(x.booking_date) AND a.start_min <= x.start_min
+                        AND a.end_min >= x.end_min) THEN 'outside availability'
+       WHEN (SELECT count(*) FROM live l WHERE l.cur_mech = x.mechanic_id AND l.booking_date = x.booking_date
+             AND l.start_min < x.end_min AND l.end_min > x.start_min)
+            - CASE WHEN x.cur_mech = x.mechanic_id AND x.cur_status <> 'cancelled' THEN 1 ELSE 0 END > 0
+         THEN 'schedule conflict' END AS reject_reason FROM x),
+cand AS (SELECT request_seq, mechanic_id, booking_date, start_min, end_min,
+           row_number() OVER (PARTITION BY mechanic_id, booking_date ORDER BY request_seq) AS rn
+         FROM chk WHERE reject_reason IS NULL),
+rec(mechanic_id, booking_date, rn, acc) AS (
+  SELECT DISTINCT mechanic_id, booking_date, CAST(0 AS BIGINT), CAST([] AS STRUCT(q BIGINT, s INTEGER, e INTEGER)[])
+  FROM cand
+  UNION ALL
+  SELECT r.mechanic_id, r.booking_date, r.rn + 1,
+    CASE WHEN len(list_filter(r.acc, lambda a: a.s < c.end_min AND a.e > c.start_min)) = 0
+         THEN list_append(r.acc, {'q': c.request_seq, 's': c.start_min, 'e': c.end_min}) ELSE r.acc END
+  FROM rec r JOIN cand c ON c.mechanic_id = r.mechanic_id AND c.booking_date = r.booking_date AND c.rn = r.rn + 1),
+fin AS (SELECT arg_max(acc, rn) AS acc FROM rec GROUP BY mechanic_id, booking_date),
+won AS (SELECT unnest(acc, recursive := true) FROM fin)
+SELECT c.booking_id, c.mechanic_id, c.request_seq, CAST(c.booking_date AS VARCHAR) AS booking_date, c.start_min, c.end_min,
+  coalesce(c.reject_reason, CASE WHEN c.request_seq IN (SELECT q FROM won) THEN NULL ELSE 'conflict within batch' END)
+    AS reject_reason,
+  CASE WHEN c.reject_reason IS NULL AND c.request_seq IN (SELECT q FROM won) THEN 'confirmed' END AS new_status
+FROM chk c"""
+
+
+@register("assign_mechanics", M4_SQL)
 def q_assign_mechanics(g):
-    """M4: batch mechanic assignment with availability, conflicts and in-batch order (no SQL oracle: iterative)."""
+    """M4: batch mechanic assignment with availability, conflicts and in-batch order (oracle: recursive CTE)."""
     return IV.assign_mechanics(g, visit_assignment_requests(g))
 
 

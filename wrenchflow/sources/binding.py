@@ -302,6 +302,8 @@ def with_binding(query: str) -> str:
     ``query`` may start with its own ``WITH`` list; it is merged.
     """
     body = query.strip()
+    if body[:14].upper() == "WITH RECURSIVE":
+        return "WITH RECURSIVE " + BINDING_SQL.strip() + ",\n" + body[14:].lstrip()
     if body[:4].upper() == "WITH":
         return "WITH " + BINDING_SQL.strip() + ",\n" + body[4:].lstrip()
     return "WITH " + BINDING_SQL.strip() + "\n" + body
