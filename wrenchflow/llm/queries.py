@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wrenchflow.llm import simhash
+from wrenchflow.llm import decontaminate, simhash, toxicity
 from wrenchflow.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,3 +28,44 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash of every whole document, components of links within 3 bits."""
     groups = simhash.simhash_groups(table(spark, sf_dir, "documents"), shingle=3, radius=3)
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+_WORD_CLASS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+_OP3_SQL = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD_CLASS}') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD_CLASS}') AS w FROM benchmark),
+items AS (SELECT item_id, w, least(13, len(w)) AS k FROM b WHERE len(w) > 0),
+patterns AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS p
+             FROM (SELECT item_id, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM items)),
+sizes AS (SELECT DISTINCT k FROM patterns),
+places AS (SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS p
+           FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, sizes WHERE len(w) >= k)),
+found AS (SELECT p.doc_id, p.i, p.k, q.item_id FROM places p JOIN patterns q ON p.k = q.k AND p.p = q.p),
+hits AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS j FROM (SELECT DISTINCT doc_id, i, k FROM found)) GROUP BY doc_id),
+ids AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS s
+        FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM found) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(s, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN ids USING (doc_id)
+"""
+
+
+@query("op3_decontamination", _OP3_SQL)
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every whole document inside 13-word windows of benchmark items."""
+    docs = table(spark, sf_dir, "documents")
+    judged = decontaminate.contamination(docs.text, table(spark, sf_dir, "benchmark"), window=13)
+    return (docs.select("doc_id", judged.alias("c"))
+            .select("doc_id", "c.n_words", "c.n_hit", "c.n_items", "c.items_sha256", "c.contaminated"))
+
+
+@query("op9_toxicity")
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrated toxicity of every whole document; learned from four fifths of the labels."""
+    docs = table(spark, sf_dir, "documents")
+    index = toxicity.fit(docs, toxicity.training_labels(table(spark, sf_dir, "labels")))
+    scored = docs.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"),
+                         toxicity.toxicity(docs.text, index)["score"].alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
