@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wrenchflow.llm import decontaminate, fingerprints, packing, sharding, simhash, toxicity
+from wrenchflow.llm import decontaminate, fingerprints, linededup, packing, sharding, simhash, toxicity
 from wrenchflow.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,9 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every whole document and of its edited text."""
     return fingerprints.document_fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op2_line_dedup")
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every whole document that repeat an earlier line within 2 edits (one per 20 characters)."""
+    return linededup.line_report(table(spark, sf_dir, "documents"), max_edits=2, chars_per_edit=20)
