@@ -1,4 +1,10 @@
-"""Cleaning and packing of a document table in five written stages."""
+"""Cleaning and packing of a document table in five written stages.
+
+Each stage reads all rows that its predecessor kept; its decisions take effect.
+Toxic documents go; repeated lines are taken out of the texts that stay; of each
+group of SimHash near-copies one document stays; documents contaminated by the
+benchmark go; the rest is packed into sequences.
+"""
 
 from __future__ import annotations
 
@@ -6,18 +12,41 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wrenchflow.llm import simhash
+from wrenchflow.llm import decontaminate, linededup, packing, simhash, toxicity
+from wrenchflow.llm.queries import tokenizer_path
 from wrenchflow.session import scratch_path
 
 
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash near-dedup: the least id of each group stays."""
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored below 0.5; learned from the labels that may be learned from."""
+    labels = toxicity.training_labels(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.without_toxic(docs, toxicity.fit(docs, labels), at=0.5)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without lines that stand within 2 edits in an earlier place."""
+    return linededup.without_repeated_lines(docs, length_col="n_chars", max_edits=2, chars_per_edit=20)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the least id of each group of SimHashes linked at 3 or fewer bits."""
     return simhash.drop_near_copies(docs, shingle=3, radius=3)
 
 
-STAGES = [("simhash near-dedup", near_dedup)]
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which less than a twentieth stands in 13-word windows of the benchmark."""
+    return decontaminate.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=13)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their sequence of at most 2048 tokens and place in it."""
+    return packing.pack(docs, tokenizer_path(), capacity=2048, separator=0)
+
+
+STAGES = [("toxicity", drop_toxic), ("line dedup", drop_repeated_lines), ("SimHash near-dedup", drop_near_copies),
+          ("benchmark decontamination", drop_contaminated), ("best-fit packing", pack)]
 
-#: No stage's method (edit distance joins, SimHash, tokenizers) can be stated in SQL.
+#: Not expressible in SQL: SimHash, the tokenizer and the fitted index have no counterpart there.
 ORACLE_SQL = None
 
 
