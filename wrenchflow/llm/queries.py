@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wrenchflow.llm import decontaminate, fingerprints, linededup, packing, sharding, simhash, toxicity
+from wrenchflow.llm import decontaminate, fingerprints, licenses, linededup, packing, sharding, simhash, toxicity
 from wrenchflow.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +101,9 @@ def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every whole document that repeat an earlier line within 2 edits (one per 20 characters)."""
     return linededup.line_report(table(spark, sf_dir, "documents"), max_edits=2, chars_per_edit=20)
+
+
+@query("op1_license_scan")
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses of every whole document by all rules, and the places of the base phrases."""
+    return licenses.license_scan(table(spark, sf_dir, "documents")).drop("detections")
