@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wrenchflow.llm import decontaminate, fingerprints, licenses, linededup, packing, sharding, simhash, toxicity
+from wrenchflow.llm import decontaminate, fingerprints, licenses, linededup, packing, quality, sharding, simhash, toxicity
 from wrenchflow.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +107,15 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licenses of every whole document by all rules, and the places of the base phrases."""
     return licenses.license_scan(table(spark, sf_dir, "documents")).drop("detections")
+
+
+@query("op4_quality")
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every whole document; its source is the host, source and language the path.
+
+    Rows whose crc32(doc_id as text) mod 5 is 0 are held out of the labels.
+    """
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    path = F.concat_ws("/", docs.source, docs.lang)
+    scored = quality.quality(docs, toxicity.training_labels(labels), docs.source, path)
+    return scored.withColumn("held_out", toxicity.held_out(F.col("doc_id")))
