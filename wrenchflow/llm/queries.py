@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wrenchflow.llm import decontaminate, fingerprints, licenses, linededup, packing, quality, sharding, simhash, toxicity
+from wrenchflow.llm import decontaminate, fingerprints, licenses, linededup, lm, packing, quality, sharding, simhash, toxicity
 from wrenchflow.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,3 +119,9 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat_ws("/", docs.source, docs.lang)
     scored = quality.quality(docs, toxicity.training_labels(labels), docs.source, path)
     return scored.withColumn("held_out", toxicity.held_out(F.col("doc_id")))
+
+
+@query("op5_lm_scoring")
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probability of every whole document under unigram counts and the recurrent model."""
+    return lm.score_documents(table(spark, sf_dir, "documents"))
