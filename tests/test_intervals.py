@@ -43,47 +43,78 @@ def test_schedule_conflicts_matches_pairs(garage):
         assert n == exp.get(bid, 0)
 
 
-def _greedy(reqs: pd.DataFrame, live: pd.DataFrame) -> dict:
-    """Reference semantics: requests applied one by one in request_seq order."""
-    accepted = {}
-    for r in reqs.sort_values("request_seq").itertuples():
-        if r.reject_reason is not None and r.reject_reason != "conflict within batch":
+def _sequential(garage, reqs):
+    """The reference's calls one by one over plain Python objects."""
+    est = {r.id: r.estimated_time or 60 for r in garage.services.select("id", "estimated_time").collect()}
+    book = {r.id: r for r in garage.bookings.select("id", "mechanic_id", "booking_date", "start_min", "status", "service_id").collect()}
+    avail = {}
+    for r in garage.mechanic_availability.collect():
+        avail.setdefault((r.mechanic_id, r.day_of_week), []).append((r.start_min, r.end_min))
+    mechs = {r.id for r in garage.mechanics.select("id").collect()}
+    slots, where = {}, {}
+    for r in book.values():
+        if r.mechanic_id is not None and r.status != "cancelled":
+            slots.setdefault((r.mechanic_id, r.booking_date), {})[r.id] = (r.start_min, r.start_min + est.get(r.service_id, 60))
+            where[r.id] = (r.mechanic_id, r.booking_date)
+    out = {}
+    for q in sorted(reqs, key=lambda q: q[2]):
+        r = book.get(q[0])
+        if r is None:
+            out[q[2]] = "booking not found"
             continue
-        clash = any(a.mechanic_id == r.mechanic_id and a.booking_date == r.booking_date
-                    and a.start_min < r.end_min and a.end_min > r.start_min for a in accepted.values())
-        if not clash:
-            accepted[r.request_seq] = r
-    return accepted
-
-
-def test_assign_mechanics_equals_sequential_greedy(garage):
-    reqs = visit_assignment_requests(garage)
-    out = assign_mechanics(garage, reqs).toPandas()
-    assert len(out) == reqs.count()
-    exp = _greedy(out, None)
-    got = set(out[out.reject_reason.isna()].request_seq)
-    assert got == set(exp)
-    assert set(out.reject_reason.dropna()) <= {"booking not found", "mechanic not found", "outside availability",
-                                               "schedule conflict", "conflict within batch"}
-
-
-def test_assign_mechanics_in_batch_conflicts(spark, garage):
-    """Three overlapping requests for one free slot: only the earliest wins."""
-    b = garage.bookings.where(F.col("status") == "pending").select("id", "booking_date", "start_min").limit(50).toPandas()
-    avail = garage.mechanic_availability.toPandas()
-    mech_day = {(r.mechanic_id, r.day_of_week) for r in avail.itertuples()}
-    row = None
-    for r in b.itertuples():
-        dow = (pd.Timestamp(r.booking_date).dayofweek + 1) % 7
-        for m in sorted({m for m, d in mech_day if d == dow}):
-            row = (r.id, m)
-            break
-        if row:
-            break
-    assert row
-    reqs = spark.createDataFrame([(row[0], row[1], 3), (row[0], row[1], 1), (row[0], row[1], 2)],
-                                 "booking_id string, mechanic_id long, request_seq long")
-    out = assign_mechanics(garage, reqs).toPandas().set_index("request_seq")
-    if out.loc[1, "reject_reason"] is None:
-        assert out.loc[2, "reject_reason"] == "conflict within batch"
-        assert out.loc[3, "reject_reason"] == "conflict within batch"
+        if q[1] not in mechs:
+            out[q[2]] = "mechanic not found"
+            continue
+        s, e = r.start_min, r.start_min + est.get(r.service_id, 60)
+        if not any(a <= s and e <= z for a, z in avail.get((q[1], (r.booking_date.weekday() + 1) % 7), [])):
+            out[q[2]] = "outside availability"
+            continue
+        day = slots.setdefault((q[1], r.booking_date), {})
+        out[q[2]] = any(a < e and z > s for other, (a, z) in day.items() if other != r.id)
+        if not out[q[2]]:
+            slots.get(where.get(r.id), {}).pop(r.id, None)
+            day[r.id], where[r.id] = (s, e), (q[1], r.booking_date)
+    return out
+
+
+def _check(garage, reqs):
+    got = {r.request_seq: r for r in assign_mechanics(garage, reqs).collect()}
+    want = _sequential(garage, [(r.booking_id, r.mechanic_id, r.request_seq) for r in reqs.collect()])
+    assert got.keys() == want.keys()
+    for k, w in want.items():
+        reason = got[k].reject_reason
+        assert (reason in ("schedule conflict", "conflict within batch")) == (w is True), (got[k], w)
+        assert reason == w or w in (True, False), (got[k], w)
+        assert (got[k].task_status, got[k].new_status) == ((None, None) if reason else ("pending", "confirmed"))
+    return got
+
+
+def test_assign_mechanics_equals_calls_one_by_one(garage):
+    got = _check(garage, visit_assignment_requests(garage))
+    assert {r.reject_reason for r in got.values()} >= {None, "schedule conflict"}
+
+
+def test_assign_mechanics_moves_and_repeats(spark, garage):
+    """Random requests of few bookings and mechanics: repeats, moves, freed slots, unknown keys."""
+    import random
+    rng = random.Random(4)
+    day = garage.bookings.groupBy("booking_date").count().orderBy(F.desc("count")).first().booking_date
+    ids = [r.id for r in garage.bookings.where(F.col("booking_date") == day).select("id").collect()] + ["B-none"]
+    mechs = [r.mechanic_id for r in garage.mechanic_availability.select("mechanic_id").distinct().orderBy("mechanic_id").limit(3).collect()]
+    rows = [(rng.choice(ids), rng.choice(mechs + [-5]), k) for k in range(1, 120)]
+    _check(garage, spark.createDataFrame(rows, "booking_id string, mechanic_id long, request_seq long"))
+
+
+def test_assign_mechanics_long_chain(spark, garage):
+    """300 requests of one mechanic and day, each overlapping the next: every second one wins, in one pass."""
+    from dataclasses import replace
+    date = garage.bookings.first().booking_date
+    mech = garage.mechanics.select("id").first().id
+    b = spark.createDataFrame([(f"B-{k}", date, 2 * k, 1, "pending") for k in range(300)],
+                              "id string, booking_date date, start_min int, service_id long, status string")
+    s = spark.createDataFrame([(1, 3)], "id long, estimated_time int")
+    a = spark.createDataFrame([(mech, d, 0, 1440) for d in range(7)], "mechanic_id long, day_of_week int, start_min int, end_min int")
+    g = replace(garage, bookings=b.withColumn("mechanic_id", F.lit(None).cast("long")), services=s, mechanic_availability=a)
+    reqs = spark.createDataFrame([(f"B-{k}", mech, k) for k in range(300)], "booking_id string, mechanic_id long, request_seq long")
+    out = {r.request_seq: r.reject_reason for r in assign_mechanics(g, reqs).collect()}
+    assert all((out[k] is None) == (k % 2 == 0) for k in range(300))

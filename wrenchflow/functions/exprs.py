@@ -89,8 +89,8 @@ def service_items(service_id: str | Column, name: str | Column, price: str | Col
 
 
 def end_min(start: str | Column, duration: str | Column) -> Column:
-    """End minute = start + duration (default 60); midnight not wrapped."""
-    return _c(start) + F.coalesce(_c(duration), F.lit(DEFAULT_DURATION_MIN))
+    """End minute = start + duration (default 60, also for a duration of 0); midnight not wrapped."""
+    return _c(start) + F.coalesce(F.nullif(_c(duration), F.lit(0)), F.lit(DEFAULT_DURATION_MIN))
 
 
 def hhmm(minutes: str | Column) -> Column:

@@ -21,6 +21,9 @@ booking, and the look-up join's hot key is split by AQE's skew handling.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +33,9 @@ from wrenchflow.model import SLOT_STEP_MIN
 from wrenchflow.session import checkpoint_dir
 from wrenchflow.sources.tables import Garage
 
+R_NO_BOOKING, R_NO_MECHANIC = "booking not found", "mechanic not found"
+R_OUTSIDE, R_CONFLICT, R_BATCH_CONFLICT = "outside availability", "schedule conflict", "conflict within batch"
+
 
 def overlap_counts(probes: DataFrame, intervals: DataFrame, keys: list[str], probe_start: str = "start_min",
                    probe_end: str = "end_min", iv_start: str = "start_min", iv_end: str = "end_min",
@@ -164,77 +170,78 @@ def available_time_slots(g: Garage, date: Date, service_id: int | None = None,
             .select("mechanic_id", "booking_date", "slot_start", "slot_end", hhmm("slot_start").alias("slot_time")))
 
 
-def _minutes(df: DataFrame, start: str = "start_min", end: str = "end_min") -> Column:
-    """Covered minutes of [start, end) (duration-bounded explode)."""
-    return F.explode(F.sequence(F.col(start), F.col(end) - 1))
-
+def _replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Requests of one date at a time in ``request_seq`` order, after the stored slots of the bookings they name.
 
-def assign_mechanics(g: Garage, requests: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """M4: batch of (booking_id, mechanic_id, request_seq) assignment requests.
+    Rows come sorted by date, stored slots before requests, requests by sequence.  The state holds the slot that each named booking has by then,
+    by mechanic; it starts anew with each date and survives batches.
+    """
+    date, where, slots = None, {}, {}
+    for df in batches:
+        out = []
+        for r in df.itertuples(index=False):
+            if r.booking_date != date:
+                date, where, slots = r.booking_date, {}, {}
+            if r.stored:
+                where[r.booking_id] = r.mechanic_id
+                slots.setdefault(r.mechanic_id, {})[r.booking_id] = (r.start_min, r.end_min, True)
+                continue
+            hits = [was for other, (s, e, was) in slots.get(r.mechanic_id, {}).items()
+                    if other != r.booking_id and s < r.end_min and e > r.start_min]
+            reason = R_CONFLICT if any(hits) else R_BATCH_CONFLICT if hits else None
+            if reason is None:
+                slots.get(where.get(r.booking_id), {}).pop(r.booking_id, None)
+                where[r.booking_id] = r.mechanic_id
+                slots.setdefault(r.mechanic_id, {})[r.booking_id] = (r.start_min, r.end_min, False)
+            out.append((r.booking_id, r.mechanic_id, r.request_seq, r.booking_date, r.start_min, r.end_min, reason))
+        yield pd.DataFrame(out, columns=["booking_id", "mechanic_id", "request_seq", "booking_date", "start_min",
+                                         "end_min", "reject_reason"])
+
+
+def assign_mechanics(g: Garage, requests: DataFrame) -> DataFrame:
+    """M4: batch of (booking_id, mechanic_id, request_seq) assignment requests, applied one by one.
 
     Checks, in the reference's order: the booking and the mechanic exist;
     the slot lies in the mechanic's availability (J13); it overlaps no live
-    booking of that mechanic on that date other than itself (J12).  Requests
-    passing all checks are then resolved among themselves exactly as if
-    applied one by one in ``request_seq`` order: a request is accepted
-    unless an earlier *accepted* request of the same mechanic and date
-    overlaps it.
-
-    That greedy rule is computed in rounds, each a few shuffles: per
-    (mechanic, date, minute) the smallest pending ``request_seq`` (partial
-    aggregate; a minute-level explode bounded by the duration); a request
-    that is first on all its minutes is accepted; a request touching a
-    minute of an accepted one is rejected; the rest go to the next round.
-    Every round accepts at least the first pending request of each group,
-    and the pending set is checkpointed between rounds to cut lineage.
-
-    Returns every request with ``reject_reason`` (NULL = accepted) and the
-    new booking status.
+    booking of that mechanic on that date other than the booking itself
+    (J12), as the schedule stands after all earlier requests: an accepted
+    request gives the booking its new slot and frees the slot it had.
+
+    Bookings that no request names never move, so overlaps with them are
+    counted by the set-based check.  What is left depends on the order: the
+    requests of a date are replayed in ``request_seq`` order as a stream over
+    partitions sorted by (date, request_seq).  Nothing is collected: the state is
+    the current slot of the date's named bookings.  Dates run in parallel; the
+    requests of one date are sequential by definition.
+
+    Returns every request with ``reject_reason`` (NULL = accepted), the new
+    booking status and the status of the mechanic's task row (its times are
+    the slot's).
     """
     r = requests.select("booking_id", "mechanic_id", "request_seq")
+    named = r.select(F.col("booking_id").alias("_nb")).distinct()
     b = booking_intervals(g, live_only=False, assigned_only=False).select(
         F.col("id").alias("_bid"), "booking_date", "start_min", "end_min")
-    cur = g.bookings.select(F.col("id").alias("_cb"), F.col("mechanic_id").alias("_cur_mech"),
-                            F.col("status").alias("_cur_status"))
     mech = g.mechanics.select(F.col("id").alias("_mid")).distinct().withColumn("_m_ok", F.lit(True))
     x = (r.join(b, F.col("booking_id") == F.col("_bid"), "left")
-         .join(mech, F.col("mechanic_id") == F.col("_mid"), "left")
-         .join(cur, F.col("booking_id") == F.col("_cb"), "left"))
+         .join(mech, F.col("mechanic_id") == F.col("_mid"), "left"))
     # both checks keep the request columns, so they chain without joining back
     x = within_availability(g, x, row_key=("booking_id", "mechanic_id", "request_seq"))
-    x = overlap_counts(x, booking_intervals(g), ["mechanic_id", "booking_date"])
-    self_hit = ((F.col("_cur_mech") == F.col("mechanic_id")) & (F.col("_cur_status") != "cancelled")).cast("int")
-    others = F.col("n_overlap") - F.coalesce(self_hit, F.lit(0))
-    reason = (F.when(F.col("_bid").isNull(), "booking not found")
-              .when(F.col("_m_ok").isNull(), "mechanic not found")
-              .when(~F.coalesce(F.col("within_availability"), F.lit(False)), "outside availability")
-              .when(others > 0, "schedule conflict"))
+    live = booking_intervals(g)
+    x = overlap_counts(x, live.join(named, F.col("id") == F.col("_nb"), "left_anti"), ["mechanic_id", "booking_date"])
+    reason = (F.when(F.col("_bid").isNull(), R_NO_BOOKING).when(F.col("_m_ok").isNull(), R_NO_MECHANIC)
+              .when(~F.coalesce(F.col("within_availability"), F.lit(False)), R_OUTSIDE)
+              .when(F.col("n_overlap") > 0, R_CONFLICT))
     checkpoint_dir(x.sparkSession)
-    checked = x.select("booking_id", "mechanic_id", "request_seq", "booking_date", "start_min", "end_min",
-                       reason.alias("reject_reason")).checkpoint()
-    pending = checked.where(F.col("reject_reason").isNull())
-    decided = [checked.where(F.col("reject_reason").isNotNull())]
-    keys = ["mechanic_id", "booking_date"]
-    for _ in range(max_rounds):
-        if pending.isEmpty():
-            break
-        mins = pending.select(*keys, "request_seq", _minutes(pending).alias("minute"))
-        first = mins.groupBy(*keys, "minute").agg(F.min("request_seq").alias("_first"))
-        losers = (mins.join(first, [*keys, "minute"]).where(F.col("_first") != F.col("request_seq"))
-                  .select(*keys, "request_seq").distinct().withColumn("_lost", F.lit(True)))
-        flagged = pending.join(losers, [*keys, "request_seq"], "left")
-        accepted = flagged.where(F.col("_lost").isNull()).drop("_lost")
-        acc_min = accepted.select(*keys, _minutes(accepted).alias("minute")).distinct()
-        hit = (mins.join(acc_min, [*keys, "minute"], "left_semi").select(*keys, "request_seq").distinct()
-               .withColumn("_hit", F.lit(True)))
-        rest = flagged.where(F.col("_lost").isNotNull()).drop("_lost").join(hit, [*keys, "request_seq"], "left")
-        decided.append(accepted)
-        decided.append(rest.where(F.col("_hit").isNotNull()).drop("_hit")
-                       .withColumn("reject_reason", F.lit("conflict within batch")))
-        pending = rest.where(F.col("_hit").isNull()).drop("_hit").checkpoint()
-    else:
-        raise RuntimeError("assignment did not converge")
-    out = decided[0]
-    for d in decided[1:]:
-        out = out.unionByName(d)
-    return out.withColumn("new_status", F.when(F.col("reject_reason").isNull(), F.lit("confirmed")))
+    slot = ["booking_id", "mechanic_id", "request_seq", "booking_date", "start_min", "end_min"]
+    checked = x.select(*slot, reason.alias("reject_reason")).checkpoint()
+    stored = (live.join(named, F.col("id") == F.col("_nb"), "left_semi")
+              .where(F.col("start_min").isNotNull())
+              .select(F.col("id").alias("booking_id"), "mechanic_id", F.lit(0).cast("long").alias("request_seq"), "booking_date", "start_min", "end_min", F.lit(True).alias("stored")))
+    open_ = checked.where(F.col("reject_reason").isNull())
+    replay = (open_.select(*slot, F.lit(False).alias("stored")).unionByName(stored)
+              .repartition("booking_date").sortWithinPartitions("booking_date", F.col("stored").desc(), "request_seq",
+                                                                "booking_id", "mechanic_id"))
+    out = checked.where(F.col("reject_reason").isNotNull()).unionByName(replay.mapInPandas(_replay, checked.schema))
+    ok = F.col("reject_reason").isNull()
+    return out.withColumn("new_status", F.when(ok, F.lit("confirmed"))).withColumn("task_status", F.when(ok, F.lit("pending")))

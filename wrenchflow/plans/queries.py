@@ -729,7 +729,7 @@ from wrenchflow.operators import intervals as IV  # noqa: E402
 
 SLOT_DATE = "2001-07-16"    # a Monday after AS_OF
 IV_SQL = """iv AS (SELECT b.id, b.mechanic_id, b.booking_date, b.start_min,
-    b.start_min + coalesce(s.estimated_time, 60) AS end_min
+    b.start_min + coalesce(nullif(s.estimated_time, 0), 60) AS end_min
   FROM bookings b LEFT JOIN services s ON b.service_id = s.id
   WHERE b.mechanic_id IS NOT NULL AND b.status <> 'cancelled')"""
 
@@ -765,7 +765,7 @@ WITH d AS (SELECT coalesce(max(estimated_time), 60) AS dur FROM services WHERE i
 win AS (SELECT a.mechanic_id, a.start_min, a.end_min, d.dur FROM mechanic_availability a, d
         WHERE a.day_of_week = dayofweek(DATE '{SLOT_DATE}') AND a.end_min - d.dur >= a.start_min),
 slots AS (SELECT DISTINCT mechanic_id, dur, unnest(range(start_min, end_min - dur + 1, 30)) AS slot_start FROM win),
-busy AS (SELECT b.mechanic_id, b.start_min, b.start_min + coalesce(s.estimated_time, 60) AS end_min
+busy AS (SELECT b.mechanic_id, b.start_min, b.start_min + coalesce(nullif(s.estimated_time, 0), 60) AS end_min
          FROM bookings b LEFT JOIN services s ON b.service_id = s.id
          WHERE b.booking_date = DATE '{SLOT_DATE}' AND b.mechanic_id IS NOT NULL AND b.status <> 'cancelled')
 SELECT s.mechanic_id, '{SLOT_DATE}' AS booking_date, CAST(s.slot_start AS INT) AS slot_start,
@@ -778,27 +778,35 @@ def q_available_time_slots(g):
 
 
 def visit_assignment_requests(g):
-    """Stand-in requests: each pending booking asks for the lowest-numbered
-    mechanic already working on the same visit; request order = booking key."""
+    """Stand-in requests: each pending booking asks for the lowest-numbered mechanic already working on the same
+    visit, then again for the highest-numbered one; each confirmed booking with a mechanic asks to move to the
+    lowest-numbered one.  Request order = booking key, second requests after all first ones."""
     from pyspark.sql import functions as F
     b = g.bookings
-    crew = b.where(F.col("mechanic_id").isNotNull()).groupBy("visit_id").agg(F.min("mechanic_id").alias("mechanic_id"))
-    return (b.where(F.col("status") == "pending").select(F.col("id").alias("booking_id"), "visit_id")
-            .join(crew, "visit_id")
-            .select("booking_id", "mechanic_id",
-                    F.substring("booking_id", 3, 40).cast("long").alias("request_seq")))
-
-
-# Oracle: the same checks, then the sequential rule replayed by a recursive CTE per (mechanic, date)
-# (depth = the largest group), carrying the accepted intervals as a list.
+    crew = b.where(F.col("mechanic_id").isNotNull()).groupBy("visit_id").agg(
+        F.min("mechanic_id").alias("low"), F.max("mechanic_id").alias("high"))
+    r = (b.where(F.col("status").isin("pending", "confirmed")).join(crew, "visit_id")
+         .withColumn("seq", F.substring("id", 3, 40).cast("long")))
+    first = r.select(F.col("id").alias("booking_id"), F.col("low").alias("mechanic_id"), F.col("seq").alias("request_seq"))
+    again = r.where(F.col("status") == "pending").select(
+        F.col("id").alias("booking_id"), F.col("high").alias("mechanic_id"), (F.col("seq") + SI.BIG).alias("request_seq"))
+    return first.unionByName(again)
+
+
+# Oracle: the checks against bookings no request names, then the sequential rule replayed by a recursive CTE per
+# date (depth = the largest group), carrying the named bookings' current slots as a list.
 M4_SQL = """WITH RECURSIVE
-crew AS (SELECT visit_id, min(mechanic_id) AS mechanic_id FROM bookings WHERE mechanic_id IS NOT NULL GROUP BY visit_id),
-req AS (SELECT b.id AS booking_id, c.mechanic_id, CAST(substr(b.id, 3) AS BIGINT) AS request_seq
+crew AS (SELECT visit_id, min(mechanic_id) AS low, max(mechanic_id) AS high FROM bookings WHERE mechanic_id IS NOT NULL GROUP BY visit_id),
+req AS (SELECT b.id AS booking_id, c.low AS mechanic_id, CAST(substr(b.id, 3) AS BIGINT) AS request_seq
+        FROM bookings b JOIN crew c ON b.visit_id = c.visit_id WHERE b.status IN ('pending', 'confirmed')
+        UNION ALL
+        SELECT b.id, c.high, CAST(substr(b.id, 3) AS BIGINT) + 1000000000000
         FROM bookings b JOIN crew c ON b.visit_id = c.visit_id WHERE b.status = 'pending'),
-bi AS (SELECT b.id, b.booking_date, b.start_min, b.start_min + coalesce(s.estimated_time, 60) AS end_min,
+bi AS (SELECT b.id, b.booking_date, b.start_min, b.start_min + coalesce(nullif(s.estimated_time, 0), 60) AS end_min,
          b.mechanic_id AS cur_mech, b.status AS cur_status FROM bookings b LEFT JOIN services s ON b.service_id = s.id),
 live AS (SELECT * FROM bi WHERE cur_mech IS NOT NULL AND cur_status <> 'cancelled'),
-x AS (SELECT r.*, bi.booking_date, bi.start_min, bi.end_min, bi.cur_mech, bi.cur_status, bi.id IS NOT NULL AS has_b,
+fixed AS (SELECT * FROM live WHERE id NOT IN (SELECT booking_id FROM req)),
+x AS (SELECT r.*, bi.booking_date, bi.start_min, bi.end_min, bi.id IS NOT NULL AS has_b,
         r.mechanic_id IN (SELECT id FROM mechanics) AS has_m FROM req r LEFT JOIN bi ON r.booking_id = bi.id),
 chk AS (SELECT x.*,
   CASE WHEN NOT has_b THEN 'booking not found'
@@ -806,28 +814,30 @@ chk AS (SELECT x.*,
        WHEN NOT EXISTS (SELECT 1 FROM mechanic_availability a WHERE a.mechanic_id = x.mechanic_id
                         AND a.day_of_week = dayofweek(x.booking_date) AND a.start_min <= x.start_min
                         AND a.end_min >= x.end_min) THEN 'outside availability'
-       WHEN (SELECT count(*) FROM live l WHERE l.cur_mech = x.mechanic_id AND l.booking_date = x.booking_date
-             AND l.start_min < x.end_min AND l.end_min > x.start_min)
-            - CASE WHEN x.cur_mech = x.mechanic_id AND x.cur_status <> 'cancelled' THEN 1 ELSE 0 END > 0
-         THEN 'schedule conflict' END AS reject_reason FROM x),
-cand AS (SELECT request_seq, mechanic_id, booking_date, start_min, end_min,
-           row_number() OVER (PARTITION BY mechanic_id, booking_date ORDER BY request_seq) AS rn
-         FROM chk WHERE reject_reason IS NULL),
-rec(mechanic_id, booking_date, rn, acc) AS (
-  SELECT DISTINCT mechanic_id, booking_date, CAST(0 AS BIGINT), CAST([] AS STRUCT(q BIGINT, s INTEGER, e INTEGER)[])
-  FROM cand
+       WHEN EXISTS (SELECT 1 FROM fixed l WHERE l.cur_mech = x.mechanic_id AND l.booking_date = x.booking_date
+             AND l.start_min < x.end_min AND l.end_min > x.start_min) THEN 'schedule conflict' END AS reject_reason FROM x),
+cand AS (SELECT request_seq, booking_id, mechanic_id, booking_date, start_min, end_min,
+           row_number() OVER (PARTITION BY booking_date ORDER BY request_seq) AS rn FROM chk WHERE reject_reason IS NULL),
+seed AS (SELECT booking_date, list({'b': id, 'm': cur_mech, 's': start_min, 'e': end_min, 'stored': true}) AS acc
+         FROM live WHERE id IN (SELECT booking_id FROM req) GROUP BY booking_date),
+rec(booking_date, rn, acc, request_seq, why) AS (
+  SELECT d.booking_date, CAST(0 AS BIGINT), coalesce(seed.acc, []), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR)
+  FROM (SELECT DISTINCT booking_date FROM cand) d LEFT JOIN seed ON d.booking_date = seed.booking_date
   UNION ALL
-  SELECT r.mechanic_id, r.booking_date, r.rn + 1,
-    CASE WHEN len(list_filter(r.acc, lambda a: a.s < c.end_min AND a.e > c.start_min)) = 0
-         THEN list_append(r.acc, {'q': c.request_seq, 's': c.start_min, 'e': c.end_min}) ELSE r.acc END
-  FROM rec r JOIN cand c ON c.mechanic_id = r.mechanic_id AND c.booking_date = r.booking_date AND c.rn = r.rn + 1),
-fin AS (SELECT arg_max(acc, rn) AS acc FROM rec GROUP BY mechanic_id, booking_date),
-won AS (SELECT unnest(acc, recursive := true) FROM fin)
-SELECT c.booking_id, c.mechanic_id, c.request_seq, CAST(c.booking_date AS VARCHAR) AS booking_date, c.start_min, c.end_min,
-  coalesce(c.reject_reason, CASE WHEN c.request_seq IN (SELECT q FROM won) THEN NULL ELSE 'conflict within batch' END)
-    AS reject_reason,
-  CASE WHEN c.reject_reason IS NULL AND c.request_seq IN (SELECT q FROM won) THEN 'confirmed' END AS new_status
-FROM chk c"""
+  SELECT booking_date, rn, CASE WHEN why IS NULL THEN
+      list_append(list_filter(acc, lambda a: a.b <> booking_id), {'b': booking_id, 'm': mechanic_id, 's': start_min, 'e': end_min, 'stored': false})
+    ELSE acc END, request_seq, why
+  FROM (SELECT r.booking_date, c.rn, r.acc, c.request_seq, c.booking_id, c.mechanic_id, c.start_min, c.end_min,
+      CASE WHEN len(list_filter(r.acc, lambda a: a.stored AND a.b <> c.booking_id AND a.m = c.mechanic_id AND a.s < c.end_min AND a.e > c.start_min)) > 0
+             THEN 'schedule conflict'
+           WHEN len(list_filter(r.acc, lambda a: a.b <> c.booking_id AND a.m = c.mechanic_id AND a.s < c.end_min AND a.e > c.start_min)) > 0
+             THEN 'conflict within batch' END AS why
+    FROM rec r JOIN cand c ON c.booking_date = r.booking_date AND c.rn = r.rn + 1)),
+fin AS (SELECT c.*, coalesce(c.reject_reason, rec.why) AS reason FROM chk c LEFT JOIN rec ON c.request_seq = rec.request_seq)
+SELECT booking_id, mechanic_id, request_seq, CAST(booking_date AS VARCHAR) AS booking_date, start_min, end_min,
+  reason AS reject_reason, CASE WHEN reason IS NULL THEN 'confirmed' END AS new_status,
+  CASE WHEN reason IS NULL THEN 'pending' END AS task_status
+FROM fin"""
 
 
 @register("assign_mechanics", M4_SQL)
