@@ -107,14 +107,15 @@ def test_assign_mechanics_moves_and_repeats(spark, garage):
 
 def test_assign_mechanics_long_chain(spark, garage):
     """300 requests of one mechanic and day, each overlapping the next: every second one wins, in one pass."""
-    from dataclasses import replace
+    from wrenchflow.sources.tables import Garage
     date = garage.bookings.first().booking_date
     mech = garage.mechanics.select("id").first().id
     b = spark.createDataFrame([(f"B-{k}", date, 2 * k, 1, "pending") for k in range(300)],
                               "id string, booking_date date, start_min int, service_id long, status string")
     s = spark.createDataFrame([(1, 3)], "id long, estimated_time int")
     a = spark.createDataFrame([(mech, d, 0, 1440) for d in range(7)], "mechanic_id long, day_of_week int, start_min int, end_min int")
-    g = replace(garage, bookings=b.withColumn("mechanic_id", F.lit(None).cast("long")), services=s, mechanic_availability=a)
+    g = Garage(**(garage.as_dict() | {"bookings": b.withColumn("mechanic_id", F.lit(None).cast("long")), "services": s,
+                                      "mechanic_availability": a}))
     reqs = spark.createDataFrame([(f"B-{k}", mech, k) for k in range(300)], "booking_id string, mechanic_id long, request_seq long")
     out = {r.request_seq: r.reject_reason for r in assign_mechanics(g, reqs).collect()}
     assert all((out[k] is None) == (k % 2 == 0) for k in range(300))

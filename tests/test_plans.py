@@ -9,7 +9,7 @@ from tests.conftest import SF_SMALL
 
 # queries whose callables run actions (checkpoints, writes, streams); their plans are checked elsewhere
 ACTIONS = {"assign_mechanics", "append_report", "append_audit_log", "refresh_stats_table", "activity_log_stream",
-           "load_tables_roundtrip", "apply_new_bookings", "provision_users", "moderate_testimonials",
+           "load_tables_roundtrip", "append_report_empty_period", "apply_task_status", "apply_new_bookings", "provision_users", "moderate_testimonials",
            "testimonial_reject_classes"}
 
 

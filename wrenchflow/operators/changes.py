@@ -15,12 +15,15 @@ without gathering a key's changes in one place: "last change wins" is a
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wrenchflow.functions.exprs import coerce_bool, initials, parse_hhmm
 from wrenchflow.functions.predicates import Date, _d
-from wrenchflow.model import BOOKING_STATUSES, TASK_STATUSES
+from wrenchflow.model import BOOKING_STATUSES, TASK_STATUSES, USER_ROLES
 from wrenchflow.session import checkpoint_dir
 from wrenchflow.sources.tables import Garage
 
@@ -51,6 +54,8 @@ R_FEATURE_UNAPPROVED = "Cannot feature an unapproved testimonial"
 R_VEHICLE_IN_USE = "Cannot delete vehicle that is used in bookings"
 R_NOTE_REQUIRED = "Booking ID and note are required"
 R_NOTE_NOT_ASSIGNED = "Booking not found or not assigned to you"
+R_USER_REQUIRED = "All fields are required"
+R_USER_ROLE = "Invalid role specified"
 R_EMAIL_IN_USE = "Email already in use"
 R_MECHANIC_FIELDS = "Specialization and experience are required for mechanics"
 R_INCOMPLETE_SLOT = "Each availability slot needs a day, start and end time"
@@ -127,8 +132,9 @@ def apply_new_bookings(g: Garage, requests: DataFrame) -> DataFrame:
     down_payment_percent, down_payment_amount.
 
     Checks in the reference's order; a customer adopts an unowned vehicle
-    (the first such request in the batch wins it; later requests by others
-    are rejected as not owned); admin/staff reassign.  Accepted rows get a
+    (the first such request that passes the earlier checks wins it; later
+    requests by others are rejected as not owned); admin/staff reassign, and
+    later requests see the new owner.  Accepted rows get a
     new ``B-<n>`` id (M14), status pending and a pending payment row whose
     percent/amount are 0 unless it is a down payment.
     """
@@ -140,14 +146,20 @@ def apply_new_bookings(g: Garage, requests: DataFrame) -> DataFrame:
     is_cust, is_staff = F.col("role") == "customer", F.col("role").isin("admin", "staff")
     eff_customer = F.when(is_cust, F.col("requester_customer_id")).when(is_staff, F.col("customer_id"))
     r = r.withColumn("_cust", eff_customer)
-    # first customer request per unowned vehicle adopts it
-    adopt = (r.where(is_cust & F.col("_vid").isNotNull() & F.col("_owner").isNull() & F.col("_sid").isNotNull()
-                     & F.col("_in_stock"))
-             .groupBy(F.col("vehicle_id").alias("_av")).agg(F.min_by("_cust", "request_seq").alias("_adopter")))
-    r = r.join(adopt, F.col("vehicle_id") == F.col("_av"), "left")
-    owner_now = F.coalesce(F.col("_owner"), F.col("_adopter"))
     required = (_falsy(F.col("service_id")) | _falsy(F.col("vehicle_id")) | _falsy(F.col("booking_date"))
                 | _falsy(F.col("booking_time")))
+    # a request takes part in ownership once it passes every check that comes before it
+    takes_part = (~F.coalesce(required, F.lit(False)) & F.col("_sid").isNotNull() & F.coalesce("_in_stock", F.lit(False))
+                  & F.col("_vid").isNotNull() & (is_cust | (is_staff & ~_falsy(F.col("customer_id")))))
+    # the owner before each request: the customer of the last staff request (they reassign), else the first
+    # customer request of an unowned vehicle (it adopts); per vehicle the requests are few and ordered
+    vehicle = F.coalesce(F.col("vehicle_id").cast("string"), F.concat(F.lit("none "), F.col("request_seq").cast("string")))
+    before = Window.partitionBy(vehicle).orderBy("request_seq").rowsBetween(Window.unboundedPreceding, -1)
+    r = r.withColumn("_part", takes_part).withColumn(
+        "_staff_owner", F.last(F.when(F.col("_part") & is_staff, F.col("_cust")), ignorenulls=True).over(before)).withColumn(
+        "_adopter", F.first(F.when(F.col("_part") & is_cust, F.col("_cust")), ignorenulls=True).over(before))
+    owner_now = F.coalesce(F.col("_staff_owner"), F.col("_owner"), F.col("_adopter"),
+                           F.when(F.col("_part"), F.col("_cust")))
     reason = _first_reason(
         (required, R_REQUIRED_BOOKING),
         (F.col("_sid").isNull(), R_SERVICE_NOT_FOUND),
@@ -193,9 +205,10 @@ def apply_status_changes(g: Garage, changes: DataFrame, as_of_ts: str) -> DataFr
 
     admin/staff may set any of the five statuses; a mechanic only on its own
     bookings and only in-progress / completed; others are refused.  Setting
-    completed stamps ``completed_at``.  ``is_final`` marks the last accepted
-    change per booking (a ``max`` aggregate), whose status the new version
-    carries.
+    completed stamps ``completed_at``, which later changes keep.  ``is_final``
+    marks the last accepted change per booking (a ``max`` aggregate), whose
+    status the new version carries; it shows the stamp of any accepted
+    completion of its booking in the batch.
     """
     b = g.bookings.select(F.col("id").alias("_bid"), F.col("mechanic_id").alias("_bm"),
                           F.col("status").alias("old_status"))
@@ -212,9 +225,10 @@ def apply_status_changes(g: Garage, changes: DataFrame, as_of_ts: str) -> DataFr
         "completed_at", F.when(F.col("reject_reason").isNull() & (st == "completed"),
                                F.lit(as_of_ts).cast("timestamp_ntz")))
     last = (out.where(F.col("reject_reason").isNull()).groupBy(F.col("booking_id").alias("_lb"))
-            .agg(F.max("change_seq").alias("_last")))
+            .agg(F.max("change_seq").alias("_last"), F.max("completed_at").alias("_done_at")))
     return (out.join(last, (F.col("booking_id") == F.col("_lb")) & (F.col("change_seq") == F.col("_last")), "left")
             .withColumn("is_final", F.col("_last").isNotNull())
+            .withColumn("completed_at", F.coalesce("completed_at", "_done_at"))
             .select("change_seq", "booking_id", "actor_role", "actor_mechanic_id", "old_status", "new_status",
                     "reject_reason", "completed_at", "is_final"))
 
@@ -262,10 +276,12 @@ def apply_task_status(g: Garage, changes: DataFrame) -> DataFrame:
     """M5: (change_seq, ref, mechanic_id, status, now_min).
 
     ``ref`` names a booking assigned to the mechanic (its task is used, or
-    created with start = now and end = the booking's start) or a task id
+    created once, by its first accepted change, with start = now and end = the
+    booking's start) or a task id
     whose booking is assigned to the mechanic.  in-progress sets the start
     when unset (or equal to the end); completed sets the end when unset.
-    in-progress / completed are mirrored to the booking.
+    in-progress / completed are mirrored to the booking, completed with its time.
+    Later changes of the batch see what earlier ones have set.
     Resolution is two equi-joins (booking id, task id), never an OR join.
     """
     b = g.bookings.select(F.col("id").alias("_bid"), F.col("mechanic_id").alias("_bm"),
@@ -286,19 +302,47 @@ def apply_task_status(g: Garage, changes: DataFrame) -> DataFrame:
                            (~found_booking & ~found_task, R_TASK_NOT_FOUND))
     task_id = F.when(found_booking, F.col("_tid")).otherwise(F.col("_xt"))
     booking_id = F.when(found_booking, F.col("_bid")).otherwise(F.col("_xb"))
-    created = found_booking & F.col("_tid").isNull()
-    start0 = F.when(created, F.col("now_min")).when(found_booking, F.col("_ts")).otherwise(F.col("_xs"))
-    end0 = F.when(created, F.col("_bstart")).when(found_booking, F.col("_te")).otherwise(F.col("_xe"))
-    st = F.col("status")
-    start1 = F.when((st == "in-progress") & (start0.isNull() | (start0 == end0)), F.col("now_min")).otherwise(start0)
-    end1 = F.when((st == "completed") & end0.isNull(), F.col("now_min")).otherwise(end0)
-    out = c.select("change_seq", "ref", "mechanic_id", "status", reason.alias("reject_reason"),
-                   task_id.alias("task_id"), booking_id.alias("booking_id"), created.alias("task_created"),
-                   start1.alias("start_min"), end1.alias("end_min"),
-                   F.when(st.isin("in-progress", "completed"), st).alias("booking_status"))
-    ok = F.col("reject_reason").isNull()
-    return out.select(*[F.when(ok | F.lit(c in ("change_seq", "ref", "mechanic_id", "status", "reject_reason")),
-                               F.col(c)).alias(c) for c in out.columns])
+    new = found_booking & F.col("_tid").isNull()
+    out = c.select("change_seq", "ref", "mechanic_id", "status", "now_min", reason.alias("reject_reason"),
+                   task_id.alias("task_id"), booking_id.alias("booking_id"), new.alias("new"),
+                   F.when(found_booking, F.col("_ts")).otherwise(F.col("_xs")).alias("start_min"),
+                   F.when(new, F.col("_bstart")).when(found_booking, F.col("_te")).otherwise(F.col("_xe")).alias("end_min"))
+    checkpoint_dir(g.bookings.sparkSession)
+    out = out.checkpoint()
+    st, done = F.col("status"), F.col("reject_reason").isNull()
+    # changes of one task (or of the booking that gets one) in order, as a stream of sorted partitions
+    key = F.coalesce(F.col("task_id").cast("string"), F.concat_ws(" ", "booking_id", F.col("mechanic_id").cast("string")))
+    times = (out.where(done).select("change_seq", key.alias("task"), "status", "now_min", "new", "start_min", "end_min")
+             .repartition("task").sortWithinPartitions("task", "change_seq").mapInPandas(_task_times, _TASK_TIMES))
+    out = out.drop("new", "start_min", "end_min").join(times, "change_seq", "left")
+    return out.select("change_seq", "ref", "mechanic_id", "status", "reject_reason",
+                      F.when(done, F.col("task_id")).alias("task_id"), F.when(done, F.col("booking_id")).alias("booking_id"),
+                      "task_created", "start_min", "end_min",
+                      F.when(done & st.isin("in-progress", "completed"), st).alias("booking_status"),
+                      F.when(done & (st == "completed"), F.col("now_min")).alias("completed_min"))
+
+
+_TASK_TIMES = "change_seq long, task_created boolean, start_min int, end_min int"
+
+
+def _task_times(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Start and end of a task after each of its changes; the first change of a booking without task creates it."""
+    task, start, end, created = None, None, None, False
+    for df in batches:
+        out = []
+        for r in df.itertuples(index=False):
+            fresh = r.task != task
+            if fresh:
+                task, created = r.task, bool(r.new)
+                start, end = (None if pd.isna(x) else int(x) for x in (r.start_min, r.end_min))
+                start = int(r.now_min) if created else start
+            if r.status == "in-progress" and (start is None or start == end):
+                start = int(r.now_min)
+            if r.status == "completed" and end is None:
+                end = int(r.now_min)
+            out.append((r.change_seq, fresh and created, start, end))
+        frame = pd.DataFrame(out, columns=["change_seq", "task_created", "start_min", "end_min"])
+        yield frame.astype({"start_min": "Int64", "end_min": "Int64"})
 
 
 # --- M6 --------------------------------------------------------------------------
@@ -473,6 +517,8 @@ def cascade_delete_users(g: Garage, user_ids: DataFrame) -> Garage:
     customer: its bookings, testimonials, vehicles and customer row go;
     mechanic: bookings keep the row with ``mechanic_id`` NULL, the mechanic
     row goes; every user: activity rows go, ``created_by`` is NULLed.
+    Payments of a deleted booking go with it (ON DELETE CASCADE); so do, by our
+    rule, its mechanic tasks and field notes.
     All steps are semi / anti joins against the (small) deleted key sets.
     """
     ids = user_ids.select(F.col("user_id").alias("_u")).distinct()
@@ -483,7 +529,9 @@ def cascade_delete_users(g: Garage, user_ids: DataFrame) -> Garage:
          .withColumn("mechanic_id", F.when(F.col("_hit").isNull(), F.col("mechanic_id"))).drop("_gm", "_hit"))
     b = (b.join(ids.withColumn("_uh", F.lit(True)), F.col("created_by") == F.col("_u"), "left")
          .withColumn("created_by", F.when(F.col("_uh").isNull(), F.col("created_by"))).drop("_u", "_uh"))
+    gone_b = g.bookings.join(gone_c, F.col("customer_id") == F.col("_gc"), "left_semi")
     out = g.as_dict()
+    out.update(_without_booking_children(g, gone_b))
     out.update(
         bookings=b.select(*g.bookings.columns),
         testimonials=g.testimonials.join(gone_c, F.col("customer_id") == F.col("_gc"), "left_anti"),
@@ -496,10 +544,18 @@ def cascade_delete_users(g: Garage, user_ids: DataFrame) -> Garage:
     return Garage(**out)
 
 
+def _without_booking_children(g: Garage, gone_bookings: DataFrame) -> dict[str, DataFrame]:
+    """Payments, tasks and field notes of the bookings left; children that named no booking stay."""
+    gone = gone_bookings.select(F.col("id").alias("_gb"))
+    return {t: g.as_dict()[t].join(gone, F.col("booking_id") == F.col("_gb"), "left_anti")
+            for t in ("payments", "mechanic_tasks", "field_notes")}
+
+
 def delete_services(g: Garage, service_ids: DataFrame) -> Garage:
-    """Delete services; their bookings go too (ON DELETE CASCADE)."""
+    """Delete services; their bookings go too (ON DELETE CASCADE), and those bookings' payments, tasks and notes."""
     ids = service_ids.select(F.col("service_id").alias("_s")).distinct()
     out = g.as_dict()
+    out.update(_without_booking_children(g, g.bookings.join(ids, F.col("service_id") == F.col("_s"), "left_semi")))
     out.update(services=g.services.join(ids, F.col("id") == F.col("_s"), "left_anti"),
                bookings=g.bookings.join(ids, F.col("service_id") == F.col("_s"), "left_anti"))
     return Garage(**out)
@@ -550,19 +606,21 @@ def append_field_notes(g: Garage, notes: DataFrame) -> DataFrame:
 def provision_users(g: Garage, rows: DataFrame) -> DataFrame:
     """(row_seq, email, name, role, specialization, experience, address).
 
-    Rejects e-mails already stored or repeated earlier in the batch and
-    mechanics without specialization/experience; accepted rows get a new
+    Rejects rows without e-mail, name or a known role, e-mails already stored
+    or repeated earlier in the batch (compared as written) and mechanics
+    without specialization/experience; accepted rows get a new
     user id after the largest existing one (M14 numbering), initials (E1)
     and their role row (customer or mechanic).
     """
-    known = g.users.select(F.lower("email").alias("_e")).distinct().withColumn("_known", F.lit(True))
-    r = rows.join(known, F.lower("email") == F.col("_e"), "left")
+    known = g.users.select(F.col("email").alias("_e")).distinct().withColumn("_known", F.lit(True))
+    r = rows.join(known, F.col("email") == F.col("_e"), "left")
     mech = F.col("role") == "mechanic"
-    base = _first_reason((F.col("_known").isNotNull(), R_EMAIL_IN_USE),
+    missing = _falsy(F.col("email")) | _falsy(F.col("name")) | _falsy(F.col("role"))
+    base = _first_reason((missing, R_USER_REQUIRED), (~F.col("role").isin(*USER_ROLES), R_USER_ROLE), (F.col("_known").isNotNull(), R_EMAIL_IN_USE),
                          (mech & (_falsy(F.col("specialization")) | F.col("experience").isNull()), R_MECHANIC_FIELDS))
     r = r.withColumn("_r", base)
-    first = r.where(F.col("_r").isNull()).groupBy(F.lower("email").alias("_fe")).agg(F.min("row_seq").alias("_first"))
-    r = r.join(first, F.lower("email") == F.col("_fe"), "left")
+    first = r.where(F.col("_r").isNull()).groupBy(F.col("email").alias("_fe")).agg(F.min("row_seq").alias("_first"))
+    r = r.join(first, F.col("email") == F.col("_fe"), "left")
     reason = F.coalesce(F.col("_r"), F.when(F.col("row_seq") != F.col("_first"), F.lit(R_EMAIL_IN_USE)))
     r = r.withColumn("reject_reason", reason).drop("_e", "_known", "_r", "_fe", "_first")
     top = g.users.select(F.max("id")).scalar()        # scalar subquery, evaluated once

@@ -84,6 +84,16 @@ def order_newest_first(df: DataFrame) -> DataFrame:
                       F.col("id").asc_nulls_last())
 
 
+def joinable(g: Garage, bookings: DataFrame, vehicle: bool = False) -> DataFrame:
+    """``bookings`` whose service, customer (with its user) and, if asked, vehicle exist: semi joins on keys only."""
+    owners = g.customers.join(g.users.select(F.col("id").alias("_uid")), F.col("user_id") == F.col("_uid"), "left_semi")
+    out = (bookings.join(g.services.select(F.col("id").alias("_sid")), F.col("service_id") == F.col("_sid"), "left_semi")
+           .join(owners.select(F.col("id").alias("_cid")), F.col("customer_id") == F.col("_cid"), "left_semi"))
+    if vehicle:
+        out = out.join(g.vehicles.select(F.col("id").alias("_vid")), F.col("vehicle_id") == F.col("_vid"), "left_semi")
+    return out
+
+
 def todays_bookings(g: Garage, as_of: Date) -> DataFrame:
     """J1 restricted to one date, by start time."""
     day = g.bookings.where(F.col("booking_date") == _d(as_of))
@@ -91,8 +101,12 @@ def todays_bookings(g: Garage, as_of: Date) -> DataFrame:
 
 
 def recent_bookings(g: Garage, n: int = 10) -> DataFrame:
-    """Newest ``n`` bookings with customer and service name (top-k)."""
-    b = g.bookings.select("id", "booking_date", "status", "total_price", "customer_id", "service_id")
+    """Newest ``n`` bookings that have a customer and a service, with their names (top-k).
+
+    Key-only semi joins come before the cut, so a booking that the name joins
+    would drop takes no place.
+    """
+    b = joinable(g, g.bookings.select("id", "booking_date", "status", "total_price", "customer_id", "service_id"))
     top = b.orderBy(F.col("booking_date").desc_nulls_first(), F.col("id").desc()).limit(n)
     return (top.join(_owners(g), F.col("customer_id") == F.col("_cid"))
             .join(_services(g), F.col("service_id") == F.col("_sid"))

@@ -25,7 +25,7 @@ from wrenchflow.functions import dates as D
 from wrenchflow.functions.exprs import hours_between, round_half_up, weekday0
 from wrenchflow.functions.predicates import Date, _d, last_n_days, period_to_date
 from wrenchflow.model import BOOKING_STATUSES, REVENUE_PERIODS
-from wrenchflow.operators.enrich import customer_names, mechanic_names, bookings_enriched
+from wrenchflow.operators.enrich import bookings_enriched, customer_names, joinable, mechanic_names
 from wrenchflow.sources.tables import Garage
 
 
@@ -372,7 +372,9 @@ def generate_report(g: Garage, report_type: str, report_date: Date) -> DataFrame
 def period_growth(g: Garage, range_name: str, as_of: Date) -> DataFrame:
     """Bookings now vs the previous period and growth % (Math.round, 0 if no base)."""
     s, e, ps, pe = D.insight_range(range_name, as_of)
-    row = g.bookings.agg(_count_if(_in_range(s, e)).alias("current_bookings"),
+    both = g.bookings.where(_in_range(ps, pe) | _in_range(s, e)).where(  # the outer bounds reach the scan
+        (F.col("booking_date") >= _d(min(ps, s))) & (F.col("booking_date") <= _d(max(pe, e))))
+    row = both.agg(_count_if(_in_range(s, e)).alias("current_bookings"),
                          _count_if(_in_range(ps, pe)).alias("previous_bookings"))
     growth = F.when(F.col("previous_bookings") > 0,
                     round_half_up((F.col("current_bookings") - F.col("previous_bookings")) * 100.0
@@ -505,7 +507,8 @@ def mechanic_day_week_stats(g: Garage, as_of: Date) -> DataFrame:
     """
     ws, we = D.week_bounds_sunday(as_of)
     today = _d(as_of)
-    days = g.bookings.select(F.col("id").alias("_bid"), "booking_date")
+    # only this week's bookings count; today lies in this week
+    days = g.bookings.where(_in_range(ws, we)).select(F.col("id").alias("_bid"), "booking_date")
     t = g.mechanic_tasks.join(days, F.col("booking_id") == F.col("_bid"))
     stats = t.groupBy(F.col("mechanic_id").alias("_tm")).agg(
         _count_if((F.col("status") == "completed") & (F.col("booking_date") == today)).alias("completed_today"),
@@ -581,9 +584,9 @@ def upcoming_bookings(g: Garage, as_of: Date, k: int = 10) -> DataFrame:
     """A35 (contract view ``upcoming_bookings``).
 
     Our definition: the next ``k`` live (not cancelled / completed) bookings
-    dated on or after ``as_of``, enriched as J1, earliest first.
+    dated on or after ``as_of`` that J1 lists, enriched as J1, earliest first.
     """
-    b = g.bookings.where((F.col("booking_date") >= _d(as_of)) & ~F.col("status").isin("cancelled", "completed"))
+    b = joinable(g, g.bookings, vehicle=True).where((F.col("booking_date") >= _d(as_of)) & ~F.col("status").isin("cancelled", "completed"))
     top = b.orderBy(F.col("booking_date").asc(), F.col("start_min").asc_nulls_last(), F.col("id").asc()).limit(k)
     return bookings_enriched(g, top).select("id", "booking_date", "start_min", "status", "customer_name",
                                             "service_name", "mechanic_name", "make", "model", "license_plate")

@@ -63,32 +63,43 @@ _GARAGES: dict[tuple[str, int, str], Garage] = {}
 
 
 def garage_for(spark: SparkSession, sf_dir: str) -> Garage:
-    """The shop tables bound from ``sf_dir``, materialised once per session.
-
-    Production reads stored shop tables (``load_tables``); here the binding
-    is written once as Parquet under the session's shared checkpoint folder
-    and every query reads those files, so queries neither re-derive the
-    binding nor carry its lineage.  Bookings are range-partitioned and
-    sorted by date so date predicates skip files and row groups.
+    """The shop tables bound from ``sf_dir``, each materialised once per session when first used.
+
+    Production reads stored shop tables (``load_tables``); here a table of the
+    binding is written as Parquet under the session's shared checkpoint
+    folder by the first query that uses it, and later queries read those
+    files, so queries neither re-derive the binding nor carry its lineage.
+    Bookings are range-partitioned and sorted by date so date predicates
+    skip files and row groups.
     """
     key = (spark.sparkContext.applicationId, id(spark), sf_dir)
     cached = _GARAGES.get(key)
     if cached is None or cached.bookings.sparkSession is not spark:
         path = scratch_path(spark, f"garage/{uuid.uuid4().hex}")
-        _GARAGES[key] = materialise(bind(spark, sf_dir, jobs_path=f"{path}/_jobs"), path)
+        _GARAGES[key] = StoredGarage(bind(spark, sf_dir), path)
     return _GARAGES[key]
 
 
-def materialise(g: Garage, path: str, booking_files: int | None = None) -> Garage:
-    """Write every table of ``g`` under ``path`` and return the tables read back."""
-    out = {}
-    for name, df in g.as_dict().items():
-        if name == "bookings":
-            n = booking_files or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-            df = df.repartitionByRange(n, "booking_date").sortWithinPartitions("booking_date", "id")
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
-        out[name] = df.sparkSession.read.parquet(f"{path}/{name}")
-    return Garage(**out)
+class StoredGarage(Garage):
+    """A bound garage whose tables are written under ``path`` one by one, at first use."""
+
+    def __init__(self, bound: Garage, path: str):
+        self._bound, self._path, self._stored = bound, path, {}
+
+    def __getattribute__(self, name: str):
+        if name not in Garage.__dataclass_fields__:
+            return object.__getattribute__(self, name)
+        if name not in self._stored:
+            self._stored[name] = _store(getattr(self._bound, name), f"{self._path}/{name}", name)
+        return self._stored[name]
+
+
+def _store(df: DataFrame, path: str, name: str) -> DataFrame:
+    if name == "bookings":
+        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        df = df.repartitionByRange(n, "booking_date").sortWithinPartitions("booking_date", "id")
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def spark_callable(q: Query) -> Callable[[SparkSession, str], DataFrame]:

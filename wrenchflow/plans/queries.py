@@ -65,8 +65,8 @@ def q_todays_bookings(g):
 @register("recent_bookings", f"""
 SELECT b.id, CAST(b.booking_date AS VARCHAR) AS booking_date, b.status, CAST(b.total_price AS DOUBLE) AS total_price,
   u.name AS customer_name, s.name AS service_name
-FROM (SELECT * FROM bookings ORDER BY booking_date DESC, id DESC LIMIT 10) b
-JOIN {CUST} ON b.customer_id = c.id JOIN services s ON b.service_id = s.id""")
+FROM bookings b JOIN {CUST} ON b.customer_id = c.id JOIN services s ON b.service_id = s.id
+ORDER BY b.booking_date DESC, b.id DESC LIMIT 10""")
 def q_recent_bookings(g):
     """Newest ten bookings with customer and service names."""
     return J.recent_bookings(g, 10)
@@ -715,10 +715,11 @@ def q_generate_booking_report(g):
 @register("upcoming_bookings", f"""
 SELECT b.id, CAST(b.booking_date AS VARCHAR) AS booking_date, b.start_min, b.status, u.name AS customer_name,
   s.name AS service_name, mu.name AS mechanic_name, v.make, v.model, v.license_plate
-FROM (SELECT * FROM bookings WHERE booking_date >= DATE '{AS_OF}' AND status NOT IN ('cancelled', 'completed')
-      ORDER BY booking_date, start_min, id LIMIT 10) b
+FROM bookings b
 JOIN services s ON b.service_id = s.id JOIN {CUST} ON b.customer_id = c.id JOIN vehicles v ON b.vehicle_id = v.id
-LEFT JOIN {MECH} ON b.mechanic_id = m.id""")
+LEFT JOIN {MECH} ON b.mechanic_id = m.id
+WHERE b.booking_date >= DATE '{AS_OF}' AND b.status NOT IN ('cancelled', 'completed')
+ORDER BY b.booking_date, b.start_min, b.id LIMIT 10""")
 def q_upcoming_bookings(g):
     """Next ten live bookings from AS_OF."""
     return A.upcoming_bookings(g, AS_OF)
@@ -995,10 +996,10 @@ SVC_COLS = ("id, name, description, category, CAST(price AS DOUBLE) AS price, es
             "featured, stock")
 
 
-@register("search_services", f"SELECT {SVC_COLS} FROM services WHERE name ILIKE '%steel%' OR description ILIKE '%steel%'")
+@register("search_services", f"SELECT {SVC_COLS} FROM services WHERE name ILIKE '%gear%' OR description ILIKE '%gear%'")
 def q_search_services(g):
-    """P3 + E11: services whose name or description contains 'steel', with in_stock = stock > 0."""
-    return L.search_services(g, term="steel")
+    """P3 + E11: services whose name or description contains 'gear', with in_stock = stock > 0."""
+    return L.search_services(g, term="gear")
 
 
 @register("services_by_category", f"SELECT {SVC_COLS} FROM services WHERE category = 'PROMO'")
@@ -1206,15 +1207,17 @@ LEAD_SQL = "(SELECT visit_id, min(mechanic_id) AS lead FROM bookings WHERE mecha
 @register("apply_new_bookings", f"""
 WITH req AS (
   SELECT {NUM.format(c='b.id')} AS request_seq, b.customer_id AS cust, b.service_id, b.vehicle_id,
-    CAST(b.booking_date + INTERVAL 30 DAY AS DATE) AS booking_date, b.start_min, 'follow-up' AS notes,
+    CASE WHEN {NUM.format(c='b.id')} % 13 <> 5 THEN CAST(b.booking_date + INTERVAL 30 DAY AS DATE) END AS booking_date,
+    b.start_min, 'follow-up' AS notes,
     p.payment_method, p.is_down_payment, p.down_payment_percent, p.down_payment_amount
   FROM bookings b LEFT JOIN payments p ON b.visit_id = p.visit_id WHERE b.status = 'completed' AND b.rating = 5),
 r AS (SELECT req.*, s.id AS sid, s.in_stock, s.price, v.id AS vid, v.customer_id AS owner
       FROM req LEFT JOIN services s ON req.service_id = s.id LEFT JOIN vehicles v ON req.vehicle_id = v.id),
-adopt AS (SELECT vehicle_id, arg_min(cust, request_seq) AS adopter FROM r
-          WHERE vid IS NOT NULL AND owner IS NULL AND sid IS NOT NULL AND in_stock GROUP BY vehicle_id),
-chk AS (SELECT r.*, coalesce(r.owner, a.adopter) AS owner_now,
-  CASE WHEN coalesce(r.service_id, 0) = 0 OR coalesce(r.vehicle_id, 0) = 0
+adopt AS (SELECT vehicle_id, arg_min(cust, request_seq) AS adopter, min(request_seq) AS since FROM r
+          WHERE vid IS NOT NULL AND owner IS NULL AND sid IS NOT NULL AND in_stock
+            AND booking_date IS NOT NULL AND start_min IS NOT NULL GROUP BY vehicle_id),
+chk AS (SELECT r.*, coalesce(r.owner, CASE WHEN a.since <= r.request_seq THEN a.adopter END) AS owner_now,
+  CASE WHEN coalesce(r.service_id, 0) = 0 OR coalesce(r.vehicle_id, 0) = 0 OR r.booking_date IS NULL OR r.start_min IS NULL
          THEN 'Service, vehicle, date and time are required'
        WHEN r.sid IS NULL THEN 'Service not found'
        WHEN NOT r.in_stock THEN 'Service is currently unavailable'
@@ -1247,6 +1250,8 @@ WITH ch AS (
   SELECT id AS change_seq, booking_id, status AS new_status, 'mechanic' AS actor_role, mechanic_id AS actor_mechanic_id
   FROM mechanic_tasks
   UNION ALL
+  SELECT 2 * {BIG} + id, booking_id, 'in-progress', 'mechanic', mechanic_id FROM mechanic_tasks WHERE status = 'completed'
+  UNION ALL
   SELECT {BIG} + {NUM.format(c='b.id')}, b.id, 'completed', 'mechanic', l.lead
   FROM bookings b JOIN {LEAD_SQL} l ON b.visit_id = l.visit_id WHERE b.status = 'in-progress'),
 c AS (SELECT ch.*, b.status AS old_status,
@@ -1260,9 +1265,10 @@ c AS (SELECT ch.*, b.status AS old_status,
        WHEN actor_role IS NULL OR actor_role NOT IN ('admin', 'staff', 'mechanic')
          THEN 'Not authorized to update booking status' END AS reject_reason
   FROM ch LEFT JOIN bookings b ON ch.booking_id = b.id),
-l AS (SELECT booking_id, max(change_seq) AS last FROM c WHERE reject_reason IS NULL GROUP BY booking_id)
+l AS (SELECT booking_id, max(change_seq) AS last, bool_or(new_status = 'completed') AS done FROM c
+      WHERE reject_reason IS NULL GROUP BY booking_id)
 SELECT c.change_seq, c.booking_id, c.actor_role, c.actor_mechanic_id, c.old_status, c.new_status, c.reject_reason,
-  CASE WHEN c.reject_reason IS NULL AND c.new_status = 'completed' THEN '{M2_TS}' END AS completed_at,
+  CASE WHEN c.reject_reason IS NULL AND (c.new_status = 'completed' OR l.done) THEN '{M2_TS}' END AS completed_at,
   l.last IS NOT NULL AS is_final
 FROM c LEFT JOIN l ON c.booking_id = l.booking_id AND c.change_seq = l.last""")
 def q_apply_status_changes(g):
@@ -1301,7 +1307,10 @@ WITH ch AS (
   FROM bookings WHERE status = 'confirmed'
   UNION ALL
   SELECT {BIG} + id, CAST(id AS VARCHAR), mechanic_id, 'completed', start_min + 60 FROM mechanic_tasks
-  WHERE status = 'in-progress'),
+  WHERE status = 'in-progress'
+  UNION ALL
+  SELECT 2 * {BIG} + {NUM.format(c='id')}, id, mechanic_id, 'completed', start_min + 50
+  FROM bookings WHERE status = 'confirmed'),
 c AS (SELECT ch.*, b.id AS bid, b.start_min AS bstart, t.id AS tid, t.start_min AS ts, t.end_min AS te
       FROM ch LEFT JOIN bookings b ON ch.ref = b.id AND ch.mechanic_id = b.mechanic_id
       LEFT JOIN mechanic_tasks t ON b.id = t.booking_id AND ch.mechanic_id = t.mechanic_id),
@@ -1312,18 +1321,23 @@ y AS (SELECT x.*,
   CASE WHEN NOT coalesce(status IN ('pending', 'in-progress', 'completed'), false)
          THEN 'Valid status is required (pending, in-progress, completed)'
        WHEN bid IS NULL AND xt IS NULL THEN 'Task or booking not found or not assigned to you' END AS reject_reason,
-  bid IS NOT NULL AND tid IS NULL AS created,
-  CASE WHEN bid IS NOT NULL AND tid IS NULL THEN now_min WHEN bid IS NOT NULL THEN ts ELSE xs END AS s0,
-  CASE WHEN bid IS NOT NULL AND tid IS NULL THEN bstart WHEN bid IS NOT NULL THEN te ELSE xe END AS e0 FROM x)
+  bid IS NOT NULL AND tid IS NULL AS fresh FROM x),
+z AS (SELECT y.*, first_value(change_seq) OVER w AS first_seq, first_value(now_min) OVER w AS first_now FROM y
+      WINDOW w AS (PARTITION BY reject_reason IS NULL, coalesce(CAST(coalesce(tid, xt) AS VARCHAR), concat(bid, ' ', mechanic_id))
+                   ORDER BY change_seq)),
+-- a new task starts at its first change and ends at the booking's start; an existing one is changed at most once here
+v AS (SELECT z.*, CASE WHEN fresh THEN first_now WHEN bid IS NOT NULL THEN ts ELSE xs END AS s0,
+        CASE WHEN fresh THEN bstart WHEN bid IS NOT NULL THEN te ELSE xe END AS e0 FROM z)
 SELECT change_seq, ref, mechanic_id, status, reject_reason,
   CASE WHEN reject_reason IS NULL THEN CASE WHEN bid IS NOT NULL THEN tid ELSE xt END END AS task_id,
   CASE WHEN reject_reason IS NULL THEN CASE WHEN bid IS NOT NULL THEN bid ELSE xb END END AS booking_id,
-  CASE WHEN reject_reason IS NULL THEN created END AS task_created,
+  CASE WHEN reject_reason IS NULL THEN fresh AND change_seq = first_seq END AS task_created,
   CASE WHEN reject_reason IS NULL THEN CASE WHEN status = 'in-progress' AND (s0 IS NULL OR s0 = e0) THEN now_min
                                             ELSE s0 END END AS start_min,
   CASE WHEN reject_reason IS NULL THEN CASE WHEN status = 'completed' AND e0 IS NULL THEN now_min ELSE e0 END END AS end_min,
-  CASE WHEN reject_reason IS NULL THEN CASE WHEN status IN ('in-progress', 'completed') THEN status END END AS booking_status
-FROM y""")
+  CASE WHEN reject_reason IS NULL THEN CASE WHEN status IN ('in-progress', 'completed') THEN status END END AS booking_status,
+  CASE WHEN reject_reason IS NULL AND status = 'completed' THEN now_min END AS completed_min
+FROM v""")
 def q_apply_task_status(g):
     """M5 + J11: mechanics start confirmed jobs by booking id and finish tasks by task id."""
     return M.apply_task_status(g, SI.task_status_changes(g))
@@ -1455,14 +1469,17 @@ SELECT 'testimonials' AS table_name, count(*) AS row_count FROM testimonials WHE
 UNION ALL SELECT 'vehicles', count(*) FROM vehicles WHERE customer_id IS NULL OR customer_id NOT IN (SELECT id FROM gc)
 UNION ALL SELECT 'customers', count(*) FROM customers WHERE id NOT IN (SELECT id FROM gc)
 UNION ALL SELECT 'mechanics', count(*) FROM mechanics WHERE id NOT IN (SELECT id FROM gm)
-UNION ALL SELECT 'users', count(*) FROM users WHERE id NOT IN (SELECT id FROM ids)""")
+UNION ALL SELECT 'users', count(*) FROM users WHERE id NOT IN (SELECT id FROM ids)
+{"".join(f"""UNION ALL SELECT '{t}', count(*) FROM {t} WHERE booking_id IS NULL OR booking_id NOT IN
+  (SELECT id FROM bookings WHERE customer_id IN (SELECT id FROM gc))
+""" for t in ("payments", "mechanic_tasks", "field_notes"))}""")
 def q_cascade_delete_summary(g):
     """Row counts of the other cascaded tables after the delete."""
     from functools import reduce
     from pyspark.sql import functions as F
     after = M.cascade_delete_users(g, _inactive_users(g))
     parts = [getattr(after, t).agg(F.count("*").alias("row_count")).select(F.lit(t).alias("table_name"), "row_count")
-             for t in ("testimonials", "vehicles", "customers", "mechanics", "users")]
+             for t in ("testimonials", "vehicles", "customers", "mechanics", "users", "payments", "mechanic_tasks", "field_notes")]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
@@ -1475,6 +1492,22 @@ def q_delete_services(g):
     return M.delete_services(g, ids).bookings.select("id", "service_id")
 
 
+@register("delete_services_children", """
+WITH gone AS (SELECT id FROM bookings WHERE service_id IN (SELECT id FROM services WHERE NOT in_stock))
+SELECT 'payments' AS table_name, count(*) AS row_count FROM payments WHERE booking_id IS NULL OR booking_id NOT IN (SELECT id FROM gone)
+UNION ALL SELECT 'mechanic_tasks', count(*) FROM mechanic_tasks WHERE booking_id IS NULL OR booking_id NOT IN (SELECT id FROM gone)
+UNION ALL SELECT 'field_notes', count(*) FROM field_notes WHERE booking_id IS NULL OR booking_id NOT IN (SELECT id FROM gone)""")
+def q_delete_services_children(g):
+    """Rows left of the tables below bookings after deleting the out-of-stock services."""
+    from functools import reduce
+    from pyspark.sql import functions as F
+    ids = g.services.where(~F.col("in_stock")).select(F.col("id").alias("service_id"))
+    after = M.delete_services(g, ids)
+    parts = [getattr(after, t).agg(F.count("*").alias("row_count")).select(F.lit(t).alias("table_name"), "row_count")
+             for t in ("payments", "mechanic_tasks", "field_notes")]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 @register("delete_vehicles", """
 SELECT v.id AS vehicle_id,
   CASE WHEN v.id IN (SELECT vehicle_id FROM bookings) THEN 'Cannot delete vehicle that is used in bookings' END AS reject_reason,
@@ -1524,13 +1557,18 @@ WITH rows AS (
   UNION ALL
   SELECT {BIG} + customer_id, concat('thread', CAST(customer_id AS VARCHAR), '@example.com'),
     concat('Chat Customer ', CAST(customer_id AS VARCHAR)), 'customer', NULL, NULL, 'online'
-  FROM (SELECT DISTINCT customer_id FROM customer_messages)),
-x AS (SELECT rows.*, CASE WHEN lower(email) IN (SELECT lower(email) FROM users) THEN 'Email already in use'
+  FROM (SELECT DISTINCT customer_id FROM customer_messages)
+  UNION ALL
+  SELECT 2 * {BIG} + id, CASE WHEN id % 2 = 0 THEN concat('new', email) END, name, 'pirate', NULL, NULL, NULL
+  FROM users WHERE role = 'customer'),
+x AS (SELECT rows.*, CASE WHEN coalesce(email, '') = '' OR coalesce(name, '') = '' OR coalesce(role, '') = '' THEN 'All fields are required'
+                          WHEN role NOT IN ('admin', 'staff', 'mechanic', 'customer', 'owner') THEN 'Invalid role specified'
+                          WHEN email IN (SELECT email FROM users) THEN 'Email already in use'
                           WHEN role = 'mechanic' AND (specialization IS NULL OR specialization = '' OR experience IS NULL)
                             THEN 'Specialization and experience are required for mechanics' END AS r FROM rows),
-f AS (SELECT lower(email) AS e, min(row_seq) AS first FROM x WHERE r IS NULL GROUP BY 1),
+f AS (SELECT email AS e, min(row_seq) AS first FROM x WHERE r IS NULL GROUP BY 1),
 y AS (SELECT x.*, coalesce(x.r, CASE WHEN x.row_seq <> f.first THEN 'Email already in use' END) AS reject_reason
-      FROM x LEFT JOIN f ON lower(x.email) = f.e)
+      FROM x LEFT JOIN f ON x.email = f.e)
 SELECT row_seq, email, name, role, specialization, experience, address, reject_reason,
   CASE WHEN reject_reason IS NULL THEN (SELECT max(id) FROM users)
        + row_number() OVER (PARTITION BY reject_reason IS NULL ORDER BY row_seq) END AS user_id,
@@ -1563,15 +1601,23 @@ def q_refresh_stats_table(g):
     return S.refresh_stats_table(A.dashboard_stats(g, AS_OF), _run_dir(g, "dashboard_stats"))
 
 
-@register("append_report")
+@register("append_report", REGISTRY["generate_report"].sql)
 def q_append_report(g):
-    """The generated monthly report appended to the reports table and read back (no SQL oracle: writes)."""
+    """The generated monthly report appended to the reports table; this run's rows read back."""
     return S.append_report(A.generate_report(g, "monthly", "2000-06-15"), _run_dir(g, "reports"))
 
 
-@register("append_audit_log")
+@register("append_report_empty_period", REGISTRY["generate_report"].sql.replace(M_START, "1950-03-01")
+          .replace(M_END, "1950-03-31").replace("2000-06-15", "1950-03-15"))
+def q_append_report_empty_period(g):
+    """The report of a month without bookings (NULL rating and names) is appended and read back too."""
+    return S.append_report(A.generate_report(g, "monthly", "1950-03-15"), _run_dir(g, "reports"))
+
+
+@register("append_audit_log", "SELECT user_id, audit_action AS action, audit_table AS table_name, booking_id AS record_id, "
+          "old_values, new_values FROM (" + REGISTRY["apply_cancellations"].sql + ") WHERE reject_reason IS NULL")
 def q_append_audit_log(g):
-    """Audit rows of accepted cancellations appended and read back (no SQL oracle: writes)."""
+    """Audit rows of accepted cancellations appended; this run's rows read back."""
     from pyspark.sql import functions as F
     c = M.apply_cancellations(g, SI.cancellation_requests(g, SINCE)).where(F.col("reject_reason").isNull())
     audit = c.select(F.col("user_id"), F.col("audit_action").alias("action"), F.col("audit_table").alias("table_name"),

@@ -22,14 +22,15 @@ def _key(c: str = "id"):
 
 
 def new_booking_requests(g: Garage) -> DataFrame:
-    """Customers re-book a 5-star job 30 days later at the same time, paying like the visit did."""
+    """Customers re-book a 5-star job 30 days later at the same time, paying like the visit did; some forget the date."""
     b = g.bookings.where((F.col("status") == "completed") & (F.col("rating") == 5))
     p = g.payments.select(F.col("visit_id").alias("_pv"), "payment_method", "is_down_payment",
                           "down_payment_percent", "down_payment_amount")
     return (b.join(p, F.col("visit_id") == F.col("_pv"), "left").select(
         _key().alias("request_seq"), F.lit("customer").alias("role"),
         F.col("customer_id").alias("requester_customer_id"), F.lit(None).cast("long").alias("customer_id"),
-        "service_id", "vehicle_id", F.date_add("booking_date", 30).cast("string").alias("booking_date"),
+        "service_id", "vehicle_id",
+        F.when(_key() % 13 != 5, F.date_add("booking_date", 30).cast("string")).alias("booking_date"),
         hhmm("start_min").alias("booking_time"), F.lit("follow-up").alias("notes"),
         F.lit(None).cast("long").alias("mechanic_id"), F.lit(None).cast("string").alias("customer_name"),
         "payment_method", F.col("is_down_payment").cast("string").alias("is_down_payment"),
@@ -37,7 +38,8 @@ def new_booking_requests(g: Garage) -> DataFrame:
 
 
 def status_change_set(g: Garage) -> DataFrame:
-    """Mechanics mirror their task statuses; each visit's lead mechanic completes its in-progress jobs."""
+    """Mechanics mirror their task statuses; each visit's lead mechanic completes its in-progress jobs;
+    completed ones are reported in progress again."""
     t = g.mechanic_tasks.select(F.col("id").alias("change_seq"), "booking_id", F.col("status").alias("new_status"),
                                 F.lit("mechanic").alias("actor_role"), F.col("mechanic_id").alias("actor_mechanic_id"))
     b = g.bookings
@@ -46,7 +48,9 @@ def status_change_set(g: Garage) -> DataFrame:
          .select((F.lit(BIG) + _key()).alias("change_seq"), F.col("id").alias("booking_id"),
                  F.lit("completed").alias("new_status"), F.lit("mechanic").alias("actor_role"),
                  F.col("lead").alias("actor_mechanic_id")))
-    return t.unionByName(c)
+    reopened = t.where(F.col("new_status") == "completed").withColumn("new_status", F.lit("in-progress")).withColumn(
+        "change_seq", F.col("change_seq") + 2 * BIG)
+    return t.unionByName(c).unionByName(reopened)
 
 
 def cancellation_requests(g: Garage, since: str) -> DataFrame:
@@ -60,14 +64,18 @@ def cancellation_requests(g: Garage, since: str) -> DataFrame:
 
 
 def task_status_changes(g: Garage) -> DataFrame:
-    """Mechanics start their confirmed jobs (by booking id) and finish running tasks (by task id)."""
+    """Mechanics start their confirmed jobs (by booking id), finish running tasks (by task id) and then the
+    jobs they started (by booking id)."""
     start = g.bookings.where(F.col("status") == "confirmed").select(
         _key().alias("change_seq"), F.col("id").alias("ref"), "mechanic_id",
         F.lit("in-progress").alias("status"), (F.col("start_min") + 5).alias("now_min"))
     finish = g.mechanic_tasks.where(F.col("status") == "in-progress").select(
         (F.lit(BIG) + F.col("id")).alias("change_seq"), F.col("id").cast("string").alias("ref"), "mechanic_id",
         F.lit("completed").alias("status"), (F.col("start_min") + 60).alias("now_min"))
-    return start.unionByName(finish)
+    again = g.bookings.where(F.col("status") == "confirmed").select(
+        (F.lit(2 * BIG) + _key()).alias("change_seq"), F.col("id").alias("ref"), "mechanic_id",
+        F.lit("completed").alias("status"), (F.col("start_min") + 50).alias("now_min"))
+    return start.unionByName(finish).unionByName(again)
 
 
 def payment_decisions(g: Garage) -> DataFrame:
@@ -141,7 +149,8 @@ def field_note_appends(g: Garage) -> DataFrame:
 
 
 def user_rows(g: Garage, conversations: DataFrame | None = None) -> DataFrame:
-    """Mechanic accounts re-submitted (already known) and a customer account per chat thread."""
+    """Mechanic accounts re-submitted (already known) and a customer account per chat thread;
+    rows without e-mail or with an unknown role."""
     again = g.users.where(F.col("role") == "mechanic").select(
         F.col("id").alias("row_seq"), "email", "name", "role", F.lit("general").alias("specialization"),
         F.lit(1).alias("experience"), F.lit(None).cast("string").alias("address"))
@@ -151,7 +160,12 @@ def user_rows(g: Garage, conversations: DataFrame | None = None) -> DataFrame:
         F.concat(F.lit("Chat Customer "), F.col("customer_id").cast("string")).alias("name"),
         F.lit("customer").alias("role"), F.lit(None).cast("string").alias("specialization"),
         F.lit(None).cast("int").alias("experience"), F.lit("online").alias("address"))
-    return again.unionByName(threads)
+    wrong = g.users.where(F.col("role") == "customer").select(
+        (F.lit(2 * BIG) + F.col("id")).alias("row_seq"),
+        F.when(F.col("id") % 2 == 0, F.concat(F.lit("new"), F.col("email"))).alias("email"), "name",
+        F.lit("pirate").alias("role"), F.lit(None).cast("string").alias("specialization"),
+        F.lit(None).cast("int").alias("experience"), F.lit(None).cast("string").alias("address"))
+    return again.unionByName(threads).unionByName(wrong)
 
 
 def legacy_bookings(g: Garage) -> DataFrame:

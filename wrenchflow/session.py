@@ -13,8 +13,8 @@ The settings below are the ones the operators rely on:
 
 from __future__ import annotations
 
-import os
-import tempfile
+import re
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -50,23 +50,24 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder used to cut lineage (``DataFrame.checkpoint``).
+    """The shared folder used to cut lineage (``DataFrame.checkpoint``) and for scratch tables.
 
     Reads ``spark.checkpoint.dir`` from the session, which a cluster sets to
-    shared storage.  Only when it is unset (local tests) a scratch folder is
-    created and registered.
+    shared storage; without it a session on a cluster is refused, since its
+    executors have no common local disk.  A local session (tests) uses a
+    new folder below the JVM's temporary one.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        spark.sparkContext.setCheckpointDir(configured)
-        return configured
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
-    local = tempfile.mkdtemp(prefix="wrenchflow-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    spark.conf.set("spark.checkpoint.dir", local)
-    spark.sparkContext.setCheckpointDir(local)
-    return local
+    if not configured:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        current = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if current.isDefined():
+            return current.get()
+        configured = f"{spark._jvm.System.getProperty('java.io.tmpdir')}/wrenchflow-{uuid.uuid4().hex}"
+        spark.conf.set("spark.checkpoint.dir", configured)
+    spark.sparkContext.setCheckpointDir(configured)
+    return configured
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

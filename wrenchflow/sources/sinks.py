@@ -8,7 +8,10 @@ so the result is served from the written table, not from the lineage.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from wrenchflow.session import scratch_path
 
@@ -25,22 +28,25 @@ def refresh_stats_table(stats: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.parquet(target)
 
 
+def _append(rows: DataFrame, target: str, partition: list[str]) -> DataFrame:
+    """Append ``rows`` under a run id of their own and read exactly that run's rows back."""
+    run = uuid.uuid4().hex
+    rows.withColumn("run_id", F.lit(run)).write.mode("append").partitionBy(*partition, "run_id").parquet(target)
+    written = rows.sparkSession.read.parquet(target).where(F.col("run_id") == run)
+    return written.select(*[F.col(f.name).cast(f.dataType) for f in rows.schema.fields])
+
+
 def append_report(report: DataFrame, path: str | None = None) -> DataFrame:
-    """Append report rows to ``reports`` partitioned by report_type; return this run's rows."""
-    spark = report.sparkSession
-    target = _target(spark, path, "reports")
-    report.write.mode("append").partitionBy("report_type").parquet(target)
-    written = spark.read.parquet(target)
-    keys = [c for c in report.columns if c != "report_type"]
-    return written.join(report.select(*keys, "report_type").distinct(), [*keys, "report_type"], "left_semi")
+    """Append report rows to ``reports`` partitioned by report_type and run; return this run's rows.
+
+    The report is computed once; its NULLs (a period without bookings) come back as NULLs.
+    """
+    return _append(report, _target(report.sparkSession, path, "reports"), ["report_type"])
 
 
 def append_audit_log(audit: DataFrame, path: str | None = None) -> DataFrame:
-    """Append audit rows (action, table, record id, old/new JSON) and read them back."""
-    spark = audit.sparkSession
-    target = _target(spark, path, "audit_logs")
-    audit.write.mode("append").parquet(target)
-    return spark.read.parquet(target)
+    """Append audit rows (action, table, record id, old/new JSON); return this run's rows."""
+    return _append(audit, _target(audit.sparkSession, path, "audit_logs"), [])
 
 
 def write_snapshot(df: DataFrame, path: str) -> DataFrame:
