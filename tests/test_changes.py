@@ -44,11 +44,23 @@ def test_merge_snapshot_keeps_untouched(spark):
     assert sorted(merge_snapshot(old, new, "id").collect()) == sorted([(1, "x"), (2, "w")])
 
 
-def test_nest_children_bounded_parts_keep_every_child(spark):
-    kids = spark.createDataFrame([(1, i) for i in range(100)] + [(2, 0)], "parent long, c long")
-    nested = nest_children(kids, "parent", ["c"], "kids", part_rows=10).toPandas()
-    hot = nested[nested.parent == 1]
-    assert len(hot) >= 10
-    assert sorted(x["c"] for arr in hot.kids for x in arr) == list(range(100))
-    assert max(len(a) for a in hot.kids) < 40
-    assert nested[nested.parent == 2].iloc[0]["part"] == 0
+def test_documents_are_ordered_pages_at_every_size(spark):
+    import datetime as dt
+    days = [dt.date(2024, 1, 1) + dt.timedelta(k) for k in range(4)]
+    rows = [(1, days[i % 4] if i % 9 else None, i, f"n{i % 7}") for i in range(103)] + [(2, days[0], 5, "x"), (3, None, None, None)]
+    kids = spark.createDataFrame(rows, "parent long, d date, c long, s string")
+    for fields in (["c", "d"], ["d", "c"], ["s", "c"]):
+        for desc in (False, True):
+            whole = {r.parent: r.kids for r in nest_children(kids, "parent", fields, "kids", desc, part_rows=1000).collect()}
+            pages = {}
+            for r in nest_children(kids, "parent", fields, "kids", desc, part_rows=10).orderBy("parent", "part").collect():
+                assert len(r.kids) <= 10 and r.part == len(pages.get(r.parent, [])) // 10
+                pages.setdefault(r.parent, []).extend(r.kids)
+            assert pages == whole, (fields, desc)
+
+
+def test_a_parent_of_many_children_has_pages_of_the_same_meaning(spark):
+    from pyspark.sql import functions as F
+    kids = spark.range(25_000).select(F.lit(7).alias("parent"), F.col("id").alias("c"))
+    got = nest_children(kids, "parent", ["c"], "kids", descending=True).orderBy("part").collect()
+    assert [(r.part, len(r.kids), r.kids[0].c) for r in got] == [(0, 10000, 24999), (1, 10000, 14999), (2, 5000, 4999)]

@@ -375,15 +375,18 @@ def mechanic_daily_tasks(g: Garage, date: Date | None = None) -> DataFrame:
     and the booking's field notes joined as ``'a, b, c'`` (sorted; the reference's
     ``string_agg`` order is unspecified).
 
-    Notes are nested with ``nest_children`` (bounded parts): a booking with
-    more notes than one part holds appears once per part.
+    Notes are nested with ``nest_children``: a booking appears once per page of
+    its ordered notes (``part``), at every size.
     """
     from wrenchflow.operators.nested import nest_children
     day = None if date is None else date
     base = mechanic_tasks_outer(g)
     if day is not None:
         base = base.where(F.col("booking_date") == _d(day))
-    notes = nest_children(g.field_notes, "booking_id", ["note", "id"], "_notes")
+    notes = g.field_notes
+    if day is not None:  # only the chosen bookings' notes are nested
+        notes = notes.join(base.select(F.col("id").alias("_b")), F.col("booking_id") == F.col("_b"), "left_semi")
+    notes = nest_children(notes, "booking_id", ["note", "id"], "_notes")
     txt = notes.select(F.col("booking_id").alias("_nb"), "part",
                        F.array_join(F.transform("_notes", lambda n: n["note"]), ", ").alias("field_notes"))
     return (base.join(txt, F.col("id") == F.col("_nb"), "left").drop("_nb")
