@@ -340,28 +340,31 @@ def feedback_report_detail(g: Garage, start: Date, end: Date) -> DataFrame:
 
 # --- A19..A24 generated reports and insights --------------------------------------
 
-def _top_name(df: DataFrame, name_col: str, alias: str) -> DataFrame:
-    """Top-1 name by row count (ties: smallest name) as a one-row frame."""
-    return (df.groupBy(name_col).agg(F.count("*").alias("_n"))
-            .orderBy(F.col("_n").desc(), F.col(name_col).asc_nulls_last()).limit(1)
+def _top_name(df: DataFrame, name_col: str, alias: str, count: Column) -> DataFrame:
+    """Top-1 name by ``count`` (ties: smallest name) as a one-row frame."""
+    return (df.groupBy(name_col).agg(count.alias("_top_n"))
+            .orderBy(F.col("_top_n").desc(), F.col(name_col).asc_nulls_last()).limit(1)
             .select(F.col(name_col).alias(alias)))
 
 
 def generate_report(g: Garage, report_type: str, report_date: Date) -> DataFrame:
     """One report row for the derived range (E7), ready for ``append_report``."""
     start, end = D.report_range(report_type, report_date)
-    b = g.bookings.where(_in_range(start, end))
-    bs = b.join(_svc_names(g), F.col("service_id") == F.col("_sid"))
     done = _status_is("completed")
-    totals = bs.agg(F.count("*").alias("total_bookings"), _count_if(done).alias("completed_bookings"),
-                    _count_if(_status_is("cancelled")).alias("cancelled_bookings"),
-                    F.coalesce(F.sum(F.when(done, F.col("price")).otherwise(F.lit(0))),
-                               F.lit(0).cast("decimal(22,2)")).alias("total_revenue"),
-                    F.sum(F.when(done, F.col("rating"))).alias("_rs"),
-                    F.count(F.when(done, F.col("rating"))).alias("_rc"))
+    # one row per (service, mechanic) meets the names; the range is scanned once per aggregate below
+    per = g.bookings.where(_in_range(start, end)).groupBy("service_id", "mechanic_id").agg(
+        F.count("*").alias("_n"), _count_if(done).alias("_done"), _count_if(_status_is("cancelled")).alias("_cancelled"),
+        F.sum(F.when(done, F.col("rating"))).alias("_rating"), F.count(F.when(done, F.col("rating"))).alias("_rated"))
+    bs = per.join(_svc_names(g), F.col("service_id") == F.col("_sid"))
+    totals = bs.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("total_bookings"),
+                    F.coalesce(F.sum("_done"), F.lit(0)).alias("completed_bookings"),
+                    F.coalesce(F.sum("_cancelled"), F.lit(0)).alias("cancelled_bookings"),
+                    F.coalesce(F.sum(F.col("price") * F.col("_done")), F.lit(0)).cast("decimal(22,2)").alias("total_revenue"),
+                    F.sum("_rating").alias("_rs"), F.sum("_rated").alias("_rc"))
     m = mechanic_names(g).select(F.col("id").alias("_mid"), F.col("name").alias("_mname"))
-    top_mech = _top_name(b.where(done).join(m, F.col("mechanic_id") == F.col("_mid")), "_mname", "top_mechanic")
-    row = combine_rows([totals, _top_name(bs, "service_name", "top_service"), top_mech])
+    top_mech = _top_name(per.where(F.col("_done") > 0).join(m, F.col("mechanic_id") == F.col("_mid")), "_mname",
+                         "top_mechanic", F.sum("_done"))
+    row = combine_rows([totals, _top_name(bs, "service_name", "top_service", F.sum("_n")), top_mech])
     return row.select(
         F.lit(report_type).alias("report_type"), F.lit(str(D.as_date(report_date))).alias("report_date"),
         F.lit(str(start)).alias("start_date"), F.lit(str(end)).alias("end_date"),
@@ -375,7 +378,7 @@ def period_growth(g: Garage, range_name: str, as_of: Date) -> DataFrame:
     both = g.bookings.where(_in_range(ps, pe) | _in_range(s, e)).where(  # the outer bounds reach the scan
         (F.col("booking_date") >= _d(min(ps, s))) & (F.col("booking_date") <= _d(max(pe, e))))
     row = both.agg(_count_if(_in_range(s, e)).alias("current_bookings"),
-                         _count_if(_in_range(ps, pe)).alias("previous_bookings"))
+                   _count_if(_in_range(ps, pe)).alias("previous_bookings"))
     growth = F.when(F.col("previous_bookings") > 0,
                     round_half_up((F.col("current_bookings") - F.col("previous_bookings")) * 100.0
                                   / F.col("previous_bookings"), 0)).otherwise(F.lit(0))
@@ -393,9 +396,11 @@ def _with_default(top: DataFrame, default: dict) -> DataFrame:
 def insight_top_service(g: Garage, range_name: str, as_of: Date) -> DataFrame:
     """Most booked service name of the period with revenue; 'No data' if none."""
     s, e, _, _ = D.insight_range(range_name, as_of)
-    b = g.bookings.where(_in_range(s, e)).join(_svc_names(g), F.col("service_id") == F.col("_sid"))
+    b = (g.bookings.where(_in_range(s, e)).groupBy("service_id")  # one row per service meets the names
+         .agg(F.count("*").alias("_n"), F.sum("total_price").alias("_r"))
+         .join(_svc_names(g), F.col("service_id") == F.col("_sid")))
     top = (b.groupBy(F.col("service_name").alias("name"))
-           .agg(F.count("*").alias("bookings"), F.sum("total_price").alias("revenue"))
+           .agg(F.sum("_n").alias("bookings"), F.sum("_r").cast("decimal(22,2)").alias("revenue"))
            .orderBy(F.col("bookings").desc(), F.col("name").asc_nulls_last()).limit(1))
     return _with_default(top, {"name": "No data", "bookings": 0, "revenue": 0})
 
@@ -404,9 +409,10 @@ def insight_top_mechanic(g: Garage, range_name: str, as_of: Date) -> DataFrame:
     """Mechanic with most completed jobs of the period, rating 1 dp; 'No data' if none."""
     s, e, _, _ = D.insight_range(range_name, as_of)
     m = mechanic_names(g).select(F.col("id").alias("_mid"), F.col("name").alias("name"))
-    b = g.bookings.where(_in_range(s, e) & _status_is("completed")).join(m, F.col("mechanic_id") == F.col("_mid"))
-    top = (b.groupBy("name").agg(F.count("*").alias("completed_jobs"), F.sum("rating").alias("_s"),
-                                 F.count("rating").alias("_c"))
+    b = (g.bookings.where(_in_range(s, e) & _status_is("completed")).groupBy("mechanic_id")
+         .agg(F.count("*").alias("_n"), F.sum("rating").alias("_rs"), F.count("rating").alias("_rc"))
+         .join(m, F.col("mechanic_id") == F.col("_mid")))
+    top = (b.groupBy("name").agg(F.sum("_n").alias("completed_jobs"), F.sum("_rs").alias("_s"), F.sum("_rc").alias("_c"))
            .orderBy(F.col("completed_jobs").desc(), F.col("name").asc_nulls_last()).limit(1)
            .select("name", "completed_jobs", round_half_up(F.col("_s") / F.col("_c"), 1).alias("rating")))
     return _with_default(top, {"name": "No data", "completed_jobs": 0, "rating": 0.0})
@@ -415,8 +421,10 @@ def insight_top_mechanic(g: Garage, range_name: str, as_of: Date) -> DataFrame:
 def potential_revenue(g: Garage, range_name: str, as_of: Date) -> DataFrame:
     """``round(avg(price) * distinct booking days * 10)``, 0 on empty input."""
     s, e, _, _ = D.insight_range(range_name, as_of)
-    b = g.bookings.where(_in_range(s, e)).join(_svc_names(g), F.col("service_id") == F.col("_sid"))
-    agg = b.agg(F.sum("price").cast("double").alias("_s"), F.count("price").alias("_c"),
+    b = (g.bookings.where(_in_range(s, e)).groupBy("service_id", "booking_date").agg(F.count("*").alias("_n"))
+         .join(_svc_names(g), F.col("service_id") == F.col("_sid")))
+    agg = b.agg(F.sum(F.col("price") * F.col("_n")).cast("double").alias("_s"),
+                F.sum(F.when(F.col("price").isNotNull(), F.col("_n"))).alias("_c"),
                 F.countDistinct("booking_date").alias("_days"))
     pot = F.col("_s") * F.col("_days") * 10 / F.col("_c")
     return agg.select(F.coalesce(round_half_up(pot, 0), F.lit(0)).cast("long").alias("potential"))
@@ -425,9 +433,11 @@ def potential_revenue(g: Garage, range_name: str, as_of: Date) -> DataFrame:
 def insight_top_services(g: Garage, range_name: str, as_of: Date, k: int = 5) -> DataFrame:
     """Top ``k`` service names of the period with revenue / 100000."""
     s, e, _, _ = D.insight_range(range_name, as_of)
-    b = g.bookings.where(_in_range(s, e)).join(_svc_names(g), F.col("service_id") == F.col("_sid"))
+    b = (g.bookings.where(_in_range(s, e)).groupBy("service_id")
+         .agg(F.count("*").alias("_n"), F.sum("total_price").alias("_r"))
+         .join(_svc_names(g), F.col("service_id") == F.col("_sid")))
     return (b.groupBy(F.col("service_name").alias("name"))
-            .agg(F.count("*").alias("bookings"), (F.sum("total_price").cast("double") / 100000).alias("revenue"))
+            .agg(F.sum("_n").alias("bookings"), (F.sum("_r").cast("double") / 100000).alias("revenue"))
             .orderBy(F.col("bookings").desc(), F.col("name").asc_nulls_last()).limit(k))
 
 
