@@ -1708,3 +1708,136 @@ def q_testimonial_reject_classes(g):
 def q_testimonial_wall_all(g):
     """Every testimonial (staff scope) with names."""
     return J.testimonial_wall(g, "all")
+
+
+# ---------------------------------------------------------------- the other rule sets of D1
+def _validate_sql(source: str, rules: list[tuple[str, str, str]]) -> str:
+    """Oracle of a rule chain: (field, message, SQL condition under which the row fails)."""
+    failed = [(f, m, f"coalesce({cond}, false)") for f, m, cond in rules]
+    return ("SELECT id, concat_ws(';', " + ", ".join(f"CASE WHEN {c} THEN '{f}:{m}' END" for f, m, c in failed)
+            + ") AS errors_text, " + " + ".join(f"CAST({c} AS INT)" for _, _, c in failed) + f" AS error_count FROM ({source})")
+
+
+def _validated(df, rules):
+    v = Q.validate(df, rules)
+    return v.select("id", _render("errors", "field", "message").alias("errors_text"), _F.size("errors").alias("error_count"))
+
+
+_EMPTY = "({c} IS NULL OR trim(CAST({c} AS VARCHAR)) = '')"
+_ID_BAD = "(TRY_CAST({c} AS BIGINT) IS NULL OR {c} < 1)"
+
+
+@register("validate_users", _validate_sql("""
+SELECT u.id, CASE WHEN u.id % 7 <> 3 THEN u.email ELSE 'no mail' END AS email, CASE WHEN u.id % 11 <> 2 THEN u.name ELSE '' END AS name,
+  CASE WHEN u.id % 13 <> 4 THEN u.role ELSE 'pirate' END AS role, u.status,
+  CASE WHEN u.id % 3 <> 1 THEN m.specialization END AS specialization, CASE WHEN u.id % 5 <> 1 THEN m.experience ELSE -1 END AS experience
+FROM users u LEFT JOIN mechanics m ON u.id = m.user_id""", [
+    ("email", Q.MSG_EMAIL, r"email IS NULL OR NOT regexp_matches(email, '^[^\s@]+@[^\s@]+\.[^\s@]+$')"),
+    ("name", Q.MSG_NAME_EMPTY, _EMPTY.format(c="name")),
+    ("name", Q.MSG_NAME_LEN, "name IS NULL OR length(name) NOT BETWEEN 3 AND 100"),
+    ("role", Q.MSG_ROLE, "role IS NULL OR role NOT IN ('admin', 'staff', 'mechanic', 'customer')"),
+    ("status", Q.MSG_STATUS, "status IS NOT NULL AND status NOT IN ('active', 'inactive', 'on-leave', 'suspended')"),
+    ("specialization", Q.MSG_SPECIALIZATION, "role = 'mechanic' AND " + _EMPTY.format(c="specialization")),
+    ("experience", Q.MSG_EXPERIENCE, "role = 'mechanic' AND (experience IS NULL OR experience < 0)")]))
+def q_validate_users(g):
+    """User rule chain over account forms, some with a bad mail, name, role or mechanic field."""
+    u, m = g.users, g.mechanics.select("user_id", "specialization", "experience")
+    i = _F.col("id")
+    df = u.join(m, i == _F.col("user_id"), "left").select(
+        "id", _F.when(i % 7 != 3, _F.col("email")).otherwise("no mail").alias("email"),
+        _F.when(i % 11 != 2, _F.col("name")).otherwise("").alias("name"),
+        _F.when(i % 13 != 4, _F.col("role")).otherwise("pirate").alias("role"), "status",
+        _F.when(i % 3 != 1, _F.col("specialization")).alias("specialization"),
+        _F.when(i % 5 != 1, _F.col("experience")).otherwise(-1).alias("experience"))
+    return _validated(df, Q.user_rules())
+
+
+@register("validate_services", _validate_sql("""
+SELECT id, CASE WHEN id % 11 <> 2 THEN name ELSE 'ab' END AS name, CASE WHEN id % 7 <> 3 THEN price ELSE -1 END AS price,
+  CASE WHEN id % 13 <> 4 THEN category ELSE ' ' END AS category, CASE WHEN id % 5 <> 1 THEN estimated_time ELSE 0 END AS estimated_time
+FROM services""", [
+    ("name", Q.MSG_SERVICE_NAME_EMPTY, _EMPTY.format(c="name")),
+    ("name", Q.MSG_SERVICE_NAME_LEN, "name IS NULL OR length(name) NOT BETWEEN 3 AND 100"),
+    ("price", Q.MSG_PRICE, "price IS NULL OR price < 0"),
+    ("category", Q.MSG_CATEGORY, _EMPTY.format(c="category")),
+    ("estimated_time", Q.MSG_ESTIMATE, _ID_BAD.format(c="estimated_time"))]))
+def q_validate_services(g):
+    """Service rule chain, some forms with a short name, negative price, blank category or zero estimate."""
+    i = _F.col("id")
+    df = g.services.select(
+        "id", _F.when(i % 11 != 2, _F.col("name")).otherwise("ab").alias("name"),
+        _F.when(i % 7 != 3, _F.col("price")).otherwise(-1).alias("price"),
+        _F.when(i % 13 != 4, _F.col("category")).otherwise(" ").alias("category"),
+        _F.when(i % 5 != 1, _F.col("estimated_time")).otherwise(0).alias("estimated_time"))
+    return _validated(df, Q.service_rules())
+
+
+@register("validate_bookings", _validate_sql("""
+SELECT CASE WHEN n % 17 <> 3 THEN id ELSE concat('X', id) END AS id, service_id, CASE WHEN n % 7 <> 3 THEN vehicle_id ELSE 0 END AS vehicle_id,
+  CASE WHEN n % 11 <> 2 THEN CAST(booking_date AS VARCHAR) ELSE 'soon' END AS booking_date,
+  CASE WHEN n % 5 <> 1 THEN printf('%02d:%02d', start_min // 60, start_min % 60) ELSE '25:00' END AS booking_time,
+  CASE WHEN n % 13 <> 4 THEN customer_id ELSE -1 END AS customer_id, CASE WHEN n % 19 <> 4 THEN status ELSE 'lost' END AS status
+FROM (SELECT *, CAST(substr(id, 3) AS BIGINT) AS n FROM bookings)""", [
+    ("service_id", Q.MSG_SERVICE_ID, _ID_BAD.format(c="service_id")),
+    ("vehicle_id", Q.MSG_VEHICLE_ID, _ID_BAD.format(c="vehicle_id")),
+    ("booking_date", Q.MSG_DATE, "TRY_CAST(booking_date AS DATE) IS NULL"),
+    ("booking_time", Q.MSG_TIME, "booking_time IS NULL OR NOT regexp_matches(booking_time, '^([0-1]?[0-9]|2[0-3]):[0-5][0-9]$')"),
+    ("customer_id", Q.MSG_CUSTOMER_ID, "customer_id IS NOT NULL AND customer_id < 1"),
+    ("status", Q.MSG_STATUS, "status IS NULL OR status NOT IN ('pending', 'confirmed', 'in-progress', 'completed', 'cancelled')"),
+    ("id", Q.MSG_BOOKING_ID_FORMAT, r"id IS NULL OR NOT regexp_matches(id, '^B-\d+$')")]))
+def q_validate_bookings(g):
+    """Booking rule chain, some forms with a bad key, date, time, customer or status."""
+    from wrenchflow.functions.exprs import hhmm
+    n = _F.substring("id", 3, 40).cast("long")
+    df = g.bookings.select(
+        _F.when(n % 17 != 3, _F.col("id")).otherwise(_F.concat(_F.lit("X"), "id")).alias("id"), "service_id",
+        _F.when(n % 7 != 3, _F.col("vehicle_id")).otherwise(0).alias("vehicle_id"),
+        _F.when(n % 11 != 2, _F.col("booking_date").cast("string")).otherwise("soon").alias("booking_date"),
+        _F.when(n % 5 != 1, hhmm("start_min")).otherwise("25:00").alias("booking_time"),
+        _F.when(n % 13 != 4, _F.col("customer_id")).otherwise(-1).alias("customer_id"),
+        _F.when(n % 19 != 4, _F.col("status")).otherwise("lost").alias("status"))
+    return _validated(df, Q.booking_rules())
+
+
+@register("validate_testimonials", _validate_sql("""
+SELECT id, service_id, CASE WHEN id % 7 <> 3 THEN mechanic_id ELSE 0 END AS mechanic_id,
+  CASE WHEN id % 5 <> 1 THEN rating ELSE 6 END AS rating, CASE WHEN id % 11 <> 2 THEN comment ELSE '  ' END AS comment
+FROM testimonials""", [
+    ("service_id", Q.MSG_SERVICE_ID, _ID_BAD.format(c="service_id")),
+    ("mechanic_id", Q.MSG_MECHANIC_ID, "mechanic_id IS NOT NULL AND mechanic_id < 1"),
+    ("rating", Q.MSG_RATING, "rating IS NULL OR rating NOT BETWEEN 1 AND 5"),
+    ("comment", Q.MSG_COMMENT, _EMPTY.format(c="comment"))]))
+def q_validate_testimonials(g):
+    """Testimonial rule chain, some forms with a bad mechanic, rating or comment."""
+    i = _F.col("id")
+    df = g.testimonials.select(
+        "id", "service_id", _F.when(i % 7 != 3, _F.col("mechanic_id")).otherwise(0).alias("mechanic_id"),
+        _F.when(i % 5 != 1, _F.col("rating")).otherwise(6).alias("rating"),
+        _F.when(i % 11 != 2, _F.col("comment")).otherwise("  ").alias("comment"))
+    return _validated(df, Q.testimonial_rules())
+
+
+@register("validate_field_notes", _validate_sql("""
+SELECT id, CASE WHEN id % 7 <> 3 THEN booking_id ELSE '' END AS booking_id, CASE WHEN id % 5 <> 1 THEN note END AS note,
+  CASE WHEN id % 11 <> 2 THEN status ELSE 'lost' END AS status FROM field_notes""", [
+    ("booking_id", Q.MSG_BOOKING_ID_EMPTY, _EMPTY.format(c="booking_id")),
+    ("note", Q.MSG_NOTE_EMPTY, _EMPTY.format(c="note")),
+    ("status", Q.MSG_STATUS, "status IS NOT NULL AND status NOT IN ('pending', 'in-progress', 'completed', 'cancelled')")]))
+def q_validate_field_notes(g):
+    """Field note rule chain, some forms without booking or note or with a bad status."""
+    i = _F.col("id")
+    df = g.field_notes.select(
+        "id", _F.when(i % 7 != 3, _F.col("booking_id")).otherwise("").alias("booking_id"),
+        _F.when(i % 5 != 1, _F.col("note")).alias("note"),
+        _F.when(i % 11 != 2, _F.col("status")).otherwise("lost").alias("status"))
+    return _validated(df, Q.field_note_rules())
+
+
+@register("validate_messages", _validate_sql("""
+SELECT customer_id * 100000 + turn AS id, CASE WHEN turn % 3 <> 1 THEN message ELSE ' ' END AS message FROM customer_messages""", [
+    ("message", Q.MSG_MESSAGE, _EMPTY.format(c="message"))]))
+def q_validate_messages(g):
+    """Message rule, some messages blank."""
+    df = g.customer_messages.select((_F.col("customer_id") * 100000 + _F.col("turn")).alias("id"),
+                                    _F.when(_F.col("turn") % 3 != 1, _F.col("message")).otherwise(" ").alias("message"))
+    return _validated(df, Q.message_rules())
