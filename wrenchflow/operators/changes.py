@@ -51,6 +51,7 @@ R_MECHANIC_NOT_FOUND = "Mechanic not found"
 R_ALREADY_REVIEWED = "You have already submitted a testimonial for this service/mechanic combination"
 R_TESTIMONIAL_NOT_FOUND = "Testimonial not found"
 R_FEATURE_UNAPPROVED = "Cannot feature an unapproved testimonial"
+R_SCHEDULE_NOT_FOUND = "Booking schedule not found"
 R_VEHICLE_IN_USE = "Cannot delete vehicle that is used in bookings"
 R_NOTE_REQUIRED = "Booking ID and note are required"
 R_NOTE_NOT_ASSIGNED = "Booking not found or not assigned to you"
@@ -561,6 +562,17 @@ def delete_services(g: Garage, service_ids: DataFrame) -> Garage:
     return Garage(**out)
 
 
+def delete_schedules(g: Garage, ids: DataFrame) -> tuple[DataFrame, Garage]:
+    """Delete bookings by id; refused for unknown ids.  Returns the decisions and the tables left."""
+    known = g.bookings.select(F.col("id").alias("_k"))
+    d = ids.select("booking_id").distinct().join(known, F.col("booking_id") == F.col("_k"), "left")
+    reason = _first_reason((F.col("_k").isNull(), R_SCHEDULE_NOT_FOUND))
+    decided = d.select("booking_id", reason.alias("reject_reason"), reason.isNull().alias("deleted"))
+    gone = g.bookings.join(ids.select("booking_id").distinct(), F.col("id") == F.col("booking_id"), "left_semi")
+    left = g.bookings.join(ids.select("booking_id").distinct(), F.col("id") == F.col("booking_id"), "left_anti")
+    return decided, Garage(**(g.as_dict() | _without_booking_children(g, gone) | {"bookings": left}))
+
+
 def delete_vehicles(g: Garage, vehicle_ids: DataFrame) -> DataFrame:
     """Vehicle deletes, refused while a booking uses the vehicle."""
     used = g.bookings.select(F.col("vehicle_id").alias("_uv")).distinct().withColumn("_used", F.lit(True))

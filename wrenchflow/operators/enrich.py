@@ -264,6 +264,19 @@ def related_bookings(g: Garage) -> DataFrame:
                                        "first_booking_id")
 
 
+def related_documents(g: Garage) -> DataFrame:
+    """One document per group of bookings made together: (first_booking_id, part, siblings[]).
+
+    Siblings are (id, service_id, service_name, service_price) in id order, in
+    pages as every nested list; ``related_bookings`` names each booking's group.
+    """
+    from wrenchflow.operators.nested import nest_children
+    of = related_bookings(g).select(F.col("id").alias("_id"), "first_booking_id")
+    members = (g.bookings.select("id", "service_id").join(of, F.col("id") == F.col("_id"))
+               .join(_services(g).select("_sid", "service_name", "service_price"), F.col("service_id") == F.col("_sid")))
+    return nest_children(members, "first_booking_id", ["id", "service_id", "service_name", "service_price"], "siblings")
+
+
 def payments_joined(g: Garage) -> DataFrame:
     """Payment rows joined to booking, service, customer, vehicle and mechanic."""
     p = g.payments.select(F.col("id").alias("payment_id"), F.col("booking_id").alias("_pb"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wrenchflow.operators.enrich import customer_names
@@ -25,6 +25,40 @@ def unread_messages(g: Garage) -> DataFrame:
     return m.join(_names(g), F.col("customer_id") == F.col("_cid"), "left").drop("_cid")
 
 
+# reject classes by status code: the thread has no fixed texts to match
+R_FORBIDDEN, R_MISSING, R_UNKNOWN = "forbidden", "missing fields", "not found"
+
+
+def apply_messages(g: Garage, sent: DataFrame) -> DataFrame:
+    """(message_seq, role, customer_id, booking_id, message) sent in a batch.
+
+    A customer sends (incoming) on a booking of its own; admin and staff reply
+    (outgoing) to an existing customer; others are refused; a message needs its
+    text and its booking (a reply its customer).  Accepted messages are
+    unread and continue the customer's thread: ``turn`` follows the largest
+    stored turn in ``message_seq`` order.
+    """
+    b = g.bookings.select(F.col("id").alias("_b"), F.col("customer_id").alias("_bc"))
+    c = g.customers.select(F.col("id").alias("_c"))
+    x = (sent.join(b, (F.col("booking_id") == F.col("_b")) & (F.col("customer_id") == F.col("_bc")), "left")
+         .join(c, F.col("customer_id") == F.col("_c"), "left"))
+    customer, staff = F.col("role") == "customer", F.col("role").isin("admin", "staff")
+    empty = F.coalesce(F.col("message"), F.lit("")) == ""
+    reason = (F.when(~F.coalesce(customer | staff, F.lit(False)), R_FORBIDDEN)
+              .when(empty | (customer & F.col("booking_id").isNull()) | (staff & F.col("customer_id").isNull()), R_MISSING)
+              .when((customer & F.col("_b").isNull()) | (staff & F.col("_c").isNull()), R_UNKNOWN))
+    x = x.withColumn("reject_reason", reason)
+    ok = F.col("reject_reason").isNull()
+    last = g.customer_messages.groupBy(F.col("customer_id").alias("_lc")).agg(F.max("turn").alias("_last"))
+    # a thread's new turns are numbered in order; rejected rows stand apart so they can't crowd one thread
+    thread = Window.partitionBy("customer_id", F.when(~ok, F.col("message_seq"))).orderBy("message_seq")
+    return (x.withColumn("_n", F.row_number().over(thread)).join(last, F.col("customer_id") == F.col("_lc"), "left")
+            .select("message_seq", "role", "customer_id", "booking_id", "message", "reject_reason",
+                    F.when(ok, F.when(customer, "incoming").otherwise("outgoing")).alias("type"),
+                    F.when(ok, F.coalesce("_last", F.lit(0)) + F.col("_n")).alias("turn"),
+                    F.when(ok, F.lit(False)).alias("is_read")))
+
+
 def mark_read(messages: DataFrame, receipts: DataFrame) -> DataFrame:
     """Apply read receipts (customer_id, up_to_turn): incoming messages up to that turn become read."""
     r = receipts.groupBy(F.col("customer_id").alias("_rc")).agg(F.max("up_to_turn").alias("_upto"))

@@ -1841,3 +1841,74 @@ def q_validate_messages(g):
     df = g.customer_messages.select((_F.col("customer_id") * 100000 + _F.col("turn")).alias("id"),
                                     _F.when(_F.col("turn") % 3 != 1, _F.col("message")).otherwise(" ").alias("message"))
     return _validated(df, Q.message_rules())
+
+
+@register("apply_messages", f"""
+WITH sent AS (
+  SELECT {NUM.format(c='id')} AS message_seq, CASE {NUM.format(c='id')} % 5 WHEN 0 THEN 'staff' WHEN 1 THEN 'mechanic' ELSE 'customer' END AS role,
+    CASE WHEN {NUM.format(c='id')} % 11 <> 3 THEN customer_id ELSE -7 END AS customer_id, id AS booking_id,
+    CASE WHEN {NUM.format(c='id')} % 7 <> 2 THEN concat('about ', id) ELSE '' END AS message
+  FROM bookings WHERE status IN ('pending', 'in-progress')),
+x AS (SELECT sent.*, CASE WHEN role NOT IN ('customer', 'admin', 'staff') THEN 'forbidden' WHEN message = '' THEN 'missing fields'
+        WHEN role = 'customer' AND NOT EXISTS (SELECT 1 FROM bookings b WHERE b.id = booking_id AND b.customer_id = sent.customer_id) THEN 'not found'
+        WHEN role = 'staff' AND sent.customer_id NOT IN (SELECT id FROM customers) THEN 'not found' END AS reject_reason FROM sent)
+SELECT message_seq, role, customer_id, booking_id, message, reject_reason,
+  CASE WHEN reject_reason IS NULL THEN CASE WHEN role = 'customer' THEN 'incoming' ELSE 'outgoing' END END AS type,
+  CASE WHEN reject_reason IS NULL THEN coalesce((SELECT max(turn) FROM customer_messages m WHERE m.customer_id = x.customer_id), 0)
+    + row_number() OVER (PARTITION BY customer_id, reject_reason IS NULL ORDER BY message_seq) END AS turn,
+  CASE WHEN reject_reason IS NULL THEN false END AS is_read
+FROM x""")
+def q_apply_messages(g):
+    """Messages about open bookings sent by customers and staff; some without text, customer or right."""
+    n = _F.substring("id", 3, 40).cast("long")
+    sent = g.bookings.where(_F.col("status").isin("pending", "in-progress")).select(
+        n.alias("message_seq"), _F.when(n % 5 == 0, "staff").when(n % 5 == 1, "mechanic").otherwise("customer").alias("role"),
+        _F.when(n % 11 != 3, _F.col("customer_id")).otherwise(-7).alias("customer_id"), _F.col("id").alias("booking_id"),
+        _F.when(n % 7 != 2, _F.concat(_F.lit("about "), "id")).otherwise("").alias("message"))
+    return G.apply_messages(g, sent)
+
+
+@register("delete_schedules", """
+WITH ids AS (SELECT id AS booking_id FROM bookings WHERE status = 'cancelled'
+             UNION ALL SELECT concat('X', id) FROM bookings WHERE status = 'pending')
+SELECT booking_id, CASE WHEN booking_id NOT IN (SELECT id FROM bookings) THEN 'Booking schedule not found' END AS reject_reason,
+  booking_id IN (SELECT id FROM bookings) AS deleted FROM ids""")
+def q_delete_schedules(g):
+    """Cancelled bookings deleted by id; unknown ids refused."""
+    return M.delete_schedules(g, _schedule_ids(g))[0]
+
+
+@register("delete_schedules_left", """
+WITH gone AS (SELECT id FROM bookings WHERE status = 'cancelled')
+SELECT 'bookings' AS table_name, count(*) AS row_count FROM bookings WHERE id NOT IN (SELECT id FROM gone)
+UNION ALL SELECT 'payments', count(*) FROM payments WHERE booking_id IS NULL OR booking_id NOT IN (SELECT id FROM gone)
+UNION ALL SELECT 'mechanic_tasks', count(*) FROM mechanic_tasks WHERE booking_id IS NULL OR booking_id NOT IN (SELECT id FROM gone)
+UNION ALL SELECT 'field_notes', count(*) FROM field_notes WHERE booking_id IS NULL OR booking_id NOT IN (SELECT id FROM gone)""")
+def q_delete_schedules_left(g):
+    """Rows left of bookings and the tables below them after the cancelled ones are deleted."""
+    from functools import reduce
+    after = M.delete_schedules(g, _schedule_ids(g))[1]
+    parts = [getattr(after, t).agg(_F.count("*").alias("row_count")).select(_F.lit(t).alias("table_name"), "row_count")
+             for t in ("bookings", "payments", "mechanic_tasks", "field_notes")]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def _schedule_ids(g):
+    """Stand-in ids: every cancelled booking, and ids that no booking has."""
+    b = g.bookings
+    return b.where(_F.col("status") == "cancelled").select(_F.col("id").alias("booking_id")).unionByName(
+        b.where(_F.col("status") == "pending").select(_F.concat(_F.lit("X"), "id").alias("booking_id")))
+
+
+@register("related_documents", """
+WITH bs AS (SELECT b.id, b.customer_id, b.booking_date, b.start_min, b.vehicle_id, b.service_id, s.name, s.price
+            FROM bookings b JOIN services s ON b.service_id = s.id),
+grp AS (SELECT customer_id, booking_date, start_min, vehicle_id, min(id) AS first_booking_id FROM bs GROUP BY 1, 2, 3, 4 HAVING count(*) > 1)
+SELECT grp.first_booking_id, 0 AS part, count(*) AS siblings_count, string_agg(concat_ws(':', bs.id, CAST(bs.service_id AS VARCHAR), bs.name,
+    CAST(bs.price AS VARCHAR)), ';' ORDER BY bs.id) AS siblings_text
+FROM bs JOIN grp ON bs.customer_id = grp.customer_id AND bs.booking_date = grp.booking_date AND bs.start_min = grp.start_min
+  AND bs.vehicle_id = grp.vehicle_id GROUP BY grp.first_booking_id""")
+def q_related_documents(g):
+    """Sibling ids, service names and prices of bookings made together, one document per group."""
+    return J.related_documents(g).select("first_booking_id", "part", _F.size("siblings").cast("long").alias("siblings_count"),
+                                         _render("siblings", "id", "service_id", "service_name", "service_price").alias("siblings_text"))
