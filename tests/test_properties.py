@@ -4,6 +4,7 @@ from hypothesis import given, settings, HealthCheck
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from wrenchflow.sources.tables import Garage
 from wrenchflow.operators import changes as M
 from wrenchflow.operators import nested as N
 from wrenchflow.operators.intervals import overlap_counts, schedule_conflicts
@@ -40,7 +41,7 @@ def test_booking_document_child_counts(garage):
 def test_status_changes_idempotent(garage):
     changes = SI.status_change_set(garage)
     once = M.bookings_after_status_changes(garage, M.apply_status_changes(garage, changes, AS_OF + " 17:00:00"))
-    g2 = type(garage)(**{**garage.as_dict(), "bookings": once})
+    g2 = Garage(**{**garage.as_dict(), "bookings": once})
     twice = M.bookings_after_status_changes(g2, M.apply_status_changes(g2, changes, AS_OF + " 17:00:00"))
     a = once.select("id", "status").exceptAll(twice.select("id", "status")).count()
     assert a == 0 and once.count() == twice.count()
