@@ -168,9 +168,10 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     cc = materialise(components(links(least.select("fp"), radius, split_above), "simhash"), "simhash-cc")
     of_root = (cc.join(least, cc.node == least.fp).groupBy("root").agg(F.min("first_id").alias("component_id")))
     linked = cc.join(of_root, "root").select(F.col("node").alias("fp"), "root", "component_id")
-    named = (least.join(linked, "fp", "left")
-             .select("fp", F.coalesce("root", "fp").alias("root"),
-                     F.coalesce("component_id", "first_id").alias("component_id")))
+    named = materialise(  # so that the join below is plain and a fingerprint of many copies is split
+        least.join(linked, "fp", "left")
+        .select("fp", F.coalesce("root", "fp").alias("root"),
+                F.coalesce("component_id", "first_id").alias("component_id")), "simhash-named")
     return keyed.join(named, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
