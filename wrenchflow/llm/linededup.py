@@ -38,31 +38,27 @@ def _offsets(tau: int, delta: int) -> list[tuple[int, int]]:
     return out
 
 
-def _key(line: Column, size: Column, length: Column, tau: int, i: int, off: int) -> Column:
-    """Hash of (length, segment, its substring in ``line`` shifted by ``off``); null outside the line."""
-    base, short = F.floor(length / (tau + 1)).cast("int"), tau + 1 - length % (tau + 1)
-    start = (base * i + F.greatest(F.lit(0), i - short) + off).cast("int")
-    width = base + F.when(i >= short, 1).otherwise(0)
-    return F.when((start >= 0) & (start + width <= size),
-                  F.xxhash64(length, F.lit(i), F.substring(line, start + 1, width)))
-
-
-def _tau_is(length: Column, tau: int, max_edits: int, chars_per_edit: int) -> Column:
-    low = length >= tau * chars_per_edit
-    return low if tau == max_edits else low & (length < (tau + 1) * chars_per_edit)
-
-
 def _keys(lines: DataFrame, max_edits: int, chars_per_edit: int, probe: bool) -> DataFrame:
-    size, entries = F.col("size"), []
-    for tau in range(1, max_edits + 1):
-        for delta in range(tau + 1 if probe else 1):
-            length = size - delta
-            places = _offsets(tau, delta) if probe else [(i, 0) for i in range(tau + 1)]
-            inside = _tau_is(length, tau, max_edits, chars_per_edit)
-            entries += [F.when(inside, F.struct(_key(F.col("line"), size, length, tau, i, off).alias("key"),
-                                                F.lit(delta).alias("longer_by"))) for i, off in places]
-    return (lines.select("id", "counts", F.explode(F.array(*entries)).alias("k")).where("k.key is not null")
-            .select(F.col("k.key").alias("key"), F.col("k.longer_by").alias("longer_by"), "id", "counts"))
+    """(key, longer_by, id, counts): per line a hash of (length, segment, substring) for each place to index or probe.
+
+    The places are a short literal that is exploded before any substring is taken,
+    so each row computes one key.
+    """
+    places = [(tau, delta, i, off) for tau in range(1, max_edits + 1) for delta in range(tau + 1 if probe else 1)
+              for i, off in (_offsets(tau, delta) if probe else [(i, 0) for i in range(tau + 1)])]
+    literal = F.array(*[F.struct(F.lit(tau + 1).alias("cuts"), F.lit(delta).alias("longer_by"), F.lit(i).alias("i"),
+                                 F.lit(off).alias("off"), F.lit(tau * chars_per_edit).alias("low"),
+                                 F.lit(2**30 if tau == max_edits else (tau + 1) * chars_per_edit).alias("high"))
+                        for tau, delta, i, off in places])
+    rows = (lines.select("id", "line", "size", "counts", F.explode(literal).alias("p"))
+            .select("id", "line", "size", "counts", "p.*").withColumn("length", F.col("size") - F.col("longer_by"))
+            .where("length >= low and length < high"))
+    rows = (rows.withColumn("short", F.expr("cuts - length % cuts"))
+            .withColumn("start", F.expr("cast(length div cuts as int) * i + greatest(0, i - short) + off"))
+            .withColumn("width", F.expr("cast(length div cuts as int) + if(i >= short, 1, 0)"))
+            .where("start >= 0 and start + width <= size"))
+    key = F.xxhash64("length", "i", F.substring("line", F.col("start") + 1, F.col("width")))
+    return rows.select(key.alias("key"), "longer_by", "id", "counts")
 
 
 def _letter_counts(line: Column) -> Column:
@@ -129,16 +125,16 @@ def edit_distance(a: Column, b: Column, k: int) -> Column:
 
 
 def distinct_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Stored ``(id, line, size, counts)``, one row per distinct line that isn't blank."""
+    """Stored ``(id, line, n, size, counts)``, one row per distinct line that isn't blank."""
     lines = (docs.select(F.explode(F.split(docs[text_col], "\n", -1)).alias("line"))
              .where(F.trim("line") != "").groupBy("line").agg(F.count("*").alias("n")))
-    return materialise(lines.select(F.monotonically_increasing_id().alias("id"), "line", "n"), "lines")
+    return materialise(lines.select(F.monotonically_increasing_id().alias("id"), "line", "n", F.length("line").alias("size"),
+                                    _letter_counts(F.col("line")).alias("counts")), "lines")
 
 
 def candidates(lines: DataFrame, max_edits: int = 2, chars_per_edit: int = 20) -> DataFrame:
     """Pairs ``(a, b)`` of line ids, ``a`` not longer than ``b``, that share a segment and may be near."""
-    sized = lines.where(F.length("line") >= chars_per_edit).select(
-        "id", "line", F.length("line").alias("size"), _letter_counts(F.col("line")).alias("counts"))
+    sized = lines.where(F.col("size") >= chars_per_edit)
     index = _keys(sized, max_edits, chars_per_edit, probe=False).select(
         "key", F.col("id").alias("a"), F.col("counts").alias("a_counts"))
     probe = _keys(sized, max_edits, chars_per_edit, probe=True).select(
