@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -31,6 +32,8 @@ from wrenchflow.llm.common import materialise
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 STEMS = (4, 5, 6)
+#: Words remembered per task before the memory is emptied.
+_REMEMBERED = 500_000
 
 _NEIGHBOUR = T.StructType([T.StructField("example", T.StringType()), T.StructField("toxic", T.IntegerType()),
                            T.StructField("cosine", T.DoubleType())])
@@ -40,20 +43,12 @@ _RESULT = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("v
 
 
 def words_of(text: str | None) -> dict[str, int]:
-    words: dict[str, int] = {}
-    for w in _LETTERS.findall((text or "").lower()):
-        words[w] = words.get(w, 0) + 1
-    return words
+    return Counter(_LETTERS.findall((text or "").lower()))
 
 
-def terms_of(words: dict[str, int], wanted: dict | None = None) -> dict[str, int]:
-    """Counts of words (``w$``) and of stems (``w``); only those in ``wanted`` if given."""
-    counts: dict[str, int] = {}
-    for w, n in words.items():
-        for t in (w + "$", *(w[:k] for k in STEMS if len(w) >= k)):
-            if wanted is None or t in wanted:
-                counts[t] = counts.get(t, 0) + n
-    return counts
+def terms_of(word: str) -> list[str]:
+    """The word itself (``w$``) and its stems (``w``)."""
+    return [word + "$", *(word[:k] for k in STEMS if len(word) >= k)]
 
 
 @dataclass
@@ -70,6 +65,7 @@ class Index:
     knots: list[tuple[float, float]] = field(default_factory=list)
 
     def __post_init__(self) -> None:
+        self.seen: dict[str, tuple[int, ...]] = {}  # the vocabulary's terms of words met before
         self.number = {t: i for i, t in enumerate(self.vocabulary)}
         self.idf = np.array(list(self.vocabulary.values()))
         # like vectors go to one block: sorted by their heaviest terms
@@ -93,11 +89,19 @@ class Index:
 
     def vector(self, text: str | None) -> dict[int, float]:
         words = words_of(text)
-        counts = terms_of(words, self.number)
+        if len(self.seen) > _REMEMBERED:
+            self.seen.clear()
+        counts: dict[int, int] = {}
+        for w in words:
+            at = self.seen.get(w)
+            if at is None:
+                at = self.seen[w] = tuple(self.number[t] for t in terms_of(w) if t in self.number)
+            for i in at:
+                counts[i] = counts.get(i, 0) + words[w]
         if not counts:
             return {}
-        at = np.array([self.number[t] for t in counts])
-        w = (1 + np.log(np.array(list(counts.values()), float))) * self.idf[at]
+        at = np.fromiter(counts, np.int64)
+        w = (1 + np.log(np.fromiter(counts.values(), float))) * self.idf[at]
         rest = 1 + np.log(np.array([n for x, n in words.items() if x + "$" not in self.number] or [1], float))
         return dict(zip(at.tolist(), (w / np.sqrt((w * w).sum() + (rest * rest).sum())).tolist()))
 
@@ -165,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def features(t: pd.Series) -> pd.Series:
-        return pd.Series([list(terms_of(words_of(x))) for x in t])
+        return pd.Series([list({u for w in words_of(x) for u in terms_of(w)}) for x in t])
 
     totals = rows.agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n")).first()
     p, n = float(totals.p or 0), float(totals.n or 0)
