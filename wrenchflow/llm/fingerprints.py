@@ -121,16 +121,24 @@ def _record(**columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns.get(f.name, [None] * n), f.type) for f in _SCHEMA], schema=_SCHEMA)
 
 
-def _rows(ids: list, texts: list[str], prints: np.ndarray) -> pa.RecordBatch:
-    """Finished rows of all documents but the last, which only follows."""
+def _rows(ids: list, texts: list[str], first: np.ndarray | None = None) -> tuple[pa.RecordBatch, np.ndarray]:
+    """Finished rows of all documents but the last, which only follows, and its samples.
+
+    ``first`` holds the first document's samples if they are known.  Texts and
+    edited texts share most pairs of term and weight and so are drawn together.
+    """
     changed = [edited(a, b) for a, b in zip(texts, texts[1:])]
-    theirs = fingerprints(changed)
+    known = 0 if first is None else 1
+    both = fingerprints(texts[known:] + changed)
+    prints, theirs = both[:len(texts) - known], both[len(texts) - known:]
+    if known:
+        prints = np.concatenate((first[None], prints))
     return _record(
         doc_id=ids[:-1], n_chars=[len(t) for t in texts[:-1]],
         edited_sha256=[hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in changed],
         fingerprint=[as_text(p) for p in prints[:-1]], edited_fingerprint=[as_text(p) for p in theirs],
         near_edited=[likeness(a, b) for a, b in zip(prints, theirs)],
-        near_next=[likeness(a, b) for a, b in zip(prints, prints[1:])])
+        near_next=[likeness(a, b) for a, b in zip(prints, prints[1:])]), prints[-1]
 
 
 def _batched(batches: Iterator[pa.RecordBatch], chars: int = 500_000) -> Iterator[tuple[list, list[str]]]:
@@ -149,14 +157,15 @@ def _batched(batches: Iterator[pa.RecordBatch], chars: int = 500_000) -> Iterato
 
 def _along(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Finished rows of one sorted partition, and its first and last document."""
-    part, held_ids, held_texts, held = TaskContext.get().partitionId(), [], [], np.empty((0, SAMPLES), np.uint16)
+    part, held_ids, held_texts, held = TaskContext.get().partitionId(), [], [], None
     for ids, texts in _batched(batches):
         if not held_ids:
             yield _record(doc_id=ids[:1], text=texts[:1], part=[part], edge=["first"])
-        ids, texts, prints = held_ids + ids, held_texts + texts, np.concatenate((held, fingerprints(texts)))
+        ids, texts = held_ids + ids, held_texts + texts
         if len(ids) > 1:
-            yield _rows(ids, texts, prints)
-        held_ids, held_texts, held = ids[-1:], texts[-1:], prints[-1:]
+            record, held = _rows(ids, texts, held)
+            yield record
+        held_ids, held_texts = ids[-1:], texts[-1:]
     if held_ids:
         yield _record(doc_id=held_ids, text=held_texts, part=[part], edge=["last"])
 
@@ -165,7 +174,7 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Finished rows of documents whose next one lies in another partition."""
     for batch in batches:
         for i, a, b in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "following"))):
-            yield _rows([i, None], [a, b], fingerprints([a, b]))
+            yield _rows([i, None], [a, b])[0]
 
 
 def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
