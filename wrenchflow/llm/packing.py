@@ -14,9 +14,12 @@ gives each its sequence and offset: no task sees more than its own pieces.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from functools import lru_cache
+from string import punctuation
 
 import numpy as np
 import pandas as pd
@@ -30,8 +33,22 @@ _PIECES = T.ArrayType(T.StructType([
     T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()),
     T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())]))
 _PLAN = "length long, first long, n long, per long, sequence long, offset long"
+#: Byte-level vocabularies write a byte that is no printable Latin-1 character as the next free letter from U+0100.
+_BYTE_LETTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 255 and b != 173))}
 #: Words remembered per task before the memory is emptied.
-_REMEMBERED = 400_000
+_REMEMBERED = 600_000
+
+
+def _latin(text: str) -> bool:
+    """Only characters up to Latin Extended-A with one lower case each, all composed."""
+    return text.isascii() or max(text) < "\u0180" and "\u0130" not in text
+
+
+def _words(text: str) -> list[str]:
+    """Words between white space; the four ASCII separators that Python alone takes for it are none here."""
+    if any(c in text for c in "\x1c\x1d\x1e\x1f"):
+        return [w for w in re.split(r"[ \t\n\r]+", text) if w]
+    return text.split()
 
 
 class Tokens:
@@ -47,27 +64,31 @@ class Tokens:
         from tokenizers import Tokenizer
         self.encoder = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
-
-    @staticmethod
-    def _parts(text: str) -> list[str]:
-        out = []
-        for w in text.split():
-            if w.isascii():
-                w = w.lower() if "<" not in w else w
-                if w[-1] in ".," and w[:-1].isalpha():  # letters and one mark never share a token
-                    out.append(w[:-1])
-                    w = w[-1]
-            out.append(w)
-        return out
+        self.merges = self.encoder.model
 
     def of(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > _REMEMBERED:
             self.known.clear()
-        parts = [self._parts(t) for t in texts]
-        new = list({w for p in parts for w in p if w not in self.known})
-        for w, e in zip(new, self.encoder.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(self.known.__getitem__, p)) for p in parts]
+        words = [_words(t.lower() if _latin(t) and "<|" not in t else t) for t in texts]
+        whole = []
+        for w in set().union(*words) - self.known.keys():
+            letters = w if w.isalpha() else w.rstrip(punctuation)  # a token never spans letters and marks
+            marks = w[len(letters):]
+            if letters.isalpha() and _latin(letters):
+                run = letters.lower()  # one run for the merges
+                if not run.isascii():
+                    run = run.encode().decode("latin-1").translate(_BYTE_LETTERS)
+                self.known[w] = array("I", [t.id for t in self.merges.tokenize(run)]).tobytes() + self._marks(marks)
+            else:
+                whole.append(w)
+        for w, e in zip(whole, self.encoder.encode_batch_fast(whole, add_special_tokens=False)):
+            self.known[w] = array("I", e.ids).tobytes()
+        return [b"".join(map(self.known.__getitem__, p)) for p in words]
+
+    def _marks(self, marks: str) -> bytes:
+        if marks and marks not in self.known:
+            self.known[marks] = array("I", self.encoder.encode(marks, add_special_tokens=False).ids).tobytes()
+        return self.known[marks] if marks else b""
 
 
 @lru_cache(maxsize=1)
