@@ -2,7 +2,7 @@ import corpus_pipeline as C
 from tests.llm.util import clashing
 from wrenchflow.llm.queries import QUERIES, SQL
 
-D = "/root/testdata/sf0.001"
+D = "/root/testdata/sf0.01"  # 200 documents have too few toxic labels to learn from
 
 
 def test_stages_keep_columns_and_take_effect(spark):
