@@ -56,6 +56,22 @@ def test_without_labels_or_rows(spark):
     assert X.without_toxic(empty, X.fit(empty, none)).count() == 0
 
 
+def test_every_example_is_held_with_all_its_terms(spark):
+    rows = [(i, f"quill{i:c} marsh{i + 1:c} stone") for i in range(97, 117)]  # no term stands in three examples
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    df = docs(spark, rows)
+    index = X.fit(df, labels)
+    assert sorted(index.names) == sorted(str(i) for i, _ in rows)
+    assert {t for _, text in rows for w in X.words_of(text) for t in X.terms_of(w)} == set(index.vocabulary)
+    for r in df.select("doc_id", X.toxicity(df.text, index).alias("r")).collect():
+        assert r.r.evidence[0].example == str(r.doc_id) and abs(r.r.evidence[0].cosine - 1) < 1e-6
+
+
+def test_weight_is_smooth_in_the_counts():
+    w = X.bearing(np.arange(0, 200.0), np.zeros(200), 0.1)
+    assert (w > 0).all() and (np.diff(w) > 0).all() and np.diff(w).max() < 0.5
+
+
 def test_isotonic_rises():
     knots = X._isotonic([0, 1, 2, 3], [0.1, 0.5, 0.3, 0.9], [10, 10, 10, 10])
     assert [round(y, 3) for _, y in knots] == [0.1, 0.4, 0.9]

@@ -67,7 +67,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     index = toxicity.fit(docs, toxicity.training_labels(table(spark, sf_dir, "labels")))
     scored = docs.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"),
-                         toxicity.toxicity(docs.text, index)["score"].alias("score"))
+                         toxicity.score(docs.text, index).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 

@@ -1,15 +1,18 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-Terms are a text's words and its words' stems (prefixes of 4 to 8 letters, which
-stand for a language's endings).  The vocabulary of the vectors is what the
-labelled rows show to bear on the label: terms whose likelihood-ratio statistic
-is above a threshold and which are more frequent in toxic texts; all other words count in a text's norm with
-weight one, so that a stray term in a long text has little cosine with anything.  Examples are
-held in an inverted index whose postings are cut into blocks of examples; each
-block keeps a term's largest weight, so a query reads blocks in the order of
-their upper bounds and stops when no block can hold a nearer neighbour (exact
-top k).  The neighbours vote with their cosine as weight; votes are calibrated on
-the labelled rows themselves, each judged without its own text.
+Terms are a text's words and its words' stems (prefixes of 4 to 6 letters, which
+stand for a language's endings).  Every fitted example, toxic or clean, is held
+with all its terms.  A term's weight is its idf over all documents times a smooth
+factor above zero that rises with what the labelled rows show the term to bear on
+the label; no term is left out.  A query's terms that no example holds count in its
+norm with the weight of a term of no document.
+
+The index adds up a query's cosines to all examples at once: frequent terms as
+rows of a dense matrix, the others by their postings.  These sums are of single
+precision; what could be among the k nearest within their error is computed again
+in double precision (exact top k).  The neighbours vote with their cosine as
+weight; votes are calibrated on the labelled rows themselves, each judged without
+its own text.
 
 Fitting uses at most ``max_fit_rows`` labelled rows (a hash of the id chooses
 them); scoring covers every whole text.
@@ -20,11 +23,13 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from dataclasses import dataclass, field
+from collections.abc import Iterable, Iterator
+from itertools import islice, tee
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,7 +38,13 @@ from wrenchflow.llm.common import materialise
 _LETTERS = re.compile(r"[^\W\d_]+")
 STEMS = (4, 5, 6)
 #: Words remembered per task before the memory is emptied.
-_REMEMBERED = 500_000
+_REMEMBERED = 100_000
+#: Frequent terms held as dense rows, queries multiplied with them at once, examples counted as one block.
+_DENSE, _BATCH, _BLOCK = 1024, 32, 64
+#: Bound of the relative error of a single-precision sum of a vector's products.
+_ERROR = 1e-3
+#: Share of a term's idf that it has whatever the labels say, and rows that the prior counts for.
+_FLOOR, _PSEUDO = 0.05, 5.0
 
 _NEIGHBOUR = T.StructType([T.StructField("example", T.StringType()), T.StructField("toxic", T.IntegerType()),
                            T.StructField("cosine", T.DoubleType())])
@@ -51,81 +62,140 @@ def terms_of(word: str) -> list[str]:
     return [word + "$", *(word[:k] for k in STEMS if len(word) >= k)]
 
 
-@dataclass
-class Index:
-    """Unit TF-IDF vectors of the examples in blocks of ``block``, with block maxima."""
-
-    vocabulary: dict[str, float]  # term -> idf
-    names: list[str]
-    toxic: np.ndarray
-    vectors: list[dict[int, float]]
-    k: int = 25
-    block: int = 64
-    prior: float = 0.5
-    knots: list[tuple[float, float]] = field(default_factory=list)
-
-    def __post_init__(self) -> None:
-        self.seen: dict[str, tuple[int, ...]] = {}  # the vocabulary's terms of words met before
-        self.number = {t: i for i, t in enumerate(self.vocabulary)}
-        self.idf = np.array(list(self.vocabulary.values()))
-        # like vectors go to one block: sorted by their heaviest terms
-        heavy = [tuple(sorted(v, key=lambda t: (-v[t], t))[:3]) for v in self.vectors]
-        order = sorted(range(len(self.vectors)), key=lambda i: (heavy[i], i))
-        self.names = [self.names[i] for i in order]
-        self.toxic = self.toxic[order] if len(order) else self.toxic
-        self.vectors = [self.vectors[i] for i in order]
-        self.blocks = []  # per block: term -> (places, weights)
-        bounds: dict[int, list[tuple[int, float]]] = {}
-        for b in range(0, len(self.vectors), self.block):
-            postings: dict[int, list[tuple[int, float]]] = {}
-            for i, v in enumerate(self.vectors[b:b + self.block]):
-                for t, w in v.items():
-                    postings.setdefault(t, []).append((i, w))
-            self.blocks.append({t: (np.array([i for i, _ in p]), np.array([w for _, w in p]))
-                                for t, p in postings.items()})
-            for t, p in postings.items():
-                bounds.setdefault(t, []).append((b // self.block, max(w for _, w in p)))
-        self.bounds = {t: (np.array([b for b, _ in p]), np.array([w for _, w in p])) for t, p in bounds.items()}
+def _packed(numbers: np.ndarray) -> bytes:
+    """Whole numbers as compressed differences, their bytes by place."""
+    planes = np.diff(numbers, prepend=0).astype("<i4").view(np.uint8).reshape(-1, 4).T
+    return pa.compress(np.ascontiguousarray(planes), codec="zstd", asbytes=True) if len(numbers) else b""
 
-    def vector(self, text: str | None) -> dict[int, float]:
+
+def _unpacked(data: bytes, size: int) -> np.ndarray:
+    if not size:
+        return np.zeros(0, np.int32)
+    planes = np.frombuffer(pa.decompress(data, 4 * size, codec="zstd", asbytes=True), np.uint8).reshape(4, size)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<i4").ravel(), dtype=np.int32)
+
+
+class Index:
+    """Unit TF-IDF vectors of the examples; postings and dense rows are made where they are first used."""
+
+    def __init__(self, spelled: str, of_term: np.ndarray, names: list[str], toxic: np.ndarray, starts: np.ndarray,
+                 terms: bytes = b"", counts: bytes = b"", k: int = 25, prior: float = 0.5, unknown: float = 1.0,
+                 knots: list[tuple[float, float]] | None = None) -> None:
+        self.spelled, self.of_term = spelled, of_term  # terms, a line each, and their weights without the count's part
+        self.names, self.toxic, self.k, self.prior = names, toxic, k, prior
+        self.starts, self.packed = starts, (terms, counts)  # example i: starts[i] to starts[i + 1], terms ascending
+        self.unknown, self.knots = unknown, knots or []
+        self._ready = False
+
+    def __getstate__(self) -> dict:
+        made = ("seen", "vocabulary", "terms", "weights", "place", "at", "by_term", "dense", "row", "blocks", "_shared")
+        return {k: v for k, v in self.__dict__.items() if k not in made} | {"_ready": False}
+
+    def __getattr__(self, name: str):
+        if name.startswith("_") or name in ("vectors", "shared") or self.__dict__.get("_ready", True):
+            raise AttributeError(name)
+        self._prepare()
+        return getattr(self, name)
+
+    def _prepare(self) -> None:
+        self._ready = True
+        self.seen: dict[str, tuple] = {}  # terms of words met before: numbers, or the term itself where no example holds it
+        self.vocabulary = {t: i for i, t in enumerate(self.spelled.splitlines())}
+        n, v = len(self.names), len(self.vocabulary)
+        self.terms, counts = (_unpacked(x, int(self.starts[-1])) for x in self.packed)
+        sizes = np.bincount(self.terms, minlength=v)
+        often = np.argsort(-sizes, kind="stable")[:_DENSE]
+        often = often[sizes[often] * 16 > n]
+        self.row = dict(zip(often.tolist(), range(len(often))))
+        sizes[often] = 0
+        self.at = np.concatenate(([0], np.cumsum(sizes)))  # the others: term t's postings are at[t] to at[t + 1]
+        rows, free = np.full(v, -1, np.int32), self.at[:-1].copy()
+        rows[often] = np.arange(len(often))
+        self.weights = np.zeros(len(self.terms), np.float32)
+        self.dense = np.zeros((len(often), n), np.float32)
+        self.place, self.by_term = np.zeros(self.at[-1], np.int32), np.zeros(self.at[-1], np.float32)
+        for i, (a, b) in enumerate(zip(self.starts.tolist(), self.starts[1:].tolist())):  # one by one: little memory beside
+            terms = self.terms[a:b]
+            weights = (1 + np.log(counts[a:b])) * self.of_term[terms]
+            self.weights[a:b] = weights / np.sqrt((weights * weights).sum())
+            row = rows[terms]
+            self.dense[row[row >= 0], i] = self.weights[a:b][row >= 0]
+            rare = terms[row < 0]
+            self.place[free[rare]], self.by_term[free[rare]] = i, self.weights[a:b][row < 0]
+            free[rare] += 1
+        self.blocks = [range(b, min(b + _BLOCK, n)) for b in range(0, n, _BLOCK)]
+
+    @property
+    def vectors(self) -> list[dict[int, float]]:
+        """The examples' vectors as term number -> weight."""
+        return [dict(zip(self.terms[a:b].tolist(), self.weights[a:b].astype(float).tolist()))
+                for a, b in zip(self.starts, self.starts[1:])]
+
+    def counts(self, text: str | None) -> dict[int | str, int]:
+        """How often each term stands in the text: by number, or spelled where no example holds it."""
         words = words_of(text)
         if len(self.seen) > _REMEMBERED:
             self.seen.clear()
-        counts: dict[int, int] = {}
-        for w in words:
+        counts: dict[int | str, int] = {}
+        for w, n in words.items():
             at = self.seen.get(w)
             if at is None:
-                at = self.seen[w] = tuple(self.number[t] for t in terms_of(w) if t in self.number)
+                at = self.seen[w] = tuple(self.vocabulary.get(t, t) for t in terms_of(w))
             for i in at:
-                counts[i] = counts.get(i, 0) + words[w]
-        if not counts:
+                counts[i] = counts.get(i, 0) + n
+        return counts
+
+    def vector(self, text: str | None) -> dict[int, float]:
+        counts = self.counts(text)
+        known = [i for i in counts if type(i) is int]
+        if not known:
             return {}
-        at = np.fromiter(counts, np.int64)
-        w = (1 + np.log(np.fromiter(counts.values(), float))) * self.idf[at]
-        rest = 1 + np.log(np.array([n for x, n in words.items() if x + "$" not in self.number] or [1], float))
-        return dict(zip(at.tolist(), (w / np.sqrt((w * w).sum() + (rest * rest).sum())).tolist()))
+        rest = 0.0
+        if len(known) < len(counts):
+            other = 1 + np.log(np.array([n for i, n in counts.items() if type(i) is not int], float))
+            rest = self.unknown ** 2 * float((other * other).sum())
+        w = (1 + np.log(np.array([counts[i] for i in known], float))) * self.of_term[known]
+        return dict(zip(known, (w / np.sqrt((w * w).sum() + rest)).tolist()))
+
+    def nearest_each(self, queries: Iterable[dict[int, float]], without: list[str | None] | None = None) -> Iterator[list[tuple[float, int]]]:
+        """Per query the k examples of the largest cosine above zero; ties go to the earlier place."""
+        queries, first = iter(queries), 0
+        whole = np.zeros(len(self.vocabulary))
+        while part := list(islice(queries, _BATCH)):  # a few vectors at a time: a text has many terms
+            frequent = np.zeros((len(part), len(self.dense)), np.float32)
+            for i, q in enumerate(part):
+                for t in q.keys() & self.row.keys():
+                    frequent[i, self.row[t]] = q[t]
+            for i, (q, sums) in enumerate(zip(part, frequent @ self.dense)):
+                yield self._best(q, sums, without[first + i] if without else None, whole)
+            first += len(part)
+
+    def _best(self, query: dict[int, float], sums: np.ndarray, without: str | None, whole: np.ndarray) -> list[tuple[float, int]]:
+        if not query:
+            return []
+        rare = [t for t in query if t not in self.row]
+        if rare:
+            at = np.array(rare)
+            held = list(zip(self.at[at].tolist(), self.at[at + 1].tolist()))
+            each = np.repeat([query[t] for t in rare], self.at[at + 1] - self.at[at])
+            each *= np.concatenate([self.by_term[a:b] for a, b in held])
+            sums = sums + np.bincount(np.concatenate([self.place[a:b] for a, b in held]), each, len(self.names))
+        k = self.k + (without is not None)
+        least = 0.0
+        if len(sums) > k:  # all weights are positive, so a sum's relative error is below its length in roundings
+            least = float(np.partition(sums, len(sums) - k)[len(sums) - k]) * (1 - _ERROR)
+        best = []
+        terms = np.fromiter(query, np.int64, len(query))
+        whole[terms] = list(query.values())
+        for i in np.flatnonzero((sums >= least) & (sums > 0)).tolist():
+            if without is None or self.names[i] != without:
+                a, b = self.starts[i], self.starts[i + 1]
+                best.append((-round(float(whole[self.terms[a:b]] @ self.weights[a:b].astype(float)), 12), i))
+        whole[terms] = 0
+        return [(-c, i) for c, i in sorted(best)[:self.k] if c < 0]
 
     def nearest(self, query: dict[int, float], without: str | None = None) -> list[tuple[float, int]]:
-        """The k examples of the largest cosine above zero; ties go to the earlier place."""
-        upper = np.zeros(len(self.blocks))
-        for t, w in query.items():
-            if t in self.bounds:
-                b, most = self.bounds[t]
-                upper[b] += w * most
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-upper, kind="stable").tolist():
-            if upper[b] <= 0 or len(best) == self.k and upper[b] < -best[-1][0] - 1e-9:
-                break
-            cosine = np.zeros(self.block)
-            for t, w in query.items():
-                if t in self.blocks[b]:
-                    places, weights = self.blocks[b][t]
-                    cosine[places] += w * weights
-            at = np.flatnonzero(cosine > 0)
-            best += [(-round(float(cosine[i]), 12), b * self.block + i) for i in at.tolist()
-                     if without is None or self.names[b * self.block + i] != without]
-            best = sorted(best)[:self.k]
-        return [(-c, i) for c, i in best]
+        return next(self.nearest_each([query], [without]))
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         """Toxic share of the neighbours by cosine, with half a neighbour of the prior; -1 without one."""
@@ -134,9 +204,16 @@ class Index:
         total = sum(c for c, _ in near)
         return (sum(c * int(self.toxic[i]) for c, i in near) + 0.5 * self.prior) / (total + 0.5)
 
-    def calibrated(self, vote: float) -> float:
-        x, y = zip(*self.knots)
-        return float(np.interp(vote, x, y))
+    def shared(self):
+        """This index as a broadcast value, made once, which a Python worker reads and prepares once."""
+        if "_shared" not in self.__dict__:
+            self._shared = SparkSession.active().sparkContext.broadcast(self)
+        return self._shared
+
+
+def calibrated(vote: float, knots: list[tuple[float, float]]) -> float:
+    x, y = zip(*knots)
+    return float(np.interp(vote, x, y))
 
 
 def _isotonic(x: list[float], y: list[float], n: list[float]) -> list[tuple[float, float]]:
@@ -150,22 +227,61 @@ def _isotonic(x: list[float], y: list[float], n: list[float]) -> list[tuple[floa
     return [(a / c, b / c) for a, b, c in pools]
 
 
+def bearing(a: np.ndarray, b: np.ndarray, prior: float) -> np.ndarray:
+    """How much a term of ``a`` toxic and ``b`` clean examples bears on the label, smooth and above zero.
+
+    The divergence (in nats) of its rate of toxic examples, drawn to the prior by a
+    few rows' weight, from the prior, and a floor for terms that show nothing.
+    """
+    prior = min(max(prior, 1e-6), 1 - 1e-6)
+    rate = (a + _PSEUDO * prior) / (a + b + _PSEUDO)
+    return _FLOOR + np.maximum(rate * np.log(rate / prior) + (1 - rate) * np.log((1 - rate) / (1 - prior)), 0.0)
+
+
+def _document_counts(texts: DataFrame, spelled: str, size: int) -> np.ndarray:
+    """In how many of all texts each of ``size`` terms stands."""
+    held = texts.sparkSession.sparkContext.broadcast(spelled)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number = {t: i for i, t in enumerate(held.value.splitlines())}
+        counts, seen = np.zeros(len(number), np.int64), {}
+        for df in batches:
+            for text in df["t"]:
+                found: set[int] = set()
+                for w in set(_LETTERS.findall((text or "").lower())):
+                    at = seen.get(w)
+                    if at is None:
+                        if len(seen) > _REMEMBERED:
+                            seen.clear()
+                        at = seen[w] = tuple(number[t] for t in terms_of(w) if t in number)
+                    found.update(at)
+                counts[np.fromiter(found, np.int64, len(found))] += 1
+        at = np.flatnonzero(counts)
+        yield pd.DataFrame({"term": at, "n": counts[at]})
+
+    total = np.zeros(size, np.int64)
+    sums = materialise(texts.select("t").mapInPandas(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")),
+                       "toxicity-counts").toArrow()
+    total[sums["term"].to_numpy()] = sums["n"].to_numpy()
+    held.unpersist()
+    return total
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-        label_col: str = "toxic", max_fit_rows: int = 20_000, max_terms: int = 4096, least_g2: float = 40.0,
-        k: int = 25) -> Index:
+        label_col: str = "toxic", max_fit_rows: int = 20_000, k: int = 25) -> Index:
     """The example index from the labelled rows given (leave held-out rows out beforehand).
 
     Rows with a null id or label are ignored; of equal texts one example is made,
-    toxic if any is.  Without any usable row every text scores 0.5; without any
-    term that bears on the label every text scores the share of toxic examples.
+    toxic if any is.  Without any usable row every text scores 0.5.
     """
     chosen = (labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y"))
               .where("i is not null and y is not null").groupBy("i").agg(F.max("y").alias("y"))
               .orderBy(F.xxhash64("i"), "i").limit(max_fit_rows))
     texts = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    spread = 4 * docs.sparkSession.sparkContext.defaultParallelism
     rows = materialise(  # at most max_fit_rows small rows are broadcast
-        texts.join(F.broadcast(chosen), "i").groupBy("t").agg(F.max("y").alias("y"), F.min("i").cast("string").alias("i")),
-        "toxicity-fit")
+        texts.join(F.broadcast(chosen), "i").groupBy("t").agg(F.max("y").alias("y"), F.min("i").cast("string").alias("i"))
+        .repartition(spread, "i"), "toxicity-fit")
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def features(t: pd.Series) -> pd.Series:
@@ -173,58 +289,76 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     totals = rows.agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n")).first()
     p, n = float(totals.p or 0), float(totals.n or 0)
+    nothing = np.zeros(1, np.int64)
     if not p + n:
-        return Index({}, [], np.zeros(0, int), [], k, knots=[(-1.0, 0.5), (1.0, 0.5)])
-    counts = (rows.select("y", F.explode(features("t")).alias("term")).groupBy("term")
-              .agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
-              .where((F.col("a") * n > F.col("b") * p) & (F.col("a") >= 3)))
-    e = F.col("a") + F.col("b")
-
-    def part(o: Column, expect: Column) -> Column:
-        return F.when(o > 0, o * F.log(o / expect)).otherwise(0.0)
-
-    g2 = 2 * (part(F.col("a"), e * p / (p + n)) + part(F.col("b"), e * n / (p + n))
-              + part(p - F.col("a"), (p + n - e) * p / (p + n)) + part(n - F.col("b"), (p + n - e) * n / (p + n)))
-    picked = counts.withColumn("g2", g2).where(F.col("g2") >= least_g2).orderBy(F.desc("g2"), "term").limit(max_terms)
-    vocabulary = {r.term: math.log((1 + p + n) / (1 + r.a + r.b)) + 1 for r in picked.collect()}
-    probe = Index(vocabulary, [], np.zeros(0, int), [], k)
-
-    @F.pandas_udf(T.MapType(T.IntegerType(), T.DoubleType()))
-    def vectors(t: pd.Series) -> pd.Series:
-        return pd.Series([probe.vector(x) for x in t])
-
-    examples = materialise(rows.select("i", "y", vectors("t").alias("v")), "toxicity-examples")
-    held = examples.where(F.size("v") > 0).orderBy("i").limit(max_fit_rows).collect()
-    index = Index(vocabulary, [r.i for r in held], np.array([r.y for r in held], int), [dict(r.v) for r in held], k,
-                  prior=p / (p + n))
+        return Index("", np.zeros(0), [], np.zeros(0, int), nothing, k=k, knots=[(-1.0, 0.5), (1.0, 0.5)])
+    prior = p / (p + n)
+    counts = materialise(rows.select("y", F.explode(features("t")).alias("term")).groupBy("term")
+                         .agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")), "toxicity-terms").toArrow().sort_by("term")
+    spelled, size = "\n".join(counts["term"].to_pylist()), docs.count()
+    toxic, clean = counts["a"].to_numpy().astype(float), counts["b"].to_numpy().astype(float)
+    del counts
+    weight = (np.log((1 + size) / (1 + _document_counts(texts, spelled, len(toxic)))) + 1) * bearing(toxic, clean, prior)
+    unknown = (math.log(1 + size) + 1) * float(bearing(np.zeros(1), np.zeros(1), prior)[0])
+    probe = docs.sparkSession.sparkContext.broadcast(
+        Index(spelled, weight, [], np.zeros(0, int), nothing, k=k, unknown=unknown))
+
+    @F.pandas_udf("terms binary, counts binary")
+    def counted(t: pd.Series) -> pd.DataFrame:
+        made = [sorted(probe.value.counts(x).items()) for x in t]  # examples hold known terms only
+        return pd.DataFrame({"terms": [np.array([i for i, _ in c], "<i4").tobytes() for c in made],
+                             "counts": [np.array([c for _, c in c], "<i4").tobytes() for c in made]})
+
+    examples = materialise(rows.select("i", "y", counted("t").alias("c")).select("i", "y", "c.*"), "toxicity-examples")
+    held = sorted(examples.toLocalIterator(), key=lambda r: r.i)
+    probe.unpersist()
+    starts = np.concatenate(([0], np.cumsum([len(r.terms) // 4 for r in held], dtype=np.int64)))
+    packed = [_packed(np.frombuffer(b"".join(r[c] for r in held), "<i4")) for c in ("terms", "counts")]
+    index = Index(spelled, weight, [r.i for r in held], np.array([r.y for r in held], int), starts, *packed, k, prior, unknown)
+    del held
+    shared = index.shared()
 
     @F.pandas_udf(T.DoubleType())
-    def votes(i: pd.Series, v: pd.Series) -> pd.Series:
-        return pd.Series([index.vote(index.nearest(dict(x), a)) for a, x in zip(i, v)], dtype=float)
+    def votes(i: pd.Series, t: pd.Series) -> pd.Series:
+        here = shared.value
+        return pd.Series([here.vote(x) for x in here.nearest_each(map(here.vector, t), i.tolist())], dtype=float)
 
-    binned = (examples.select("y", votes("i", "v").alias("s")).withColumn("b", F.floor(F.col("s") * 20))
+    binned = (rows.select("y", votes("i", "t").alias("s")).withColumn("b", F.floor(F.col("s") * 20))
               .groupBy("b").agg(F.avg("s").alias("s"), F.avg("y").alias("y"), F.count("*").alias("n")).orderBy("b").collect())
     index.knots = _isotonic([r.s for r in binned], [(r.y * r.n + 0.5 * index.prior) / (r.n + 0.5) for r in binned],
                             [r.n for r in binned])
     return index
 
 
+def score(text: Column, index: Index) -> Column:
+    """The calibrated score alone, as of ``toxicity``."""
+    shared, knots = index.shared(), index.knots
+
+    @F.pandas_udf(T.DoubleType())
+    def judged(texts: pd.Series) -> pd.Series:
+        here = shared.value
+        near = here.nearest_each(map(here.vector, texts))
+        return pd.Series([calibrated(here.vote(x), knots) for x in near], dtype=float)
+
+    return judged(text)
+
+
 def toxicity(text: Column, index: Index) -> Column:
-    """A struct column: calibrated ``score``, raw ``vote``, the text's ``terms`` and its nearest examples.
+    """A struct column: calibrated ``score``, raw ``vote``, the text's ``terms`` that examples hold and its nearest examples.
 
     Null and empty texts have no term and score like any text without one.
     """
-    names = list(index.vocabulary)
+    shared, knots = index.shared(), index.knots
 
     @F.pandas_udf(_RESULT)
     def judged(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t in texts:
-            v = index.vector(t)
-            near = index.nearest(v)
-            vote = index.vote(near)
-            rows.append((index.calibrated(vote), vote, sorted(names[i] for i in v),
-                         [(index.names[i], int(index.toxic[i]), c) for c, i in near[:5]]))
+        here, rows = shared.value, []
+        names = list(here.vocabulary)
+        made, asked = tee(map(here.vector, texts))
+        for v, near in zip(made, here.nearest_each(asked)):
+            vote = here.vote(near)
+            rows.append((calibrated(vote, knots), vote, sorted(names[i] for i in v),
+                         [(here.names[i], int(here.toxic[i]), c) for c, i in near[:5]]))
         return pd.DataFrame(rows, columns=_RESULT.names)
 
     return judged(text)
@@ -241,5 +375,5 @@ def training_labels(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def without_toxic(docs: DataFrame, index: Index, text_col: str = "text", at: float = 0.5) -> DataFrame:
     """``docs`` whose score is below ``at``, in all their columns."""
-    judged = docs.withColumn("__toxicity", toxicity(docs[text_col], index)["score"])
+    judged = docs.withColumn("__toxicity", score(docs[text_col], index))
     return judged.where(F.col("__toxicity") < at).drop("__toxicity")
