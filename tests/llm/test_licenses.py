@@ -62,6 +62,54 @@ def test_gate_and_keywords_lose_no_match():
         assert any(g in keyword or g in regex or g[:5] in regex.replace("[sc]", "c") for g in L.GATE), regex
 
 
+def plain(regex):
+    """The shortest texts of a pattern: one for each choice of its alternatives, without what is optional."""
+    def of(node):
+        out = [""]
+        for op, arg in node:
+            name = str(op)
+            if name == "LITERAL":
+                more = [chr(arg)]
+            elif name == "IN":
+                kind, first = next((str(k), v) for k, v in arg)
+                space = kind == "CATEGORY" and "SPACE" in str(first)
+                more = [" " if space else "a" if kind == "CATEGORY" else chr(first if kind == "LITERAL" else first[0])]
+            elif name == "BRANCH":
+                more = [t for part in arg[1] for t in of(part)]
+            elif name == "SUBPATTERN":
+                more = of(arg[3])
+            elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+                more = [t * arg[0] for t in of(arg[2])] if arg[0] else [""]
+            elif name == "NOT_LITERAL" or name == "ANY":
+                more = ["a"]
+            else:
+                assert name.startswith("ASSERT"), name
+                more = [""]
+            out = [a + b for a in out for b in more]
+        return sorted(set(out))
+    return of(re._parser.parse(regex))
+
+
+def test_every_form_of_every_name_is_found(spark):
+    made = [(keyword, regex, label, t) for keyword, regex, label, *_ in L.rules() for t in plain(regex)]
+    assert len(made) > len(L.rules())
+    for keyword, regex, _, t in made:
+        assert re.search(regex, t) and keyword in t and any(g in t for g in L.GATE), (regex, t)
+    rows = [t for *_, t in made]
+    got = L.license_scan(docs(spark, list(enumerate(rows)))).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert sorted((d.start, d.end, d.label) for d in r.detections) == kept_by_hand(rows[r.doc_id]), rows[r.doc_id]
+        assert r.labels and r.score > 0, rows[r.doc_id]
+
+
+def test_names_without_the_word_license(spark):
+    rows = [(1, "This package is distributed under GPL-3.0-or-later."), (2, "Released under MIT."),
+            (3, "Available under CC BY-SA 4.0"), (4, "Provided under the terms of the Apache 2.0"), (5, "Published under MIT")]
+    got = {r.doc_id: r.labels for r in L.license_scan(docs(spark, rows)).collect()}
+    assert got == {1: "gpl-3.0-or-later", 2: "mit", 3: "cc-by-sa-4.0", 4: "apache-2.0", 5: "mit"}
+
+
 def test_rules_are_distinct_and_never_match_nothing():
     rules = L.rules()
     assert len(rules) > 200 and len({(r, label) for _, r, label, *_ in rules}) == len(rules)

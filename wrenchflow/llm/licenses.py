@@ -22,7 +22,7 @@ BASE = {"mit license": "mit", "apache license": "apache", "general public licens
 #: Hand-written signatures of licenses: label, keyword, regex of the name.
 NAMES = [
     ("mit", "mit", r"(?:the )?mit(?:/x11| \(expat\))?"),
-    ("mit-0", "mit-0", r"mit-0|mit no attribution"),
+    ("mit-0", "mit", r"mit-0|mit no attribution"),
     ("apache-2.0", "apache", r"(?:the )?apache(?: software)?[ -]?(?:license[, -]+)?(?:version |v)?2(?:\.0)?"),
     ("apache-1.1", "apache", r"(?:the )?apache(?: software)?[ -]?(?:license[, -]+)?(?:version |v)?1\.1"),
     ("gpl-2.0", "gpl", r"(?:gnu )?gpl[ -]?(?:version |v)?2(?:\.0)?(?:[ -]only)?"),
@@ -115,13 +115,13 @@ TEXTS = [
     ("zlib", "as-is", r"this software is provided 'as-is', without any express or implied\s+warranty", 1, 0.9),
     ("proprietary", "all rights reserved", r"all rights reserved", 4, 0.3),
     ("proprietary", "confidential", r"(?:proprietary and confidential|confidential and proprietary)", 2, 0.8),
-    ("proprietary", "unauthorized", r"unauthori[sz]ed (?:copying|reproduction|distribution)[^.]{0,120}? (?:strictly )?prohibited", 2, 0.8),
+    ("proprietary", "unauthori", r"unauthori[sz]ed (?:copying|reproduction|distribution)[^.]{0,120}? (?:strictly )?prohibited", 2, 0.8),
 ]
 
 #: No rule matches a text without one of these.
 GATE = ("licen", "permission", "redistribution", "free software", "creativecommons.org", "gnu.org", "mozilla.org",
         "public domain", "neither the name", "all advertising", "all rights reserved", "as-is", "confidential",
-        "unauthori")
+        "unauthori", "released under ", "distributed under ", "published under ", "available under ", "provided under ")
 
 
 def rules() -> list[tuple[str, str, str, int, float]]:
