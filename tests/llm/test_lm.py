@@ -97,3 +97,23 @@ def test_held_out_likelihood_beats_the_base(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     row = lm.score_documents(df, share=4).where("held_out").groupBy().sum("score", "base_score").first()
     assert row[0] > row[1]
+
+
+def test_registered_values_train_on_every_document(spark, monkeypatch):
+    rows = [(i, " ".join(words(30, i % 20))) for i in range(120)]
+    seen = []
+    real = lm.averaged
+
+    def counted(copies, fan=64):
+        seen.append(sum(r.n for r in copies.select("n").collect()))
+        return real(copies, fan)
+
+    monkeypatch.setattr(lm, "averaged", counted)
+    got = lm.score_documents(docs(spark, rows)).first()
+    assert sum(seen) == got.train_tokens
+
+
+def test_registered_values_beat_the_base_held_out(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    row = lm.score_documents(df).where("held_out").groupBy().sum("score", "base_score").first()
+    assert row[0] > row[1]

@@ -11,7 +11,7 @@ Counts are exact and distributed: input partitions are cut into chunks of bounde
 size, each chunk gives its words once, words are summed over chunks and joined
 back to the chunks they occur in, and each chunk's documents become class
 sequences of one byte a token.  Every partition of these then trains a copy of
-the network on its share of documents by truncated backpropagation; copies are
+the network on its documents by truncated backpropagation; copies are
 averaged by token count in groups, and the average starts the next round.
 Scoring carries the state across windows, so a document's likelihood is that of
 the complete text.
@@ -310,13 +310,12 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string")) % 7 == 2, F.lit(False))
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: int = 32,
-                    rounds: int = 2) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: int = 1,
+                    rounds: int = 1) -> DataFrame:
     """Per document: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
-    Learns from documents that aren't held out: counts from all of them, the
-    network in each of ``rounds`` from one of ``share`` (by hash), so that its
-    work grows with the corpus.  Null texts count as empty (the end alone); null
+    Learns from all documents that aren't held out, counts and network alike; a
+    larger ``share`` trains the network in each of ``rounds`` on one of so many.  Null texts count as empty (the end alone); null
     ids are never held out; repeated rows count as often as they stand; without
     training rows every token is unseen and scores 0; an empty table gives no rows.
     """
