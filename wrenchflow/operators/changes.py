@@ -15,15 +15,13 @@ without gathering a key's changes in one place: "last change wins" is a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wrenchflow.functions.exprs import coerce_bool, initials, parse_hhmm
 from wrenchflow.functions.predicates import Date, _d
 from wrenchflow.model import BOOKING_STATUSES, TASK_STATUSES, USER_ROLES
+from wrenchflow.operators.ordered import Running, dealt, running
 from wrenchflow.session import checkpoint_dir
 from wrenchflow.sources.tables import Garage
 
@@ -69,7 +67,7 @@ def merge_snapshot(old: DataFrame, changed: DataFrame, key: str) -> DataFrame:
     return old.join(changed.select(key).distinct(), key, "left_anti").unionByName(changed.select(*old.columns))
 
 
-def _first_reason(*checks: tuple[Column, str]) -> Column:
+def first_reason(*checks: tuple[Column, str]) -> Column:
     """The message of the first failing check (CASE WHEN chain), NULL when all pass."""
     expr = None
     for failed, msg in checks:
@@ -78,7 +76,7 @@ def _first_reason(*checks: tuple[Column, str]) -> Column:
     return expr
 
 
-def _falsy(c: Column) -> Column:
+def is_falsy(c: Column) -> Column:
     """JavaScript falsiness of a request field: NULL, '' or 0."""
     return c.isNull() | (c.cast("string") == "") | (c.cast("string") == "0")
 
@@ -137,7 +135,8 @@ def apply_new_bookings(g: Garage, requests: DataFrame) -> DataFrame:
     requests by others are rejected as not owned); admin/staff reassign, and
     later requests see the new owner.  Accepted rows get a
     new ``B-<n>`` id (M14), status pending and a pending payment row whose
-    percent/amount are 0 unless it is a down payment.
+    percent/amount are 0 unless it is a down payment.  Requests of one
+    ``request_seq`` follow each other by vehicle and customer.
     """
     svc = g.services.select(F.col("id").alias("_sid"), F.col("in_stock").alias("_in_stock"),
                             F.col("price").alias("_price"))
@@ -147,26 +146,25 @@ def apply_new_bookings(g: Garage, requests: DataFrame) -> DataFrame:
     is_cust, is_staff = F.col("role") == "customer", F.col("role").isin("admin", "staff")
     eff_customer = F.when(is_cust, F.col("requester_customer_id")).when(is_staff, F.col("customer_id"))
     r = r.withColumn("_cust", eff_customer)
-    required = (_falsy(F.col("service_id")) | _falsy(F.col("vehicle_id")) | _falsy(F.col("booking_date"))
-                | _falsy(F.col("booking_time")))
+    required = (is_falsy(F.col("service_id")) | is_falsy(F.col("vehicle_id")) | is_falsy(F.col("booking_date"))
+                | is_falsy(F.col("booking_time")))
     # a request takes part in ownership once it passes every check that comes before it
     takes_part = (~F.coalesce(required, F.lit(False)) & F.col("_sid").isNotNull() & F.coalesce("_in_stock", F.lit(False))
-                  & F.col("_vid").isNotNull() & (is_cust | (is_staff & ~_falsy(F.col("customer_id")))))
+                  & F.col("_vid").isNotNull() & (is_cust | (is_staff & ~is_falsy(F.col("customer_id")))))
     # the owner before each request: the customer of the last staff request (they reassign), else the first
-    # customer request of an unowned vehicle (it adopts); per vehicle the requests are few and ordered
-    vehicle = F.coalesce(F.col("vehicle_id").cast("string"), F.concat(F.lit("none "), F.col("request_seq").cast("string")))
-    before = Window.partitionBy(vehicle).orderBy("request_seq").rowsBetween(Window.unboundedPreceding, -1)
-    r = r.withColumn("_part", takes_part).withColumn(
-        "_staff_owner", F.last(F.when(F.col("_part") & is_staff, F.col("_cust")), ignorenulls=True).over(before)).withColumn(
-        "_adopter", F.first(F.when(F.col("_part") & is_cust, F.col("_cust")), ignorenulls=True).over(before))
+    # customer request of an unowned vehicle (it adopts); a scan that carries both from range to range
+    r = number_rows(r.withColumn("_part", takes_part), ["request_seq", "vehicle_id", "_cust"], out="_row")
+    r = running(dealt(r, "vehicle_id", ["_row"]), "vehicle_id", ["_row"], {
+        "_staff_owner": Running(F.when(F.col("_part") & is_staff, F.col("_cust")), last=True, inclusive=False),
+        "_adopter": Running(F.when(F.col("_part") & is_cust, F.col("_cust")), inclusive=False)})
     owner_now = F.coalesce(F.col("_staff_owner"), F.col("_owner"), F.col("_adopter"),
                            F.when(F.col("_part"), F.col("_cust")))
-    reason = _first_reason(
+    reason = first_reason(
         (required, R_REQUIRED_BOOKING),
         (F.col("_sid").isNull(), R_SERVICE_NOT_FOUND),
         (~F.col("_in_stock"), R_SERVICE_UNAVAILABLE),
         (~is_cust & ~is_staff, R_NOT_AUTHORIZED_CREATE),
-        (is_staff & _falsy(F.col("customer_id")), R_CUSTOMER_REQUIRED),
+        (is_staff & is_falsy(F.col("customer_id")), R_CUSTOMER_REQUIRED),
         (F.col("_vid").isNull(), R_VEHICLE_NOT_FOUND),
         (is_cust & (owner_now != F.col("_cust")), R_VEHICLE_NOT_OWNED),
     )
@@ -179,7 +177,7 @@ def apply_new_bookings(g: Garage, requests: DataFrame) -> DataFrame:
         F.when(down, F.col("down_payment_percent")).otherwise(F.lit(0)).cast("int").alias("down_payment_percent"),
         F.when(down, F.col("down_payment_amount")).otherwise(F.lit(0)).cast("decimal(12,2)")
         .alias("down_payment_amount"),
-        F.when(F.col("_vid").isNotNull(), F.when(is_staff, F.col("_cust")).otherwise(owner_now))
+        F.when(F.col("_vid").isNotNull(), F.when(is_staff & F.col("_part"), F.col("_cust")).otherwise(owner_now))
         .alias("vehicle_owner_after"),
         reason.alias("reject_reason"))
     accepted = out.where(F.col("reject_reason").isNull())
@@ -215,7 +213,7 @@ def apply_status_changes(g: Garage, changes: DataFrame, as_of_ts: str) -> DataFr
                           F.col("status").alias("old_status"))
     c = changes.join(b, F.col("booking_id") == F.col("_bid"), "left")
     role, st = F.col("actor_role"), F.col("new_status")
-    reason = _first_reason(
+    reason = first_reason(
         (F.col("_bid").isNull(), R_BOOKING_NOT_FOUND),
         (role.isin("admin", "staff") & ~F.coalesce(st.isin(*BOOKING_STATUSES), F.lit(False)), R_STATUS_REQUIRED),
         ((role == "mechanic") & ~F.col("_bm").eqNullSafe(F.col("actor_mechanic_id")), R_MECHANIC_NOT_ASSIGNED),
@@ -255,7 +253,7 @@ def apply_cancellations(g: Garage, requests: DataFrame) -> DataFrame:
     b = g.bookings.select(F.col("id").alias("_bid"), F.col("customer_id").alias("_bc"),
                           F.col("status").alias("old_status"))
     c = requests.join(b, (F.col("booking_id") == F.col("_bid")) & (F.col("customer_id") == F.col("_bc")), "left")
-    base = _first_reason((F.col("_bid").isNull(), R_CANCEL_NOT_OWNED),
+    base = first_reason((F.col("_bid").isNull(), R_CANCEL_NOT_OWNED),
                          (~F.col("old_status").isin("pending", "confirmed"), R_CANCEL_STATE))
     c = c.withColumn("_r", base)
     first = (c.where(F.col("_r").isNull()).groupBy(F.col("booking_id").alias("_fb"))
@@ -282,7 +280,9 @@ def apply_task_status(g: Garage, changes: DataFrame) -> DataFrame:
     whose booking is assigned to the mechanic.  in-progress sets the start
     when unset (or equal to the end); completed sets the end when unset.
     in-progress / completed are mirrored to the booking, completed with its time.
-    Later changes of the batch see what earlier ones have set.
+    Later changes of the batch see what earlier ones have set (by ``change_seq``, then
+    ``ref``; ``change_no`` numbers all rows in that order, ``task_key`` names the task or,
+    before it has an id, its booking and mechanic).
     Resolution is two equi-joins (booking id, task id), never an OR join.
     """
     b = g.bookings.select(F.col("id").alias("_bid"), F.col("mechanic_id").alias("_bm"),
@@ -299,7 +299,7 @@ def apply_task_status(g: Garage, changes: DataFrame) -> DataFrame:
     c = c.join(by_task, F.col("_bid").isNull() & (F.col("ref") == F.col("_xt").cast("string"))
                & (F.col("mechanic_id") == F.col("_xbm")), "left")
     found_booking, found_task = F.col("_bid").isNotNull(), F.col("_xt").isNotNull()
-    reason = _first_reason((~F.coalesce(F.col("status").isin(*TASK_STATUSES), F.lit(False)), R_TASK_STATUS),
+    reason = first_reason((~F.coalesce(F.col("status").isin(*TASK_STATUSES), F.lit(False)), R_TASK_STATUS),
                            (~found_booking & ~found_task, R_TASK_NOT_FOUND))
     task_id = F.when(found_booking, F.col("_tid")).otherwise(F.col("_xt"))
     booking_id = F.when(found_booking, F.col("_bid")).otherwise(F.col("_xb"))
@@ -308,42 +308,47 @@ def apply_task_status(g: Garage, changes: DataFrame) -> DataFrame:
                    task_id.alias("task_id"), booking_id.alias("booking_id"), new.alias("new"),
                    F.when(found_booking, F.col("_ts")).otherwise(F.col("_xs")).alias("start_min"),
                    F.when(new, F.col("_bstart")).when(found_booking, F.col("_te")).otherwise(F.col("_xe")).alias("end_min"))
-    checkpoint_dir(g.bookings.sparkSession)
-    out = out.checkpoint()
+    # rows of one change_seq follow each other by ref; a number of their own keeps repeated ones apart
+    out = number_rows(out, ["change_seq", "ref", "mechanic_id", "now_min"], out="_row")
     st, done = F.col("status"), F.col("reject_reason").isNull()
-    # changes of one task (or of the booking that gets one) in order, as a stream of sorted partitions
-    key = F.coalesce(F.col("task_id").cast("string"), F.concat_ws(" ", "booking_id", F.col("mechanic_id").cast("string")))
-    times = (out.where(done).select("change_seq", key.alias("task"), "status", "now_min", "new", "start_min", "end_min")
-             .repartition("task").sortWithinPartitions("task", "change_seq").mapInPandas(_task_times, _TASK_TIMES))
-    out = out.drop("new", "start_min", "end_min").join(times, "change_seq", "left")
+    # changes of one task, or of the booking that gets one; refused ones change nothing
+    key = F.when(done, F.coalesce(F.col("task_id").cast("string"), F.concat_ws(" ", "booking_id", F.col("mechanic_id").cast("string"))))
+    out = _task_times(out.withColumn("_task", key))
     return out.select("change_seq", "ref", "mechanic_id", "status", "reject_reason",
                       F.when(done, F.col("task_id")).alias("task_id"), F.when(done, F.col("booking_id")).alias("booking_id"),
-                      "task_created", "start_min", "end_min",
+                      F.when(done, F.col("new") & (F.col("_row") == F.col("_first"))).alias("task_created"),
+                      F.when(done, F.col("_start")).alias("start_min"), F.when(done, F.col("_end")).alias("end_min"),
                       F.when(done & st.isin("in-progress", "completed"), st).alias("booking_status"),
-                      F.when(done & (st == "completed"), F.col("now_min")).alias("completed_min"))
-
+                      F.when(done & (st == "completed"), F.col("now_min")).alias("completed_min"),
+                      F.col("_row").alias("change_no"), F.col("_task").alias("task_key"))
 
-_TASK_TIMES = "change_seq long, task_created boolean, start_min int, end_min int"
 
+def _task_times(changes: DataFrame) -> DataFrame:
+    """``changes`` with ``_start`` and ``_end`` of their task after each of them, and ``_first``, the task's first row.
 
-def _task_times(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Start and end of a task after each of its changes; the first change of a booking without task creates it."""
-    task, start, end, created = None, None, None, False
-    for df in batches:
-        out = []
-        for r in df.itertuples(index=False):
-            fresh = r.task != task
-            if fresh:
-                task, created = r.task, bool(r.new)
-                start, end = (None if pd.isna(x) else int(x) for x in (r.start_min, r.end_min))
-                start = int(r.now_min) if created else start
-            if r.status == "in-progress" and (start is None or start == end):
-                start = int(r.now_min)
-            if r.status == "completed" and end is None:
-                end = int(r.now_min)
-            out.append((r.change_seq, fresh and created, start, end))
-        frame = pd.DataFrame(out, columns=["change_seq", "task_created", "start_min", "end_min"])
-        yield frame.astype({"start_min": "Int64", "end_min": "Int64"})
+    The end is set once: to the stored one, else to the time of the first completion.  While it is
+    open, the start is the stored one or the first time of going in progress.  Once it is known, a start that is
+    missing or equal to the end gives way to the first later time of going in progress that differs from the end
+    (a missing one meanwhile to the end).  So every state is the first of something up to a row, and two carried
+    scans give it, however many changes a task has.
+    """
+    order = ["_row"]
+    begun, ended = F.col("status") == "in-progress", F.col("status") == "completed"
+    rows = running(dealt(changes, "_task", order), "_task", order, {
+        "_first": Running(F.col("_row")), "_first_now": Running(F.col("now_min")),
+        "_done": Running(F.when(ended, F.col("now_min"))),
+        "_done_before": Running(F.when(ended, F.col("now_min")), inclusive=False)})
+    before = F.coalesce(F.col("end_min"), F.col("_done_before"))
+    start0 = F.when(F.col("new"), F.col("_first_now")).otherwise(F.col("start_min"))
+    rows = rows.withColumn("_end", F.coalesce("end_min", "_done"))
+    rows = running(rows, "_task", order, {
+        "_open": Running(F.when(begun & before.isNull(), F.col("now_min"))),
+        "_moved": Running(F.when(begun & (F.col("now_min") != before), F.col("now_min"))),
+        "_met": Running(F.when(begun & (F.col("now_min") == before), F.col("now_min")))})
+    start = F.coalesce(start0, F.col("_open"))
+    settled = F.col("_end").isNull() | (start != F.col("_end"))
+    return rows.withColumn("_start", F.when(F.coalesce(settled, F.lit(False)), start)
+                           .otherwise(F.coalesce("_moved", start, F.col("_met"))))
 
 
 # --- M6 --------------------------------------------------------------------------
@@ -357,7 +362,7 @@ def apply_payment_decisions(g: Garage, decisions: DataFrame) -> DataFrame:
     p = g.payments.select(F.col("id").alias("_pid"), F.col("booking_id").alias("_pb"),
                           F.col("payment_status").alias("old_status"))
     d = decisions.join(p, F.col("payment_id") == F.col("_pid"), "left")
-    reason = _first_reason((F.col("_pid").isNull(), R_PAYMENT_NOT_FOUND),
+    reason = first_reason((F.col("_pid").isNull(), R_PAYMENT_NOT_FOUND),
                            (~F.coalesce(F.col("decision").isin("approve", "reject"), F.lit(False)),
                             "Unknown decision"))
     ok = reason.isNull()
@@ -390,8 +395,8 @@ def apply_testimonials(g: Garage, submissions: DataFrame, as_of: Date) -> DataFr
          .join(mech, F.col("mechanic_id") == F.col("_mid"), "left")
          .join(seen, (F.col("customer_id") == F.col("_c")) & (F.col("service_id") == F.col("_s"))
                & F.col("mechanic_id").eqNullSafe(F.col("_m")), "left"))
-    base = _first_reason(
-        (_falsy(F.col("service_id")) | _falsy(F.col("rating")) | _falsy(F.col("comment")), R_TESTIMONIAL_REQUIRED),
+    base = first_reason(
+        (is_falsy(F.col("service_id")) | is_falsy(F.col("rating")) | is_falsy(F.col("comment")), R_TESTIMONIAL_REQUIRED),
         ((F.col("rating") < 1) | (F.col("rating") > 5), R_RATING_RANGE),
         (F.col("_sid").isNull(), R_SERVICE_NOT_FOUND),
         (F.col("mechanic_id").isNotNull() & F.col("_mid").isNull(), R_MECHANIC_NOT_FOUND),
@@ -457,7 +462,7 @@ def moderate_testimonials(g: Garage, actions: DataFrame) -> DataFrame:
     a = a.withColumn("_appr_val", F.when(F.col("action") == "approve", F.col("value")))
     a = segmented_last(a, "testimonial_id", "action_seq", "_appr_val", "_appr_before")
     approved_before = F.coalesce(F.col("_appr_before"), F.col("_a0"))
-    reason = _first_reason((F.col("_tid").isNull(), R_TESTIMONIAL_NOT_FOUND),
+    reason = first_reason((F.col("_tid").isNull(), R_TESTIMONIAL_NOT_FOUND),
                            ((F.col("action") == "feature") & F.col("value") & ~approved_before, R_FEATURE_UNAPPROVED))
     ok = reason.isNull()
     return a.select("action_seq", "testimonial_id", "action", "value", reason.alias("reject_reason"),
@@ -566,7 +571,7 @@ def delete_schedules(g: Garage, ids: DataFrame) -> tuple[DataFrame, Garage]:
     """Delete bookings by id; refused for unknown ids.  Returns the decisions and the tables left."""
     known = g.bookings.select(F.col("id").alias("_k"))
     d = ids.select("booking_id").distinct().join(known, F.col("booking_id") == F.col("_k"), "left")
-    reason = _first_reason((F.col("_k").isNull(), R_SCHEDULE_NOT_FOUND))
+    reason = first_reason((F.col("_k").isNull(), R_SCHEDULE_NOT_FOUND))
     decided = d.select("booking_id", reason.alias("reject_reason"), reason.isNull().alias("deleted"))
     gone = g.bookings.join(ids.select("booking_id").distinct(), F.col("id") == F.col("booking_id"), "left_semi")
     left = g.bookings.join(ids.select("booking_id").distinct(), F.col("id") == F.col("booking_id"), "left_anti")
@@ -579,7 +584,7 @@ def delete_vehicles(g: Garage, vehicle_ids: DataFrame) -> DataFrame:
     known = g.vehicles.select(F.col("id").alias("_kv")).distinct()
     v = (vehicle_ids.join(known, F.col("vehicle_id") == F.col("_kv"), "left")
          .join(used, F.col("vehicle_id") == F.col("_uv"), "left"))
-    reason = _first_reason((F.col("_kv").isNull(), R_VEHICLE_NOT_FOUND), (F.col("_used").isNotNull(), R_VEHICLE_IN_USE))
+    reason = first_reason((F.col("_kv").isNull(), R_VEHICLE_NOT_FOUND), (F.col("_used").isNotNull(), R_VEHICLE_IN_USE))
     return v.select("vehicle_id", reason.alias("reject_reason"), reason.isNull().alias("deleted"))
 
 
@@ -604,7 +609,7 @@ def append_field_notes(g: Garage, notes: DataFrame) -> DataFrame:
     """
     b = g.bookings.select(F.col("id").alias("_bid"), F.col("mechanic_id").alias("_bm"))
     n = notes.join(b, (F.col("booking_id") == F.col("_bid")) & (F.col("mechanic_id") == F.col("_bm")), "left")
-    reason = _first_reason((_falsy(F.col("booking_id")) | _falsy(F.col("note")), R_NOTE_REQUIRED),
+    reason = first_reason((is_falsy(F.col("booking_id")) | is_falsy(F.col("note")), R_NOTE_REQUIRED),
                            (F.col("_bid").isNull(), R_NOTE_NOT_ASSIGNED))
     n = n.withColumn("reject_reason", reason).withColumn(
         "status", F.when(F.col("reject_reason").isNull(), F.lit("pending")))
@@ -627,9 +632,9 @@ def provision_users(g: Garage, rows: DataFrame) -> DataFrame:
     known = g.users.select(F.col("email").alias("_e")).distinct().withColumn("_known", F.lit(True))
     r = rows.join(known, F.col("email") == F.col("_e"), "left")
     mech = F.col("role") == "mechanic"
-    missing = _falsy(F.col("email")) | _falsy(F.col("name")) | _falsy(F.col("role"))
-    base = _first_reason((missing, R_USER_REQUIRED), (~F.col("role").isin(*USER_ROLES), R_USER_ROLE), (F.col("_known").isNotNull(), R_EMAIL_IN_USE),
-                         (mech & (_falsy(F.col("specialization")) | F.col("experience").isNull()), R_MECHANIC_FIELDS))
+    missing = is_falsy(F.col("email")) | is_falsy(F.col("name")) | is_falsy(F.col("role"))
+    base = first_reason((missing, R_USER_REQUIRED), (~F.col("role").isin(*USER_ROLES), R_USER_ROLE), (F.col("_known").isNotNull(), R_EMAIL_IN_USE),
+                         (mech & (is_falsy(F.col("specialization")) | F.col("experience").isNull()), R_MECHANIC_FIELDS))
     r = r.withColumn("_r", base)
     first = r.where(F.col("_r").isNull()).groupBy(F.col("email").alias("_fe")).agg(F.min("row_seq").alias("_first"))
     r = r.join(first, F.col("email") == F.col("_fe"), "left")

@@ -21,15 +21,17 @@ booking, and the look-up join's hot key is split by AQE's skew handling.
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wrenchflow.functions.exprs import end_min, hhmm, weekday0
 from wrenchflow.functions.predicates import Date, _d
 from wrenchflow.model import SLOT_STEP_MIN
+from wrenchflow.operators.ordered import components
 from wrenchflow.session import checkpoint_dir
 from wrenchflow.sources.tables import Garage
 
@@ -112,29 +114,23 @@ def schedule_conflicts(g: Garage) -> DataFrame:
                           (F.col("n_overlap") > 1).alias("has_conflict"))
 
 
-def within_availability(g: Garage, intervals: DataFrame | None = None,
-                        row_key: tuple[str, ...] = ("id",)) -> DataFrame:
+def within_availability(g: Garage, intervals: DataFrame | None = None) -> DataFrame:
     """Flag each assigned booking whose [start, end] lies inside one of its
     mechanic's weekly windows on that weekday (Sunday = 0).
 
-    Equi-join on (mechanic, weekday) with the containment as residual
-    condition; the windows per key are the mechanic's few weekly slots.
-    A semi join gives the inside rows and the flag is a LEFT join back on
-    ``row_key`` (unique per input row).  Input columns are kept.
+    A mechanic's windows of a weekday are one array (the longest per start, so
+    at most one per minute of the day), met by one join on (mechanic, weekday) and
+    searched by a higher-order function; intervals are read once.  Input columns
+    are kept.
     """
     iv = intervals if intervals is not None else booking_intervals(g)
-    iv = iv.withColumn("dow", weekday0("booking_date"))
-    a = g.mechanic_availability.select(F.col("mechanic_id").alias("_am"), F.col("day_of_week").alias("_ad"),
-                                       F.col("start_min").alias("_as"), F.col("end_min").alias("_ae"))
-    cond = ((F.col("mechanic_id") == F.col("_am")) & (F.col("dow") == F.col("_ad"))
-            & (F.col("_as") <= F.col("start_min")) & (F.col("_ae") >= F.col("end_min")))
-    keys = list(row_key)
-    inside = (iv.join(a, cond, "left_semi").select(*[F.col(k).alias(f"_in_{k}") for k in keys])
-              .withColumn("_hit", F.lit(True)))
-    on = [F.col(k) == F.col(f"_in_{k}") for k in keys]
-    return (iv.join(inside, on, "left")
-            .withColumn("within_availability", F.coalesce(F.col("_hit"), F.lit(False)))
-            .drop("_hit", *[f"_in_{k}" for k in keys]))
+    a = (g.mechanic_availability.groupBy("mechanic_id", "day_of_week", "start_min").agg(F.max("end_min").alias("e"))
+         .groupBy(F.col("mechanic_id").alias("_am"), F.col("day_of_week").alias("_ad"))
+         .agg(F.sort_array(F.collect_list(F.struct(F.col("start_min").alias("s"), "e"))).alias("_windows")))
+    fits = F.exists("_windows", lambda w: (w["s"] <= F.col("start_min")) & (w["e"] >= F.col("end_min")))
+    return (iv.withColumn("dow", weekday0("booking_date"))
+            .join(a, (F.col("mechanic_id") == F.col("_am")) & (F.col("dow") == F.col("_ad")), "left")
+            .withColumn("within_availability", F.coalesce(fits, F.lit(False))).drop("_am", "_ad", "_windows"))
 
 
 def available_time_slots(g: Garage, date: Date, service_id: int | None = None,
@@ -170,32 +166,79 @@ def available_time_slots(g: Garage, date: Date, service_id: int | None = None,
             .select("mechanic_id", "booking_date", "slot_start", "slot_end", hhmm("slot_start").alias("slot_time")))
 
 
-def _replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Requests of one date at a time in ``request_seq`` order, after the stored slots of the bookings they name.
-
-    Rows come sorted by date, stored slots before requests, requests by sequence.  The state holds the slot that each named booking has by then,
-    by mechanic; it starts anew with each date and survives batches.
-    """
-    date, where, slots = None, {}, {}
-    for df in batches:
-        out = []
-        for r in df.itertuples(index=False):
-            if r.booking_date != date:
-                date, where, slots = r.booking_date, {}, {}
-            if r.stored:
-                where[r.booking_id] = r.mechanic_id
-                slots.setdefault(r.mechanic_id, {})[r.booking_id] = (r.start_min, r.end_min, True)
+class _Day:
+    """Current slots of one component of a date, by mechanic, each a list sorted by start."""
+
+    def __init__(self) -> None:
+        self.slots: dict[int, list[tuple]] = {}
+        self.longest: dict[int, int] = {}
+        self.where: dict[str, tuple[int, tuple]] = {}
+
+    def put(self, booking: str, mechanic: int, start: int, end: int, stored: bool) -> None:
+        self.take(booking)
+        slot = (start, end, booking, stored)
+        insort(self.slots.setdefault(mechanic, []), slot)
+        self.longest[mechanic] = max(self.longest.get(mechanic, 0), end - start)
+        self.where[booking] = mechanic, slot
+
+    def take(self, booking: str) -> None:
+        held = self.where.pop(booking, None)
+        if held:
+            own = self.slots[held[0]]
+            del own[bisect_left(own, held[1])]
+
+    def reason(self, booking: str, mechanic: int, start: int, end: int) -> str | None:
+        """Why the slot can't be given: it overlaps a stored slot, or one given in this batch."""
+        own, found = self.slots.get(mechanic, []), None
+        for k in range(bisect_left(own, (start - self.longest.get(mechanic, 0),)), len(own)):
+            s, e, other, stored = own[k]
+            if s >= end:
+                break
+            if e > start and other != booking:
+                if stored:
+                    return R_CONFLICT
+                found = R_BATCH_CONFLICT
+        return found
+
+
+def _replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Requests of one component at a time in order, after the stored slots of its bookings (both sorted)."""
+    at, day = None, _Day()
+    for batch in batches:
+        roots, stored, *slots = (batch.column(c).to_pylist() for c in
+                                 ("root", "stored", "booking_id", "mechanic_id", "start_min", "end_min"))
+        kept, reasons = [], []
+        for i, (root, held, booking, mechanic, start, end) in enumerate(zip(roots, stored, *slots)):
+            if root != at:
+                at, day = root, _Day()
+            if held:
+                day.put(booking, mechanic, start, end, True)
                 continue
-            hits = [was for other, (s, e, was) in slots.get(r.mechanic_id, {}).items()
-                    if other != r.booking_id and s < r.end_min and e > r.start_min]
-            reason = R_CONFLICT if any(hits) else R_BATCH_CONFLICT if hits else None
+            reason = day.reason(booking, mechanic, start, end)
             if reason is None:
-                slots.get(where.get(r.booking_id), {}).pop(r.booking_id, None)
-                where[r.booking_id] = r.mechanic_id
-                slots.setdefault(r.mechanic_id, {})[r.booking_id] = (r.start_min, r.end_min, False)
-            out.append((r.booking_id, r.mechanic_id, r.request_seq, r.booking_date, r.start_min, r.end_min, reason))
-        yield pd.DataFrame(out, columns=["booking_id", "mechanic_id", "request_seq", "booking_date", "start_min",
-                                         "end_min", "reject_reason"])
+                day.put(booking, mechanic, start, end, False)
+            kept.append(i)
+            reasons.append(reason)
+        out = batch.select(_SLOT).take(pa.array(kept, pa.int64()))
+        yield pa.RecordBatch.from_arrays([*out.columns, pa.array(reasons, pa.string())], [*_SLOT, "reject_reason"])
+
+
+_SLOT = ["booking_id", "mechanic_id", "request_seq", "booking_date", "start_min", "end_min"]
+
+
+def _contested(slots: DataFrame) -> DataFrame:
+    """Slots with ``island``: the start of the run of overlapping slots of their mechanic and date; ``shared`` if
+    more than one booking stands in it.  The window sees at most a row per minute of the day."""
+    key = ["mechanic_id", "booking_date"]
+    minutes = slots.groupBy(*key, "start_min").agg(F.max("end_min").alias("reach"), F.min("booking_id").alias("lo"),
+                                                   F.max("booking_id").alias("hi"))
+    w = Window.partitionBy(*key).orderBy("start_min")
+    before = F.max("reach").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    minutes = minutes.withColumn("_new", F.when(before.isNull() | (before <= F.col("start_min")), F.col("start_min")))
+    minutes = minutes.withColumn("island", F.last("_new", ignorenulls=True).over(w))
+    whole = Window.partitionBy(*key, "island")
+    minutes = minutes.withColumn("shared", F.min("lo").over(whole) != F.max("hi").over(whole))
+    return slots.join(minutes.select(*key, "start_min", "island", "shared"), [*key, "start_min"])
 
 
 def assign_mechanics(g: Garage, requests: DataFrame) -> DataFrame:
@@ -208,11 +251,13 @@ def assign_mechanics(g: Garage, requests: DataFrame) -> DataFrame:
     request gives the booking its new slot and frees the slot it had.
 
     Bookings that no request names never move, so overlaps with them are
-    counted by the set-based check.  What is left depends on the order: the
-    requests of a date are replayed in ``request_seq`` order as a stream over
-    partitions sorted by (date, request_seq).  Nothing is collected: the state is
-    the current slot of the date's named bookings.  Dates run in parallel; the
-    requests of one date are sequential by definition.
+    counted by the set-based check.  The slots that may be given or freed form, per
+    mechanic and date, islands of overlapping times; a booking whose islands hold
+    no other booking gets all it asks for.  The rest depends on the order, but only
+    along bookings and islands: each connected component of them is replayed in
+    ``request_seq`` order (ties: booking, mechanic), as a stream over sorted partitions
+    whose state is that component's current slots, searched by start.  A date falls into as
+    many components as it has unrelated mechanics and hours.
 
     Returns every request with ``reject_reason`` (NULL = accepted), the new
     booking status and the status of the mechanic's task row (its times are
@@ -226,22 +271,34 @@ def assign_mechanics(g: Garage, requests: DataFrame) -> DataFrame:
     x = (r.join(b, F.col("booking_id") == F.col("_bid"), "left")
          .join(mech, F.col("mechanic_id") == F.col("_mid"), "left"))
     # both checks keep the request columns, so they chain without joining back
-    x = within_availability(g, x, row_key=("booking_id", "mechanic_id", "request_seq"))
+    x = within_availability(g, x)
     live = booking_intervals(g)
     x = overlap_counts(x, live.join(named, F.col("id") == F.col("_nb"), "left_anti"), ["mechanic_id", "booking_date"])
     reason = (F.when(F.col("_bid").isNull(), R_NO_BOOKING).when(F.col("_m_ok").isNull(), R_NO_MECHANIC)
               .when(~F.coalesce(F.col("within_availability"), F.lit(False)), R_OUTSIDE)
               .when(F.col("n_overlap") > 0, R_CONFLICT))
     checkpoint_dir(x.sparkSession)
-    slot = ["booking_id", "mechanic_id", "request_seq", "booking_date", "start_min", "end_min"]
-    checked = x.select(*slot, reason.alias("reject_reason")).checkpoint()
-    stored = (live.join(named, F.col("id") == F.col("_nb"), "left_semi")
-              .where(F.col("start_min").isNotNull())
-              .select(F.col("id").alias("booking_id"), "mechanic_id", F.lit(0).cast("long").alias("request_seq"), "booking_date", "start_min", "end_min", F.lit(True).alias("stored")))
-    open_ = checked.where(F.col("reject_reason").isNull())
-    replay = (open_.select(*slot, F.lit(False).alias("stored")).unionByName(stored)
-              .repartition("booking_date").sortWithinPartitions("booking_date", F.col("stored").desc(), "request_seq",
-                                                                "booking_id", "mechanic_id"))
-    out = checked.where(F.col("reject_reason").isNotNull()).unionByName(replay.mapInPandas(_replay, checked.schema))
+    checked = x.select(*_SLOT, reason.alias("reject_reason")).checkpoint()
+    out = checked.where(F.col("reject_reason").isNotNull()).unionByName(_in_order(checked, live, named))
     ok = F.col("reject_reason").isNull()
     return out.withColumn("new_status", F.when(ok, F.lit("confirmed"))).withColumn("task_status", F.when(ok, F.lit("pending")))
+
+
+def _in_order(checked: DataFrame, live: DataFrame, named: DataFrame) -> DataFrame:
+    """The requests that passed the set-based checks, with the reason that the order gives."""
+    stored = (live.join(named, F.col("id") == F.col("_nb"), "left_semi").where(F.col("start_min").isNotNull())
+              .select(F.col("id").alias("booking_id"), "mechanic_id", F.lit(0).cast("long").alias("request_seq"),
+                      "booking_date", "start_min", "end_min", F.lit(True).alias("stored")))
+    open_ = checked.where(F.col("reject_reason").isNull()).select(*_SLOT, F.lit(False).alias("stored"))
+    slots = _contested(open_.unionByName(stored)).checkpoint()
+    ties = slots.groupBy(F.col("booking_id").alias("_tb")).agg(F.max("shared").alias("_tied")).where("_tied").select("_tb")
+    free = slots.where("not stored").join(ties, F.col("booking_id") == F.col("_tb"), "left_anti").select(
+        *_SLOT, F.lit(None).cast("string").alias("reject_reason"))
+    tied = slots.join(ties, F.col("booking_id") == F.col("_tb"), "left_semi")
+    island = F.concat_ws(" ", F.lit("i"), "mechanic_id", "booking_date", "island")
+    roots = components(tied.where("shared").select(F.concat(F.lit("b "), "booking_id").alias("u"), island.alias("v")))
+    n = int(checked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    replay = (tied.join(roots, F.concat(F.lit("b "), "booking_id") == F.col("node"))
+              .repartition(n, "root").sortWithinPartitions("root", F.col("stored").desc(), "request_seq", "booking_id", "mechanic_id")
+              .select("root", "stored", *_SLOT))
+    return free.unionByName(replay.mapInArrow(_replay, checked.schema))

@@ -112,7 +112,7 @@ def spark_callable(q: Query) -> Callable[[SparkSession, str], DataFrame]:
 
 def load_all() -> dict[str, Query]:
     """Import the modules that register queries; return the catalogue."""
-    from wrenchflow.plans import queries  # noqa: F401  (registers on import)
+    from wrenchflow.plans import batch_queries, queries  # noqa: F401  (register on import)
     return REGISTRY
 
 

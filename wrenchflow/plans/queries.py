@@ -1199,46 +1199,57 @@ from wrenchflow.operators import changes as M  # noqa: E402
 from wrenchflow.plans import standins as SI  # noqa: E402
 
 BIG = SI.BIG
-SINCE = "2001-06-15"
 NUM = "CAST(substr({c}, 3) AS BIGINT)"
 LEAD_SQL = "(SELECT visit_id, min(mechanic_id) AS lead FROM bookings WHERE mechanic_id IS NOT NULL GROUP BY visit_id)"
 
 
 @register("apply_new_bookings", f"""
-WITH req AS (
-  SELECT {NUM.format(c='b.id')} AS request_seq, b.customer_id AS cust, b.service_id, b.vehicle_id,
+WITH req0 AS (
+  SELECT {NUM.format(c='b.id')} AS request_seq, b.customer_id AS who, b.service_id, b.vehicle_id,
     CASE WHEN {NUM.format(c='b.id')} % 13 <> 5 THEN CAST(b.booking_date + INTERVAL 30 DAY AS DATE) END AS booking_date,
     b.start_min, 'follow-up' AS notes,
     p.payment_method, p.is_down_payment, p.down_payment_percent, p.down_payment_amount
-  FROM bookings b LEFT JOIN payments p ON b.visit_id = p.visit_id WHERE b.status = 'completed' AND b.rating = 5),
-r AS (SELECT req.*, s.id AS sid, s.in_stock, s.price, v.id AS vid, v.customer_id AS owner
+  FROM bookings b LEFT JOIN payments p ON b.visit_id = p.visit_id),
+req AS (
+  SELECT req0.*, CASE WHEN request_seq % 10 = 3 THEN 'staff' WHEN request_seq % 50 = 7 THEN 'mechanic' ELSE 'customer' END AS role,
+    CASE WHEN request_seq % 10 = 3
+           THEN CASE WHEN request_seq % 200 = 33 THEN NULL WHEN request_seq % 20 = 13 THEN greatest(who - 1, 1) ELSE who END
+         WHEN request_seq % 50 = 7 THEN NULL ELSE who END AS cust
+  FROM req0),
+r AS (SELECT req.*, s.id AS sid, s.in_stock, s.price, v.id AS vid, v.customer_id AS owner,
+        coalesce(req.service_id, 0) = 0 OR coalesce(req.vehicle_id, 0) = 0 OR req.booking_date IS NULL OR req.start_min IS NULL AS missing
       FROM req LEFT JOIN services s ON req.service_id = s.id LEFT JOIN vehicles v ON req.vehicle_id = v.id),
-adopt AS (SELECT vehicle_id, arg_min(cust, request_seq) AS adopter, min(request_seq) AS since FROM r
-          WHERE vid IS NOT NULL AND owner IS NULL AND sid IS NOT NULL AND in_stock
-            AND booking_date IS NOT NULL AND start_min IS NOT NULL GROUP BY vehicle_id),
-chk AS (SELECT r.*, coalesce(r.owner, CASE WHEN a.since <= r.request_seq THEN a.adopter END) AS owner_now,
-  CASE WHEN coalesce(r.service_id, 0) = 0 OR coalesce(r.vehicle_id, 0) = 0 OR r.booking_date IS NULL OR r.start_min IS NULL
-         THEN 'Service, vehicle, date and time are required'
-       WHEN r.sid IS NULL THEN 'Service not found'
-       WHEN NOT r.in_stock THEN 'Service is currently unavailable'
-       WHEN r.vid IS NULL THEN 'Vehicle not found'
-       WHEN coalesce(coalesce(r.owner, a.adopter) <> r.cust, false) THEN 'Vehicle does not belong to this customer' END
+t AS (SELECT r.*, NOT missing AND sid IS NOT NULL AND coalesce(in_stock, false) AND vid IS NOT NULL
+        AND (role = 'customer' OR (role = 'staff' AND coalesce(cust, 0) <> 0)) AS part FROM r),
+o AS (SELECT t.*,
+        last_value(CASE WHEN part AND role = 'staff' THEN cust END IGNORE NULLS) OVER w AS staff_owner,
+        first_value(CASE WHEN part AND role = 'customer' THEN cust END IGNORE NULLS) OVER w AS adopter
+      FROM t WINDOW w AS (PARTITION BY vehicle_id ORDER BY request_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+n AS (SELECT o.*, coalesce(staff_owner, owner, adopter, CASE WHEN part THEN cust END) AS owner_now FROM o),
+chk AS (SELECT n.*,
+  CASE WHEN missing THEN 'Service, vehicle, date and time are required'
+       WHEN sid IS NULL THEN 'Service not found'
+       WHEN NOT in_stock THEN 'Service is currently unavailable'
+       WHEN role NOT IN ('customer', 'staff') THEN 'Not authorized to create bookings'
+       WHEN role = 'staff' AND coalesce(cust, 0) = 0 THEN 'Customer ID is required for admin/staff booking creation'
+       WHEN vid IS NULL THEN 'Vehicle not found'
+       WHEN role = 'customer' AND coalesce(owner_now <> cust, false) THEN 'Vehicle does not belong to this customer' END
     AS reject_reason
-  FROM r LEFT JOIN adopt a ON r.vehicle_id = a.vehicle_id),
+  FROM n),
 top AS (SELECT max(TRY_CAST(regexp_extract(id, '^B-(\\d+)$', 1) AS BIGINT)) AS t FROM bookings)
 SELECT request_seq, cust AS customer_id, service_id, vehicle_id, CAST(booking_date AS VARCHAR) AS booking_date,
   start_min, notes, CAST(NULL AS BIGINT) AS mechanic_id, CAST(NULL AS VARCHAR) AS customer_name,
   CAST(price AS DOUBLE) AS total_price, payment_method, coalesce(is_down_payment, false) AS is_down_payment,
   CASE WHEN is_down_payment THEN down_payment_percent ELSE 0 END AS down_payment_percent,
   CAST(CASE WHEN is_down_payment THEN down_payment_amount ELSE 0 END AS DOUBLE) AS down_payment_amount,
-  CASE WHEN vid IS NOT NULL THEN owner_now END AS vehicle_owner_after, reject_reason,
+  CASE WHEN vid IS NOT NULL THEN CASE WHEN role = 'staff' AND part THEN cust ELSE owner_now END END AS vehicle_owner_after, reject_reason,
   CASE WHEN reject_reason IS NULL THEN concat('B-', CAST((SELECT t FROM top)
        + row_number() OVER (PARTITION BY reject_reason IS NULL ORDER BY request_seq) AS VARCHAR)) END AS id,
   CASE WHEN reject_reason IS NULL THEN 'pending' END AS status,
   CASE WHEN reject_reason IS NULL AND payment_method IS NOT NULL THEN 'pending' END AS payment_status
 FROM chk""")
 def q_apply_new_bookings(g):
-    """M1 + M14 + E12: follow-up booking requests checked (JS-falsy fields, boolean coercion), numbered B-<n>, with pending payments."""
+    """M1 + M14 + E12: follow-up booking requests of all jobs, by customers and staff, checked (JS-falsy fields, boolean coercion), numbered B-<n>, with pending payments."""
     return M.apply_new_bookings(g, SI.new_booking_requests(g))
 
 
@@ -1278,7 +1289,7 @@ def q_apply_status_changes(g):
 
 @register("apply_cancellations", f"""
 WITH r0 AS (SELECT {NUM.format(c='b.id')} AS request_seq, b.id AS booking_id, b.customer_id, c.user_id, b.status
-            FROM bookings b JOIN customers c ON b.customer_id = c.id WHERE b.booking_date >= DATE '{SINCE}'),
+            FROM bookings b JOIN customers c ON b.customer_id = c.id),
 req AS (SELECT request_seq, booking_id, customer_id, user_id FROM r0
         UNION ALL SELECT request_seq + {BIG}, booking_id, customer_id, user_id FROM r0 WHERE status = 'pending'),
 c AS (SELECT req.*, b.status AS old_status,
@@ -1297,8 +1308,8 @@ SELECT request_seq, booking_id, customer_id, user_id, old_status, reject_reason,
   CASE WHEN reject_reason IS NULL THEN '{{"status":"cancelled"}}' END AS new_values
 FROM x""")
 def q_apply_cancellations(g):
-    """M3 + E13: customers cancel recent bookings (pending ones twice); audit JSON for accepted ones."""
-    return M.apply_cancellations(g, SI.cancellation_requests(g, SINCE))
+    """M3 + E13: customers cancel their bookings (pending ones twice); audit JSON for accepted ones."""
+    return M.apply_cancellations(g, SI.cancellation_requests(g))
 
 
 @register("apply_task_status", f"""
@@ -1340,7 +1351,7 @@ SELECT change_seq, ref, mechanic_id, status, reject_reason,
 FROM v""")
 def q_apply_task_status(g):
     """M5 + J11: mechanics start confirmed jobs by booking id and finish tasks by task id."""
-    return M.apply_task_status(g, SI.task_status_changes(g))
+    return M.apply_task_status(g, SI.task_status_changes(g)).drop("change_no", "task_key")
 
 
 @register("apply_payment_decisions", """
@@ -1560,7 +1571,10 @@ WITH rows AS (
   FROM (SELECT DISTINCT customer_id FROM customer_messages)
   UNION ALL
   SELECT 2 * {BIG} + id, CASE WHEN id % 2 = 0 THEN concat('new', email) END, name, 'pirate', NULL, NULL, NULL
-  FROM users WHERE role = 'customer'),
+  FROM users WHERE role = 'customer'
+  UNION ALL
+  SELECT 3 * {BIG} + id, concat('apprentice.', email), name, role, CASE WHEN id % 2 = 0 THEN 'general' END, 1, NULL
+  FROM users WHERE role = 'mechanic'),
 x AS (SELECT rows.*, CASE WHEN coalesce(email, '') = '' OR coalesce(name, '') = '' OR coalesce(role, '') = '' THEN 'All fields are required'
                           WHEN role NOT IN ('admin', 'staff', 'mechanic', 'customer', 'owner') THEN 'Invalid role specified'
                           WHEN email IN (SELECT email FROM users) THEN 'Email already in use'
@@ -1619,7 +1633,7 @@ def q_append_report_empty_period(g):
 def q_append_audit_log(g):
     """Audit rows of accepted cancellations appended; this run's rows read back."""
     from pyspark.sql import functions as F
-    c = M.apply_cancellations(g, SI.cancellation_requests(g, SINCE)).where(F.col("reject_reason").isNull())
+    c = M.apply_cancellations(g, SI.cancellation_requests(g)).where(F.col("reject_reason").isNull())
     audit = c.select(F.col("user_id"), F.col("audit_action").alias("action"), F.col("audit_table").alias("table_name"),
                      F.col("booking_id").alias("record_id"), "old_values", "new_values")
     return S.append_audit_log(audit, _run_dir(g, "audit_logs"))

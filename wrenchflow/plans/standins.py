@@ -7,6 +7,8 @@ Every set grows with the tables it is derived from.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,21 +24,49 @@ def _key(c: str = "id"):
 
 
 def new_booking_requests(g: Garage) -> DataFrame:
-    """Customers re-book a 5-star job 30 days later at the same time, paying like the visit did; some forget the date."""
-    b = g.bookings.where((F.col("status") == "completed") & (F.col("rating") == 5))
+    """Every job is booked again 30 days later at the same time, paid like its visit: by the customer, now and then
+    by staff (for the same customer, its neighbour or nobody) or a mechanic; some forget the date."""
+    b = g.bookings
     p = g.payments.select(F.col("visit_id").alias("_pv"), "payment_method", "is_down_payment",
                           "down_payment_percent", "down_payment_amount")
+    key = _key()
+    role = F.when(key % 10 == 3, "staff").when(key % 50 == 7, "mechanic").otherwise("customer")
+    neighbour = F.greatest(F.col("customer_id") - 1, F.lit(1))
+    named = F.when(key % 200 == 33, F.lit(None)).when(key % 20 == 13, neighbour).when(key % 10 == 3, F.col("customer_id"))
     return (b.join(p, F.col("visit_id") == F.col("_pv"), "left").select(
-        _key().alias("request_seq"), F.lit("customer").alias("role"),
-        F.col("customer_id").alias("requester_customer_id"), F.lit(None).cast("long").alias("customer_id"),
+        key.alias("request_seq"), role.alias("role"),
+        F.when(role == "customer", F.col("customer_id")).alias("requester_customer_id"), named.cast("long").alias("customer_id"),
         "service_id", "vehicle_id",
-        F.when(_key() % 13 != 5, F.date_add("booking_date", 30).cast("string")).alias("booking_date"),
+        F.when(key % 13 != 5, F.date_add("booking_date", 30).cast("string")).alias("booking_date"),
         hhmm("start_min").alias("booking_time"), F.lit("follow-up").alias("notes"),
         F.lit(None).cast("long").alias("mechanic_id"), F.lit(None).cast("string").alias("customer_name"),
         "payment_method", F.col("is_down_payment").cast("string").alias("is_down_payment"),
         "down_payment_percent", "down_payment_amount"))
 
 
+def vehicle_requests(g: Garage) -> DataFrame:
+    """Per stored vehicle ten registrations, step by step over all vehicles: its own plate again; a new plate and VIN; that
+    plate with another VIN (refused, takes nothing); another plate with that VIN; a third plate with the first VIN
+    (refused); a plate that every vehicle asks for; the VIN given with it; a stored VIN; faulty ones; the third plate by staff."""
+    v = g.vehicles.select("id", "customer_id", "make", "model", "year", F.col("id").cast("string").alias("n"))
+    text = lambda c, d=None: F.concat(F.lit(c), F.col("n")) if d is None else F.lit(d)
+    none = F.lit(None).cast("string")
+    steps = [(text("B "), none), (text("N "), text("W")), (text("N "), text("X")), (text("M "), text("X")), (text("K "), text("W")),
+             (text("", "TEMP"), text("H")), (text("H "), text("H")), (text("S "), text("VIN")), (text("F "), F.lit("")), (text("K "), none)]
+    parts = []
+    for k, (plate, vin) in enumerate(steps):
+        role, make = F.lit("customer"), F.col("make")
+        if k == 8:
+            role = F.when(F.col("id") % 3 == 0, "mechanic").when(F.col("id") % 3 == 1, "staff").otherwise("customer")
+            make = F.when(F.col("id") % 6 != 2, F.col("make"))
+        role = F.lit("staff") if k == 9 else role
+        parts.append(v.select(
+            (F.lit(k * BIG) + F.col("id")).alias("request_seq"), role.alias("role"), F.col("customer_id").alias("requester_customer_id"),
+            (F.col("customer_id") if k == 9 else F.lit(None)).cast("long").alias("customer_id"), make.alias("make"), "model", "year",
+            plate.alias("license_plate"), vin.alias("vin"), F.lit("white").alias("color")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def status_change_set(g: Garage) -> DataFrame:
     """Mechanics mirror their task statuses; each visit's lead mechanic completes its in-progress jobs;
     completed ones are reported in progress again."""
@@ -53,11 +83,10 @@ def status_change_set(g: Garage) -> DataFrame:
     return t.unionByName(c).unionByName(reopened)
 
 
-def cancellation_requests(g: Garage, since: str) -> DataFrame:
-    """Customers ask to cancel their bookings dated from ``since``; pending ones are asked twice."""
-    b = g.bookings.where(F.col("booking_date") >= F.lit(since).cast("date"))
+def cancellation_requests(g: Garage) -> DataFrame:
+    """Customers ask to cancel all their bookings; pending ones are asked twice."""
     c = g.customers.select(F.col("id").alias("_c"), "user_id")
-    r = b.join(c, F.col("customer_id") == F.col("_c")).select(
+    r = g.bookings.join(c, F.col("customer_id") == F.col("_c")).select(
         _key().alias("request_seq"), F.col("id").alias("booking_id"), "customer_id", "user_id", "status")
     again = r.where(F.col("status") == "pending").withColumn("request_seq", F.col("request_seq") + BIG)
     return r.unionByName(again).drop("status")
@@ -150,7 +179,7 @@ def field_note_appends(g: Garage) -> DataFrame:
 
 def user_rows(g: Garage, conversations: DataFrame | None = None) -> DataFrame:
     """Mechanic accounts re-submitted (already known) and a customer account per chat thread;
-    rows without e-mail or with an unknown role."""
+    rows without e-mail or with an unknown role; apprentices of every mechanic, half of them without a specialization."""
     again = g.users.where(F.col("role") == "mechanic").select(
         F.col("id").alias("row_seq"), "email", "name", "role", F.lit("general").alias("specialization"),
         F.lit(1).alias("experience"), F.lit(None).cast("string").alias("address"))
@@ -160,12 +189,16 @@ def user_rows(g: Garage, conversations: DataFrame | None = None) -> DataFrame:
         F.concat(F.lit("Chat Customer "), F.col("customer_id").cast("string")).alias("name"),
         F.lit("customer").alias("role"), F.lit(None).cast("string").alias("specialization"),
         F.lit(None).cast("int").alias("experience"), F.lit("online").alias("address"))
+    apprentices = g.users.where(F.col("role") == "mechanic").select(
+        (F.lit(3 * BIG) + F.col("id")).alias("row_seq"), F.concat(F.lit("apprentice."), F.col("email")).alias("email"), "name", "role",
+        F.when(F.col("id") % 2 == 0, F.lit("general")).alias("specialization"), F.lit(1).alias("experience"),
+        F.lit(None).cast("string").alias("address"))
     wrong = g.users.where(F.col("role") == "customer").select(
         (F.lit(2 * BIG) + F.col("id")).alias("row_seq"),
         F.when(F.col("id") % 2 == 0, F.concat(F.lit("new"), F.col("email"))).alias("email"), "name",
         F.lit("pirate").alias("role"), F.lit(None).cast("string").alias("specialization"),
         F.lit(None).cast("int").alias("experience"), F.lit(None).cast("string").alias("address"))
-    return again.unionByName(threads).unionByName(wrong)
+    return again.unionByName(threads).unionByName(wrong).unionByName(apprentices)
 
 
 def legacy_bookings(g: Garage) -> DataFrame:

@@ -137,13 +137,13 @@ def bind(spark: SparkSession, sf_dir: str, jobs_path: str | None = None) -> Gara
         F.col("c_custkey").alias("id"), (F.lit(1000000) + F.col("c_custkey")).alias("user_id"),
         F.col("c_mktsegment").alias("address"))
 
-    nation = t["nation"].select("n_nationkey", "n_name")  # 25 rows by the TPC-H spec
-    mechanics = s.join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey")).select(
+    nation = t["nation"].select("n_nationkey", "n_name")
+    mechanics = s.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(
         F.col("s_suppkey").alias("id"), (F.lit(2000000) + F.col("s_suppkey")).alias("user_id"),
         F.col("n_name").alias("specialization"), (F.col("s_suppkey") % 20).cast("int").alias("experience"))
 
     owned = (t["orders"].join(c, F.col("o_custkey") == F.col("c_custkey"))
-             .join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
+             .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
              .select(_vehicle_id().alias("id"), F.col("o_custkey").alias("customer_id"),
                      F.col("n_name").alias("make"),
                      F.substring("o_orderpriority", 3, 1 << 20).alias("model"))
@@ -195,9 +195,9 @@ def bind(spark: SparkSession, sf_dir: str, jobs_path: str | None = None) -> Gara
         F.concat(F.lit("note "), F.col("l_linenumber").cast("string")).alias("note"),
         F.col("l_shipdate").cast("date").alias("date"), F.lit("pending").alias("status"))
 
-    messages = t["conversations"].where(F.col("role") != "system").select(
+    messages = t["conversations"].select(
         F.col("conv_id").alias("customer_id"), "turn",
-        F.when(F.col("role") == "user", "incoming").otherwise("outgoing").alias("type"),
+        F.when(F.col("role") == "user", "incoming").when(F.col("role") == "assistant", "outgoing").otherwise("notice").alias("type"),
         (F.col("turn") < 4).alias("is_read"), F.col("text").alias("message"))
 
     activity = t["events"].select(
@@ -289,8 +289,8 @@ field_notes AS (
     CAST(NULL AS VARCHAR) AS parts_needed, 'pending' AS status
   FROM job0 WHERE l_quantity > 40 AND status <> 'pending'),
 customer_messages AS (
-  SELECT conv_id AS customer_id, turn, CASE WHEN role = 'user' THEN 'incoming' ELSE 'outgoing' END AS type,
-    turn < 4 AS is_read, text AS message FROM conversations WHERE role <> 'system'),
+  SELECT conv_id AS customer_id, turn, CASE role WHEN 'user' THEN 'incoming' WHEN 'assistant' THEN 'outgoing' ELSE 'notice' END AS type,
+    turn < 4 AS is_read, text AS message FROM conversations),
 activity_log AS (
   SELECT event_id AS id, user_id, event_type AS action, props AS detail, ts AS created_at, event_type <> 'error' AS ok FROM events)
 """
