@@ -74,7 +74,9 @@ def branch_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
             .agg(F.min(F.struct(F.col("parent").isNull().alias("no"), "parent", "score")).alias("r"))
             .select("node", "r.parent", F.coalesce("r.score", F.lit(0.0)).alias("score")))
     known = rows.select(F.col("node").alias("parent"), F.lit(True).alias("known"))
-    rows = rows.join(known, "parent", "left").select("node", F.when(F.col("known"), F.col("parent")).alias("above"), "score")
+    answers = rows.where("parent is not null").join(known, "parent", "left")  # roots, many of one null key, stay out of the join
+    rows = (answers.select("node", F.when(F.col("known"), F.col("parent")).alias("above"), "score")
+            .union(rows.where("parent is null").select("node", F.col("parent").alias("above"), "score")))
     # what each turn knows: the turn `above` it that its pointer has reached, and the steps and score up to there
     reach = materialise(rows.withColumn("depth", F.when(F.col("above").isNull(), 0).otherwise(1))
                         .withColumn("root", F.when(F.col("above").isNull(), F.col("node"))), "reply-reach")
