@@ -42,13 +42,13 @@ def apply_new_vehicles(g: Garage, requests: DataFrame) -> DataFrame:
     open_ = r.where("_reason is null").select("_row", "license_plate", "_vin")
     checkpoint_dir(g.vehicles.sparkSession)
     chosen = first_come(open_, "_row", ["license_plate", "_vin"]).checkpoint()
-    # which of the two an accepted earlier row holds: the plate is asked first
+    # the plate is asked first: also a row with a stored VIN fails by the plate that an accepted earlier row holds
     taken = (open_.join(chosen.where("accepted"), "_row").where("license_plate is not null")
              .select(F.col("license_plate").alias("_tp"), F.col("_row").alias("_by")))
-    r = (r.join(chosen, "_row", "left").join(taken, (F.col("license_plate") == F.col("_tp")) & ~F.col("accepted")
-                                             & (F.col("_by") < F.col("_row")), "left"))
-    late = F.when(~F.col("accepted"), F.when(F.col("_tp").isNotNull(), R_PLATE_TAKEN).otherwise(R_VIN_TAKEN))
-    r = r.withColumn("reject_reason", F.coalesce("_reason", late)).select(
+    r = (r.join(chosen, "_row", "left").join(taken, (F.col("license_plate") == F.col("_tp")) & (F.col("_by") < F.col("_row"))
+                                             & (~F.coalesce("accepted", F.lit(True)) | (F.col("_reason") == R_VIN_TAKEN)), "left"))
+    late = F.when(F.col("_tp").isNotNull(), R_PLATE_TAKEN).otherwise(F.coalesce("_reason", F.when(~F.col("accepted"), R_VIN_TAKEN)))
+    r = r.withColumn("reject_reason", late).select(
         "request_seq", F.col("_cust").alias("customer_id"), "make", "model", "year", "license_plate", "vin", "color", "reject_reason")
     top = g.vehicles.select(F.max("id")).scalar()
     new = number_rows(r.where("reject_reason is null"), ["request_seq", "license_plate"], start=F.coalesce(top, F.lit(0)), out="id")

@@ -50,7 +50,7 @@ def _parts(spark: SparkSession, base: str, version: int) -> dict[str, dict[str,
     """Per table the version that holds each part (a row per part: months and hash values)."""
     held: dict[str, dict[str, int]] = {t: {} for t in SCHEMAS}
     if version >= 0:
-        for r in _manifests(spark, base).where(F.col("commit") == version).collect():
+        for r in _manifests(spark, base).where((F.col("commit") == version) & (F.col("table") != "")).collect():
             held[r.table][r.part] = r.version
     return held
 
@@ -81,7 +81,7 @@ def commit(spark: SparkSession, base: str, upserts: dict[str, DataFrame], delete
     for table in sorted(set(upserts) | set(deletes)):
         parts[table] = parts[table] | _write(spark, base, table, number, parts[table], upserts.get(table), deletes.get(table))
         parts[table] = {p: v for p, v in parts[table].items() if v >= 0}
-    rows = [(t, p, v) for t, held in parts.items() for p, v in held.items()]
+    rows = [("", "", number), *((t, p, v) for t, held in parts.items() for p, v in held.items())]  # the first stands for the commit
     spark.createDataFrame(rows, _MANIFEST).coalesce(1).write.parquet(f"{base}/manifest/commit={number}")
     return number
 
