@@ -1,48 +1,44 @@
-"""Toxicity by nearest labelled examples under exact TF-IDF cosine.
-
-Terms are a text's words and its words' stems (prefixes of 4 to 6 letters, which
-stand for a language's endings).  Every fitted example, toxic or clean, is held
-with all its terms.  A term's weight is its idf over all documents times a smooth
-factor above zero that rises with what the labelled rows show the term to bear on
-the label; no term is left out.  A query's terms that no example holds count in its
-norm with the weight of a term of no document.
-
-The index adds up a query's cosines to all examples at once: frequent terms as
-rows of a dense matrix, the others by their postings.  These sums are of single
-precision; what could be among the k nearest within their error is computed again
-in double precision (exact top k).  The neighbours vote with their cosine as
-weight; votes are calibrated on the labelled rows themselves, each judged without
-its own text.
-
-Fitting uses at most ``max_fit_rows`` labelled rows (a hash of the id chooses
-them); scoring covers every whole text.
+"""Toxicity by nearest labelled examples under exact TF-IDF cosine, through a block-max inverted index.
+
+Terms are words.  Every fitted example, toxic or clean, is held with all its terms.  A
+term's weight is its idf over the fitted examples times a smooth factor above zero that
+rises with what their labels show the term to bear on toxicity; no term is left out.
+A query's terms that no example holds count in its norm.
+
+Examples that use the same frequent words stand together, in blocks of ``_BLOCK``.  The
+postings of a term are cut by block, and each cut has its largest weight.  A query adds up
+these maxima to an upper bound per block, scores the best-bounded blocks through their
+postings, and then only those blocks whose bound reaches the k-th cosine so far: all
+others are passed over unread, and the k nearest are exact.  They vote with their
+cosine as weight.  Votes are calibrated by folds: each example is judged by an index,
+term weights included, that has not seen its fold.
+
+Fitting uses at most ``max_fit_rows`` labelled rows, half of them of each label as far as
+there are (a hash of the id chooses them), of at most ``max_fit_chars`` characters
+together; scoring covers every whole text.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
-from itertools import islice, tee
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wrenchflow.llm.common import materialise
 
 _LETTERS = re.compile(r"[^\W\d_]+")
-STEMS = (4, 5, 6)
-#: Words remembered per task before the memory is emptied.
-_REMEMBERED = 100_000
-#: Frequent terms held as dense rows, queries multiplied with them at once, examples counted as one block.
-_DENSE, _BATCH, _BLOCK = 1024, 32, 64
-#: Bound of the relative error of a single-precision sum of a vector's products.
-_ERROR = 1e-3
+#: Examples of a block; blocks scored first; folds of the calibration.
+_BLOCK, _FIRST, FOLDS = 32, 2, 5
+#: Above the relative error of adding up a few thousand products in double precision.
+_ERROR = 1e-11
 #: Share of a term's idf that it has whatever the labels say, and rows that the prior counts for.
 _FLOOR, _PSEUDO = 0.05, 5.0
 
@@ -53,156 +49,163 @@ _RESULT = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("v
                         T.StructField("evidence", T.ArrayType(_NEIGHBOUR))])
 
 
-def words_of(text: str | None) -> dict[str, int]:
+def terms_of(text: str | None) -> dict[str, int]:
+    """How often each term stands in the text."""
     return Counter(_LETTERS.findall((text or "").lower()))
 
 
-def terms_of(word: str) -> list[str]:
-    """The word itself (``w$``) and its stems (``w``)."""
-    return [word + "$", *(word[:k] for k in STEMS if len(word) >= k)]
+def bearing(a: np.ndarray, b: np.ndarray, prior: float) -> np.ndarray:
+    """How much a term of ``a`` toxic and ``b`` clean examples bears on the label, smooth and above zero.
+
+    The divergence (in nats) of its rate of toxic examples, drawn to the prior by a
+    few rows' weight, from the prior, and a floor for terms that show nothing.
+    """
+    prior = min(max(prior, 1e-6), 1 - 1e-6)
+    rate = (a + _PSEUDO * prior) / (a + b + _PSEUDO)
+    return _FLOOR + np.maximum(rate * np.log(rate / prior) + (1 - rate) * np.log((1 - rate) / (1 - prior)), 0.0)
+
+
+@dataclass
+class Examples:
+    """The fitted examples as counts: example i has ``terms`` and ``counts`` from starts[i] to starts[i + 1]."""
 
+    vocabulary: list[str]
+    names: list[str]
+    toxic: np.ndarray
+    starts: np.ndarray
+    terms: np.ndarray
+    counts: np.ndarray
 
-def _packed(numbers: np.ndarray) -> bytes:
-    """Whole numbers as compressed differences, their bytes by place."""
-    planes = np.diff(numbers, prepend=0).astype("<i4").view(np.uint8).reshape(-1, 4).T
-    return pa.compress(np.ascontiguousarray(planes), codec="zstd", asbytes=True) if len(numbers) else b""
+    def some(self, kept: np.ndarray) -> "Examples":
+        """The examples of these places, in this order."""
+        sizes = np.diff(self.starts)[kept]
+        at = _spread(self.starts[:-1][kept], sizes)
+        return Examples(self.vocabulary, [self.names[i] for i in kept], self.toxic[kept], np.concatenate(([0], np.cumsum(sizes))),
+                        self.terms[at], self.counts[at])
 
+    def together(self) -> np.ndarray:
+        """An order in which examples with the same most frequent terms are neighbours."""
+        df = np.bincount(self.terms, minlength=len(self.vocabulary))
+        lead = np.zeros((3, len(self.names)), np.int64)
+        for i, (a, b) in enumerate(zip(self.starts.tolist(), self.starts[1:].tolist())):
+            best = sorted(range(a, b), key=lambda p: (-self.counts[p] * df[self.terms[p]], self.terms[p]))[:3]
+            lead[:len(best), i] = self.terms[best] + 1
+        return np.lexsort((np.arange(len(self.names)), lead[2], self.toxic, lead[1], lead[0]))
 
-def _unpacked(data: bytes, size: int) -> np.ndarray:
-    if not size:
-        return np.zeros(0, np.int32)
-    planes = np.frombuffer(pa.decompress(data, 4 * size, codec="zstd", asbytes=True), np.uint8).reshape(4, size)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<i4").ravel(), dtype=np.int32)
 
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of all runs, one after the other."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(total)
 
+
+@dataclass
 class Index:
-    """Unit TF-IDF vectors of the examples; postings and dense rows are made where they are first used."""
+    """Unit TF-IDF vectors of the examples and their block-max postings, made where they are first used."""
 
-    def __init__(self, spelled: str, of_term: np.ndarray, names: list[str], toxic: np.ndarray, starts: np.ndarray,
-                 terms: bytes = b"", counts: bytes = b"", k: int = 25, prior: float = 0.5, unknown: float = 1.0,
-                 knots: list[tuple[float, float]] | None = None) -> None:
-        self.spelled, self.of_term = spelled, of_term  # terms, a line each, and their weights without the count's part
-        self.names, self.toxic, self.k, self.prior = names, toxic, k, prior
-        self.starts, self.packed = starts, (terms, counts)  # example i: starts[i] to starts[i + 1], terms ascending
-        self.unknown, self.knots = unknown, knots or []
-        self._ready = False
+    examples: Examples
+    k: int = 25
+    knots: list[tuple[float, float]] = field(default_factory=list)
+    passed: int = 0  # blocks whose postings were not read
+    read: int = 0
 
     def __getstate__(self) -> dict:
-        made = ("seen", "vocabulary", "terms", "weights", "place", "at", "by_term", "dense", "row", "blocks", "_shared")
-        return {k: v for k, v in self.__dict__.items() if k not in made} | {"_ready": False}
+        return {"examples": self.examples, "k": self.k, "knots": self.knots, "passed": 0, "read": 0}
 
     def __getattr__(self, name: str):
-        if name.startswith("_") or name in ("vectors", "shared") or self.__dict__.get("_ready", True):
+        if name.startswith("_") or "examples" not in self.__dict__ or "number" in self.__dict__:
             raise AttributeError(name)
         self._prepare()
         return getattr(self, name)
 
     def _prepare(self) -> None:
-        self._ready = True
-        self.seen: dict[str, tuple] = {}  # terms of words met before: numbers, or the term itself where no example holds it
-        self.vocabulary = {t: i for i, t in enumerate(self.spelled.splitlines())}
-        n, v = len(self.names), len(self.vocabulary)
-        self.terms, counts = (_unpacked(x, int(self.starts[-1])) for x in self.packed)
-        sizes = np.bincount(self.terms, minlength=v)
-        often = np.argsort(-sizes, kind="stable")[:_DENSE]
-        often = often[sizes[often] * 16 > n]
-        self.row = dict(zip(often.tolist(), range(len(often))))
-        sizes[often] = 0
-        self.at = np.concatenate(([0], np.cumsum(sizes)))  # the others: term t's postings are at[t] to at[t + 1]
-        rows, free = np.full(v, -1, np.int32), self.at[:-1].copy()
-        rows[often] = np.arange(len(often))
-        self.weights = np.zeros(len(self.terms), np.float32)
-        self.dense = np.zeros((len(often), n), np.float32)
-        self.place, self.by_term = np.zeros(self.at[-1], np.int32), np.zeros(self.at[-1], np.float32)
-        for i, (a, b) in enumerate(zip(self.starts.tolist(), self.starts[1:].tolist())):  # one by one: little memory beside
-            terms = self.terms[a:b]
-            weights = (1 + np.log(counts[a:b])) * self.of_term[terms]
-            self.weights[a:b] = weights / np.sqrt((weights * weights).sum())
-            row = rows[terms]
-            self.dense[row[row >= 0], i] = self.weights[a:b][row >= 0]
-            rare = terms[row < 0]
-            self.place[free[rare]], self.by_term[free[rare]] = i, self.weights[a:b][row < 0]
-            free[rare] += 1
-        self.blocks = [range(b, min(b + _BLOCK, n)) for b in range(0, n, _BLOCK)]
-
-    @property
-    def vectors(self) -> list[dict[int, float]]:
-        """The examples' vectors as term number -> weight."""
-        return [dict(zip(self.terms[a:b].tolist(), self.weights[a:b].astype(float).tolist()))
-                for a, b in zip(self.starts, self.starts[1:])]
-
-    def counts(self, text: str | None) -> dict[int | str, int]:
-        """How often each term stands in the text: by number, or spelled where no example holds it."""
-        words = words_of(text)
-        if len(self.seen) > _REMEMBERED:
-            self.seen.clear()
-        counts: dict[int | str, int] = {}
-        for w, n in words.items():
-            at = self.seen.get(w)
-            if at is None:
-                at = self.seen[w] = tuple(self.vocabulary.get(t, t) for t in terms_of(w))
-            for i in at:
-                counts[i] = counts.get(i, 0) + n
-        return counts
-
-    def vector(self, text: str | None) -> dict[int, float]:
-        counts = self.counts(text)
-        known = [i for i in counts if type(i) is int]
+        x = self.examples
+        n, v = len(x.names), len(x.vocabulary)
+        self.number = {t: i for i, t in enumerate(x.vocabulary)}
+        self.prior = float(x.toxic.mean()) if n else 0.5
+        owner = np.repeat(np.arange(n), np.diff(x.starts))
+        toxic = np.bincount(x.terms, x.toxic[owner].astype(float), v) if n else np.zeros(v)
+        df = np.bincount(x.terms, minlength=v)
+        self.of_term = (np.log((1 + n) / (1 + df)) + 1) * bearing(toxic, df - toxic, self.prior)
+        self.unknown = (np.log(1 + n) + 1) * float(bearing(np.zeros(1), np.zeros(1), self.prior)[0])
+        weights = (1 + np.log(x.counts)) * self.of_term[x.terms]
+        norm = np.sqrt(np.bincount(owner, weights * weights, n)) if n else np.zeros(0)
+        # postings by term, then example; cut where term or block changes
+        order = np.lexsort((owner, x.terms))
+        self.place, self.weight = owner[order].astype(np.int32), weights[order] / norm[owner[order]] if n else weights
+        term, block = x.terms[order], self.place // _BLOCK
+        new = np.ones(len(order), bool)
+        new[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
+        self.cut = np.flatnonzero(new)
+        self.cut_size = np.diff(np.append(self.cut, len(order)))
+        self.cut_block = block[self.cut]
+        self.cut_max = np.maximum.reduceat(self.weight, self.cut) if len(self.cut) else np.zeros(0)
+        self.at = np.searchsorted(term[self.cut], np.arange(v + 1))  # term t's cuts: at[t] to at[t + 1]
+        self.n_blocks = -(-n // _BLOCK)
+
+    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Known terms and their weights; unknown ones count in the norm."""
+        counts = terms_of(text)
+        known = [(self.number[t], c) for t, c in counts.items() if t in self.number]
         if not known:
-            return {}
+            return np.zeros(0, np.int64), np.zeros(0)
+        terms, n = (np.array(part) for part in zip(*known))
+        w = (1 + np.log(n)) * self.of_term[terms]
         rest = 0.0
         if len(known) < len(counts):
-            other = 1 + np.log(np.array([n for i, n in counts.items() if type(i) is not int], float))
-            rest = self.unknown ** 2 * float((other * other).sum())
-        w = (1 + np.log(np.array([counts[i] for i in known], float))) * self.of_term[known]
-        return dict(zip(known, (w / np.sqrt((w * w).sum() + rest)).tolist()))
-
-    def nearest_each(self, queries: Iterable[dict[int, float]], without: list[str | None] | None = None) -> Iterator[list[tuple[float, int]]]:
-        """Per query the k examples of the largest cosine above zero; ties go to the earlier place."""
-        queries, first = iter(queries), 0
-        whole = np.zeros(len(self.vocabulary))
-        while part := list(islice(queries, _BATCH)):  # a few vectors at a time: a text has many terms
-            frequent = np.zeros((len(part), len(self.dense)), np.float32)
-            for i, q in enumerate(part):
-                for t in q.keys() & self.row.keys():
-                    frequent[i, self.row[t]] = q[t]
-            for i, (q, sums) in enumerate(zip(part, frequent @ self.dense)):
-                yield self._best(q, sums, without[first + i] if without else None, whole)
-            first += len(part)
-
-    def _best(self, query: dict[int, float], sums: np.ndarray, without: str | None, whole: np.ndarray) -> list[tuple[float, int]]:
-        if not query:
+            other = 1 + np.log(np.array([c for t, c in counts.items() if t not in self.number], float))
+            rest = self.unknown ** 2 * float(other @ other)
+        return terms, w / np.sqrt(w @ w + rest)
+
+    def nearest(self, query: tuple[np.ndarray, np.ndarray]) -> list[tuple[float, int]]:
+        """The k examples of the largest cosine above zero; ties go to the earlier place."""
+        terms, weights = query
+        if not len(terms):
             return []
-        rare = [t for t in query if t not in self.row]
-        if rare:
-            at = np.array(rare)
-            held = list(zip(self.at[at].tolist(), self.at[at + 1].tolist()))
-            each = np.repeat([query[t] for t in rare], self.at[at + 1] - self.at[at])
-            each *= np.concatenate([self.by_term[a:b] for a, b in held])
-            sums = sums + np.bincount(np.concatenate([self.place[a:b] for a, b in held]), each, len(self.names))
-        k = self.k + (without is not None)
-        least = 0.0
-        if len(sums) > k:  # all weights are positive, so a sum's relative error is below its length in roundings
-            least = float(np.partition(sums, len(sums) - k)[len(sums) - k]) * (1 - _ERROR)
-        best = []
-        terms = np.fromiter(query, np.int64, len(query))
-        whole[terms] = list(query.values())
-        for i in np.flatnonzero((sums >= least) & (sums > 0)).tolist():
-            if without is None or self.names[i] != without:
-                a, b = self.starts[i], self.starts[i + 1]
-                best.append((-round(float(whole[self.terms[a:b]] @ self.weights[a:b].astype(float)), 12), i))
-        whole[terms] = 0
-        return [(-c, i) for c, i in sorted(best)[:self.k] if c < 0]
-
-    def nearest(self, query: dict[int, float], without: str | None = None) -> list[tuple[float, int]]:
-        return next(self.nearest_each([query], [without]))
+        sizes = self.at[terms + 1] - self.at[terms]
+        cuts = _spread(self.at[terms], sizes)
+        factor = np.repeat(weights, sizes)
+        block = self.cut_block[cuts]
+        bound = np.bincount(block, factor * self.cut_max[cuts], self.n_blocks)
+        best = np.argsort(-bound, kind="stable")
+        wanted = np.zeros(self.n_blocks, bool)
+        wanted[best[:max(_FIRST, -(-self.k // _BLOCK))]] = True
+        sums = self._scored(cuts, factor, wanted[block])
+        least = self._kth(sums)
+        rest = (bound >= least) & (bound > 0) & ~wanted
+        self.read += int((rest | wanted).sum())
+        self.passed += self.n_blocks - int((rest | wanted).sum())
+        if rest.any():
+            sums += self._scored(cuts, factor, rest[block])
+            least = self._kth(sums)
+        found = np.flatnonzero((sums >= least) & (sums > 0))
+        cosines = np.round(sums[found], 12)
+        first = np.lexsort((found, -cosines))[:self.k]
+        return [(c, i) for c, i in zip(cosines[first].tolist(), found[first].tolist()) if c > 0]
+
+    def _scored(self, cuts: np.ndarray, factor: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+        """Cosines through the postings of the chosen cuts only."""
+        cuts, factor = cuts[chosen], factor[chosen]
+        sizes = self.cut_size[cuts]
+        at = _spread(self.cut[cuts], sizes)
+        return np.bincount(self.place[at], np.repeat(factor, sizes) * self.weight[at], len(self.examples.names))
+
+    def _kth(self, sums: np.ndarray) -> float:
+        if len(sums) <= self.k:
+            return 0.0
+        return float(np.partition(sums, len(sums) - self.k)[len(sums) - self.k]) * (1 - _ERROR)
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         """Toxic share of the neighbours by cosine, with half a neighbour of the prior; -1 without one."""
         if not near:
             return -1.0
         total = sum(c for c, _ in near)
-        return (sum(c * int(self.toxic[i]) for c, i in near) + 0.5 * self.prior) / (total + 0.5)
+        return (sum(c * int(self.examples.toxic[i]) for c, i in near) + 0.5 * self.prior) / (total + 0.5)
+
+    def judged(self, text: str | None) -> tuple[float, list[tuple[float, int]]]:
+        near = self.nearest(self.vector(text))
+        return self.vote(near), near
 
     def shared(self):
         """This index as a broadcast value, made once, which a Python worker reads and prepares once."""
@@ -227,107 +230,87 @@ def _isotonic(x: list[float], y: list[float], n: list[float]) -> list[tuple[floa
     return [(a / c, b / c) for a, b, c in pools]
 
 
-def bearing(a: np.ndarray, b: np.ndarray, prior: float) -> np.ndarray:
-    """How much a term of ``a`` toxic and ``b`` clean examples bears on the label, smooth and above zero.
-
-    The divergence (in nats) of its rate of toxic examples, drawn to the prior by a
-    few rows' weight, from the prior, and a floor for terms that show nothing.
-    """
-    prior = min(max(prior, 1e-6), 1 - 1e-6)
-    rate = (a + _PSEUDO * prior) / (a + b + _PSEUDO)
-    return _FLOOR + np.maximum(rate * np.log(rate / prior) + (1 - rate) * np.log((1 - rate) / (1 - prior)), 0.0)
-
-
-def _document_counts(texts: DataFrame, spelled: str, size: int) -> np.ndarray:
-    """In how many of all texts each of ``size`` terms stands."""
-    held = texts.sparkSession.sparkContext.broadcast(spelled)
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        number = {t: i for i, t in enumerate(held.value.splitlines())}
-        counts, seen = np.zeros(len(number), np.int64), {}
-        for df in batches:
-            for text in df["t"]:
-                found: set[int] = set()
-                for w in set(_LETTERS.findall((text or "").lower())):
-                    at = seen.get(w)
-                    if at is None:
-                        if len(seen) > _REMEMBERED:
-                            seen.clear()
-                        at = seen[w] = tuple(number[t] for t in terms_of(w) if t in number)
-                    found.update(at)
-                counts[np.fromiter(found, np.int64, len(found))] += 1
-        at = np.flatnonzero(counts)
-        yield pd.DataFrame({"term": at, "n": counts[at]})
-
-    total = np.zeros(size, np.int64)
-    sums = materialise(texts.select("t").mapInPandas(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")),
-                       "toxicity-counts").toArrow()
-    total[sums["term"].to_numpy()] = sums["n"].to_numpy()
-    held.unpersist()
-    return total
-
-
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-        label_col: str = "toxic", max_fit_rows: int = 20_000, k: int = 25) -> Index:
+def fold_votes(examples: Examples, fold: int, k: int, folds: int = FOLDS) -> list[tuple[float, int]]:
+    """Vote and label of a fold's examples under an index of the other folds, their term weights included."""
+    here = np.arange(len(examples.names)) % folds == fold
+    index = Index(examples.some(np.flatnonzero(~here)), k)
+    index._prepare()
+    out = []
+    for i in np.flatnonzero(here).tolist():
+        a, b = examples.starts[i], examples.starts[i + 1]
+        terms, counts = examples.terms[a:b], examples.counts[a:b]
+        w = (1 + np.log(counts)) * index.of_term[terms]
+        query = (terms, w / np.sqrt(w @ w)) if len(terms) else (terms, w)
+        out.append((index.vote(index.nearest(query)), int(examples.toxic[i])))
+    return out
+
+
+def calibration(votes: list[tuple[float, int]], of_class: tuple[float, float]) -> list[tuple[float, float]]:
+    """Knots from votes with labels; ``of_class`` is how many rows a fitted clean and a fitted toxic one stand for."""
+    bins: dict[int, list[float]] = {}
+    prior = sum(of_class[1] for _, y in votes if y) / max(sum(of_class[y] for _, y in votes), 1e-9)
+    for v, y in votes:
+        held = bins.setdefault(int(np.floor(v * 20)), [0.0, 0.0, 0.0])
+        held[0] += v * of_class[y]
+        held[1] += y * of_class[y]
+        held[2] += of_class[y]
+    rows = [(s / n, (y + 0.5 * prior) / (n + 0.5), n) for _, (s, y, n) in sorted(bins.items())]
+    return _isotonic(*(list(c) for c in zip(*rows)))
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+        max_fit_rows: int = 2_000, max_fit_chars: int = 32_000_000, k: int = 25) -> Index:
     """The example index from the labelled rows given (leave held-out rows out beforehand).
 
     Rows with a null id or label are ignored; of equal texts one example is made,
     toxic if any is.  Without any usable row every text scores 0.5.
     """
-    chosen = (labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y"))
-              .where("i is not null and y is not null").groupBy("i").agg(F.max("y").alias("y"))
-              .orderBy(F.xxhash64("i"), "i").limit(max_fit_rows))
+    spark = docs.sparkSession
+    usable = (labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y"))
+              .where("i is not null and y is not null").groupBy("i").agg(F.max("y").alias("y")))
+    order = Window.partitionBy("y").orderBy(F.xxhash64("i"), "i")
+    usable = materialise(usable, "toxicity-labels")
+    chosen = usable.withColumn("r", F.row_number().over(order)).where(F.col("r") <= max_fit_rows // 2)
     texts = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    spread = 4 * docs.sparkSession.sparkContext.defaultParallelism
     rows = materialise(  # at most max_fit_rows small rows are broadcast
-        texts.join(F.broadcast(chosen), "i").groupBy("t").agg(F.max("y").alias("y"), F.min("i").cast("string").alias("i"))
-        .repartition(spread, "i"), "toxicity-fit")
-
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def features(t: pd.Series) -> pd.Series:
-        return pd.Series([list({u for w in words_of(x) for u in terms_of(w)}) for x in t])
-
-    totals = rows.agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n")).first()
-    p, n = float(totals.p or 0), float(totals.n or 0)
-    nothing = np.zeros(1, np.int64)
-    if not p + n:
-        return Index("", np.zeros(0), [], np.zeros(0, int), nothing, k=k, knots=[(-1.0, 0.5), (1.0, 0.5)])
-    prior = p / (p + n)
-    counts = materialise(rows.select("y", F.explode(features("t")).alias("term")).groupBy("term")
-                         .agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")), "toxicity-terms").toArrow().sort_by("term")
-    spelled, size = "\n".join(counts["term"].to_pylist()), docs.count()
-    toxic, clean = counts["a"].to_numpy().astype(float), counts["b"].to_numpy().astype(float)
-    del counts
-    weight = (np.log((1 + size) / (1 + _document_counts(texts, spelled, len(toxic)))) + 1) * bearing(toxic, clean, prior)
-    unknown = (math.log(1 + size) + 1) * float(bearing(np.zeros(1), np.zeros(1), prior)[0])
-    probe = docs.sparkSession.sparkContext.broadcast(
-        Index(spelled, weight, [], np.zeros(0, int), nothing, k=k, unknown=unknown))
-
-    @F.pandas_udf("terms binary, counts binary")
+        texts.join(F.broadcast(chosen), "i").groupBy("t")
+        .agg(F.max("y").alias("y"), F.min("i").cast("string").alias("i"), F.min("r").alias("r"))
+        .repartition(4 * spark.sparkContext.defaultParallelism, "i"), "toxicity-fit")
+    so_far = Window.orderBy("r", "i").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # max_fit_rows rows at most
+    kept = (rows.select("i", "r", F.length("t").alias("n")).withColumn("n", F.sum("n").over(so_far))
+            .where((F.col("n") <= max_fit_chars) | (F.col("r") == 1)).select("i"))
+
+    @F.pandas_udf("terms array<string>, counts array<int>")
     def counted(t: pd.Series) -> pd.DataFrame:
-        made = [sorted(probe.value.counts(x).items()) for x in t]  # examples hold known terms only
-        return pd.DataFrame({"terms": [np.array([i for i, _ in c], "<i4").tobytes() for c in made],
-                             "counts": [np.array([c for _, c in c], "<i4").tobytes() for c in made]})
-
-    examples = materialise(rows.select("i", "y", counted("t").alias("c")).select("i", "y", "c.*"), "toxicity-examples")
-    held = sorted(examples.toLocalIterator(), key=lambda r: r.i)
-    probe.unpersist()
-    starts = np.concatenate(([0], np.cumsum([len(r.terms) // 4 for r in held], dtype=np.int64)))
-    packed = [_packed(np.frombuffer(b"".join(r[c] for r in held), "<i4")) for c in ("terms", "counts")]
-    index = Index(spelled, weight, [r.i for r in held], np.array([r.y for r in held], int), starts, *packed, k, prior, unknown)
-    del held
-    shared = index.shared()
-
-    @F.pandas_udf(T.DoubleType())
-    def votes(i: pd.Series, t: pd.Series) -> pd.Series:
-        here = shared.value
-        return pd.Series([here.vote(x) for x in here.nearest_each(map(here.vector, t), i.tolist())], dtype=float)
-
-    binned = (rows.select("y", votes("i", "t").alias("s")).withColumn("b", F.floor(F.col("s") * 20))
-              .groupBy("b").agg(F.avg("s").alias("s"), F.avg("y").alias("y"), F.count("*").alias("n")).orderBy("b").collect())
-    index.knots = _isotonic([r.s for r in binned], [(r.y * r.n + 0.5 * index.prior) / (r.n + 0.5) for r in binned],
-                            [r.n for r in binned])
-    return index
+        made = [sorted(terms_of(x).items()) for x in t]
+        return pd.DataFrame({"terms": [[w for w, _ in m] for m in made], "counts": [[c for _, c in m] for m in made]})
+
+    held = (rows.join(F.broadcast(kept), "i").select("i", "y", counted("t").alias("c")).select("i", "y", "c.*")
+            .toArrow().sort_by("i"))
+    if not held.num_rows:
+        return Index(Examples([], [], np.zeros(0, int), np.zeros(1, int), np.zeros(0, int), np.zeros(0, int)), k,
+                     [(-1.0, 0.5), (1.0, 0.5)])
+    terms = held["terms"].combine_chunks()
+    coded = terms.flatten().dictionary_encode()
+    starts = np.concatenate(([0], np.cumsum(terms.value_lengths().to_numpy(zero_copy_only=False))))
+    examples = Examples(coded.dictionary.to_pylist(), held["i"].to_pylist(), held["y"].to_numpy().astype(int), starts,
+                        coded.indices.to_numpy(zero_copy_only=False).astype(np.int64),
+                        held["counts"].combine_chunks().flatten().to_numpy().astype(np.int64))
+    examples = examples.some(examples.together())
+    shared = spark.sparkContext.broadcast(examples)
+
+    def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for fold in batch.column(0).to_pylist():
+                out = fold_votes(shared.value, fold, k)
+                yield pa.RecordBatch.from_pydict({"v": [v for v, _ in out], "y": [y for _, y in out]},
+                                                 pa.schema([("v", pa.float64()), ("y", pa.int32())]))
+
+    judged = [(r.v, r.y) for r in spark.range(0, FOLDS, 1, FOLDS).mapInArrow(votes, "v double, y int").collect()]
+    shared.unpersist()
+    totals = {r.y: r.n for r in usable.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    of_class = tuple(totals.get(y, 0) / max(int((examples.toxic == y).sum()), 1) for y in (0, 1))
+    return Index(examples, k, calibration(judged, of_class))
 
 
 def score(text: Column, index: Index) -> Column:
@@ -337,8 +320,7 @@ def score(text: Column, index: Index) -> Column:
     @F.pandas_udf(T.DoubleType())
     def judged(texts: pd.Series) -> pd.Series:
         here = shared.value
-        near = here.nearest_each(map(here.vector, texts))
-        return pd.Series([calibrated(here.vote(x), knots) for x in near], dtype=float)
+        return pd.Series([calibrated(here.judged(t)[0], knots) for t in texts], dtype=float)
 
     return judged(text)
 
@@ -353,12 +335,11 @@ def toxicity(text: Column, index: Index) -> Column:
     @F.pandas_udf(_RESULT)
     def judged(texts: pd.Series) -> pd.DataFrame:
         here, rows = shared.value, []
-        names = list(here.vocabulary)
-        made, asked = tee(map(here.vector, texts))
-        for v, near in zip(made, here.nearest_each(asked)):
-            vote = here.vote(near)
-            rows.append((calibrated(vote, knots), vote, sorted(names[i] for i in v),
-                         [(here.names[i], int(here.toxic[i]), c) for c, i in near[:5]]))
+        held = here.examples
+        for t in texts:
+            vote, near = here.judged(t)
+            known = sorted(w for w in terms_of(t) if w in here.number)
+            rows.append((calibrated(vote, knots), vote, known, [(held.names[i], int(held.toxic[i]), c) for c, i in near[:5]]))
         return pd.DataFrame(rows, columns=_RESULT.names)
 
     return judged(text)
