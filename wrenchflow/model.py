@@ -70,7 +70,7 @@ SCHEMAS: dict[str, T.StructType] = {
         ("payment_method", T.StringType()), ("is_down_payment", T.BooleanType()),
         ("down_payment_percent", T.IntegerType()), ("down_payment_amount", MONEY),
         ("payment_status", T.StringType()), ("admin_notes", T.StringType()),
-        ("payment_date", T.TimestampNTZType()),
+        ("payment_date", T.TimestampNTZType()), ("created_at", T.TimestampNTZType()), ("updated_at", T.TimestampNTZType()),
     ),
     "testimonials": _s(
         ("id", T.LongType()), ("customer_id", T.LongType()), ("service_id", T.LongType()),
@@ -92,11 +92,12 @@ SCHEMAS: dict[str, T.StructType] = {
     ),
     "customer_messages": _s(
         ("customer_id", T.LongType()), ("turn", T.LongType()), ("type", T.StringType()),
-        ("is_read", T.BooleanType()), ("message", T.StringType()),
+        ("is_read", T.BooleanType()), ("message", T.StringType()), ("staff_id", T.LongType()), ("booking_id", T.StringType()),
     ),
     "activity_log": _s(
         ("id", T.LongType()), ("user_id", T.LongType()), ("action", T.StringType()),
         ("detail", T.StringType()), ("created_at", T.TimestampNTZType()), ("ok", T.BooleanType()),
+        ("ip_address", T.StringType()),
     ),
 }
 

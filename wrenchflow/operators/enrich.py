@@ -10,7 +10,7 @@ split by AQE's skew-join handling.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wrenchflow.functions.exprs import hhmm
@@ -249,19 +249,20 @@ def resolve_task_or_booking(g: Garage, refs: DataFrame, ref_col: str = "ref") ->
 def related_bookings(g: Garage) -> DataFrame:
     """Bookings made together (same customer, date, time and vehicle).
 
-    Group size and total price are computed with a partial (map-side)
-    aggregation and joined back, so a hot group is never gathered in one
-    task; only bookings whose group has more than one member are returned.
+    Bookings are counted per group and service (partial, map-side), only these counts
+    meet the services, and their sums per group are joined back: a hot
+    group is never gathered, and services are joined once.  Only bookings
+    whose group has more than one member with a service are returned.
     """
     keys = ["customer_id", "booking_date", "start_min", "vehicle_id"]
-    b = g.bookings.join(_services(g).select("_sid", "service_price"),
-                        F.col("service_id") == F.col("_sid"))
-    groups = (b.groupBy(*keys).agg(F.count("*").alias("related_count"),
-                                   F.sum("service_price").alias("total_services_price"),
-                                   F.min("id").alias("first_booking_id"))
-              .where(F.col("related_count") > 1))
-    return b.join(groups, keys).select("id", *keys, "related_count", "total_services_price",
-                                       "first_booking_id")
+    per = (g.bookings.groupBy(*keys, "service_id").agg(F.count("*").alias("_n"), F.min("id").alias("_first"))
+           .join(_services(g).select("_sid", "service_price"), F.col("service_id") == F.col("_sid")))
+    whole = Window.partitionBy(*keys)  # a row per service
+    per = (per.withColumn("related_count", F.sum("_n").over(whole))
+           .withColumn("total_services_price", F.sum(F.col("service_price") * F.col("_n")).over(whole))
+           .withColumn("first_booking_id", F.min("_first").over(whole)).where(F.col("related_count") > 1)
+           .select(*keys, "service_id", "related_count", "total_services_price", "first_booking_id"))
+    return g.bookings.join(per, [*keys, "service_id"]).select("id", *keys, "related_count", "total_services_price", "first_booking_id")
 
 
 def related_documents(g: Garage) -> DataFrame:
@@ -281,7 +282,7 @@ def payments_joined(g: Garage) -> DataFrame:
     """Payment rows joined to booking, service, customer, vehicle and mechanic."""
     p = g.payments.select(F.col("id").alias("payment_id"), F.col("booking_id").alias("_pb"),
                           "payment_method", "is_down_payment", "down_payment_percent",
-                          "down_payment_amount", "payment_status", "admin_notes", "payment_date")
+                          "down_payment_amount", "payment_status", "admin_notes", "payment_date", "created_at", "updated_at")
     b = g.bookings.select(F.col("id").alias("booking_id"), "booking_date", "start_min", "status",
                           "service_id", "customer_id", "vehicle_id", "mechanic_id", "total_price")
     return (p.join(b, F.col("_pb") == F.col("booking_id"))
@@ -292,7 +293,8 @@ def payments_joined(g: Garage) -> DataFrame:
             .select("payment_id", "booking_id", "payment_method", "is_down_payment", "down_payment_percent",
                     "down_payment_amount", "payment_status", "admin_notes", "payment_date", "booking_date",
                     "status", "total_price", "service_id", "service_name", "service_price", "customer_name", "make",
-                    "model", "license_plate", "mechanic_name"))
+                    "model", "license_plate", "mechanic_name", "customer_id", "vehicle_id", "year", "mechanic_id", "created_at",
+                    "updated_at"))
 
 
 def payments_history(g: Garage, start: Date | None = None, end: Date | None = None,

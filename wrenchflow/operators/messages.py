@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wrenchflow.operators.enrich import customer_names
+from wrenchflow.operators.ordered import place_within
 from wrenchflow.sources.tables import Garage
 
 
@@ -13,16 +14,30 @@ def _names(g: Garage) -> DataFrame:
     return customer_names(g).select(F.col("id").alias("_cid"), F.col("name").alias("customer_name"))
 
 
+def _with_names(g: Garage, messages: DataFrame) -> DataFrame:
+    """Messages with the names of customer, staff member and the booking's service, each where known."""
+    staff = g.users.select(F.col("id").alias("_uid"), F.col("name").alias("staff_name"))
+    service = (g.bookings.select(F.col("id").alias("_bid"), "service_id")
+               .join(g.services.select(F.col("id").alias("_sid"), F.col("name").alias("service_name")), F.col("service_id") == F.col("_sid"))
+               .select("_bid", "service_name"))
+    return (messages.join(_names(g), F.col("customer_id") == F.col("_cid"), "left")
+            .join(staff, F.col("staff_id") == F.col("_uid"), "left")
+            .join(service, F.col("booking_id") == F.col("_bid"), "left").drop("_cid", "_uid", "_bid"))
+
+
 def messages_by_customer(g: Garage) -> DataFrame:
-    """G1: every thread ordered by turn, with the customer's name when known."""
-    return (g.customer_messages.join(_names(g), F.col("customer_id") == F.col("_cid"), "left").drop("_cid")
-            .orderBy("customer_id", "turn"))
+    """G1: every customer's thread ordered by turn, with the names of customer, staff and service."""
+    return _with_names(g, g.customer_messages).orderBy("customer_id", "turn")
+
+
+def messages_by_booking(g: Garage) -> DataFrame:
+    """G1: the messages about each booking ordered by turn, with the same names."""
+    return _with_names(g, g.customer_messages.where(F.col("booking_id").isNotNull())).orderBy("booking_id", "turn", "customer_id")
 
 
 def unread_messages(g: Garage) -> DataFrame:
-    """Incoming, unread messages with the customer's name."""
-    m = g.customer_messages.where((F.col("type") == "incoming") & ~F.col("is_read"))
-    return m.join(_names(g), F.col("customer_id") == F.col("_cid"), "left").drop("_cid")
+    """Incoming, unread messages with the same names."""
+    return _with_names(g, g.customer_messages.where((F.col("type") == "incoming") & ~F.col("is_read")))
 
 
 # reject classes by status code: the thread has no fixed texts to match
@@ -50,9 +65,9 @@ def apply_messages(g: Garage, sent: DataFrame) -> DataFrame:
     x = x.withColumn("reject_reason", reason)
     ok = F.col("reject_reason").isNull()
     last = g.customer_messages.groupBy(F.col("customer_id").alias("_lc")).agg(F.max("turn").alias("_last"))
-    # a thread's new turns are numbered in order; rejected rows stand apart so they can't crowd one thread
-    thread = Window.partitionBy("customer_id", F.when(~ok, F.col("message_seq"))).orderBy("message_seq")
-    return (x.withColumn("_n", F.row_number().over(thread)).join(last, F.col("customer_id") == F.col("_lc"), "left")
+    # a thread's new turns are numbered in order; rejected rows stand apart
+    x = place_within(x.withColumn("_thread", F.when(ok, F.col("customer_id"))), ["_thread"], [F.col("message_seq")], out="_n")
+    return (x.withColumn("_n", F.col("_n") + 1).join(last, F.col("customer_id") == F.col("_lc"), "left")
             .select("message_seq", "role", "customer_id", "booking_id", "message", "reject_reason",
                     F.when(ok, F.when(customer, "incoming").otherwise("outgoing")).alias("type"),
                     F.when(ok, F.coalesce("_last", F.lit(0)) + F.col("_n")).alias("turn"),

@@ -340,31 +340,33 @@ def feedback_report_detail(g: Garage, start: Date, end: Date) -> DataFrame:
 
 # --- A19..A24 generated reports and insights --------------------------------------
 
-def _top_name(df: DataFrame, name_col: str, alias: str, count: Column) -> DataFrame:
-    """Top-1 name by ``count`` (ties: smallest name) as a one-row frame."""
-    return (df.groupBy(name_col).agg(count.alias("_top_n"))
-            .orderBy(F.col("_top_n").desc(), F.col(name_col).asc_nulls_last()).limit(1)
-            .select(F.col(name_col).alias(alias)))
-
-
 def generate_report(g: Garage, report_type: str, report_date: Date) -> DataFrame:
     """One report row for the derived range (E7), ready for ``append_report``."""
     start, end = D.report_range(report_type, report_date)
     done = _status_is("completed")
-    # one row per (service, mechanic) meets the names; the range is scanned once per aggregate below
-    per = g.bookings.where(_in_range(start, end)).groupBy("service_id", "mechanic_id").agg(
-        F.count("*").alias("_n"), _count_if(done).alias("_done"), _count_if(_status_is("cancelled")).alias("_cancelled"),
-        F.sum(F.when(done, F.col("rating"))).alias("_rating"), F.count(F.when(done, F.col("rating"))).alias("_rated"))
-    bs = per.join(_svc_names(g), F.col("service_id") == F.col("_sid"))
-    totals = bs.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("total_bookings"),
-                    F.coalesce(F.sum("_done"), F.lit(0)).alias("completed_bookings"),
-                    F.coalesce(F.sum("_cancelled"), F.lit(0)).alias("cancelled_bookings"),
-                    F.coalesce(F.sum(F.col("price") * F.col("_done")), F.lit(0)).cast("decimal(22,2)").alias("total_revenue"),
-                    F.sum("_rating").alias("_rs"), F.sum("_rated").alias("_rc"))
+    # the range is scanned once: counts per service and per mechanic, which then meet the names
+    per = g.bookings.where(_in_range(start, end)).groupingSets(
+        [["service_id"], ["mechanic_id"]], "service_id", "mechanic_id").agg(
+        F.grouping("mechanic_id").alias("_of_service"), F.count("*").alias("_n"), _count_if(done).alias("_done"),
+        _count_if(_status_is("cancelled")).alias("_cancelled"), F.sum(F.when(done, F.col("rating"))).alias("_rating"),
+        F.count(F.when(done, F.col("rating"))).alias("_rated"))
     m = mechanic_names(g).select(F.col("id").alias("_mid"), F.col("name").alias("_mname"))
-    top_mech = _top_name(per.where(F.col("_done") > 0).join(m, F.col("mechanic_id") == F.col("_mid")), "_mname",
-                         "top_mechanic", F.sum("_done"))
-    row = combine_rows([totals, _top_name(bs, "service_name", "top_service", F.sum("_n")), top_mech])
+    named = (per.join(_svc_names(g).withColumn("_known", F.lit(1)), F.col("service_id") == F.col("_sid"), "left")
+             .join(m.withColumn("_works", F.lit(1)), F.col("mechanic_id") == F.col("_mid"), "left"))
+    of_service = (F.col("_of_service") == 1) & F.col("_known").isNotNull()
+    of_mechanic = (F.col("_of_service") == 0) & F.col("_works").isNotNull() & (F.col("_done") > 0)
+    names = named.where(of_service | of_mechanic).groupBy("_of_service", F.when(of_service, F.col("service_name"))
+                                                          .otherwise(F.col("_mname")).alias("_name")).agg(
+        *[F.sum(c).alias(c) for c in ("_n", "_done", "_cancelled", "_rating", "_rated")],
+        F.sum(F.col("price") * F.col("_done")).alias("_revenue"))
+    svc, mech = F.col("_of_service") == 1, F.col("_of_service") == 0
+    best = lambda which, n: F.min(F.when(which, F.struct((-F.col(n)).alias("n"), F.col("_name").isNull().alias("no"), "_name")))
+    row = names.agg(F.coalesce(F.sum(F.when(svc, F.col("_n"))), F.lit(0)).alias("total_bookings"),
+                    F.coalesce(F.sum(F.when(svc, F.col("_done"))), F.lit(0)).alias("completed_bookings"),
+                    F.coalesce(F.sum(F.when(svc, F.col("_cancelled"))), F.lit(0)).alias("cancelled_bookings"),
+                    F.coalesce(F.sum(F.when(svc, F.col("_revenue"))), F.lit(0)).cast("decimal(22,2)").alias("total_revenue"),
+                    F.sum(F.when(svc, F.col("_rating"))).alias("_rs"), F.sum(F.when(svc, F.col("_rated"))).alias("_rc"),
+                    best(svc, "_n")["_name"].alias("top_service"), best(mech, "_done")["_name"].alias("top_mechanic"))
     return row.select(
         F.lit(report_type).alias("report_type"), F.lit(str(D.as_date(report_date))).alias("report_date"),
         F.lit(str(start)).alias("start_date"), F.lit(str(end)).alias("end_date"),

@@ -66,6 +66,27 @@ def running(rows: DataFrame, key: str, order: list[str], wanted: dict[str, Runni
             .select(*own, *out))
 
 
+def place_within(df: DataFrame, keys: list[str], order: list[Column], out: str = "place") -> DataFrame:
+    """``df`` with the place (from 0) of each row among its key's rows in ``order``; equal rows in any order.
+
+    Rows are range-partitioned by (key, order, an arbitrary last key), so a hot key lies in
+    many tasks; a row's place is its number within its partition plus the key's
+    rows in earlier ones (one row per partition and key).
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = (df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(n, *keys, *order, "_tie")
+            .withColumn("_p", F.spark_partition_id()).checkpoint())
+    within = F.row_number().over(Window.partitionBy("_p", *keys).orderBy(*order, "_tie"))
+    earlier = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    before = (rows.groupBy("_p", *keys).agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+              .select(F.col("_p").alias("_bp"), *[F.col(k).alias(f"_b_{k}") for k in keys], "_before"))
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_b_{k}")) for k in keys], F.col("_p") == F.col("_bp"))
+    return (rows.withColumn("_nth", within).join(before, same).withColumn(out, F.col("_before") + F.col("_nth") - 1)
+            .select(*df.columns, out))
+
+
 def _fixed(df: DataFrame) -> DataFrame:
     checkpoint_dir(df.sparkSession)
     return df.checkpoint()

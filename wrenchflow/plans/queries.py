@@ -203,7 +203,8 @@ SELECT p.id AS payment_id, p.booking_id, p.payment_method, p.is_down_payment, p.
   CAST(p.down_payment_amount AS DOUBLE) AS down_payment_amount, p.payment_status, p.admin_notes,
   {TS.format(c='p.payment_date')} AS payment_date, CAST(b.booking_date AS VARCHAR) AS booking_date, b.status,
   CAST(b.total_price AS DOUBLE) AS total_price, b.service_id, s.name AS service_name, CAST(s.price AS DOUBLE) AS service_price,
-  u.name AS customer_name, v.make, v.model, v.license_plate, mu.name AS mechanic_name
+  u.name AS customer_name, v.make, v.model, v.license_plate, mu.name AS mechanic_name, b.customer_id, b.vehicle_id, v.year, b.mechanic_id,
+  {TS.format(c='p.created_at')} AS created_at, {TS.format(c='p.updated_at')} AS updated_at
 FROM payments p JOIN bookings b ON p.booking_id = b.id JOIN services s ON b.service_id = s.id
 JOIN {CUST} ON b.customer_id = c.id JOIN vehicles v ON b.vehicle_id = v.id
 LEFT JOIN {MECH} ON b.mechanic_id = m.id"""
@@ -868,14 +869,16 @@ def _agg_sql(table, fields, where, order):
 SELECT b.id, CAST(b.booking_date AS VARCHAR) AS booking_date, b.start_min, b.status, b.customer_id, b.service_id,
   b.vehicle_id, b.mechanic_id, 0 AS part,
   {_agg_sql('mechanic_tasks', ['x.id', 'x.status'], 'x.booking_id = b.id', 'x.id')} AS tasks_text,
-  {_agg_sql('field_notes', ['x.id', 'x.note'], 'x.booking_id = b.id', 'x.date DESC, x.id DESC')} AS notes_text
+  {_agg_sql('field_notes', ['x.id', 'x.note'], 'x.booking_id = b.id', 'x.date DESC, x.id DESC')} AS notes_text,
+  {_agg_sql('customer_messages', ['x.turn', 'x.type', 'x.message'], 'x.booking_id = b.id', 'x.turn, x.customer_id')} AS messages_text
 FROM bookings b""")
 def q_booking_document(g):
-    """Booking + tasks[] + field_notes[] (arrays rendered as text)."""
+    """Booking + tasks[] + field_notes[] + messages[] (arrays rendered as text)."""
     d = N.booking_document(g)
     return d.select("id", "booking_date", "start_min", "status", "customer_id", "service_id", "vehicle_id",
                     "mechanic_id", "part", _render("tasks", "id", "status").alias("tasks_text"),
-                    _render("field_notes", "id", "note").alias("notes_text"))
+                    _render("field_notes", "id", "note").alias("notes_text"),
+                    _render("messages", "turn", "type", "message").alias("messages_text"))
 
 
 @register("mechanic_document", f"""
@@ -937,29 +940,45 @@ def q_task_document(g):
                     _render("field_notes", "note_id", "note").alias("notes_text"))
 
 
-@register("payment_document", f"""
-SELECT p.id, p.booking_id, concat('INV/', strftime(p.payment_date, '%Y/%m'), '/', CAST(p.id AS VARCHAR)) AS invoice_number,
-  coalesce(u.name, 'Unknown Customer') AS customer_name, v.license_plate AS vehicle_plate,
+def _invoice_sql(tax: str, which: str) -> str:
+    return f"""
+SELECT p.id, {TS.format(c='p.created_at')} AS created_at, {TS.format(c='p.updated_at')} AS updated_at, p.booking_id,
+  concat('INV/', strftime(p.created_at, '%Y/%m'), '/', CAST(p.id AS VARCHAR)) AS invoice_number, b.customer_id,
+  coalesce(u.name, 'Unknown Customer') AS customer_name, b.vehicle_id, coalesce(v.make, '') AS vehicle_make, coalesce(v.model, '') AS vehicle_model,
+  v.year AS vehicle_year, coalesce(v.license_plate, '') AS vehicle_plate, CAST(b.booking_date AS VARCHAR) AS service_date,
+  {TS.format(c='p.payment_date')} AS payment_date,
   concat('S', CAST(b.service_id AS VARCHAR)) AS item_id, coalesce(s.name, 'Unknown Service') AS item_name,
-  CAST(s.price AS DOUBLE) AS subtotal, CAST(round(s.price * CAST(0.10 AS DECIMAL(4,2)), 2) AS DOUBLE) AS tax,
+  CAST(s.price AS DOUBLE) AS subtotal, {tax} AS tax,
   CAST(CASE WHEN p.is_down_payment THEN p.down_payment_amount ELSE s.price END AS DOUBLE) AS total_amount,
-  p.payment_status AS status, CASE WHEN p.payment_status = 'approved' THEN 'paid' ELSE 'unpaid' END AS payment_label,
+  p.payment_method, p.is_down_payment, p.down_payment_percent, CAST(p.down_payment_amount AS DOUBLE) AS down_payment_amount,
+  p.payment_status AS status, CASE WHEN p.payment_status = 'approved' THEN 'paid' ELSE 'unpaid' END AS payment_label, b.mechanic_id,
   coalesce(mu.name, 'Belum ditugaskan') AS mechanic_name,
   CASE WHEN p.payment_status = 'approved' THEN 'Admin' END AS approved_by,
+  CASE WHEN p.payment_status = 'approved' THEN {TS.format(c='p.updated_at')} END AS approved_at,
   CASE WHEN p.payment_status = 'rejected' THEN 'Admin' END AS rejected_by,
+  CASE WHEN p.payment_status = 'rejected' THEN {TS.format(c='p.updated_at')} END AS rejected_at,
   CASE WHEN p.payment_status = 'rejected' THEN p.admin_notes END AS rejection_reason,
   coalesce(p.admin_notes, '') AS admin_notes
 FROM payments p JOIN bookings b ON p.booking_id = b.id JOIN services s ON b.service_id = s.id
 JOIN {CUST} ON b.customer_id = c.id JOIN vehicles v ON b.vehicle_id = v.id
-LEFT JOIN {MECH} ON b.mechanic_id = m.id WHERE p.payment_status <> 'pending'""")
+LEFT JOIN {MECH} ON b.mechanic_id = m.id WHERE p.payment_status {which} 'pending'"""
+
+
+def _invoice(d):
+    item = _F.col("service_items")[0]
+    return d.withColumn("item_id", item["item_id"]).withColumn("item_name", item["name"]).drop("service_items")
+
+
+@register("payment_document", _invoice_sql("CAST(round(s.price * CAST(0.10 AS DECIMAL(4,2)), 2) AS DOUBLE)", "<>"))
 def q_payment_document(g):
     """Settled payments as invoices (E2 number, E3 amounts, E4 labels, E5 items)."""
-    d = N.payment_document(g)
-    return d.select("id", "booking_id", "invoice_number", "customer_name", "vehicle_plate",
-                    _F.col("service_items")[0]["item_id"].alias("item_id"),
-                    _F.col("service_items")[0]["name"].alias("item_name"), "subtotal", "tax", "total_amount",
-                    "status", "payment_label", "mechanic_name", "approved_by", "rejected_by", "rejection_reason",
-                    "admin_notes")
+    return _invoice(N.payment_document(g))
+
+
+@register("payment_document_pending", _invoice_sql("CAST(0 AS DOUBLE)", "="))
+def q_payment_document_pending(g):
+    """N6 + E3: pending payments as invoices, without tax."""
+    return _invoice(N.payment_document(g, settled=False))
 
 
 # ---------------------------------------------------------------- scans, search, paging, distinct
@@ -1102,25 +1121,33 @@ def q_service_name_uniqueness(g):
 
 
 # ---------------------------------------------------------------- messages (G)
-MSG_SQL = f"""SELECT m.customer_id, m.turn, m.type, m.is_read, m.message, u.name AS customer_name
-FROM customer_messages m LEFT JOIN {CUST} ON m.customer_id = c.id"""
+MSG_SQL = f"""SELECT m.customer_id, m.turn, m.type, m.is_read, m.message, m.staff_id, m.booking_id, u.name AS customer_name,
+  su.name AS staff_name, s.name AS service_name
+FROM customer_messages m LEFT JOIN {CUST} ON m.customer_id = c.id LEFT JOIN users su ON su.id = m.staff_id
+LEFT JOIN bookings b ON b.id = m.booking_id LEFT JOIN services s ON s.id = b.service_id"""
 
 
 @register("messages_by_customer", MSG_SQL)
 def q_messages_by_customer(g):
-    """G1: message threads with customer names."""
+    """G1: message threads with the names of customer, staff and service."""
     return G.messages_by_customer(g)
 
 
+@register("messages_by_booking", MSG_SQL + " WHERE m.booking_id IS NOT NULL")
+def q_messages_by_booking(g):
+    """G1: the messages about each booking, with the same names."""
+    return G.messages_by_booking(g)
+
+
 @register("unread_messages", MSG_SQL + " WHERE m.type = 'incoming' AND NOT m.is_read")
 def q_unread_messages(g):
-    """Unread incoming messages."""
+    """Unread incoming messages, with the same names."""
     return G.unread_messages(g)
 
 
 @register("mark_read", """
 SELECT m.customer_id, m.turn, m.type, m.is_read OR coalesce(m.type = 'incoming' AND m.turn <= r.up_to_turn, false) AS is_read,
-  m.message
+  m.message, m.staff_id, m.booking_id
 FROM customer_messages m LEFT JOIN (SELECT customer_id, max(turn) AS up_to_turn FROM customer_messages
                                     WHERE type = 'outgoing' GROUP BY customer_id) r ON m.customer_id = r.customer_id""")
 def q_mark_read(g):
@@ -1640,7 +1667,7 @@ def q_append_audit_log(g):
 
 
 @register("activity_log_stream", """
-SELECT user_id, action, detail, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at
+SELECT user_id, action, detail, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at, ip_address
 FROM activity_log WHERE ok AND user_id IS NOT NULL""")
 def q_activity_log_stream(g):
     """X1 + S5: successful actions of known users through a Structured Streaming append (availableNow)."""

@@ -168,7 +168,9 @@ def bind(spark: SparkSession, sf_dir: str, jobs_path: str | None = None) -> Gara
         .otherwise(0).cast("decimal(12,2)").alias("down_payment_amount"),
         F.when(F.col("o_orderstatus") == "O", "pending").when(F.col("o_orderstatus") == "F", "approved")
         .otherwise("rejected").alias("payment_status"),
-        F.col("o_orderdate").alias("payment_date"),
+        F.col("o_orderdate").alias("payment_date"), F.col("o_orderdate").alias("created_at"),
+        F.when(F.col("o_orderstatus") != "O", F.timestamp_add("DAY", (F.col("o_orderkey") % 30).cast("int"), F.col("o_orderdate")))
+        .alias("updated_at"),
     )
 
     testimonials = jobs.where(done & (F.col("l_linenumber") <= 5) & (F.col("l_discount") >= 0.05)).select(
@@ -198,12 +200,18 @@ def bind(spark: SparkSession, sf_dir: str, jobs_path: str | None = None) -> Gara
     messages = t["conversations"].select(
         F.col("conv_id").alias("customer_id"), "turn",
         F.when(F.col("role") == "user", "incoming").when(F.col("role") == "assistant", "outgoing").otherwise("notice").alias("type"),
-        (F.col("turn") < 4).alias("is_read"), F.col("text").alias("message"))
+        (F.col("turn") < 4).alias("is_read"), F.col("text").alias("message"),
+        F.when(F.col("role") == "assistant", F.lit(2000000) + (F.col("conv_id") + F.col("turn")) % 7).alias("staff_id"))
+    # a thread is about its customer's first visit; threads of nobody and notices are about none
+    first = t["orders"].groupBy(F.col("o_custkey").alias("_c")).agg(F.min("o_orderkey").alias("_o"))
+    messages = messages.join(first, F.col("customer_id") == F.col("_c"), "left").withColumn(
+        "booking_id", F.when(F.col("type") != "notice", F.concat(F.lit("B-"), (F.col("_o") * 100 + 1).cast("string")))).drop("_c", "_o")
 
     activity = t["events"].select(
         F.col("event_id").alias("id"), "user_id", F.col("event_type").alias("action"),
         F.col("props").alias("detail"), F.col("ts").alias("created_at"),
-        (F.col("event_type") != "error").alias("ok"))
+        (F.col("event_type") != "error").alias("ok"),
+        F.concat_ws(".", F.lit("10.0"), F.col("user_id") % 256, F.col("event_id") % 256).alias("ip_address"))
 
     frames = dict(bookings=bookings, services=services, users=users, customers=customers,
                   mechanics=mechanics, vehicles=vehicles, payments=payments,
@@ -267,7 +275,8 @@ payments AS (
     CAST(CASE WHEN o_orderkey % 3 = 0 THEN round(CAST(o_totalprice AS DECIMAL(12,2)) * CAST(0.3 AS DECIMAL(2,1)), 2)
          ELSE 0 END AS DECIMAL(12,2)) AS down_payment_amount,
     CASE o_orderstatus WHEN 'O' THEN 'pending' WHEN 'F' THEN 'approved' ELSE 'rejected' END AS payment_status,
-    CAST(NULL AS VARCHAR) AS admin_notes, o_orderdate AS payment_date FROM orders),
+    CAST(NULL AS VARCHAR) AS admin_notes, o_orderdate AS payment_date, o_orderdate AS created_at,
+    CASE WHEN o_orderstatus <> 'O' THEN o_orderdate + INTERVAL 1 DAY * CAST(o_orderkey % 30 AS INT) END AS updated_at FROM orders),
 testimonials AS (
   SELECT l_orderkey * 100 + seq AS id, o_custkey AS customer_id, l_partkey AS service_id,
     CASE WHEN l_linenumber <> 2 THEN l_suppkey END AS mechanic_id, l_linenumber AS rating,
@@ -290,9 +299,12 @@ field_notes AS (
   FROM job0 WHERE l_quantity > 40 AND status <> 'pending'),
 customer_messages AS (
   SELECT conv_id AS customer_id, turn, CASE role WHEN 'user' THEN 'incoming' WHEN 'assistant' THEN 'outgoing' ELSE 'notice' END AS type,
-    turn < 4 AS is_read, text AS message FROM conversations),
+    turn < 4 AS is_read, text AS message, CASE WHEN role = 'assistant' THEN 2000000 + (conv_id + turn) % 7 END AS staff_id,
+    CASE WHEN role IN ('user', 'assistant') THEN concat('B-', CAST(o.first_order * 100 + 1 AS VARCHAR)) END AS booking_id
+  FROM conversations LEFT JOIN (SELECT o_custkey, min(o_orderkey) AS first_order FROM orders GROUP BY o_custkey) o ON conv_id = o.o_custkey),
 activity_log AS (
-  SELECT event_id AS id, user_id, event_type AS action, props AS detail, ts AS created_at, event_type <> 'error' AS ok FROM events)
+  SELECT event_id AS id, user_id, event_type AS action, props AS detail, ts AS created_at, event_type <> 'error' AS ok,
+    concat('10.0.', CAST(user_id % 256 AS VARCHAR), '.', CAST(event_id % 256 AS VARCHAR)) AS ip_address FROM events)
 """
 
 

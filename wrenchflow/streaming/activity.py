@@ -21,13 +21,14 @@ from wrenchflow.model import SCHEMAS
 from wrenchflow.session import scratch_path
 
 LOG_SCHEMA = T.StructType([T.StructField("user_id", T.LongType()), T.StructField("action", T.StringType()),
-                           T.StructField("detail", T.StringType()), T.StructField("created_at", T.TimestampNTZType())])
+                           T.StructField("detail", T.StringType()), T.StructField("created_at", T.TimestampNTZType()),
+                           T.StructField("ip_address", T.StringType())])
 
 
 def activity_filter(raw: DataFrame) -> DataFrame:
     """Successful actions of known users, projected to the log's columns."""
     return (raw.where(F.col("ok") & F.col("user_id").isNotNull())
-            .select("user_id", "action", "detail", "created_at"))
+            .select("user_id", "action", "detail", "created_at", "ip_address"))
 
 
 def activity_log_stream(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint: str,
