@@ -24,6 +24,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -268,17 +269,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     spark = docs.sparkSession
     usable = (labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y"))
               .where("i is not null and y is not null").groupBy("i").agg(F.max("y").alias("y")))
-    order = Window.partitionBy("y").orderBy(F.xxhash64("i"), "i")
-    usable = materialise(usable, "toxicity-labels")
-    chosen = usable.withColumn("r", F.row_number().over(order)).where(F.col("r") <= max_fit_rows // 2)
+    usable = materialise(usable.withColumn("h", F.shiftrightunsigned(F.xxhash64("i"), 1)), "toxicity-labels")
+    totals = {r.y: r.n for r in usable.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    # of each label the rows of least hash: those below a bound that about twice as many pass, then in order
+    half = max_fit_rows // 2
+    low = [usable.where((F.col("y") == y) & (F.col("h") <= min(2 ** 63 * (2 * half + 100) // n, 2 ** 63 - 1))) for y, n in sorted(totals.items())]
+    chosen = reduce(DataFrame.unionByName, [x.orderBy("h", "i").limit(half) for x in low], usable.limit(0))
     texts = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     rows = materialise(  # at most max_fit_rows small rows are broadcast
         texts.join(F.broadcast(chosen), "i").groupBy("t")
-        .agg(F.max("y").alias("y"), F.min("i").cast("string").alias("i"), F.min("r").alias("r"))
+        .agg(F.max("y").alias("y"), F.min("i").cast("string").alias("i"), F.min("h").alias("h"))
         .repartition(4 * spark.sparkContext.defaultParallelism, "i"), "toxicity-fit")
-    so_far = Window.orderBy("r", "i").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # max_fit_rows rows at most
-    kept = (rows.select("i", "r", F.length("t").alias("n")).withColumn("n", F.sum("n").over(so_far))
-            .where((F.col("n") <= max_fit_chars) | (F.col("r") == 1)).select("i"))
+    so_far = Window.orderBy("h", "i").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # max_fit_rows rows at most
+    kept = (rows.select("i", "h", F.length("t").alias("n")).withColumn("n", F.sum("n").over(so_far))
+            .where(F.col("n") <= max_fit_chars).select("i"))
 
     @F.pandas_udf("terms array<string>, counts array<int>")
     def counted(t: pd.Series) -> pd.DataFrame:
@@ -308,7 +312,6 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     judged = [(r.v, r.y) for r in spark.range(0, FOLDS, 1, FOLDS).mapInArrow(votes, "v double, y int").collect()]
     shared.unpersist()
-    totals = {r.y: r.n for r in usable.groupBy("y").agg(F.count("*").alias("n")).collect()}
     of_class = tuple(totals.get(y, 0) / max(int((examples.toxic == y).sum()), 1) for y in (0, 1))
     return Index(examples, k, calibration(judged, of_class))
 
