@@ -10,7 +10,9 @@ from tests.conftest import SF_SMALL
 # queries whose callables run actions (checkpoints, writes, streams); their plans are checked elsewhere
 ACTIONS = {"assign_mechanics", "append_report", "append_audit_log", "refresh_stats_table", "activity_log_stream",
            "load_tables_roundtrip", "append_report_empty_period", "apply_task_status", "apply_new_bookings", "provision_users", "moderate_testimonials",
-           "testimonial_reject_classes"}
+           "testimonial_reject_classes"} | {n for n in E.queries() if "_after_" in n or n.startswith("op") or n in (
+               "pipeline", "apply_new_vehicles", "apply_messages", "booking_document", "mechanic_document", "service_document",
+               "vehicle_document", "task_document", "related_documents", "mechanic_daily_tasks")}
 
 
 def _plan(spark, name):
@@ -46,3 +48,10 @@ def test_interval_operators_do_not_pair_bookings(spark, name):
     for keys in re.findall(r"Left keys \[\d+\]: \[(.*?)\]", plan):
         names = sorted(re.sub(r"#\d+L?", "", k).strip() for k in keys.split(","))
         assert names != ["booking_date", "mechanic_id"], (name, keys)
+
+
+@pytest.mark.parametrize("name,table,n", [("generate_report", "bookings", 1), ("within_availability", "bookings", 1),
+                                           ("related_bookings", "bookings", 2), ("related_bookings", "services", 1)])
+def test_tables_are_scanned_no_more_than_needed(spark, name, table, n):
+    """The report's range once, availability once, groups and their members once each, services once."""
+    assert len(re.findall(rf"Location: .*?/{table}\]", _plan(spark, name))) == n

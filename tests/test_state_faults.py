@@ -91,3 +91,28 @@ def test_sinks_return_their_own_run_with_nulls(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "r")).count() == 2
     assert sinks.append_audit_log(df, str(tmp_path / "a")).count() == 1
     assert sinks.append_audit_log(df, str(tmp_path / "a")).count() == 1
+
+
+def test_repeated_sequence_numbers_accept_one_row(spark, garage):
+    """Rows of one number follow each other: the second of two equal requests is refused, never both accepted."""
+    b = garage.bookings.where("status = 'pending'").first()
+    rows = [(1, b.id, b.customer_id, 9)] * 2 + [(1, b.id, b.customer_id, 8)]
+    ch = spark.createDataFrame(rows, "request_seq long, booking_id string, customer_id long, user_id long").repartition(3)
+    out = M.apply_cancellations(garage, ch).collect()
+    assert sorted(r.reject_reason is None for r in out) == [False, False, True]
+
+    users = spark.createDataFrame([(5, "new@x.org", "N M", "customer", None, None, None)] * 2,
+                                  "row_seq long, email string, name string, role string, specialization string, experience int, address string")
+    assert [r.reject_reason for r in M.provision_users(garage, users).orderBy("user_id").collect()].count(None) == 1
+
+    s, c = garage.services.where("id > 0").first().id, garage.customers.where("id > 0").first().id
+    seen = spark.createDataFrame([(7, c, s, None, 5, "fine")] * 3,
+                                 "submission_seq long, customer_id long, service_id long, mechanic_id long, rating int, comment string")
+    stored = garage.testimonials.where((F.col("customer_id") == c) & (F.col("service_id") == s) & F.col("mechanic_id").isNull()).count()
+    assert sum(r.reject_reason is None for r in M.apply_testimonials(garage, seen, "2024-01-01").collect()) == (0 if stored else 1)
+
+    rows = [(1, b.id, "confirmed", "staff", None), (1, b.id, "completed", "staff", None), (1, b.id, "confirmed", "staff", None)]
+    ch = spark.createDataFrame(rows, "change_seq long, booking_id string, new_status string, actor_role string, actor_mechanic_id long")
+    applied = M.apply_status_changes(garage, ch, "2024-05-01 17:00:00")
+    after = M.bookings_after_status_changes(garage, applied)
+    assert after.count() == garage.bookings.count() and after.where(F.col("id") == b.id).first().status == "confirmed"

@@ -112,7 +112,7 @@ def after_task_status(g: Garage, applied: DataFrame) -> Changes:
 def after_payment_decisions(g: Garage, applied: DataFrame) -> Changes:
     """M6: payments with their last decision; bookings of every approved one are confirmed."""
     ok = _accepted(applied)
-    last = _last(ok, "payment_id", F.col("decision_seq"), status=F.col("new_payment_status"), notes=F.col("admin_notes"))
+    last = _last(ok, "payment_id", F.struct("decision_seq", "decision", "admin_notes"), status=F.col("new_payment_status"), notes=F.col("admin_notes"))
     confirmed = ok.where("booking_status is not null").select(F.col("booking_id").alias("_key")).distinct()
     return {"payments": _updated(g.payments, last, payment_status=F.col("_status"), admin_notes=F.col("_notes")),
             "bookings": _updated(g.bookings, confirmed, status=F.lit("confirmed"))}

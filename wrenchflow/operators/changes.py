@@ -223,9 +223,11 @@ def apply_status_changes(g: Garage, changes: DataFrame, as_of_ts: str) -> DataFr
     out = c.withColumn("reject_reason", reason).withColumn(
         "completed_at", F.when(F.col("reject_reason").isNull() & (st == "completed"),
                                F.lit(as_of_ts).cast("timestamp_ntz")))
+    # of several changes of one number the last by status, role and mechanic
+    place = F.struct("change_seq", "new_status", "actor_role", "actor_mechanic_id")
     last = (out.where(F.col("reject_reason").isNull()).groupBy(F.col("booking_id").alias("_lb"))
-            .agg(F.max("change_seq").alias("_last"), F.max("completed_at").alias("_done_at")))
-    return (out.join(last, (F.col("booking_id") == F.col("_lb")) & (F.col("change_seq") == F.col("_last")), "left")
+            .agg(F.max(place).alias("_last"), F.max("completed_at").alias("_done_at")))
+    return (out.join(last, (F.col("booking_id") == F.col("_lb")) & place.eqNullSafe(F.col("_last")), "left")
             .withColumn("is_final", F.col("_last").isNotNull())
             .withColumn("completed_at", F.coalesce("completed_at", "_done_at"))
             .select("change_seq", "booking_id", "actor_role", "actor_mechanic_id", "old_status", "new_status",
@@ -234,8 +236,8 @@ def apply_status_changes(g: Garage, changes: DataFrame, as_of_ts: str) -> DataFr
 
 def bookings_after_status_changes(g: Garage, applied: DataFrame) -> DataFrame:
     """New bookings version from M2's final accepted changes."""
-    fin = applied.where(F.col("is_final")).select(F.col("booking_id").alias("_fb"), "new_status",
-                                                  F.col("completed_at").alias("_ca"))
+    fin = applied.where(F.col("is_final")).groupBy(F.col("booking_id").alias("_fb")).agg(
+        F.max("new_status").alias("new_status"), F.max("completed_at").alias("_ca"))  # one status; repeated rows are alike
     changed = (g.bookings.join(fin, F.col("id") == F.col("_fb"))
                .withColumn("status", F.col("new_status"))
                .withColumn("completed_at", F.coalesce("_ca", "completed_at")).drop("_fb", "new_status", "_ca"))
@@ -248,18 +250,19 @@ def apply_cancellations(g: Garage, requests: DataFrame) -> DataFrame:
 
     A second request for an already-cancelled booking in the same batch is
     refused like the reference's second call (the first accepted one wins,
-    a ``min`` aggregate).
+    a ``min`` aggregate); rows of one ``request_seq`` follow each other.
     """
     b = g.bookings.select(F.col("id").alias("_bid"), F.col("customer_id").alias("_bc"),
                           F.col("status").alias("old_status"))
+    requests = number_rows(requests, ["request_seq", "booking_id", "customer_id", "user_id"], out="_row")
     c = requests.join(b, (F.col("booking_id") == F.col("_bid")) & (F.col("customer_id") == F.col("_bc")), "left")
     base = first_reason((F.col("_bid").isNull(), R_CANCEL_NOT_OWNED),
                          (~F.col("old_status").isin("pending", "confirmed"), R_CANCEL_STATE))
     c = c.withColumn("_r", base)
     first = (c.where(F.col("_r").isNull()).groupBy(F.col("booking_id").alias("_fb"))
-             .agg(F.min("request_seq").alias("_first")))
+             .agg(F.min("_row").alias("_first")))
     c = c.join(first, F.col("booking_id") == F.col("_fb"), "left")
-    reason = F.coalesce(F.col("_r"), F.when(F.col("request_seq") != F.col("_first"), F.lit(R_CANCEL_STATE)))
+    reason = F.coalesce(F.col("_r"), F.when(F.col("_row") != F.col("_first"), F.lit(R_CANCEL_STATE)))
     ok = reason.isNull()
     return c.select(
         "request_seq", "booking_id", "customer_id", "user_id", "old_status", reason.alias("reject_reason"),
@@ -371,9 +374,10 @@ def apply_payment_decisions(g: Garage, decisions: DataFrame) -> DataFrame:
                    reason.alias("reject_reason"), F.when(ok, new).alias("new_payment_status"),
                    F.when(ok, F.coalesce(F.col("admin_notes"), F.lit(""))).alias("admin_notes"),
                    F.when(ok & (F.col("decision") == "approve"), F.lit("confirmed")).alias("booking_status"))
+    place = F.struct("decision_seq", "decision", "admin_notes")  # of several decisions of one number the last by these
     last = (out.where(F.col("reject_reason").isNull()).groupBy(F.col("payment_id").alias("_lp"))
-            .agg(F.max("decision_seq").alias("_last")))
-    return (out.join(last, (F.col("payment_id") == F.col("_lp")) & (F.col("decision_seq") == F.col("_last")), "left")
+            .agg(F.max(place).alias("_last")))
+    return (out.join(last, (F.col("payment_id") == F.col("_lp")) & place.eqNullSafe(F.col("_last")), "left")
             .withColumn("is_final", F.col("_last").isNotNull()).drop("_lp", "_last"))
 
 
@@ -391,6 +395,7 @@ def apply_testimonials(g: Garage, submissions: DataFrame, as_of: Date) -> DataFr
     mech = g.mechanics.select(F.col("id").alias("_mid")).distinct()
     seen = (g.testimonials.select(F.col("customer_id").alias("_c"), F.col("service_id").alias("_s"),
                                   F.col("mechanic_id").alias("_m")).distinct().withColumn("_dup", F.lit(True)))
+    submissions = number_rows(submissions, ["submission_seq", "customer_id", "service_id", "mechanic_id", "rating", "comment"], out="_row")
     s = (submissions.join(svc, F.col("service_id") == F.col("_sid"), "left")
          .join(mech, F.col("mechanic_id") == F.col("_mid"), "left")
          .join(seen, (F.col("customer_id") == F.col("_c")) & (F.col("service_id") == F.col("_s"))
@@ -404,13 +409,13 @@ def apply_testimonials(g: Garage, submissions: DataFrame, as_of: Date) -> DataFr
     s = s.withColumn("_r", base)
     # grouping treats NULL mechanic ids as equal, like IS NOT DISTINCT FROM
     first = (s.where(F.col("_r").isNull()).groupBy("customer_id", "service_id", "mechanic_id")
-             .agg(F.min("submission_seq").alias("_first")))
+             .agg(F.min("_row").alias("_first")))
     s = s.join(
         first.select(F.col("customer_id").alias("_fc"), F.col("service_id").alias("_fs"),
                      F.col("mechanic_id").alias("_fm"), "_first"),
         (F.col("customer_id") == F.col("_fc")) & (F.col("service_id") == F.col("_fs"))
         & F.col("mechanic_id").eqNullSafe(F.col("_fm")), "left")
-    reason = F.coalesce(F.col("_r"), F.when(F.col("submission_seq") != F.col("_first"), F.lit(R_ALREADY_REVIEWED)))
+    reason = F.coalesce(F.col("_r"), F.when(F.col("_row") != F.col("_first"), F.lit(R_ALREADY_REVIEWED)))
     ok = reason.isNull()
     return s.select("submission_seq", "customer_id", "service_id", "mechanic_id", "rating", "comment",
                     reason.alias("reject_reason"), F.when(ok, _d(as_of)).alias("date"),
@@ -630,21 +635,23 @@ def provision_users(g: Garage, rows: DataFrame) -> DataFrame:
     and their role row (customer or mechanic).
     """
     known = g.users.select(F.col("email").alias("_e")).distinct().withColumn("_known", F.lit(True))
+    rows = number_rows(rows, ["row_seq", "email", "name", "role"], out="_row")
     r = rows.join(known, F.col("email") == F.col("_e"), "left")
     mech = F.col("role") == "mechanic"
     missing = is_falsy(F.col("email")) | is_falsy(F.col("name")) | is_falsy(F.col("role"))
     base = first_reason((missing, R_USER_REQUIRED), (~F.col("role").isin(*USER_ROLES), R_USER_ROLE), (F.col("_known").isNotNull(), R_EMAIL_IN_USE),
                          (mech & (is_falsy(F.col("specialization")) | F.col("experience").isNull()), R_MECHANIC_FIELDS))
     r = r.withColumn("_r", base)
-    first = r.where(F.col("_r").isNull()).groupBy(F.col("email").alias("_fe")).agg(F.min("row_seq").alias("_first"))
+    first = r.where(F.col("_r").isNull()).groupBy(F.col("email").alias("_fe")).agg(F.min("_row").alias("_first"))
     r = r.join(first, F.col("email") == F.col("_fe"), "left")
-    reason = F.coalesce(F.col("_r"), F.when(F.col("row_seq") != F.col("_first"), F.lit(R_EMAIL_IN_USE)))
+    reason = F.coalesce(F.col("_r"), F.when(F.col("_row") != F.col("_first"), F.lit(R_EMAIL_IN_USE)))
     r = r.withColumn("reject_reason", reason).drop("_e", "_known", "_r", "_fe", "_first")
+    r = r.withColumnRenamed("_row", "_seq")
     top = g.users.select(F.max("id")).scalar()        # scalar subquery, evaluated once
-    ok = number_rows(r.where(F.col("reject_reason").isNull()), ["row_seq"])
+    ok = number_rows(r.where(F.col("reject_reason").isNull()), ["_seq"])
     ok = ok.withColumn("user_id", F.coalesce(top, F.lit(0)) + F.col("row_no")).drop("row_no")
     bad = r.where(F.col("reject_reason").isNotNull()).withColumn("user_id", F.lit(None).cast("long"))
-    return ok.unionByName(bad).withColumn("initials", F.when(F.col("reject_reason").isNull(), initials("name")))
+    return ok.unionByName(bad).drop("_seq").withColumn("initials", F.when(F.col("reject_reason").isNull(), initials("name")))
 
 
 def backfill_renamed_columns(df: DataFrame, renames: dict[str, str]) -> DataFrame:

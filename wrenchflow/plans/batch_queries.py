@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from wrenchflow.functions.exprs import coerce_number
 from wrenchflow.operators import access as A
 from wrenchflow.operators import after as V
 from wrenchflow.operators import changes as M
 from wrenchflow.operators import intervals as IV
 from wrenchflow.operators import listing as L
+from wrenchflow.operators import metrics
 from wrenchflow.operators import vehicles as W
 from wrenchflow.plans import queries as Q
 from wrenchflow.plans import standins as SI
@@ -304,3 +306,149 @@ SELECT id AS user_id, role, id AS row_id, 'self' AS scope FROM users WHERE role
 def q_visible_users(g):
     """Users that each user may see."""
     return A.visible_rows(g, "users")
+
+
+# ---------------------------------------------------------------- other forms of registered operators
+
+@register("revenue_by_day", f"""
+SELECT strftime(booking_date, '%Y-%m-%d') AS period,
+  CAST(coalesce(sum(total_price) FILTER (WHERE status = 'completed'), 0) AS DOUBLE) AS total_revenue,
+  count(*) FILTER (WHERE status = 'completed') AS completed_bookings
+FROM bookings WHERE {Q.IN_R} GROUP BY 1""")
+def q_revenue_by_day(g):
+    """Daily revenue over the report range."""
+    return metrics.revenue_by_period(g, "daily", Q.R_START, Q.R_END)
+
+
+def _report(kind: str, day: str, start: str, end: str) -> None:
+    monthly = REGISTRY["generate_report"].sql
+
+    @register(f"generate_report_{kind}", monthly.replace("'monthly'", f"'{kind}'").replace("'2000-06-15'", f"'{day}'")
+              .replace(Q.M_START, start).replace(Q.M_END, end))
+    def report(g):
+        return metrics.generate_report(g, kind, day)
+    REGISTRY[f"generate_report_{kind}"].doc = f"A19 + E7: {kind} report for {day}."
+
+
+_report("daily", "2000-06-15", "2000-06-15", "2000-06-15")
+_report("weekly", "2000-06-15", "2000-06-12", "2000-06-18")
+_report("yearly", "2000-06-15", "2000-01-01", "2000-12-31")
+
+
+def _insight(span: str, start: str, before: str, until: str) -> None:
+    """The quarter's queries over another span: its start, and start and end of the span before."""
+    def spans(sql: str) -> str:
+        return (sql.replace(Q.P_END, "<until>").replace(Q.P_START, "<before>").replace(Q.I_START, "<start>")
+                .replace("<until>", until).replace("<before>", before).replace("<start>", start))
+
+    growth = f"""
+SELECT count(*) FILTER (WHERE booking_date BETWEEN DATE '{start}' AND DATE '{AS_OF}') AS current_bookings,
+  count(*) FILTER (WHERE booking_date BETWEEN DATE '{before}' AND DATE '{until}') AS previous_bookings,
+  CAST(CASE WHEN previous_bookings > 0 THEN {Q.RHU0.format(x='(current_bookings - previous_bookings) * 100.0 / previous_bookings')}
+       ELSE 0 END AS BIGINT) AS growth_rate FROM bookings"""
+
+    @register(f"period_growth_{span}", growth)
+    def grown(g):
+        return metrics.period_growth(g, span, AS_OF)
+    REGISTRY[f"period_growth_{span}"].doc = f"A20 + E8: bookings of the last {span} against the one before, growth %."
+
+    @register(f"insight_top_service_{span}", spans(REGISTRY["insight_top_service"].sql))
+    def service(g):
+        return metrics.insight_top_service(g, span, AS_OF)
+    REGISTRY[f"insight_top_service_{span}"].doc = f"A21 + E8: most booked service of the last {span}."
+
+
+_insight("month", "2001-06-15", "2001-05-15", "2001-06-15")
+_insight("year", "2000-07-15", "1999-07-15", "2000-07-15")
+
+
+@register("apply_status_changes_by_staff", f"""
+WITH ch AS (
+  SELECT CAST(substr(id, 3) AS BIGINT) AS change_seq, id AS booking_id,
+    CASE CAST(substr(id, 3) AS BIGINT) % 4 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'completed' WHEN 2 THEN 'washed' END AS new_status,
+    CASE CAST(substr(id, 3) AS BIGINT) % 3 WHEN 0 THEN 'staff' WHEN 1 THEN 'admin' ELSE 'customer' END AS actor_role FROM bookings
+  UNION ALL SELECT {BIG} + CAST(substr(id, 3) AS BIGINT), id, 'cancelled', 'staff' FROM bookings WHERE status = 'pending'),
+c AS (SELECT ch.*, b.status AS old_status,
+  CASE WHEN actor_role = 'customer' THEN 'Not authorized to update booking status'
+       WHEN coalesce(new_status NOT IN ('pending', 'confirmed', 'in-progress', 'completed', 'cancelled'), true) THEN 'Valid status is required'
+  END AS reject_reason FROM ch JOIN bookings b ON ch.booking_id = b.id),
+l AS (SELECT booking_id, max(change_seq) AS last, bool_or(new_status = 'completed') AS done FROM c WHERE reject_reason IS NULL GROUP BY 1)
+SELECT c.change_seq, c.booking_id, c.actor_role, CAST(NULL AS BIGINT) AS actor_mechanic_id, c.old_status, c.new_status, c.reject_reason,
+  CASE WHEN c.reject_reason IS NULL AND (c.new_status = 'completed' OR (l.done AND l.last = c.change_seq)) THEN '{Q.M2_TS}' END AS completed_at,
+  l.last IS NOT NULL AS is_final
+FROM c LEFT JOIN l ON c.booking_id = l.booking_id AND c.change_seq = l.last""")
+def q_apply_status_changes_by_staff(g):
+    """M2: status changes by staff and admins (any of the five), refused for customers and for unknown statuses."""
+    n = F.substring("id", 3, 40).cast("long")
+    changes = g.bookings.select(
+        n.alias("change_seq"), F.col("id").alias("booking_id"),
+        F.when(n % 4 == 0, "confirmed").when(n % 4 == 1, "completed").when(n % 4 == 2, "washed").alias("new_status"),
+        F.when(n % 3 == 0, "staff").when(n % 3 == 1, "admin").otherwise("customer").alias("actor_role"),
+        F.lit(None).cast("long").alias("actor_mechanic_id"))
+    again = g.bookings.where("status = 'pending'").select(
+        (F.lit(BIG) + n).alias("change_seq"), F.col("id").alias("booking_id"), F.lit("cancelled").alias("new_status"),
+        F.lit("staff").alias("actor_role"), F.lit(None).cast("long").alias("actor_mechanic_id"))
+    return M.apply_status_changes(g, changes.unionByName(again), Q.M2_TS)
+
+
+@register("bookings_keyset_page", """
+SELECT id, CAST(booking_date AS VARCHAR) AS booking_date, status FROM bookings WHERE id > 'B-2' ORDER BY id LIMIT 40""")
+def q_bookings_keyset_page(g):
+    """L3: the page of 40 bookings that follows a key."""
+    return L.keyset_page(g.bookings.select("id", "booking_date", "status"), "id", after="B-2", size=40)
+
+
+@register("coerced_numbers", """
+SELECT id, coalesce(TRY_CAST(license_plate AS DOUBLE), -1) AS plate_number, coalesce(TRY_CAST(replace(vin, 'VIN', '') AS DOUBLE), 0) AS vin_number
+FROM vehicles""")
+def q_coerced_numbers(g):
+    """Numbers in text, with a default where there is none."""
+    return g.vehicles.select("id", coerce_number("license_plate", -1).alias("plate_number"),
+                             coerce_number(F.replace("vin", F.lit("VIN"), F.lit(""))).alias("vin_number"))
+
+
+@register("partial_update_users", """
+SELECT id, CASE WHEN role = 'mechanic' THEN upper(name) ELSE name END AS name, email, role,
+  CASE WHEN role = 'mechanic' THEN 'on-leave' WHEN id % 3 = 0 THEN NULL ELSE status END AS status FROM users""")
+def q_partial_update_users(g):
+    """M9: users patched field by field; a later patch of a field wins, a supplied null is set."""
+    m = g.users.where("role = 'mechanic'")
+    text = F.lit(None).cast("string")
+    first = m.select(F.lit(1).alias("patch_seq"), "id", F.lower("name").alias("name"), F.lit("on-leave").alias("status"),
+                     F.array(F.lit("name"), F.lit("status")).alias("fields"))
+    second = m.select(F.lit(2).alias("patch_seq"), "id", F.upper("name").alias("name"), text.alias("status"), F.array(F.lit("name")).alias("fields"))
+    third = g.users.where("role <> 'mechanic' and id % 3 = 0").select(
+        F.lit(3).alias("patch_seq"), "id", text.alias("name"), text.alias("status"), F.array(F.lit("status")).alias("fields"))
+    return M.partial_update(g.users, first.unionByName(second).unionByName(third))
+
+
+@register("partial_update_vehicles", """
+SELECT id, customer_id, make, model, CASE WHEN customer_id IS NULL THEN year + 1 ELSE year END AS year, license_plate, vin,
+  CASE WHEN customer_id IS NULL THEN 'red' ELSE color END AS color FROM vehicles""")
+def q_partial_update_vehicles(g):
+    """M9: vehicles without an owner repainted and corrected."""
+    p = g.vehicles.where("customer_id is null").select(F.lit(1).alias("patch_seq"), "id", (F.col("year") + 1).alias("year"),
+                                                       F.lit("red").alias("color"), F.array(F.lit("year"), F.lit("color")).alias("fields"))
+    return M.partial_update(g.vehicles, p)
+
+
+@register("partial_update_notes", """
+SELECT id, booking_id, mechanic_id, note, CAST(date AS VARCHAR) AS date, CASE WHEN id % 2 = 0 THEN 'oil' END AS parts_needed,
+  CASE WHEN id % 2 = 0 THEN 'done' ELSE status END AS status FROM field_notes""")
+def q_partial_update_notes(g):
+    """M9: field notes completed with the parts they need."""
+    p = g.field_notes.where("id % 2 = 0").select(F.lit(1).alias("patch_seq"), "id", F.lit("oil").alias("parts_needed"), F.lit("done").alias("status"),
+                                                 F.array(F.lit("parts_needed"), F.lit("status")).alias("fields"))
+    return M.partial_update(g.field_notes, p)
+
+
+@register("vehicles_seen_by_customers", """
+SELECT v.id, v.customer_id, v.license_plate FROM vehicles v
+WHERE v.customer_id = (SELECT min(id) FROM customers c WHERE c.user_id IN (SELECT id FROM users WHERE role = 'customer'))""")
+def q_vehicles_seen_by_customers(g):
+    """P12 ``row_access_filter``: the vehicles that one customer may see, the first by id."""
+    first = (g.customers.join(g.users.where("role = 'customer'").select(F.col("id").alias("_u")), F.col("user_id") == F.col("_u"))
+             .select(F.min(F.struct("id", "user_id")).alias("f")).select("f.user_id"))
+    seen = A.visible_rows(g, "vehicles", first.select("user_id", F.lit("customer").alias("role")))
+    return g.vehicles.join(seen.select(F.col("row_id").alias("_r")), F.col("id") == F.col("_r"), "left_semi").select(
+        "id", "customer_id", "license_plate")

@@ -13,7 +13,9 @@ The settings below are the ones the operators rely on:
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import uuid
 
 from pyspark.sql import SparkSession
@@ -65,6 +67,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if current.isDefined():
             return current.get()
         configured = f"{spark._jvm.System.getProperty('java.io.tmpdir')}/wrenchflow-{uuid.uuid4().hex}"
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)  # this run's own folder goes with it
         spark.conf.set("spark.checkpoint.dir", configured)
     spark.sparkContext.setCheckpointDir(configured)
     return configured
