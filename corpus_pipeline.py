@@ -4,6 +4,11 @@ Each stage reads all rows that its predecessor kept; its decisions take effect.
 Toxic documents go; repeated lines are taken out of the texts that stay; of each
 group of SimHash near-copies one document stays; documents contaminated by the
 benchmark go; the rest is packed into sequences.
+
+Null texts stay null through the cleaning stages and count as empty; texts that are
+null, empty or have lost all their lines have one fingerprint, so one document of
+them stays (of equal ids any one; null ids come last); rows alike in id and text are
+one document to line dedup; an empty table gives no rows.
 """
 
 from __future__ import annotations
