@@ -56,7 +56,7 @@ def brute(rows):
     """Per distinct (id, text): positions to remove."""
     seen = {}
     for i, t in rows:
-        seen.setdefault((i, t), [(p, x) for p, x in enumerate((t or "").split("\n")) if x.strip(" ")])
+        seen.setdefault((i, t), [(p, x) for p, x in enumerate((t or "").split("\n")) if x.strip(" \t\r\f\x0b")])
     lines = sorted({x for v in seen.values() for _, x in v})
     group = dict(zip(lines, range(len(lines))))
     for k, a in enumerate(lines):
@@ -96,7 +96,7 @@ def test_texts_lose_their_repeated_lines(spark):
     df = docs(spark, rows)
     out = L.without_repeated_lines(df, length_col="n_chars")
     assert out.schema == df.schema and out.count() == len(rows)
-    left = [x for r in out.dropDuplicates(["doc_id", "text"]).collect() for x in (r.text or "").split("\n") if x.strip(" ")]
+    left = [x for r in out.dropDuplicates(["doc_id", "text"]).collect() for x in (r.text or "").split("\n") if x.strip(" \t\r\f\x0b")]
     _, group = brute(rows)
     assert len({group[x] for x in left}) == len(left) == len(set(group.values()))
     assert all(r.n_chars == len(r.text) for r in out.collect() if r.text is not None)
@@ -105,3 +105,9 @@ def test_texts_lose_their_repeated_lines(spark):
 def test_empty_table(spark):
     empty = docs(spark, AWKWARD).limit(0)
     assert L.line_report(empty).count() == 0 and L.without_repeated_lines(empty).count() == 0
+
+
+def test_lines_of_white_space_are_no_lines(spark):
+    df = docs(spark, [(1, "\t\n\t\nreal line\n \t \n"), (2, "\t")])
+    assert {(r.doc_id, r.n_lines, r.n_removed) for r in L.line_report(df).collect()} == {(1, 1, 0), (2, 0, 0)}
+    assert {r.text for r in L.without_repeated_lines(df).collect()} == {"\t\n\t\nreal line\n \t \n", "\t"}

@@ -124,10 +124,15 @@ def edit_distance(a: Column, b: Column, k: int) -> Column:
     return F.transform(F.array(pair), distance)[0]
 
 
+def _blank(line: str | Column) -> Column:
+    """Nothing but ASCII white space."""
+    return F.trim(line, F.lit(" \t\r\f\x0b")) == ""
+
+
 def distinct_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Stored ``(id, line, n, size, counts)``, one row per distinct line that isn't blank."""
     lines = (docs.select(F.explode(F.split(docs[text_col], "\n", -1)).alias("line"))
-             .where(F.trim("line") != "").groupBy("line").agg(F.count("*").alias("n")))
+             .where(~_blank("line")).groupBy("line").agg(F.count("*").alias("n")))
     return materialise(lines.select(F.monotonically_increasing_id().alias("id"), "line", "n", F.length("line").alias("size"),
                                     _letter_counts(F.col("line")).alias("counts")), "lines")
 
@@ -183,7 +188,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     known = materialise(known, "line-repeats")
     places = (docs.select(F.col(id_col).alias("doc_id"), _text_hash(docs[text_col]).alias("text_hash"),
                           F.posexplode(F.split(docs[text_col], "\n", -1)).alias("pos", "line"))
-              .where(F.trim("line") != "").select("doc_id", "text_hash", "pos", *_hashes("line")))
+              .where(~_blank("line")).select("doc_id", "text_hash", "pos", *_hashes("line")))
     found = materialise(places.join(known, ["h1", "h2"]).select("doc_id", "text_hash", "pos", "root", "near"), "line-places")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "pos")
     first = materialise(found.groupBy("root").agg(F.min(place).alias("first")), "line-firsts")
@@ -202,7 +207,7 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             .agg(F.sort_array(F.collect_list("pos")).alias("removed"), F.count_if("near").alias("n_near"),
                  F.sort_array(F.collect_set("first_id")).alias("first_ids"))
             .select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "removed", "n_near", "first_ids"))
-    lines = F.filter(F.split(F.coalesce(docs[text_col], F.lit("")), "\n", -1), lambda x: F.trim(x) != "")
+    lines = F.filter(F.split(F.coalesce(docs[text_col], F.lit("")), "\n", -1), lambda x: ~_blank(x))
     rows = docs.select(F.col(id_col).alias("doc_id"), _text_hash(docs[text_col]).alias("text_hash"),
                        F.size(lines).cast("long").alias("n_lines"))
     none = F.array().cast("array<int>")
@@ -225,8 +230,10 @@ def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: st
             .select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "__gone"))
     rows = docs.withColumn("__text_hash", _text_hash(docs[text_col]))
     rows = rows.join(gone, rows[id_col].eqNullSafe(gone["__id"]) & (rows["__text_hash"] == gone["__hash"]), "left")
-    kept = F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains(F.col("__gone"), i))
-    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
+    lines = F.split(F.col(text_col), "\n", -1)
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))  # by hash, not line by line
+    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(
+        F.array_join(F.transform(F.array(lines), lambda x: F.transform(kept, lambda i: F.get(x, i)))[0], "\n"))
     rows = rows.withColumn(text_col, text)
     if length_col:
         rows = rows.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType))
