@@ -1,4 +1,6 @@
 import hashlib
+import random
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -33,12 +35,13 @@ def rows():
         (26, "xab " + "ab " * 13), (27, " ".join(long + w + long + w[2:16]))]
 
 
-@pytest.mark.parametrize("max_chars", [32_000_000, 60])
+@pytest.mark.parametrize("max_chars", [16_000_000, 60])
 def test_judgement_equals_brute_force(spark, max_chars):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     df = docs(spark, rows())
-    c = D.contamination(df.text, bench, max_chars=max_chars)
-    got = df.select("doc_id", "text", c.alias("c")).collect()
+    assert len(list(D._groups(bench, "item_id", "text", 60))) == 4
+    got = D.contamination(df, bench, out="c", max_chars=max_chars).select("doc_id", "text", "c").collect()
+    assert len(got) == len(rows())
     for r in got:
         assert (r.c.n_words, r.c.n_hit, r.c.n_items, r.c.items_sha256, r.c.contaminated) == brute(r.text, ITEMS), r.doc_id
         for s in r.c.spans:  # offsets lead to the original text
@@ -46,6 +49,37 @@ def test_judgement_equals_brute_force(spark, max_chars):
         assert sum(len(D.words_of(r.text[s.start:s.end])) for s in r.c.spans) == r.c.n_hit
 
 
+def test_scan_equals_brute_force_on_few_words():
+    """Random texts of few words: runs that overlap, repeat and cross blocks, for windows of several sizes."""
+    rng = random.Random(1)
+    for size in (1, 2, 3, 4, 7):
+        for _ in range(60):
+            some = lambda n: " ".join(rng.choice("ab" if rng.random() < 0.5 else "abcd") for _ in range(rng.randint(0, n)))
+            items = [(str(i), some(14)) for i in range(4)]
+            text = some(40)
+            ranges, found = D.Patterns(items, size).scan(D.words_of(text))
+            hit = {w for a, b in ranges for w in range(a, b)}
+            n, n_hit, n_items, digest, _ = brute(text, items, size)
+            ids = sorted(items[k][0] for k in found)
+            assert (len(hit), len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest()) == (n_hit, n_items, digest)
+
+
+def test_a_worker_holds_one_group_and_builds_it_once(monkeypatch):
+    built = []
+    monkeypatch.setattr(D, "Patterns", lambda items, size: built.append(items) or object())
+    shared = [SimpleNamespace(value=(n, [(str(n), "text")])) for n in range(4)]
+    for s in shared:
+        assert D._patterns(s, 13) is D._patterns(s, 13) and len(D._HELD) == 1
+    assert len(built) == 4
+    D._HELD.clear()
+
+
+def test_nodes_stay_with_the_words():
+    """At most one node of the automaton an item word's symbol, whatever the window."""
+    text = " ".join(f"w{i * 7919 % 5003}" for i in range(20_000))
+    assert D.Patterns([("1", text)], 13).found.get_stats()["nodes_count"] <= 3 * 20_000 + 1
+
+
 def test_filter_keeps_columns_and_clean_rows(spark):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     df = clashing(spark, rows())

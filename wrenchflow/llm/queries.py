@@ -57,9 +57,8 @@ FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN ids USING (doc_id)
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every whole document inside 13-word windows of benchmark items."""
     docs = table(spark, sf_dir, "documents")
-    judged = decontaminate.contamination(docs.text, table(spark, sf_dir, "benchmark"), window=13)
-    return (docs.select("doc_id", judged.alias("c"))
-            .select("doc_id", "c.n_words", "c.n_hit", "c.n_items", "c.items_sha256", "c.contaminated"))
+    judged = decontaminate.contamination(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"), out="c", window=13)
+    return (judged.select("doc_id", "c.n_words", "c.n_hit", "c.n_items", "c.items_sha256", "c.contaminated"))
 
 
 @query("op9_toxicity")
