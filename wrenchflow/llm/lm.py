@@ -1,25 +1,27 @@
 """Log-likelihood of documents under a gated recurrent language model.
 
-A token's probability is factored into its class, given everything before it, and
-the token, given its class.  The most frequent words are classes of their own;
-other words share a class by the power of two below their count and by whether
-they end in a mark; words never seen in training are one class of one event.  The
-recurrent network (numpy) predicts the class; within a class words have their
-share of the class's training tokens, counted over the whole training corpus.
+A token has a code: the most frequent words have one of their own; other words
+share a code by the power of two below their count and by whether they end in a
+mark; words never seen in training are one code of one event.  Codes of like frequency
+form a class.  The recurrent network (numpy) predicts the class from its state, and by
+a second softmax, with output vectors of that class, the code within the class.
+Words of a shared code have their share of its training tokens, counted over the whole
+training corpus.  The network reads codes, not words.
 
 Counts are exact and distributed: input partitions are cut into chunks of bounded
 size, each chunk gives its words once, words are summed over chunks and joined
 back to the chunks they occur in, and each chunk's documents become class
-sequences of one byte a token.  Every partition of these then trains a copy of
-the network on its documents by truncated backpropagation; copies are
-averaged by token count in groups, and the average starts the next round.
+sequences of one byte a token.  Documents are dealt by a hash to copies of the network, each of
+which learns from its own by truncated backpropagation; copies are
+averaged by token count in groups.
 Scoring carries the state across windows, so a document's likelihood is that of
 the complete text.
 """
 
 from __future__ import annotations
 
-import zlib
+import heapq
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,14 +34,18 @@ from pyspark.sql import functions as F
 from wrenchflow.llm.common import materialise
 
 END = b"\n"  # no word holds white space
-HEAD, BANDS = 96, 24
+HEAD, BANDS = 200, 24
 UNSEEN = HEAD + 1 + 2 * BANDS
-CLASSES = UNSEEN + 1
+CODES = UNSEEN + 1
+#: Classes, and codes of a class: code k is member k mod 16 of class k div 16.
+CLASSES, MEMBERS = 16, 16
 #: Words seen once are half of them unseen words to the training passes; codes by mark.
 _ONCE = (254, 255)
-HIDDEN, WINDOW, LANES = 32, 32, 2048
-_MARKS = frozenset(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
-_CHUNK_BYTES = 16_000_000
+HIDDEN, WINDOW, LANES = 32, 32, 128
+#: Tokens that a copy lays out at once; tokens after which training starts a long document's state afresh, so that
+#: no stretch is learned from one document alone (scoring carries the state to its end).
+GROUP, PIECE = 1 << 20, 1024
+_CHUNK_BYTES = 32_000_000
 
 _PASS = pa.schema([("chunk", pa.int64()), ("doc_id", pa.int64()), ("text", pa.string()), ("held", pa.bool_()),
                    ("word", pa.binary()), ("n", pa.int64())])
@@ -54,7 +60,7 @@ def tokens(text: str | None) -> list[bytes]:
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents with their chunk, and per chunk each of its words with its count in training documents."""
-    chunk, size, counts = TaskContext.get().partitionId() << 24, 0, {}
+    chunk, size, counts = TaskContext.get().partitionId() << 24, 0, Counter()
 
     def words() -> pa.RecordBatch:
         n = len(counts)
@@ -68,16 +74,15 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = tokens(text.as_py())
             found.append(END)
             if held:
-                for w in found:
+                for w in set(found):
                     counts.setdefault(w, 0)
             else:
-                for w in found:
-                    counts[w] = counts.get(w, 0) + 1
+                counts.update(found)
             size += len(text.as_py())
             if size >= _CHUNK_BYTES:
                 yield _documents(batch.slice(start, i + 1 - start), chunk)
                 yield words()
-                start, chunk, size, counts = i + 1, chunk + 1, 0, {}
+                start, chunk, size, counts = i + 1, chunk + 1, 0, Counter()
         if start < batch.num_rows:
             yield _documents(batch.slice(start), chunk)
     if counts:
@@ -92,33 +97,30 @@ def _documents(batch: pa.RecordBatch, chunk: int) -> pa.RecordBatch:
 
 
 def _band(count: Column, word: Column) -> Column:
-    """The shared class of a word that was seen ``count`` times."""
+    """The shared code of a word that was seen ``count`` times."""
     band = F.least(F.length(F.bin(count)) - 1, F.lit(BANDS - 1))
-    mark = word.cast("string").rlike(r"[!-/:-@\[-`{-~]$").cast("int")
-    return (F.lit(HEAD + 1) + 2 * band + mark).cast("int")
+    return (F.lit(HEAD + 1) + 2 * band + _mark(word)).cast("int")
 
 
-def class_of(word: bytes, count: int, head: dict[bytes, int]) -> int:
-    """A word's code: its class, or for half of the words seen once the code of those."""
-    if word in head:
-        return head[word]
-    if not count:
-        return UNSEEN
-    mark = int(word[-1] in _MARKS)
-    if count == 1 and zlib.crc32(word) & 1:
-        return _ONCE[mark]
-    return HEAD + 1 + 2 * min(count.bit_length() - 1, BANDS - 1) + mark
+def _mark(word: Column) -> Column:
+    return word.cast("string").rlike(r"[!-/:-@\[-`{-~]$").cast("int")
 
 
-def _coder(head: dict[bytes, int], totals: dict[int, int], n: int, v: int):
+def code_of(count: Column, word: Column, rank: Column) -> Column:
+    """A seen word's code: its rank in the head, its band, or for half of the words seen once the code of those."""
+    once = (count == 1) & (F.crc32(word) % 2 == 1)
+    return F.coalesce(rank, F.when(once, F.lit(_ONCE[0]) + _mark(word)).otherwise(_band(count, word))).cast("int")
+
+
+def _coder(totals: dict[int, int], n: int, v: int):
     floor = np.log10(n + v + 1)
 
     def code(key, docs: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-        count = words["c"].to_numpy(np.int64)
-        index = {w: i for i, w in enumerate(map(bytes, words["word"]))}
-        codes = np.fromiter((class_of(w, int(c), head) for w, c in zip(index, count)), np.uint8, len(index))
+        both = words["c"].to_numpy(np.int64)  # count and code
+        count, codes = both >> 8, (both & 255).astype(np.uint8)
+        index = {w: i for i, w in enumerate(words["word"])}
         plain = for_scoring(codes)
-        total = np.array([max(totals.get(k, 1), 1) for k in range(CLASSES)], float)
+        total = np.array([max(totals.get(k, 1), 1) for k in range(CODES)], float)
         within = np.where(count > 0, np.log10(np.maximum(count, 1) / total[plain]), 0.0)
         base = np.log10(count + 1) - floor
         rows = []
@@ -143,14 +145,18 @@ def for_training(codes: np.ndarray) -> np.ndarray:
     return np.where(codes >= _ONCE[0], UNSEEN, codes).astype(np.uint8)
 
 
-def start_weights(class_counts: np.ndarray, seed: int = 0) -> dict[str, np.ndarray]:
-    """Small random weights; the output's bias is the class's log share, so an untrained network is the unigram."""
+def start_weights(code_counts: np.ndarray, seed: int = 0) -> dict[str, np.ndarray]:
+    """Small random weights; the outputs' biases are log shares, so an untrained network is the unigram."""
     rng = np.random.default_rng(seed)
-    share = (class_counts + 0.5) / (class_counts + 0.5).sum()
-    return {"x": rng.normal(0, 0.1, (CLASSES, 3 * HIDDEN)).astype(np.float32),
+    share = np.full(CLASSES * MEMBERS, 1e-12)
+    share[:CODES] = (code_counts + 0.5) / (code_counts + 0.5).sum()
+    share = share.reshape(CLASSES, MEMBERS)
+    return {"x": rng.normal(0, 0.1, (CLASSES * MEMBERS, 3 * HIDDEN)).astype(np.float32),
             "u": rng.normal(0, HIDDEN ** -0.5, (HIDDEN, 3 * HIDDEN)).astype(np.float32),
             "b": np.concatenate((np.ones(HIDDEN), np.zeros(2 * HIDDEN))).astype(np.float32),
-            "o": rng.normal(0, 0.05, (HIDDEN, CLASSES)).astype(np.float32), "c": np.log(share).astype(np.float32)}
+            "o": rng.normal(0, 0.05, (HIDDEN, CLASSES)).astype(np.float32), "c": np.log(share.sum(axis=1)).astype(np.float32),
+            "q": rng.normal(0, 0.05, (CLASSES, HIDDEN, MEMBERS)).astype(np.float32),
+            "d": np.log(share / share.sum(axis=1, keepdims=True)).astype(np.float32)}
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -163,107 +169,193 @@ def _cell(w: dict, x: np.ndarray, h: np.ndarray) -> tuple:
     a = h @ w["u"]
     zr = _sigmoid(x[:, :2 * n] + a[:, :2 * n])
     z, r = zr[:, :n], zr[:, n:]
-    g = 2 * _sigmoid(2 * (x[:, 2 * n:] + r * a[:, 2 * n:])) - 1
+    g = np.tanh(x[:, 2 * n:] + r * a[:, 2 * n:])
     return z * h + (1 - z) * g, z, r, g, a[:, 2 * n:]
 
 
-def train(w: dict, sequences: list[np.ndarray], rate: float = 0.01, lanes: int = 64) -> int:
-    """Truncated backpropagation with Adam over the sequences, in place; gives the tokens seen."""
-    sequences = sorted(sequences, key=len, reverse=True)
-    m = {k: np.zeros_like(v) for k, v in w.items()}
-    s = {k: np.zeros_like(v) for k, v in w.items()}
-    step = seen = 0
-    n = HIDDEN
-    for first in range(0, len(sequences), lanes):
-        group = sequences[first:first + lanes]
-        lengths = np.array([len(q) for q in group])
-        h = np.zeros((len(group), n), np.float32)
-        for t0 in range(0, int(lengths[0]), WINDOW):
-            active = int((lengths > t0).sum())
-            span = min(WINDOW, int(lengths[0]) - t0)
-            y = np.zeros((span, active), np.int64)
-            live = np.zeros((span, active), np.float32)
-            before = np.zeros((span, active), np.int64)
-            for i in range(active):
-                part = group[i][t0:t0 + span]
-                y[:len(part), i], live[:len(part), i] = part, 1
-                before[0, i] = group[i][t0 - 1] if t0 else 0
-                before[1:len(part), i] = part[:-1]
-            h, kept, hs = h[:active], [], []
-            for t in range(span):
-                new, z, r, g, ag = _cell(w, w["x"][before[t]] + w["b"], h)
-                kept.append((h, z, r, g, ag))
-                h = new
-                hs.append(h)
-            states = np.stack(hs)
-            logits = states @ w["o"] + w["c"]
-            p = np.exp(logits - logits.max(axis=2, keepdims=True))
-            p /= p.sum(axis=2, keepdims=True)
-            np.put_along_axis(p, y[:, :, None], np.take_along_axis(p, y[:, :, None], 2) - 1, 2)
-            d = p * (live / max(live.sum(), 1))[:, :, None]
-            grad = {k: np.zeros_like(v) for k, v in w.items()}
-            grad["o"] = np.einsum("tah,tac->hc", states, d, optimize=True)
-            grad["c"] = d.sum(axis=(0, 1))
-            dstates, dh = d @ w["o"].T, np.zeros_like(h)
-            for t in range(span - 1, -1, -1):
-                prior, z, r, g, ag = kept[t]
-                dh = dh + dstates[t]
-                dg = dh * (1 - z) * (1 - g * g)
-                dz = dh * (prior - g) * z * (1 - z)
-                dr = dg * ag * r * (1 - r)
-                da = np.concatenate((dz, dr, dg * r), axis=1)
-                dx = np.concatenate((dz, dr, dg), axis=1)
-                grad["u"] += prior.T @ da
-                grad["b"] += dx.sum(axis=0)
-                np.add.at(grad["x"], before[t], dx)
-                dh = dh * z + da @ w["u"].T
-            norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
-            step += 1
-            for k, g in grad.items():
-                g = g * min(1.0, 1.0 / (norm + 1e-9))
-                m[k] = 0.9 * m[k] + 0.1 * g
-                s[k] = 0.999 * s[k] + 0.001 * g * g
-                w[k] -= (rate * (m[k] / (1 - 0.9 ** step)) / (np.sqrt(s[k] / (1 - 0.999 ** step)) + 1e-8)).astype(np.float32)
-            seen += int(live.sum())
-    return seen
-
-
-def log10_classes(w: dict, sequences: list[np.ndarray]) -> np.ndarray:
-    """log10 probability of each sequence's classes; the state runs through all of its windows."""
-    order = np.argsort([-len(q) for q in sequences], kind="stable")
-    out = np.zeros(len(sequences))
-    x = w["x"] + w["b"]
-    for first in range(0, len(order), LANES):
-        at = order[first:first + LANES]
-        group = [sequences[i] for i in at]
-        lengths = np.array([len(q) for q in group])
-        joined = np.concatenate(group)
-        starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-        h = np.zeros((len(group), HIDDEN), np.float32)
-        total = np.zeros(len(group))
-        for t0 in range(0, int(lengths[0]), WINDOW):
-            states, marks = [], []
-            for t in range(t0, min(t0 + WINDOW, int(lengths[0]))):
-                active = int(np.searchsorted(-lengths, -t, side="left"))  # lanes longer than t come first
-                before = joined[starts[:active] + t - 1] if t else np.zeros(active, np.int64)
-                h = _cell(w, x[before], h[:active])[0]
-                states.append(h)
-                marks.append(joined[starts[:active] + t])
-            y, every = np.concatenate(marks), np.concatenate(states)
-            logits = every @ w["o"]
-            logits += w["c"]
-            chosen = logits[np.arange(len(y)), y]
-            top = logits.max(axis=1, keepdims=True)
-            logits -= top
-            np.exp(logits, out=logits)
-            value = chosen - top[:, 0] - np.log(logits.sum(axis=1))
-            ends = np.cumsum([0] + [len(k) for k in marks])
-            for a, b in zip(ends, ends[1:]):
-                total[:b - a] += value[a:b]
-        out[at] = total / np.log(10)
+class _Lanes:
+    """Sequences laid end to end in lanes of about equal length, longest lane first.
+
+    ``side`` has a row per place after a first row of ends; ``active`` is how many lanes
+    reach each place; ``starts`` has the lanes and sequences that begin at a place.
+    """
+
+    def __init__(self, sequences: list[np.ndarray], lanes: int) -> None:
+        held = [(0, k, []) for k in range(min(lanes, len(sequences)))]
+        for i in sorted(range(len(sequences)), key=lambda i: (-len(sequences[i]), i)):  # each to the shortest lane
+            size, k, own = heapq.heappop(held)
+            own.append(i)
+            heapq.heappush(held, (size + len(sequences[i]), k, own))
+        held.sort(key=lambda lane: (-lane[0], lane[1]))
+        lengths = np.array([lane[0] for lane in held])
+        self.side = np.zeros((int(lengths[0]) + 1, len(held)), np.uint8)
+        begins: dict[int, tuple[list[int], list[int]]] = {}
+        for k, (_, _, own) in enumerate(held):
+            at = 0
+            for i in own:
+                lanes_at, which = begins.setdefault(at, ([], []))
+                lanes_at.append(k)
+                which.append(i)
+                self.side[at + 1:at + 1 + len(sequences[i]), k] = sequences[i]
+                at += len(sequences[i])
+        self.active = np.searchsorted(-lengths, -np.arange(int(lengths[0])), side="left").tolist()
+        self.starts = {t: (np.array(k), np.array(i)) for t, (k, i) in begins.items()}
+
+    def before(self, t: int) -> np.ndarray:
+        """The class before each lane's place; an end before a sequence's first."""
+        codes = self.side[t, :self.active[t]]
+        if t in self.starts:
+            codes = codes.copy()
+            codes[self.starts[t][0]] = 0
+        return codes
+
+
+def _by_class(y: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order of tokens by class, and each class with its span in it."""
+    of = y >> 4
+    order = np.argsort(of, kind="stable")
+    ends = np.searchsorted(of[order], np.arange(CLASSES + 1))
+    return order, [(c, int(a), int(b)) for c, (a, b) in enumerate(zip(ends, ends[1:])) if a < b]
+
+
+def _softmax_gradient(logits: np.ndarray, y: np.ndarray, whole: int) -> np.ndarray:
+    """Of the mean log loss over ``whole`` tokens, in place."""
+    np.minimum(logits, 80, out=logits)
+    np.exp(logits, out=logits)
+    logits *= (1 / (whole * logits.sum(axis=1)))[:, None]
+    logits[np.arange(len(y)), y] -= np.float32(1 / whole)
+    return logits
+
+
+def _output_gradients(w: dict, states: np.ndarray, y: np.ndarray, whole: int) -> tuple[dict, np.ndarray]:
+    """Gradients of both softmaxes' weights, and of the states."""
+    order, spans = _by_class(y)
+    states, y = states[order], y[order]
+    p = _softmax_gradient(states @ w["o"] + w["c"], y >> 4, whole)
+    grad = {"o": states.T @ p, "c": p.sum(axis=0), "q": np.zeros_like(w["q"]), "d": np.zeros_like(w["d"])}
+    back = p @ w["o"].T
+    for c, a, b in spans:
+        p = _softmax_gradient(states[a:b] @ w["q"][c] + w["d"][c], y[a:b] & 15, whole)
+        grad["q"][c], grad["d"][c] = states[a:b].T @ p, p.sum(axis=0)
+        back[a:b] += p @ w["q"][c].T
+    out = np.empty_like(back)
+    out[order] = back
+    return grad, out
+
+
+def _log_softmax(logits: np.ndarray, y: np.ndarray) -> np.ndarray:
+    np.minimum(logits, 80, out=logits)
+    chosen = logits[np.arange(len(y)), y]
+    np.exp(logits, out=logits)
+    return chosen - np.log(logits.sum(axis=1))
+
+
+def _log_codes(w: dict, states: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Log probability of each code: of its class, and of the code within the class."""
+    order, spans = _by_class(y)
+    states, y = states[order], y[order]
+    value = _log_softmax(states @ w["o"] + w["c"], y >> 4)
+    for c, a, b in spans:
+        value[a:b] += _log_softmax(states[a:b] @ w["q"][c] + w["d"][c], y[a:b] & 15)
+    out = np.empty_like(value)
+    out[order] = value
     return out
 
 
+class Trainer:
+    """A copy of the network that learns group after group of sequences: truncated backpropagation with Adam."""
+
+    def __init__(self, w: dict, rate: float = 0.02) -> None:
+        self.w, self.rate, self.step, self.seen = w, rate, 0, 0
+        self.m = {k: np.zeros_like(v) for k, v in w.items()}
+        self.s = {k: np.zeros_like(v) for k, v in w.items()}
+
+    def learn(self, sequences: list[np.ndarray]) -> None:
+        pieces = [q[at:at + PIECE] for q in sequences for at in range(0, len(q), PIECE)]
+        laid = _Lanes(pieces, LANES)
+        h = np.zeros((laid.side.shape[1], HIDDEN), np.float32)
+        for t0 in range(0, len(laid.active), WINDOW):
+            h = self._window(laid, t0, h)
+
+    def _window(self, laid: _Lanes, t0: int, h: np.ndarray) -> np.ndarray:
+        """One stretch of all lanes that reach it, forth and back; gives the state after it."""
+        side, active = laid.side, laid.active[t0:t0 + WINDOW]
+        w, total = self.w, sum(active)
+        whole = WINDOW * laid.side.shape[1]  # a stretch that few lanes reach weighs as many tokens as it has
+        inputs, kept, hs = w["x"] + w["b"], [], []
+        for k, a in enumerate(active):
+            h = h[:a]
+            if t0 + k in laid.starts:
+                h = h.copy()
+                h[laid.starts[t0 + k][0]] = 0
+            new, *gates = _cell(w, inputs[laid.before(t0 + k)], h)
+            kept.append((h, *gates))
+            hs.append(new)
+            h = new
+        y = np.concatenate([side[t0 + k + 1, :a] for k, a in enumerate(active)])
+        grad, dstates = _output_gradients(w, np.concatenate(hs), y, whole)
+        dstates = np.split(dstates, np.cumsum(active)[:-1])
+        dh, das, dxs, u_t = np.zeros((0, HIDDEN), np.float32), [], [], np.ascontiguousarray(w["u"].T)
+        for k in range(len(active) - 1, -1, -1):
+            prior, z, r, g, ag = kept[k]
+            here = dstates[k]
+            here[:len(dh)] += dh
+            dg = here * (1 - z) * (1 - g * g)
+            dz = here * (prior - g) * z * (1 - z)
+            dr = dg * ag * r * (1 - r)
+            da = np.concatenate((dz, dr, dg * r), axis=1)
+            das.append(da)
+            dxs.append(np.concatenate((dz, dr, dg), axis=1))
+            dh = here * z + da @ u_t
+            if t0 + k in laid.starts:
+                dh[laid.starts[t0 + k][0]] = 0
+        back = range(len(active) - 1, -1, -1)
+        grad["u"] = np.concatenate([kept[k][0] for k in back]).T @ np.concatenate(das)
+        dx = np.concatenate(dxs)
+        grad["b"] = dx.sum(axis=0)
+        codes = np.concatenate([laid.before(t0 + k) for k in back])
+        order = np.argsort(codes, kind="stable")
+        found, first = np.unique(codes[order], return_index=True)
+        grad["x"] = np.zeros_like(w["x"])
+        grad["x"][found] = np.add.reduceat(dx[order], first, axis=0)
+        self._adam(grad)
+        self.seen += total
+        return h
+
+    def _adam(self, grad: dict) -> None:
+        norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
+        self.step += 1
+        for k, g in grad.items():
+            g = g * min(1.0, 1.0 / (norm + 1e-9))
+            self.m[k] = 0.9 * self.m[k] + 0.1 * g
+            self.s[k] = 0.999 * self.s[k] + 0.001 * g * g
+            mean, square = self.m[k] / (1 - 0.9 ** self.step), self.s[k] / (1 - 0.999 ** self.step)
+            self.w[k] -= (self.rate * mean / (np.sqrt(square) + 1e-8)).astype(np.float32)
+
+
+def log10_codes(w: dict, sequences: list[np.ndarray]) -> np.ndarray:
+    """log10 probability of each sequence's codes; the state runs through all of its windows."""
+    if not sequences:
+        return np.zeros(0)
+    inputs, laid = w["x"] + w["b"], _Lanes(sequences, LANES)
+    h, total = np.zeros((laid.side.shape[1], HIDDEN), np.float32), np.zeros(len(sequences))
+    of = np.zeros(laid.side.shape[1], np.int64)
+    for t0 in range(0, len(laid.active), WINDOW):
+        states, seen, docs = [], [], []
+        for t in range(t0, min(t0 + WINDOW, len(laid.active))):
+            h = h[:laid.active[t]]
+            if t in laid.starts:
+                lanes, which = laid.starts[t]
+                h[lanes], of[lanes] = 0, which
+            h = _cell(w, inputs[laid.before(t)], h)[0]
+            states.append(h.copy())
+            seen.append(laid.side[t + 1, :len(h)])
+            docs.append(of[:len(h)].copy())
+        value = _log_codes(w, np.concatenate(states), np.concatenate(seen))
+        total += np.bincount(np.concatenate(docs), value, len(sequences))
+    return total / np.log(10)
+
+
 def _pack(w: dict) -> bytes:
     return np.concatenate([w[k].ravel() for k in sorted(w)]).astype("<f4").tobytes()
 
@@ -277,17 +369,36 @@ def _unpack(data: bytes, like: dict) -> dict:
 
 
 def _trainer(start: bytes, like: dict):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        w, seen = _unpack(start, like), 0
-        for df in batches:
-            if len(df):
-                seen += train(w, [for_training(np.frombuffer(c, np.uint8)) for c in df["codes"]])
-        if seen:
-            yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "n": [seen], "weights": [_pack(w)]})
+    """Trains the copies of a partition one after the other; their documents come sorted, in groups of fixed size."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        copy, trainer, group, size = None, None, [], 0
+
+        def done() -> pa.RecordBatch:
+            if group:
+                trainer.learn(group)
+            return pa.RecordBatch.from_pydict({"part": [copy], "n": [trainer.seen], "weights": [_pack(trainer.w)]}, _COPY)
+
+        for batch in batches:
+            for of, codes in zip(batch.column("copy").to_pylist(), batch.column("codes")):
+                if of != copy:
+                    if trainer:
+                        yield done()
+                    copy, trainer, group, size = of, Trainer(_unpack(start, like)), [], 0
+                group.append(for_training(np.frombuffer(codes.as_buffer(), np.uint8)))
+                size += len(group[-1])
+                if size >= GROUP:
+                    trainer.learn(group)
+                    group, size = [], 0
+        if trainer:
+            yield done()
     return run
 
 
+_COPY = pa.schema([("part", pa.int64()), ("n", pa.int64()), ("weights", pa.binary())])
+
+
 def _mean(key, df: pd.DataFrame) -> pd.DataFrame:
+    df = df.sort_values("part")  # one order of adding up, wherever the copies come from
     n = df["n"].to_numpy(float)
     total = sum(np.frombuffer(x, "<f4").astype(float) * k for x, k in zip(df["weights"], n)) / n.sum()
     return pd.DataFrame({"part": [int(key[0])], "n": [int(n.sum())], "weights": [total.astype("<f4").tobytes()]})
@@ -310,16 +421,19 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string")) % 7 == 2, F.lit(False))
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: int = 1,
-                    rounds: int = 1) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                    copy_tokens: int = 4_000_000) -> DataFrame:
     """Per document: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
-    Learns from all documents that aren't held out, counts and network alike; a
-    larger ``share`` trains the network in each of ``rounds`` on one of so many.  Null texts count as empty (the end alone); null
-    ids are never held out; repeated rows count as often as they stand; without
-    training rows every token is unseen and scores 0; an empty table gives no rows.
+    Learns from all documents that aren't held out, counts and network alike: the network in
+    one pass, a copy per ``copy_tokens`` training tokens, to which documents are dealt by a
+    hash, in its order, so that the table alone and not its layout decides the scores.  Ids are long;
+    ids of another type that don't read as a number are null.  Null texts count as
+    empty (the end alone); null ids are never held out; repeated rows count as often
+    as they stand; without training rows every token is unseen and scores 0; an
+    empty table gives no rows.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+    rows = docs.select(F.col(id_col).try_cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
                        held_out(F.col(id_col)).alias("held"))
     both = materialise(rows.mapInArrow(_chunks, _PASS_SQL), "lm-chunks")
     words, texts = both.where("word is not null").select("chunk", "word", "n"), both.where("word is null")
@@ -332,15 +446,20 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     totals = {r.k: int(r.c) for r in apart.groupBy(_band(F.col("c"), F.col("word")).alias("k")).agg(F.sum("c").alias("c")).collect()}
     ends = counts.where(F.col("word") == F.lit(END)).agg(F.sum("c").alias("c")).first().c or 0
     totals |= {0: int(ends)} | {i + 1: int(r.c) for i, r in enumerate(top)}
-    vocabulary = words.join(counts, "word", "left").select(F.col("chunk").alias("of"), "word", F.coalesce("c", F.lit(0)).cast("long").alias("c"))
+    ranks = docs.sparkSession.createDataFrame(list(head.items()), "word binary, rank int")  # HEAD + 1 rows
+    known = counts.join(F.broadcast(ranks), "word", "left").select(
+        "word", (F.col("c") * 256 + code_of(F.col("c"), F.col("word"), F.col("rank"))).alias("c"))
+    vocabulary = words.join(known.hint("shuffle_hash"), "word", "left").select(
+        F.col("chunk").alias("of"), "word", F.coalesce("c", F.lit(UNSEEN)).cast("long").alias("c"))
     coded = materialise(
         texts.select("chunk", "doc_id", "held", "text").groupBy("chunk")
-        .cogroup(vocabulary.groupBy("of")).applyInPandas(_coder(head, totals, n, v), _CODED), "lm-coded")
-    w = start_weights(np.array([totals.get(k, 0) for k in range(CLASSES)], float))
-    mark = F.pmod(F.xxhash64("doc_id", "codes"), F.lit(share))
-    for k in range(rounds if n else 0):
-        learned = coded.where(~F.col("held") & (mark == k)).select("codes")
-        mean = averaged(learned.mapInPandas(_trainer(_pack(w), w), "part long, n long, weights binary"))
+        .cogroup(vocabulary.groupBy("of")).applyInPandas(_coder(totals, n, v), _CODED), "lm-coded")
+    w = start_weights(np.array([totals.get(k, 0) for k in range(CODES)], float))
+    if n:
+        copies, mark = -(-n // copy_tokens), F.xxhash64("doc_id", "codes")
+        learned = (coded.where("not held").select(F.pmod(mark, F.lit(copies)).alias("copy"), mark.alias("mark"), "codes")
+                   .repartition(copies, "copy").sortWithinPartitions("copy", "mark", "codes").select("copy", "codes"))
+        mean = averaged(learned.mapInArrow(_trainer(_pack(w), w), "part long, n long, weights binary"))
         w = _unpack(mean, w) if mean else w
     data, like = _pack(w), {k: np.empty(x.shape, np.float32) for k, x in w.items()}
 
@@ -348,8 +467,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         weights = _unpack(data, like)
         for df in batches:
             if len(df):
-                sequences = [for_scoring(np.frombuffer(c, np.uint8)).astype(np.int64) for c in df["codes"]]
-                score = log10_classes(weights, sequences) + df["within"].to_numpy() if n else np.zeros(len(df))
+                sequences = [for_scoring(np.frombuffer(c, np.uint8)) for c in df["codes"]]
+                score = log10_codes(weights, sequences) + df["within"].to_numpy() if n else np.zeros(len(df))
                 yield df.drop(columns=["codes", "within"]).assign(score=score)
 
     out = coded.mapInPandas(scored, "doc_id long, held boolean, n_tokens long, n_known long, base double, score double")
