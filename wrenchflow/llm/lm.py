@@ -160,7 +160,9 @@ def start_weights(code_counts: np.ndarray, seed: int = 0) -> dict[str, np.ndarra
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    x = np.exp(-x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 def _cell(w: dict, x: np.ndarray, h: np.ndarray) -> tuple:
@@ -170,7 +172,7 @@ def _cell(w: dict, x: np.ndarray, h: np.ndarray) -> tuple:
     zr = _sigmoid(x[:, :2 * n] + a[:, :2 * n])
     z, r = zr[:, :n], zr[:, n:]
     g = np.tanh(x[:, 2 * n:] + r * a[:, 2 * n:])
-    return z * h + (1 - z) * g, z, r, g, a[:, 2 * n:]
+    return g + z * (h - g), z, r, g, a[:, 2 * n:]
 
 
 class _Lanes:
@@ -300,12 +302,13 @@ class Trainer:
             prior, z, r, g, ag = kept[k]
             here = dstates[k]
             here[:len(dh)] += dh
-            dg = here * (1 - z) * (1 - g * g)
-            dz = here * (prior - g) * z * (1 - z)
-            dr = dg * ag * r * (1 - r)
-            da = np.concatenate((dz, dr, dg * r), axis=1)
+            part = here * (1 - z)
+            dg = part * (1 - g * g)
+            dx = np.concatenate((part * (prior - g) * z, dg * ag * r * (1 - r), dg), axis=1)
+            da = dx.copy()
+            da[:, 2 * HIDDEN:] *= r
             das.append(da)
-            dxs.append(np.concatenate((dz, dr, dg), axis=1))
+            dxs.append(dx)
             dh = here * z + da @ u_t
             if t0 + k in laid.starts:
                 dh[laid.starts[t0 + k][0]] = 0
