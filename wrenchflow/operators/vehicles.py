@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wrenchflow import session
 from wrenchflow.operators.changes import first_reason, is_falsy, number_rows
-from wrenchflow.operators.ordered import first_come
-from wrenchflow.session import checkpoint_dir
+from wrenchflow.operators.ordered import first_come, hot_keys, joined_by, looked_up
+from wrenchflow.session import stored
 from wrenchflow.sources.tables import Garage
 
 # --- fixed values: reject messages of the reference ----------------------
@@ -30,29 +31,37 @@ def apply_new_vehicles(g: Garage, requests: DataFrame) -> DataFrame:
     """
     office = F.col("role").isin("admin", "staff")
     owner = F.when(F.col("role") == "customer", F.col("requester_customer_id")).when(office, F.col("customer_id"))
+    missing = is_falsy(F.col("make")) | is_falsy(F.col("model")) | is_falsy(F.col("year")) | is_falsy(F.col("license_plate"))
+    faulty = first_reason((missing, R_VEHICLE_REQUIRED), (office & is_falsy(F.col("customer_id")), R_VEHICLE_CUSTOMER),
+                          (~F.coalesce(office | (F.col("role") == "customer"), F.lit(False)), R_VEHICLE_ROLE))
+    whole = stored(requests.withColumn("_cust", owner).withColumn("_vin", F.when(~is_falsy(F.col("vin")), F.col("vin")))
+                   .withColumn("_at", F.monotonically_increasing_id()))
+    # all checks move only the keys; a plate or VIN (or none) that many ask for lies in many tasks
+    r = number_rows(whole.select("_at", "request_seq", "license_plate", "vin", "_vin", "_cust", faulty.alias("_faulty")),
+                    ["request_seq", "license_plate", "vin", "_cust"], out="_row")
+    r = stored(r.select("_row", "_at", "license_plate", "_vin", "_faulty"))
+    large = r.count() > session.TASK_ROWS
+    hot_plates, hot_vins = (hot_keys(r, "license_plate"), hot_keys(r, "_vin")) if large else (None, None)
     plates = g.vehicles.where("license_plate is not null").select(F.col("license_plate").alias("_p")).distinct()
     vins = g.vehicles.where("vin is not null").select(F.col("vin").alias("_v")).distinct()
-    r = (requests.withColumn("_cust", owner).withColumn("_vin", F.when(~is_falsy(F.col("vin")), F.col("vin")))
-         .join(plates, F.col("license_plate") == F.col("_p"), "left").join(vins, F.col("_vin") == F.col("_v"), "left"))
-    missing = is_falsy(F.col("make")) | is_falsy(F.col("model")) | is_falsy(F.col("year")) | is_falsy(F.col("license_plate"))
-    reason = first_reason((missing, R_VEHICLE_REQUIRED), (office & is_falsy(F.col("customer_id")), R_VEHICLE_CUSTOMER),
-                          (~F.coalesce(office | (F.col("role") == "customer"), F.lit(False)), R_VEHICLE_ROLE),
-                          (F.col("_p").isNotNull(), R_PLATE_TAKEN), (F.col("_v").isNotNull(), R_VIN_TAKEN))
-    r = number_rows(r.withColumn("_reason", reason).drop("_p", "_v"), ["request_seq", "license_plate", "vin", "_cust"], out="_row")
+    r = stored(looked_up(r, "_row", "license_plate", plates, "_p", hot_plates).select(
+        "_row", "_at", "license_plate", "_vin", F.coalesce("_faulty", F.when(F.col("_p").isNotNull(), R_PLATE_TAKEN)).alias("_reason")))
+    r = stored(looked_up(r, "_row", "_vin", vins, "_v", hot_vins).select(
+        "_row", "_at", "license_plate", "_vin", F.coalesce("_reason", F.when(F.col("_v").isNotNull(), R_VIN_TAKEN)).alias("_reason")))
     open_ = r.where("_reason is null").select("_row", "license_plate", "_vin")
-    checkpoint_dir(g.vehicles.sparkSession)
-    chosen = first_come(open_, "_row", ["license_plate", "_vin"]).checkpoint()
+    chosen = stored(first_come(open_, "_row", ["license_plate", "_vin"]).select(F.col("_row").alias("_cr"), "accepted"))
+    r = stored(r.join(chosen, F.col("_row") == F.col("_cr"), "left").drop("_cr"))
     # the plate is asked first: also a row with a stored VIN fails by the plate that an accepted earlier row holds
-    taken = (open_.join(chosen.where("accepted"), "_row").where("license_plate is not null")
-             .select(F.col("license_plate").alias("_tp"), F.col("_row").alias("_by")))
-    r = (r.join(chosen, "_row", "left").join(taken, (F.col("license_plate") == F.col("_tp")) & (F.col("_by") < F.col("_row"))
-                                             & (~F.coalesce("accepted", F.lit(True)) | (F.col("_reason") == R_VIN_TAKEN)), "left"))
-    late = F.when(F.col("_tp").isNotNull(), R_PLATE_TAKEN).otherwise(F.coalesce("_reason", F.when(~F.col("accepted"), R_VIN_TAKEN)))
-    r = r.withColumn("reject_reason", late).select(
-        "request_seq", F.col("_cust").alias("customer_id"), "make", "model", "year", "license_plate", "vin", "color", "reject_reason")
+    taken = r.where("accepted and license_plate is not null").select(F.col("license_plate").alias("_tp"), F.col("_row").alias("_by"))
+    met = looked_up(r.drop("_vin"), "_row", "license_plate", taken, "_tp", hot_plates)
+    by_plate = (F.col("_by") < F.col("_row")) & (~F.coalesce("accepted", F.lit(True)) | (F.col("_reason") == R_VIN_TAKEN))
+    late = F.when(by_plate, R_PLATE_TAKEN).otherwise(F.coalesce("_reason", F.when(~F.col("accepted"), R_VIN_TAKEN)))
+    fate = stored(met.select("_row", F.col("_at").alias("_of"), late.alias("reject_reason")))
     top = g.vehicles.select(F.max("id")).scalar()
-    new = number_rows(r.where("reject_reason is null"), ["request_seq", "license_plate"], start=F.coalesce(top, F.lit(0)), out="id")
-    return new.unionByName(r.where("reject_reason is not null").withColumn("id", F.lit(None).cast("long")))
+    new = number_rows(fate.where("reject_reason is null"), ["_row"], start=F.coalesce(top, F.lit(0)), out="id")
+    fate = new.unionByName(fate.where("reject_reason is not null").withColumn("id", F.lit(None).cast("long")))
+    return joined_by(whole, "_at", fate.drop("_row"), "_of").select(
+        "request_seq", F.col("_cust").alias("customer_id"), "make", "model", "year", "license_plate", "vin", "color", "reject_reason", "id")
 
 
 def vehicles_after(g: Garage, applied: DataFrame) -> DataFrame:
