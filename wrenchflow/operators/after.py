@@ -17,19 +17,42 @@ from pyspark.sql import functions as F
 
 from wrenchflow.functions.predicates import Date, _d
 from wrenchflow.operators.changes import customer_counter_after, number_rows
+from wrenchflow.session import stored
 from wrenchflow.sources.tables import Garage, conform
 from wrenchflow.sources.versions import key_of
 
-Changes = dict[str, DataFrame]
+class Changes(dict[str, DataFrame]):
+    """Changed and new rows by table; ``whole`` has the new version of tables of which rows only get new values,
+    made by one join instead of two (the changed rows, and the others without them)."""
 
+    def __init__(self, rows: dict[str, DataFrame], **whole: DataFrame):
+        super().__init__(rows)
+        self.whole = whole
 
-def merged(g: Garage, changes: Changes) -> Garage:
+
+class _Merged(Garage):
+    """Tables with changes, each put together when it is asked for, so a stored table that nobody reads is not opened."""
+
+    def __init__(self, g: Garage, changes: dict[str, DataFrame]):
+        self._g, self._changes = g, changes
+
+    def __getattribute__(self, name: str):
+        if name not in Garage.__dataclass_fields__:
+            return object.__getattribute__(self, name)
+        g, changes = self._g, self._changes
+        whole = getattr(changes, "whole", {})
+        if name in whole:
+            return whole[name]
+        old = getattr(g, name)
+        if name not in changes:
+            return old
+        key, rows = key_of(name), changes[name]
+        return old.join(rows.select(*key), key, "left_anti").unionByName(rows.select(*old.columns))
+
+
+def merged(g: Garage, changes: dict[str, DataFrame]) -> Garage:
     """The tables with the changes, unstored; tables without a change stay as they are."""
-    out = g.as_dict()
-    for table, rows in changes.items():
-        key = key_of(table)
-        out[table] = out[table].join(rows.select(*key), key, "left_anti").unionByName(rows.select(*out[table].columns))
-    return Garage(**out)
+    return _Merged(g, changes)
 
 
 def _accepted(applied: DataFrame) -> DataFrame:
@@ -53,6 +76,14 @@ def _updated(table: DataFrame, last: DataFrame, **columns: Column) -> DataFrame:
         *[columns[c].cast(table.schema[c].dataType).alias(c) if c in columns else F.col(c) for c in table.columns])
 
 
+def _with_updates(table: DataFrame, last: DataFrame, **columns: Column) -> DataFrame:
+    """All rows of ``table``, those with a key in ``last`` (where it is unique) with some columns set."""
+    met = F.col("_key").isNotNull()
+    return table.join(last, F.col("id") == F.col("_key"), "left").select(
+        *[F.when(met, columns[c].cast(table.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c in columns else F.col(c)
+          for c in table.columns])
+
+
 def after_new_bookings(g: Garage, applied: DataFrame, as_of: Date) -> Changes:
     """M1: new bookings, a pending payment for those with a payment method, vehicles with a new owner, counters."""
     new = _accepted(applied)
@@ -79,12 +110,15 @@ def after_cancellations(g: Garage, applied: DataFrame) -> Changes:
 
 def after_assignments(g: Garage, applied: DataFrame) -> Changes:
     """M4: bookings confirmed with the mechanic of their last accepted request, and a task per accepted request."""
-    ok = _accepted(applied)
-    last = _last(ok, "booking_id", F.struct("request_seq", "mechanic_id"), mechanic=F.col("mechanic_id"))
-    tasks = number_rows(ok.select("request_seq", "booking_id", "mechanic_id", F.col("task_status").alias("status"), "start_min", "end_min"),
+    # evaluated once, by the numbering, which stores it; the mechanics are read from there
+    tasks = number_rows(_accepted(applied).select("request_seq", "booking_id", "mechanic_id", F.col("task_status").alias("status"),
+                                                  "start_min", "end_min"),
                         ["request_seq", "booking_id", "mechanic_id"], start=_next_id(g.mechanic_tasks), out="id")
-    return {"bookings": _updated(g.bookings, last, mechanic_id=F.col("_mechanic"), status=F.lit("confirmed")),
-            "mechanic_tasks": conform(tasks, "mechanic_tasks")}
+    last = _last(tasks, "booking_id", F.struct("request_seq", "mechanic_id"), mechanic=F.col("mechanic_id"))
+    set_ = {"mechanic_id": F.col("_mechanic"), "status": F.lit("confirmed")}
+    new = conform(tasks, "mechanic_tasks")
+    return Changes({"bookings": _updated(g.bookings, last, **set_), "mechanic_tasks": new},
+                   bookings=_with_updates(g.bookings, last, **set_), mechanic_tasks=g.mechanic_tasks.unionByName(new))
 
 
 def after_task_status(g: Garage, applied: DataFrame) -> Changes:
@@ -92,11 +126,13 @@ def after_task_status(g: Garage, applied: DataFrame) -> Changes:
 
     A completion's time falls on the booking's date.
     """
-    ok = _accepted(applied)
+    ok = stored(_accepted(applied).select("task_key", "change_no", "status", "start_min", "end_min", "task_id", "booking_id", "mechanic_id",
+                                          "booking_status", "completed_min"))
     last = _last(ok, "task_key", F.col("change_no"), status=F.col("status"), start=F.col("start_min"), end=F.col("end_min"),
                  task=F.col("task_id"), booking=F.col("booking_id"), mechanic=F.col("mechanic_id"))
-    held = last.where("_task is not null").withColumn("_key", F.col("_task"))
-    tasks = _updated(g.mechanic_tasks, held, status=F.col("_status"), start_min=F.col("_start"), end_min=F.col("_end"))
+    last = stored(last)
+    held = last.where("_task is not null").withColumn("_key", F.col("_task")).select("_key", "_status", "_start", "_end")
+    times = {"status": F.col("_status"), "start_min": F.col("_start"), "end_min": F.col("_end")}
     fresh = number_rows(last.where("_task is null").select(
         F.col("_booking").alias("booking_id"), F.col("_mechanic").alias("mechanic_id"), F.col("_status").alias("status"),
         F.col("_start").alias("start_min"), F.col("_end").alias("end_min")), ["booking_id", "mechanic_id"],
@@ -105,8 +141,11 @@ def after_task_status(g: Garage, applied: DataFrame) -> Changes:
     done = _last(ok.where("completed_min is not null"), "booking_id", F.col("change_no"), at=F.col("completed_min"))
     marks = shown.join(done, "_key", "left")
     stamp = F.timestamp_add("MINUTE", F.col("_at"), F.col("booking_date").cast("timestamp_ntz"))
-    return {"mechanic_tasks": tasks.unionByName(conform(fresh, "mechanic_tasks")),
-            "bookings": _updated(g.bookings, marks, status=F.col("_status"), completed_at=F.coalesce(stamp, F.col("completed_at")))}
+    set_ = {"status": F.col("_status"), "completed_at": F.coalesce(stamp, F.col("completed_at"))}
+    fresh = conform(fresh, "mechanic_tasks")
+    return Changes({"mechanic_tasks": _updated(g.mechanic_tasks, held, **times).unionByName(fresh), "bookings": _updated(g.bookings, marks, **set_)},
+                   mechanic_tasks=_with_updates(g.mechanic_tasks, held, **times).unionByName(fresh),
+                   bookings=_with_updates(g.bookings, marks, **set_))
 
 
 def after_payment_decisions(g: Garage, applied: DataFrame) -> Changes:
@@ -114,14 +153,16 @@ def after_payment_decisions(g: Garage, applied: DataFrame) -> Changes:
     ok = _accepted(applied)
     last = _last(ok, "payment_id", F.struct("decision_seq", "decision", "admin_notes"), status=F.col("new_payment_status"), notes=F.col("admin_notes"))
     confirmed = ok.where("booking_status is not null").select(F.col("booking_id").alias("_key")).distinct()
-    return {"payments": _updated(g.payments, last, payment_status=F.col("_status"), admin_notes=F.col("_notes")),
-            "bookings": _updated(g.bookings, confirmed, status=F.lit("confirmed"))}
+    paid, booked = {"payment_status": F.col("_status"), "admin_notes": F.col("_notes")}, {"status": F.lit("confirmed")}
+    return Changes({"payments": _updated(g.payments, last, **paid), "bookings": _updated(g.bookings, confirmed, **booked)},
+                   payments=_with_updates(g.payments, last, **paid), bookings=_with_updates(g.bookings, confirmed, **booked))
 
 
 def after_moderation(g: Garage, applied: DataFrame) -> Changes:
     """M8: testimonials in the state after their last accepted action."""
     last = _last(_accepted(applied), "testimonial_id", F.col("action_seq"), approved=F.col("approved_after"), featured=F.col("featured_after"))
-    return {"testimonials": _updated(g.testimonials, last, approved=F.col("_approved"), featured=F.col("_featured"))}
+    shown = {"approved": F.col("_approved"), "featured": F.col("_featured")}
+    return Changes({"testimonials": _updated(g.testimonials, last, **shown)}, testimonials=_with_updates(g.testimonials, last, **shown))
 
 
 def after_field_notes(g: Garage, applied: DataFrame) -> Changes:
