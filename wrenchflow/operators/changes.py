@@ -15,13 +15,15 @@ without gathering a key's changes in one place: "last change wins" is a
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wrenchflow.functions.exprs import coerce_bool, initials, parse_hhmm
 from wrenchflow.functions.predicates import Date, _d
 from wrenchflow.model import BOOKING_STATUSES, TASK_STATUSES, USER_ROLES
-from wrenchflow.operators.ordered import Running, dealt, joined_by, running
+from wrenchflow.operators.ordered import Running, carried, dealt, joined_by, running
 from wrenchflow.session import checkpoint_dir, partitions_for, stored
 from wrenchflow.sources.tables import Garage
 
@@ -292,8 +294,9 @@ def apply_task_status(g: Garage, changes: DataFrame) -> DataFrame:
     t = g.mechanic_tasks.select(F.col("id").alias("_tid"), F.col("booking_id").alias("_tb"),
                                 F.col("mechanic_id").alias("_tm"), F.col("start_min").alias("_ts"),
                                 F.col("end_min").alias("_te"))
+    # all three joins by (ref, mechanic_id), so the changes move once; a booking that is found is the one of that ref
     c = changes.join(b, (F.col("ref") == F.col("_bid")) & (F.col("mechanic_id") == F.col("_bm")), "left")
-    c = c.join(t, (F.col("_bid") == F.col("_tb")) & (F.col("mechanic_id") == F.col("_tm")), "left")
+    c = c.join(t, (F.col("ref") == F.col("_tb")) & (F.col("mechanic_id") == F.col("_tm")) & F.col("_bid").isNotNull(), "left")
     by_task = t.join(g.bookings.select(F.col("id").alias("_b2"), F.col("mechanic_id").alias("_bm2")),
                      F.col("_tb") == F.col("_b2")).select(
         F.col("_tid").alias("_xt"), F.col("_tb").alias("_xb"), F.col("_bm2").alias("_xbm"),
@@ -336,17 +339,20 @@ def _task_times(changes: DataFrame) -> DataFrame:
     """
     order = ["_row"]
     begun, ended = F.col("status") == "in-progress", F.col("status") == "completed"
-    rows = running(dealt(changes, "_task", order), "_task", order, {
-        "_first": Running(F.col("_row")), "_first_now": Running(F.col("now_min")),
-        "_done": Running(F.when(ended, F.col("now_min"))),
-        "_done_before": Running(F.when(ended, F.col("now_min")), inclusive=False)})
     before = F.coalesce(F.col("end_min"), F.col("_done_before"))
+    first = {"_first": Running(F.col("_row")), "_first_now": Running(F.col("now_min")),
+             "_done": Running(F.when(ended, F.col("now_min"))),
+             "_done_before": Running(F.when(ended, F.col("now_min")), inclusive=False)}
+    then = {"_open": Running(F.when(begun & before.isNull(), F.col("now_min"))),
+            "_moved": Running(F.when(begun & (F.col("now_min") != before), F.col("now_min"))),
+            "_met": Running(F.when(begun & (F.col("now_min") == before), F.col("now_min")))}
+
+    def scans(rows: DataFrame, scan: Callable) -> DataFrame:
+        rows = scan(rows, "_task", order, first)
+        return scan(rows.withColumn("_end", F.coalesce("end_min", "_done")), "_task", order, then)
+
+    rows = carried(changes, "_task", order, scans)
     start0 = F.when(F.col("new"), F.col("_first_now")).otherwise(F.col("start_min"))
-    rows = rows.withColumn("_end", F.coalesce("end_min", "_done"))
-    rows = running(rows, "_task", order, {
-        "_open": Running(F.when(begun & before.isNull(), F.col("now_min"))),
-        "_moved": Running(F.when(begun & (F.col("now_min") != before), F.col("now_min"))),
-        "_met": Running(F.when(begun & (F.col("now_min") == before), F.col("now_min")))})
     start = F.coalesce(start0, F.col("_open"))
     settled = F.col("_end").isNull() | (start != F.col("_end"))
     return rows.withColumn("_start", F.when(F.coalesce(settled, F.lit(False)), start)

@@ -11,7 +11,7 @@ earlier accepted row holds one of their keys.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -70,6 +70,32 @@ def running(rows: DataFrame, key: str, order: list[str], wanted: dict[str, Runni
             .select(*own, *out))
 
 
+def within_tasks(rows: DataFrame, key: str, order: list[str], wanted: dict[str, Running]) -> DataFrame:
+    """``running`` over rows of which no key has more than a task's rows: one shuffle by key; a null key is no key."""
+    alone = F.when(F.col(key).isNull(), F.monotonically_increasing_id())
+    rows = rows if "_alone" in rows.columns else rows.withColumn("_alone", alone)
+    w = Window.partitionBy(key, "_alone").orderBy(*order)
+    out = []
+    for name, pick in wanted.items():
+        frame = w.rowsBetween(Window.unboundedPreceding, Window.currentRow if pick.inclusive else -1)
+        out.append((F.last if pick.last else F.first)(pick.value, ignorenulls=True).over(frame).alias(name))
+    return rows.select("*", *out)
+
+
+def carried(rows: DataFrame, key: str, order: list[str], scans: Callable[[DataFrame, Callable], DataFrame]) -> DataFrame:
+    """``scans(rows, scan)`` of stored ``rows``, where ``scan(rows, key, order, wanted)`` adds what came before.
+
+    Keys of at most a task's rows are scanned in one shuffle by key; hot ones are dealt by (key, order) and their state carried from
+    range to range (``running``).
+    """
+    hot = hot_keys(rows, key)
+    if hot.isEmpty():
+        return scans(rows, within_tasks).drop("_alone")
+    met = F.col(key) == F.col("_hk")
+    few, many = rows.join(F.broadcast(hot), met, "left_anti"), rows.join(F.broadcast(hot), met, "left_semi")
+    return scans(few, within_tasks).drop("_alone").unionByName(scans(dealt(many, key, order), running).drop("_p"))
+
+
 def place_within(df: DataFrame, keys: list[str], order: list[Column], out: str = "place") -> DataFrame:
     """``df`` with the place (from 0) of each row among its key's rows in ``order``; equal rows in any order.
 
@@ -118,8 +144,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def hot_keys(rows: DataFrame, key: str) -> DataFrame:
-    """``(_hk, _hc)``: keys with more rows than a task should have, and over how many tasks they go."""
-    n = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_hk")).agg(F.count("*").alias("_hn"))
+    """``(_hk, _hc)``: keys with more rows than a task should have, and over how many tasks they go.
+
+    Only keys of a bucket with so many rows can be hot, so in most tables no key moves to be counted.
+    """
+    some, bucket = rows.where(F.col(key).isNotNull()), F.pmod(F.xxhash64(key), F.lit(1 << 16))
+    full = some.groupBy(bucket.alias("_hb")).agg(F.count("*").alias("_hn")).where(F.col("_hn") > session.TASK_ROWS).select("_hb")
+    some = some.join(F.broadcast(full), bucket == F.col("_hb"), "left_semi")
+    n = some.groupBy(F.col(key).alias("_hk")).agg(F.count("*").alias("_hn"))
     return stored(n.where(F.col("_hn") > session.TASK_ROWS).select("_hk", F.ceil(F.col("_hn") / session.TASK_ROWS).cast("long").alias("_hc")))
 
 
