@@ -24,7 +24,7 @@ from wrenchflow.functions.exprs import coerce_bool, initials, parse_hhmm
 from wrenchflow.functions.predicates import Date, _d
 from wrenchflow.model import BOOKING_STATUSES, TASK_STATUSES, USER_ROLES
 from wrenchflow.operators.ordered import Running, carried, dealt, joined_by, running
-from wrenchflow.session import checkpoint_dir, partitions_for, stored
+from wrenchflow.session import partitions_for, stored
 from wrenchflow.sources.tables import Garage
 
 # --- fixed values: reject messages of the reference ----------------------
@@ -435,14 +435,11 @@ def segmented_last(df: DataFrame, key: str, order: str, value: str, out: str, pa
     running value; each (partition, key)'s final value is a carry, and a
     window over the small carry table (one row per partition and key)
     supplies the value coming from earlier partitions.  The partitioned rows
-    are checkpointed (shared checkpoint folder) so the partition ids the
-    two branches read are the same.
+    are stored (shared checkpoint folder) so the partition ids the
+    two branches read are the same; their number follows the rows.
     """
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    checkpoint_dir(spark)
-    # range bounds come from sampling: checkpoint once so both branches see the same partition ids
-    r = df.repartitionByRange(n, key, order).withColumn("_p", F.spark_partition_id()).checkpoint()
+    # evaluated once, before the range bounds are sampled
+    r = dealt(stored(df), key, [order], partitions)
     w_in = (Window.partitionBy("_p", key).orderBy(order)
             .rowsBetween(Window.unboundedPreceding, -1))
     r = r.withColumn("_local", F.last(value, ignorenulls=True).over(w_in))
