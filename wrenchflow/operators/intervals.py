@@ -32,7 +32,7 @@ from wrenchflow.functions.exprs import end_min, hhmm, weekday0
 from wrenchflow.functions.predicates import Date, _d
 from wrenchflow.model import SLOT_STEP_MIN
 from wrenchflow.operators.ordered import components
-from wrenchflow.session import checkpoint_dir
+from wrenchflow.session import partitions_for, stored
 from wrenchflow.sources.tables import Garage
 
 R_NO_BOOKING, R_NO_MECHANIC = "booking not found", "mechanic not found"
@@ -83,6 +83,32 @@ def overlap_counts(probes: DataFrame, intervals: DataFrame, keys: list[str], pro
     return j.select("_p.*", n.alias(out))
 
 
+def overlaps_by_day(probes: DataFrame, intervals: DataFrame, keys: list[str], out: str = "n_overlap") -> DataFrame:
+    """``overlap_counts`` for large sets of probes, which move once.
+
+    Starts and ends are counted per (key, minute), combined before the shuffle, and a key's minutes form one array: at most
+    a row per minute of the day plus the longest duration, however many intervals the key has.  That one row per
+    key meets the probes, and both sums run over its array; a probe reads minutes, never intervals.
+    """
+    iv = intervals.where(F.col("start_min").isNotNull() & F.col("end_min").isNotNull() & (F.col("end_min") >= F.col("start_min")))
+    kk = [f"_k{i}" for i in range(len(keys))]
+    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
+    is_zero = F.when(F.col("start_min") == F.col("end_min"), one).otherwise(zero)
+    events = iv.select(*[F.col(k).alias(a) for k, a in zip(keys, kk)], F.explode(F.array(
+        F.struct(F.col("start_min").alias("t"), one.alias("ws"), zero.alias("we"), is_zero.alias("wz")),
+        F.struct(F.col("end_min").alias("t"), zero.alias("ws"), one.alias("we"), zero.alias("wz")))).alias("_ev")).select(*kk, "_ev.*")
+    minutes = events.groupBy(*kk, "t").agg(F.sum("ws").alias("ws"), F.sum("we").alias("we"), F.sum("wz").alias("wz"))
+    days = minutes.groupBy(*kk).agg(F.collect_list(F.struct("t", "ws", "we", "wz")).alias("_minutes"))
+    start, end = F.col("start_min"), F.col("end_min")
+
+    def added(n: Column, m: Column) -> Column:
+        # as in overlap_counts, a zero-length interval on a zero-length probe is added back
+        return (n + F.when(m["t"] < end, m["ws"]).otherwise(zero) - F.when(m["t"] <= start, m["we"]).otherwise(zero)
+                + F.when((start == end) & (m["t"] == start), m["wz"]).otherwise(zero))
+    n = F.coalesce(F.aggregate("_minutes", zero, added), zero)
+    return (probes.join(days, [F.col(k) == F.col(a) for k, a in zip(keys, kk)], "left").withColumn(out, n).drop(*kk, "_minutes"))
+
+
 def booking_intervals(g: Garage, bookings: DataFrame | None = None, live_only: bool = True,
                       assigned_only: bool = True) -> DataFrame:
     """Bookings as intervals: [start, start + service estimate (default 60)).
@@ -263,41 +289,43 @@ def assign_mechanics(g: Garage, requests: DataFrame) -> DataFrame:
     booking status and the status of the mechanic's task row (its times are
     the slot's).
     """
-    r = requests.select("booking_id", "mechanic_id", "request_seq")
+    r = stored(requests.select("booking_id", "mechanic_id", "request_seq"))
     named = r.select(F.col("booking_id").alias("_nb")).distinct()
-    b = booking_intervals(g, live_only=False, assigned_only=False).select(
-        F.col("id").alias("_bid"), "booking_date", "start_min", "end_min")
+    # the intervals of all bookings and which of them are named, once for all that reads them
+    every = booking_intervals(g, live_only=False, assigned_only=False).select(
+        "id", "mechanic_id", "booking_date", "start_min", "end_min", (F.col("mechanic_id").isNotNull() & (F.col("status") != "cancelled")).alias("_live"))
+    every = stored(every.join(named, F.col("id") == F.col("_nb"), "left").withColumn("_named", F.col("_nb").isNotNull()).drop("_nb"))
+    live = every.where("_live").drop("_live")
+    b = every.where("_named").select(F.col("id").alias("_bid"), "booking_date", "start_min", "end_min")
     mech = g.mechanics.select(F.col("id").alias("_mid")).distinct().withColumn("_m_ok", F.lit(True))
     x = (r.join(b, F.col("booking_id") == F.col("_bid"), "left")
          .join(mech, F.col("mechanic_id") == F.col("_mid"), "left"))
     # both checks keep the request columns, so they chain without joining back
     x = within_availability(g, x)
-    live = booking_intervals(g)
-    x = overlap_counts(x, live.join(named, F.col("id") == F.col("_nb"), "left_anti"), ["mechanic_id", "booking_date"])
-    reason = (F.when(F.col("_bid").isNull(), R_NO_BOOKING).when(F.col("_m_ok").isNull(), R_NO_MECHANIC)
-              .when(~F.coalesce(F.col("within_availability"), F.lit(False)), R_OUTSIDE)
-              .when(F.col("n_overlap") > 0, R_CONFLICT))
-    checkpoint_dir(x.sparkSession)
-    checked = x.select(*_SLOT, reason.alias("reject_reason")).checkpoint()
-    out = checked.where(F.col("reject_reason").isNotNull()).unionByName(_in_order(checked, live, named))
+    first = (F.when(F.col("_bid").isNull(), R_NO_BOOKING).when(F.col("_m_ok").isNull(), R_NO_MECHANIC)
+             .when(~F.coalesce(F.col("within_availability"), F.lit(False)), R_OUTSIDE))
+    x = overlaps_by_day(x.select(*_SLOT, first.alias("_first")), live.where("not _named"), ["mechanic_id", "booking_date"])
+    reason = F.coalesce("_first", F.when(F.col("n_overlap") > 0, R_CONFLICT))
+    checked = stored(x.select(*_SLOT, reason.alias("reject_reason")))
+    out = checked.where(F.col("reject_reason").isNotNull()).unionByName(_in_order(checked, live.where("_named")))
     ok = F.col("reject_reason").isNull()
     return out.withColumn("new_status", F.when(ok, F.lit("confirmed"))).withColumn("task_status", F.when(ok, F.lit("pending")))
 
 
-def _in_order(checked: DataFrame, live: DataFrame, named: DataFrame) -> DataFrame:
-    """The requests that passed the set-based checks, with the reason that the order gives."""
-    stored = (live.join(named, F.col("id") == F.col("_nb"), "left_semi").where(F.col("start_min").isNotNull())
-              .select(F.col("id").alias("booking_id"), "mechanic_id", F.lit(0).cast("long").alias("request_seq"),
-                      "booking_date", "start_min", "end_min", F.lit(True).alias("stored")))
+def _in_order(checked: DataFrame, held: DataFrame) -> DataFrame:
+    """The requests that passed the set-based checks, with the reason that the order gives; ``held``: live named bookings."""
+    now = (held.where(F.col("start_min").isNotNull())
+           .select(F.col("id").alias("booking_id"), "mechanic_id", F.lit(0).cast("long").alias("request_seq"),
+                   "booking_date", "start_min", "end_min", F.lit(True).alias("stored")))
     open_ = checked.where(F.col("reject_reason").isNull()).select(*_SLOT, F.lit(False).alias("stored"))
-    slots = _contested(open_.unionByName(stored)).checkpoint()
-    ties = slots.groupBy(F.col("booking_id").alias("_tb")).agg(F.max("shared").alias("_tied")).where("_tied").select("_tb")
-    free = slots.where("not stored").join(ties, F.col("booking_id") == F.col("_tb"), "left_anti").select(
-        *_SLOT, F.lit(None).cast("string").alias("reject_reason"))
-    tied = slots.join(ties, F.col("booking_id") == F.col("_tb"), "left_semi")
+    slots = stored(_contested(open_.unionByName(now)))
+    ties = slots.where("shared").select(F.col("booking_id").alias("_tb")).distinct()
+    slots = stored(slots.join(ties, F.col("booking_id") == F.col("_tb"), "left").withColumn("_tied", F.col("_tb").isNotNull()).drop("_tb"))
+    free = slots.where("not stored and not _tied").select(*_SLOT, F.lit(None).cast("string").alias("reject_reason"))
+    tied = slots.where("_tied")
     island = F.concat_ws(" ", F.lit("i"), "mechanic_id", "booking_date", "island")
     roots = components(tied.where("shared").select(F.concat(F.lit("b "), "booking_id").alias("u"), island.alias("v")))
-    n = int(checked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions_for(checked.sparkSession, tied.count())
     replay = (tied.join(roots, F.concat(F.lit("b "), "booking_id") == F.col("node"))
               .repartition(n, "root").sortWithinPartitions("root", F.col("stored").desc(), "request_seq", "booking_id", "mechanic_id")
               .select("root", "stored", *_SLOT))
