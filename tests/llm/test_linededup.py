@@ -111,3 +111,28 @@ def test_lines_of_white_space_are_no_lines(spark):
     df = docs(spark, [(1, "\t\n\t\nreal line\n \t \n"), (2, "\t")])
     assert {(r.doc_id, r.n_lines, r.n_removed) for r in L.line_report(df).collect()} == {(1, 1, 0), (2, 0, 0)}
     assert {r.text for r in L.without_repeated_lines(df).collect()} == {"\t\n\t\nreal line\n \t \n", "\t"}
+
+
+def sized_line(rng, n):
+    return "".join(rng.choice("abcdé😀 ") for _ in range(n))
+
+
+def test_near_lines_of_all_lengths_are_candidates(spark):
+    rng = random.Random(3)
+    for edits, per in ((2, 20), (3, 7)):
+        near = []
+        for n in [*range(per, (edits + 1) * per + 4), 97, 98, 250]:
+            a = sized_line(rng, n)
+            near += [sorted((a, edit(rng, a, k)), key=len) for k in range(1, edits + 1) for _ in range(2)]
+        near = [(a, b) for a, b in near if a != b and len(a) >= per and distance(a, b) <= min(edits, len(a) // per)]
+        lines = L.distinct_lines(docs(spark, [(i, x) for i, pair in enumerate(near) for x in pair]))
+        of = {r.line: r.id for r in lines.collect()}
+        found = {frozenset((r.a, r.b)) for r in L.candidates(lines, edits, per).collect()}
+        assert len(near) > 100 and all(frozenset((of[a], of[b])) in found for a, b in near)
+
+
+def test_lines_give_few_keys(spark):
+    rng = random.Random(4)
+    lines = L.distinct_lines(docs(spark, [(i, sized_line(rng, 100 + i)) for i in range(60)]))
+    keys = [L._keys(lines, 2, 20, probe).count() for probe in (False, True)]
+    assert sum(keys) <= 60 * 10  # 15 where each length has keys of its own

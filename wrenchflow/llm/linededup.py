@@ -1,14 +1,16 @@
 """Line dedup by a segment-partition edit join, in DataFrame functions only.
 
 Two lines are near copies if their edit distance is at most tau(l), where l is
-the shorter one's length and tau(l) = min(max_edits, l div chars_per_edit).  A
-line of length l is cut into tau(l) + 1 even segments; within tau(l) edits at
-least one segment stays whole, at a place that the segment's number and the
-length difference confine to a few offsets.  Each distinct line therefore gives
-one index key per segment, and for every shorter length in reach the few
-substrings that could match (multi-match-aware windows).  Lines that share a key
-are candidates unless the counts of some common letters already differ by more
-than the edits allow, and are verified by the bit-parallel banded edit distance.
+the shorter one's length and tau(l) = min(max_edits, l div chars_per_edit).  Lengths
+of one tau lie in buckets; the lines of a bucket have tau + 1 segments of one
+width, the last at the line's end and the others from its start.  Within tau edits
+at least one segment stays whole, at a place that its number confines to a few
+offsets, whatever the other line's length.  Each distinct line therefore gives
+one index key per segment, and for its bucket, near a bucket's start also the one
+below, the few substrings that could match (multi-match-aware windows).  Lines that
+share a key are candidates unless their lengths or the counts of some common letters
+already differ by more than the edits allow, and are verified by the bit-parallel
+banded edit distance.
 
 Exact copies are merged first, so copies cost one row; classes are connected
 components of the links, kept as (line, root) rows.
@@ -24,41 +26,42 @@ from wrenchflow.llm.components import components
 
 #: Letters counted by the candidate filter.
 _COUNTED = "aeinorsthdlucmgp"
+#: Lengths of a bucket, or as many as the edits if those are more.
+BUCKET = 5
 #: Above this many candidate lines their texts are fetched by a shuffle instead of a broadcast of ids.
 BROADCAST_ROWS = 2_000_000
 
 
-def _offsets(tau: int, delta: int) -> list[tuple[int, int]]:
-    """(segment, offset) pairs at which a line longer by ``delta`` may hold a segment of the shorter line."""
-    out = []
-    for i in range(tau + 1):
-        low = max(-i, delta - (tau - i))
-        high = min(i, delta + (tau - i))
-        out += [(i, off) for off in range(low, high + 1)]
-    return out
-
-
 def _keys(lines: DataFrame, max_edits: int, chars_per_edit: int, probe: bool) -> DataFrame:
-    """(key, longer_by, id, counts): per line a hash of (length, segment, substring) for each place to index or probe.
+    """(key, id, size, counts): per line a hash of (bucket, segment, substring) for each place to index or probe.
 
+    A line probes its own bucket and, if a line shorter by tau or less may lie below it, that one.
     The places are a short literal that is exploded before any substring is taken,
     so each row computes one key.
     """
-    places = [(tau, delta, i, off) for tau in range(1, max_edits + 1) for delta in range(tau + 1 if probe else 1)
-              for i, off in (_offsets(tau, delta) if probe else [(i, 0) for i in range(tau + 1)])]
-    literal = F.array(*[F.struct(F.lit(tau + 1).alias("cuts"), F.lit(delta).alias("longer_by"), F.lit(i).alias("i"),
+    width = max(BUCKET, max_edits)
+    places = [(tau, back, i, off) for tau in range(1, max_edits + 1) for back in ((0, tau) if probe else (0,))
+              for i in range(tau + 1) for off in (range(-min(i, tau - i), i + 1) if probe and i < tau else (0,))]
+    literal = F.array(*[F.struct(F.lit(tau + 1).alias("cuts"), F.lit(back).alias("back"), F.lit(i).alias("i"),
                                  F.lit(off).alias("off"), F.lit(tau * chars_per_edit).alias("low"),
-                                 F.lit(2**30 if tau == max_edits else (tau + 1) * chars_per_edit).alias("high"))
-                        for tau, delta, i, off in places])
+                                 F.lit(2**30 if tau == max_edits else (tau + 1) * chars_per_edit).alias("high"),
+                                 F.lit(2**30 if tau == max_edits else max(chars_per_edit // width, 1) - 1).alias("last"))
+                        for tau, back, i, off in places])
     rows = (lines.select("id", "line", "size", "counts", F.explode(literal).alias("p"))
-            .select("id", "line", "size", "counts", "p.*").withColumn("length", F.col("size") - F.col("longer_by"))
-            .where("length >= low and length < high"))
-    rows = (rows.withColumn("short", F.expr("cuts - length % cuts"))
-            .withColumn("start", F.expr("cast(length div cuts as int) * i + greatest(0, i - short) + off"))
-            .withColumn("width", F.expr("cast(length div cuts as int) + if(i >= short, 1, 0)"))
+            .select("id", "line", "size", "counts", "p.*")
+            .withColumn("length", F.expr("if(back = 0, size, greatest(size - back, low))"))
+            .where("length >= low and length < high and length <= size"))
+
+    def base(length: str) -> Column:
+        return F.expr(f"low + least(cast(({length} - low) div {width} as int), last) * {width}")
+
+    rows = (rows.withColumn("base", base("length"))
+            .where((F.col("back") == 0) | (F.col("size") >= F.col("high")) | (F.col("base") < base("size")))
+            .withColumn("width", F.expr("cast(base div cuts as int)"))
+            .withColumn("start", F.expr("if(i = cuts - 1, size - width, i * width + off)"))
             .where("start >= 0 and start + width <= size"))
-    key = F.xxhash64("length", "i", F.substring("line", F.col("start") + 1, F.col("width")))
-    return rows.select(key.alias("key"), "longer_by", "id", "counts")
+    key = F.xxhash64("base", "i", F.substring("line", F.col("start") + 1, F.col("width")))
+    return rows.select(key.alias("key"), "id", "size", "counts")
 
 
 def _letter_counts(line: Column) -> Column:
@@ -141,11 +144,12 @@ def candidates(lines: DataFrame, max_edits: int = 2, chars_per_edit: int = 20) -
     """Pairs ``(a, b)`` of line ids, ``a`` not longer than ``b``, that share a segment and may be near."""
     sized = lines.where(F.col("size") >= chars_per_edit)
     index = _keys(sized, max_edits, chars_per_edit, probe=False).select(
-        "key", F.col("id").alias("a"), F.col("counts").alias("a_counts"))
+        "key", F.col("id").alias("a"), F.col("size").alias("a_size"), F.col("counts").alias("a_counts"))
     probe = _keys(sized, max_edits, chars_per_edit, probe=True).select(
-        "key", "longer_by", F.col("id").alias("b"), F.col("counts").alias("b_counts"))
+        "key", F.col("id").alias("b"), F.col("size").alias("b_size"), F.col("counts").alias("b_counts"))
+    longer_by, tau = F.col("b_size") - F.col("a_size"), F.least(F.lit(max_edits), F.expr(f"a_size div {chars_per_edit}"))
     near = _counts_apart(F.col("a_counts"), F.col("b_counts")) <= 2 * max_edits
-    return (index.join(probe, "key").where(((F.col("longer_by") > 0) | (F.col("a") < F.col("b"))) & near)
+    return (index.join(probe, "key").where((longer_by >= 0) & (longer_by <= tau) & ((longer_by > 0) | (F.col("a") < F.col("b"))) & near)
             .select("a", "b").distinct())
 
 
