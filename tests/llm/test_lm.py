@@ -1,6 +1,7 @@
 import math
 import re
 import string
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -94,6 +95,43 @@ def test_backpropagation_equals_differences():
                 assert np.sign(slope) == -np.sign(moved[place]), (k, place)
 
 
+def test_gradients_equal_differences_where_lanes_begin_and_end_in_a_stretch(monkeypatch):
+    """Five sequences in two lanes; the first moments after one step are the gradients by one factor."""
+    monkeypatch.setattr(lm, "LANES", 2)
+    rng = np.random.default_rng(6)
+    w0 = lm.start_weights(np.ones(lm.CODES))
+    seqs = [rng.integers(0, 40, n).astype(np.uint8) for n in (9, 5, 4, 4, 1)]
+
+    def loss(w):
+        return -lm.log10_codes(w, seqs).sum() * math.log(10)
+
+    trainer = lm.Trainer({k: v.copy() for k, v in w0.items()}, rate=1e-3)
+    trainer.learn(seqs)
+    assert trainer.step == 1 and trainer.seen == 23
+    factors = []
+    for k, m in lm._views(trainer.m, w0).items():
+        for place in zip(*np.unravel_index(np.argsort(-np.abs(m).ravel())[:4], m.shape)):
+            up, down = ({q: x.astype(np.float64) for q, x in w0.items()} for _ in range(2))
+            up[k][place] += 1e-4
+            down[k][place] -= 1e-4
+            factors.append((loss(up) - loss(down)) / m[place])
+    assert np.allclose(factors, factors[0], rtol=1e-3)
+
+
+def test_a_stretch_takes_no_fresh_memory():
+    """A stretch of all lanes has some 10 MB of values; after the first one they are written where they stood."""
+    seqs = [np.random.default_rng(k).integers(0, lm.CODES, 96).astype(np.uint8) for k in range(lm.LANES)]
+    w = lm.start_weights(np.ones(lm.CODES))
+    trainer, laid = lm.Trainer(w), lm._Lanes(seqs, lm.LANES)
+    h = trainer._window(laid, 0, np.zeros((lm.LANES, lm.HIDDEN), np.float32))
+    tracemalloc.start()
+    try:
+        trainer._window(laid, lm.WINDOW, h)
+        assert tracemalloc.get_traced_memory()[1] < 2_000_000
+    finally:
+        tracemalloc.stop()
+
+
 def test_training_learns_an_order():
     seqs = [np.tile([3, 4, 5, 6], 60).astype(np.uint8) for _ in range(40)]
     w = lm.start_weights(np.ones(lm.CODES))

@@ -159,20 +159,60 @@ def start_weights(code_counts: np.ndarray, seed: int = 0) -> dict[str, np.ndarra
             "d": np.log(share / share.sum(axis=1, keepdims=True)).astype(np.float32)}
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    x = np.exp(-x)
-    x += 1
-    return np.reciprocal(x, out=x)
+def _by_gate(w: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Input and state weights a gate; those of the two sigmoids halved: a sigmoid of x is (tanh(x / 2) + 1) / 2."""
+    half = np.array([0.5, 0.5, 1], w["u"].dtype)[:, None, None]
+    return tuple(np.ascontiguousarray(m.reshape(-1, 3, HIDDEN).transpose(1, 0, 2)) * half for m in (w["x"] + w["b"], w["u"]))
 
 
-def _cell(w: dict, x: np.ndarray, h: np.ndarray) -> tuple:
-    """One step: update gate z, reset gate r, candidate g; ``x`` is the input's row of gate values."""
-    n = HIDDEN
-    a = h @ w["u"]
-    zr = _sigmoid(x[:, :2 * n] + a[:, :2 * n])
-    z, r = zr[:, :n], zr[:, n:]
-    g = np.tanh(x[:, 2 * n:] + r * a[:, 2 * n:])
-    return g + z * (h - g), z, r, g, a[:, 2 * n:]
+class _Room:
+    """Arrays for a stretch of places of some lanes, written anew by each stretch: fresh memory costs more than the sums.
+
+    Gates are update z, reset r and the candidate's share of the state; ``g`` is the candidate, ``d`` the state before
+    less it.  With ``keep`` these are held of every place and not of the last alone, and there is room to go back.
+    """
+
+    def __init__(self, places: int, lanes: int, dtype, keep: bool) -> None:
+        self.shape, n, kept = (places, lanes), HIDDEN, places if keep else 1
+        self.gates = np.empty((kept, 3, lanes, n), dtype)
+        self.g, self.d = np.empty((2, kept, lanes, n), dtype)
+        self.priors = np.zeros((places, lanes, n), dtype)
+        self.states = np.empty((places, lanes, n), dtype)
+        self.by_class = np.empty((places * lanes, n), dtype)
+        self.logits = np.empty((places * lanes, CLASSES + MEMBERS), dtype)
+        if keep:
+            self.by_z, self.by_r = np.empty((2, places, lanes, n), dtype)
+            self.of_states = np.empty((places * lanes, n), dtype)
+            self.back, self.sorted = np.empty((2, places * lanes, 4 * n), dtype)
+
+
+def _forward(x: np.ndarray, u: np.ndarray, laid: _Lanes, t0: int, h: np.ndarray, room: _Room) -> np.ndarray:
+    """A stretch from place ``t0`` of the lanes that reach it, into ``room``; gives the codes before its places.
+
+    A lane that ends in the stretch goes on as if ends followed; those places count for nothing.
+    """
+    codes = laid.before(t0, *room.shape)
+    for k, (prior, out) in enumerate(zip(room.priors, room.states)):
+        prior[:] = h
+        if t0 + k in laid.starts:
+            prior[laid.starts[t0 + k][0]] = 0
+        at = k % len(room.g)
+        gates, g, d = room.gates[at], room.g[at], room.d[at]
+        given = x.take(codes[k], axis=1)
+        np.matmul(prior, u, out=gates)
+        both = gates[:2]
+        both += given[:2]
+        np.tanh(both, out=both)
+        both *= 0.5
+        both += 0.5
+        np.multiply(gates[1], gates[2], out=g)
+        g += given[2]
+        np.tanh(g, out=g)
+        np.subtract(prior, g, out=d)
+        np.multiply(d, gates[0], out=out)
+        out += g
+        h = out
+    return codes
 
 
 class _Lanes:
@@ -203,65 +243,92 @@ class _Lanes:
         self.active = np.searchsorted(-lengths, -np.arange(int(lengths[0])), side="left").tolist()
         self.starts = {t: (np.array(k), np.array(i)) for t, (k, i) in begins.items()}
 
-    def before(self, t: int) -> np.ndarray:
-        """The class before each lane's place; an end before a sequence's first."""
-        codes = self.side[t, :self.active[t]]
-        if t in self.starts:
-            codes = codes.copy()
-            codes[self.starts[t][0]] = 0
+    def before(self, t0: int, places: int, lanes: int) -> np.ndarray:
+        """The codes before a stretch's places; an end before a sequence's first."""
+        codes = self.side[t0:t0 + places, :lanes].astype(np.intp)
+        for k in range(places):
+            if t0 + k in self.starts:
+                codes[k, self.starts[t0 + k][0]] = 0
         return codes
 
+    def after(self, t0: int, places: int, lanes: int) -> tuple[np.ndarray, np.ndarray, list]:
+        """The codes at a stretch's places that hold a token, in order of class; where they are, flat; classes' spans."""
+        y, active = self.side[t0 + 1:t0 + 1 + places, :lanes].ravel(), self.active[t0:t0 + places]
+        held = np.flatnonzero(np.arange(lanes) < np.array(active)[:, None]) if active[-1] < lanes else None
+        order, spans = _by_class(y if held is None else y[held])
+        order = order if held is None else held[order]
+        return y[order].astype(np.intp), order, spans
+
 
 def _by_class(y: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
     """An order of tokens by class, and each class with its span in it."""
-    of = y >> 4
+    of = (y >> 4).astype(np.uint8)
     order = np.argsort(of, kind="stable")
     ends = np.searchsorted(of[order], np.arange(CLASSES + 1))
     return order, [(c, int(a), int(b)) for c, (a, b) in enumerate(zip(ends, ends[1:])) if a < b]
 
 
-def _softmax_gradient(logits: np.ndarray, y: np.ndarray, whole: int) -> np.ndarray:
-    """Of the mean log loss over ``whole`` tokens, in place."""
-    np.minimum(logits, 80, out=logits)
-    np.exp(logits, out=logits)
-    logits *= (1 / (whole * logits.sum(axis=1)))[:, None]
-    logits[np.arange(len(y)), y] -= np.float32(1 / whole)
-    return logits
-
-
-def _output_gradients(w: dict, states: np.ndarray, y: np.ndarray, whole: int) -> tuple[dict, np.ndarray]:
-    """Gradients of both softmaxes' weights, and of the states."""
-    order, spans = _by_class(y)
-    states, y = states[order], y[order]
-    p = _softmax_gradient(states @ w["o"] + w["c"], y >> 4, whole)
-    grad = {"o": states.T @ p, "c": p.sum(axis=0), "q": np.zeros_like(w["q"]), "d": np.zeros_like(w["d"])}
-    back = p @ w["o"].T
-    for c, a, b in spans:
-        p = _softmax_gradient(states[a:b] @ w["q"][c] + w["d"][c], y[a:b] & 15, whole)
-        grad["q"][c], grad["d"][c] = states[a:b].T @ p, p.sum(axis=0)
-        back[a:b] += p @ w["q"][c].T
-    out = np.empty_like(back)
-    out[order] = back
-    return grad, out
+#: Sums of the two softmaxes in a row of both; a row per member.
+_HALVES = np.kron(np.eye(2), np.ones((MEMBERS, 1))).astype(np.float32)
+_MEMBER = np.eye(MEMBERS, dtype=np.float32)
 
 
-def _log_softmax(logits: np.ndarray, y: np.ndarray) -> np.ndarray:
-    np.minimum(logits, 80, out=logits)
-    chosen = logits[np.arange(len(y)), y]
-    np.exp(logits, out=logits)
-    return chosen - np.log(logits.sum(axis=1))
+def _outputs(w: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and biases of both softmaxes side by side, for each class."""
+    wide = np.concatenate((np.broadcast_to(w["o"], (CLASSES, HIDDEN, CLASSES)), w["q"]), axis=2)
+    return wide, np.concatenate((np.broadcast_to(w["c"], (CLASSES, CLASSES)), w["d"]), axis=1)
 
 
-def _log_codes(w: dict, states: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Log probability of each code: of its class, and of the code within the class."""
-    order, spans = _by_class(y)
-    states, y = states[order], y[order]
-    value = _log_softmax(states @ w["o"] + w["c"], y >> 4)
+def _logits(wide: np.ndarray, bias: np.ndarray, room: _Room, order: np.ndarray, spans: list) -> tuple[np.ndarray, np.ndarray]:
+    """States in order of their tokens' classes, and both softmaxes' logits."""
+    states = np.take(room.states.reshape(-1, HIDDEN), order, axis=0, out=room.by_class[:len(order)], mode="clip")
+    logits = room.logits[:len(order)]
     for c, a, b in spans:
-        value[a:b] += _log_softmax(states[a:b] @ w["q"][c] + w["d"][c], y[a:b] & 15)
-    out = np.empty_like(value)
-    out[order] = value
-    return out
+        np.matmul(states[a:b], wide[c], out=logits[a:b])
+        logits[a:b] += bias[c]
+    return states, np.minimum(logits, 80, out=logits)
+
+
+def _chosen(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where, in flat logits, the class and the code within it stand."""
+    row = np.arange(len(y)) * (CLASSES + MEMBERS)
+    return row + (y >> 4), row + CLASSES + (y & 15)
+
+
+def _output_gradients(w: dict, room: _Room, y: np.ndarray, order: np.ndarray, spans: list, whole: int, grad: dict) -> None:
+    """Gradients of both softmaxes' weights, of the mean log loss over ``whole`` tokens, and of the states."""
+    wide, bias = _outputs(w)
+    states, p = _logits(wide, bias, room, order, spans)
+    np.exp(p, out=p)
+    both = p.reshape(-1, 2, MEMBERS)
+    both *= (1 / (whole * (p @ _HALVES)))[:, :, None]
+    for at in _chosen(y):
+        p.reshape(-1)[at] -= np.float32(1 / whole)
+    one, of_wide, of_bias = np.ones(len(y), np.float32), np.zeros_like(wide), np.zeros_like(bias)
+    for c, a, b in spans:
+        np.matmul(states[a:b].T, p[a:b], out=of_wide[c])
+        np.matmul(one[a:b], p[a:b], out=of_bias[c])
+        np.matmul(p[a:b], wide[c].T, out=states[a:b])
+    grad["o"][:], grad["q"][:] = of_wide[:, :, :CLASSES].sum(axis=0), of_wide[:, :, CLASSES:]
+    grad["c"][:], grad["d"][:] = of_bias[:, :CLASSES].sum(axis=0), of_bias[:, CLASSES:]
+    if len(order) < len(room.of_states):
+        room.of_states[:] = 0
+    room.of_states[order] = states
+
+
+def _log_codes(w: dict, room: _Room, y: np.ndarray, order: np.ndarray, spans: list) -> np.ndarray:
+    """Log probability of each code: of its class, and of the code within the class; in the given order."""
+    logits = _logits(*_outputs(w), room, order, spans)[1]
+    value = sum(logits.reshape(-1)[at] for at in _chosen(y))
+    np.exp(logits, out=logits)
+    value -= np.log(logits @ _HALVES).sum(axis=1)
+    return value
+
+
+def _views(flat: np.ndarray, like: dict) -> dict:
+    """Arrays of the shapes of ``like`` in one flat array."""
+    ends = np.cumsum([v.size for v in like.values()])
+    return {k: part.reshape(like[k].shape) for k, part in zip(like, np.split(flat, ends[:-1]))}
 
 
 class Trainer:
@@ -269,8 +336,10 @@ class Trainer:
 
     def __init__(self, w: dict, rate: float = 0.02) -> None:
         self.w, self.rate, self.step, self.seen = w, rate, 0, 0
-        self.m = {k: np.zeros_like(v) for k, v in w.items()}
-        self.s = {k: np.zeros_like(v) for k, v in w.items()}
+        self.flat = np.concatenate([v.ravel() for v in w.values()])
+        w.update(_views(self.flat, w))
+        self.m, self.s, self.g = (np.zeros_like(self.flat) for _ in range(3))
+        self.grad, self.room = _views(self.g, w), None
 
     def learn(self, sequences: list[np.ndarray]) -> None:
         pieces = [q[at:at + PIECE] for q in sequences for at in range(0, len(q), PIECE)]
@@ -281,81 +350,99 @@ class Trainer:
 
     def _window(self, laid: _Lanes, t0: int, h: np.ndarray) -> np.ndarray:
         """One stretch of all lanes that reach it, forth and back; gives the state after it."""
-        side, active = laid.side, laid.active[t0:t0 + WINDOW]
-        w, total = self.w, sum(active)
+        w, n = self.w, HIDDEN
+        shape = places, lanes = len(laid.active[t0:t0 + WINDOW]), laid.active[t0]
         whole = WINDOW * laid.side.shape[1]  # a stretch that few lanes reach weighs as many tokens as it has
-        inputs, kept, hs = w["x"] + w["b"], [], []
-        for k, a in enumerate(active):
-            h = h[:a]
-            if t0 + k in laid.starts:
-                h = h.copy()
-                h[laid.starts[t0 + k][0]] = 0
-            new, *gates = _cell(w, inputs[laid.before(t0 + k)], h)
-            kept.append((h, *gates))
-            hs.append(new)
-            h = new
-        y = np.concatenate([side[t0 + k + 1, :a] for k, a in enumerate(active)])
-        grad, dstates = _output_gradients(w, np.concatenate(hs), y, whole)
-        dstates = np.split(dstates, np.cumsum(active)[:-1])
-        dh, das, dxs, u_t = np.zeros((0, HIDDEN), np.float32), [], [], np.ascontiguousarray(w["u"].T)
-        for k in range(len(active) - 1, -1, -1):
-            prior, z, r, g, ag = kept[k]
-            here = dstates[k]
-            here[:len(dh)] += dh
-            part = here * (1 - z)
-            dg = part * (1 - g * g)
-            dx = np.concatenate((part * (prior - g) * z, dg * ag * r * (1 - r), dg), axis=1)
-            da = dx.copy()
-            da[:, 2 * HIDDEN:] *= r
-            das.append(da)
-            dxs.append(dx)
-            dh = here * z + da @ u_t
+        if self.room is None or self.room.shape != shape:
+            self.room = _Room(*shape, np.float32, keep=True)
+        room, grad = self.room, self.grad
+        codes = _forward(*_by_gate(w), laid, t0, h[:lanes], room)
+        after = laid.after(t0, *shape)
+        _output_gradients(w, room, *after, whole, grad)
+        z, r, share = (room.gates[:, k] for k in range(3))
+        by_z, by_g, by_r = room.by_z, room.g, room.by_r  # what a state's gradient is times, for each gate's
+        np.subtract(1, z, out=by_z)
+        by_g *= by_g
+        np.subtract(1, by_g, out=by_g)
+        by_g *= by_z
+        by_z *= z
+        by_z *= room.d
+        np.subtract(1, r, out=by_r)
+        by_r *= r
+        by_r *= share
+        # gradients of z, of r, of the candidate's share of the state, of the candidate
+        back, u_t, dh = room.back.reshape(places, lanes, 4 * n), np.ascontiguousarray(w["u"].T), None
+        for k, here in reversed(list(enumerate(room.of_states.reshape(places, lanes, n)))):
+            if dh is not None:
+                here += dh
+            to = back[k]
+            dg = here * by_g[k]
+            np.multiply(here, by_z[k], out=to[:, :n])
+            np.multiply(dg, by_r[k], out=to[:, n:2 * n])
+            np.multiply(dg, r[k], out=to[:, 2 * n:3 * n])
+            to[:, 3 * n:] = dg
+            dh = to[:, :3 * n] @ u_t
+            here *= z[k]
+            dh += here
             if t0 + k in laid.starts:
                 dh[laid.starts[t0 + k][0]] = 0
-        back = range(len(active) - 1, -1, -1)
-        grad["u"] = np.concatenate([kept[k][0] for k in back]).T @ np.concatenate(das)
-        dx = np.concatenate(dxs)
-        grad["b"] = dx.sum(axis=0)
-        codes = np.concatenate([laid.before(t0 + k) for k in back])
-        order = np.argsort(codes, kind="stable")
-        found, first = np.unique(codes[order], return_index=True)
-        grad["x"] = np.zeros_like(w["x"])
-        grad["x"][found] = np.add.reduceat(dx[order], first, axis=0)
-        self._adam(grad)
-        self.seen += total
-        return h
-
-    def _adam(self, grad: dict) -> None:
-        norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
+        np.matmul(room.priors.reshape(-1, n).T, room.back[:, :3 * n], out=grad["u"])
+        self._input_gradients(codes.ravel())
+        self._adam()
+        self.seen += len(after[0])
+        return room.states[-1]
+
+    def _input_gradients(self, codes: np.ndarray) -> None:
+        """Sums by code, the codes of a class by one product."""
+        order, spans = _by_class(codes)
+        member = _MEMBER.take(codes[order] & 15, axis=0)
+        back = np.take(self.room.back, order, axis=0, out=self.room.sorted, mode="clip")
+        summed = np.zeros((CLASSES, MEMBERS, back.shape[1]), np.float32)
+        for c, a, b in spans:
+            np.matmul(member[a:b].T, back[a:b], out=summed[c])
+        grad, summed = self.grad["x"], summed.reshape(CLASSES * MEMBERS, -1)
+        grad[:, :2 * HIDDEN], grad[:, 2 * HIDDEN:] = summed[:, :2 * HIDDEN], summed[:, 3 * HIDDEN:]
+        self.grad["b"][:] = grad.sum(axis=0)
+
+    def _adam(self) -> None:
+        g, m, s = self.g, self.m, self.s
         self.step += 1
-        for k, g in grad.items():
-            g = g * min(1.0, 1.0 / (norm + 1e-9))
-            self.m[k] = 0.9 * self.m[k] + 0.1 * g
-            self.s[k] = 0.999 * self.s[k] + 0.001 * g * g
-            mean, square = self.m[k] / (1 - 0.9 ** self.step), self.s[k] / (1 - 0.999 ** self.step)
-            self.w[k] -= (self.rate * mean / (np.sqrt(square) + 1e-8)).astype(np.float32)
+        g *= min(1.0, 1.0 / (float(g @ g) ** 0.5 + 1e-9))
+        m *= 0.9
+        m += 0.1 * g
+        s *= 0.999
+        g *= g
+        g *= 0.001
+        s += g
+        np.divide(s, 1 - 0.999 ** self.step, out=g)
+        np.sqrt(g, out=g)
+        g += 1e-8
+        np.divide(m, g, out=g)
+        g *= self.rate / (1 - 0.9 ** self.step)
+        self.flat -= g
 
 
 def log10_codes(w: dict, sequences: list[np.ndarray]) -> np.ndarray:
     """log10 probability of each sequence's codes; the state runs through all of its windows."""
     if not sequences:
         return np.zeros(0)
-    inputs, laid = w["x"] + w["b"], _Lanes(sequences, LANES)
-    h, total = np.zeros((laid.side.shape[1], HIDDEN), np.float32), np.zeros(len(sequences))
+    laid, (x, u) = _Lanes(sequences, LANES), _by_gate(w)
+    h, total, room = np.zeros((laid.side.shape[1], HIDDEN), u.dtype), np.zeros(len(sequences)), None
     of = np.zeros(laid.side.shape[1], np.int64)
     for t0 in range(0, len(laid.active), WINDOW):
-        states, seen, docs = [], [], []
-        for t in range(t0, min(t0 + WINDOW, len(laid.active))):
-            h = h[:laid.active[t]]
-            if t in laid.starts:
-                lanes, which = laid.starts[t]
-                h[lanes], of[lanes] = 0, which
-            h = _cell(w, inputs[laid.before(t)], h)[0]
-            states.append(h.copy())
-            seen.append(laid.side[t + 1, :len(h)])
-            docs.append(of[:len(h)].copy())
-        value = _log_codes(w, np.concatenate(states), np.concatenate(seen))
-        total += np.bincount(np.concatenate(docs), value, len(sequences))
+        shape = places, lanes = len(laid.active[t0:t0 + WINDOW]), laid.active[t0]
+        if room is None or room.shape != shape:
+            room = _Room(*shape, u.dtype, keep=False)
+        _forward(x, u, laid, t0, h[:lanes], room)
+        docs = np.empty(shape, np.int64)
+        for k in range(places):
+            if t0 + k in laid.starts:
+                at, which = laid.starts[t0 + k]
+                of[at] = which
+            docs[k] = of[:lanes]
+        after = laid.after(t0, *shape)
+        total += np.bincount(docs.ravel()[after[1]], _log_codes(w, room, *after), len(sequences))
+        h = room.states[-1]
     return total / np.log(10)
 
 
