@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from wrenchflow.functions.exprs import coerce_bool, initials, parse_hhmm
 from wrenchflow.functions.predicates import Date, _d
 from wrenchflow.model import BOOKING_STATUSES, TASK_STATUSES, USER_ROLES
-from wrenchflow.operators.ordered import Running, carried, dealt, joined_by, running
+from wrenchflow.operators.ordered import Running, carried, dealt, hot_keys, joined_by, running
 from wrenchflow.session import partitions_for, stored
 from wrenchflow.sources.tables import Garage
 
@@ -614,17 +614,35 @@ def append_field_notes(g: Garage, notes: DataFrame) -> DataFrame:
     pending.  ``booking_note_after`` is the newest accepted note per booking
     (by date, then seq -- ``max_by``), copied into the booking's notes.
     """
+    held = stored(notes)  # evaluated once; moved once by booking, for its mechanic and for its newest note
     b = g.bookings.select(F.col("id").alias("_bid"), F.col("mechanic_id").alias("_bm"))
-    n = notes.join(b, (F.col("booking_id") == F.col("_bid")) & (F.col("mechanic_id") == F.col("_bm")), "left")
+    same_mechanic = (F.col("mechanic_id") <= F.col("_bm")) & (F.col("mechanic_id") >= F.col("_bm"))  # no key of the join: it goes by booking alone
     reason = first_reason((is_falsy(F.col("booking_id")) | is_falsy(F.col("note")), R_NOTE_REQUIRED),
                            (F.col("_bid").isNull(), R_NOTE_NOT_ASSIGNED))
-    n = n.withColumn("reject_reason", reason).withColumn(
-        "status", F.when(F.col("reject_reason").isNull(), F.lit("pending")))
-    newest = (n.where(F.col("reject_reason").isNull()).groupBy(F.col("booking_id").alias("_nb"))
-              .agg(F.max_by("note", F.struct("date", "note_seq")).alias("booking_note_after")))
-    return (n.join(newest, F.col("booking_id") == F.col("_nb"), "left")
-            .select("note_seq", "booking_id", "mechanic_id", "note", "date", "reject_reason", "status",
-                    "booking_note_after"))
+    accepted, out = F.col("reject_reason").isNull(), ["note_seq", "booking_id", "mechanic_id", "note", "date", "reject_reason", "status", "booking_note_after"]
+
+    def checked(rows: DataFrame, bookings: DataFrame, mine: Column) -> DataFrame:
+        return (rows.join(bookings, (F.col("booking_id") == F.col("_bid")) & mine, "left").withColumn("reject_reason", reason)
+                .withColumn("status", F.when(accepted, F.lit("pending"))))
+
+    hot = hot_keys(held, "booking_id")
+    crowded, met = not hot.isEmpty(), F.col("booking_id") == F.col("_hk")
+    few = held.where("booking_id is not null")
+    few = few.join(F.broadcast(hot), met, "left_anti") if crowded else few
+    newest = F.max_by("note", F.when(accepted, F.struct("date", "note_seq")))
+    n = partitions_for(held.sparkSession, held.count())
+    done = checked(few.repartition(n, "booking_id"), b, same_mechanic).withColumn(
+        "booking_note_after", newest.over(Window.partitionBy("booking_id"))).select(*out)
+    if not (nobody := held.where("booking_id is null")).isEmpty():  # notes that name no booking stay where they are
+        done = done.unionByName(nobody.select("*", F.lit(R_NOTE_REQUIRED).alias("reject_reason"), F.lit(None).cast("string").alias("status"),
+                                              F.lit(None).cast("string").alias("booking_note_after")).select(*out))
+    if crowded:  # bookings with more notes than a task should have: their newest one is found by an aggregate and looked up
+        many = checked(held.join(F.broadcast(hot), met, "left_semi"), b.join(F.broadcast(hot), F.col("_bid") == F.col("_hk"), "left_semi"),
+                       F.col("mechanic_id") == F.col("_bm"))
+        best = many.where(accepted).groupBy(F.col("booking_id").alias("_nb")).agg(
+            F.max_by("note", F.struct("date", "note_seq")).alias("booking_note_after"))
+        done = done.unionByName(many.join(best, F.col("booking_id") == F.col("_nb"), "left").select(*out))
+    return done
 
 
 def provision_users(g: Garage, rows: DataFrame) -> DataFrame:
