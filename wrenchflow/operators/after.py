@@ -12,6 +12,9 @@ read from those, so a lost executor can't give them different keys.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Mapping
+from functools import cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,19 +24,38 @@ from wrenchflow.session import stored
 from wrenchflow.sources.tables import Garage, conform
 from wrenchflow.sources.versions import key_of
 
-class Changes(dict[str, DataFrame]):
-    """Changed and new rows by table; ``whole`` has the new version of tables of which rows only get new values,
-    made by one join instead of two (the changed rows, and the others without them)."""
 
-    def __init__(self, rows: dict[str, DataFrame], **whole: DataFrame):
+class Later(Mapping[str, DataFrame]):
+    """Frames by table; one given as a function is made when it is first asked for, once."""
+
+    def __init__(self, frames: Mapping[str, DataFrame | Callable[[], DataFrame]]):
+        self._frames = dict(frames)
+
+    def __getitem__(self, table: str) -> DataFrame:
+        if not isinstance(self._frames[table], DataFrame):
+            self._frames[table] = self._frames[table]()
+        return self._frames[table]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._frames)
+
+    def __len__(self) -> int:
+        return len(self._frames)
+
+
+class Changes(Later):
+    """Changed and new rows by table; ``whole`` has the new version of tables of which rows only get new values or that only
+    get new keys, made by one join or none instead of two (the changed rows, and the others without them)."""
+
+    def __init__(self, rows: Mapping[str, DataFrame | Callable[[], DataFrame]], **whole: DataFrame | Callable[[], DataFrame]):
         super().__init__(rows)
-        self.whole = whole
+        self.whole = Later(whole)
 
 
 class _Merged(Garage):
     """Tables with changes, each put together when it is asked for, so a stored table that nobody reads is not opened."""
 
-    def __init__(self, g: Garage, changes: dict[str, DataFrame]):
+    def __init__(self, g: Garage, changes: Mapping[str, DataFrame]):
         self._g, self._changes = g, changes
 
     def __getattribute__(self, name: str):
@@ -50,7 +72,7 @@ class _Merged(Garage):
         return old.join(rows.select(*key), key, "left_anti").unionByName(rows.select(*old.columns))
 
 
-def merged(g: Garage, changes: dict[str, DataFrame]) -> Garage:
+def merged(g: Garage, changes: Mapping[str, DataFrame]) -> Garage:
     """The tables with the changes, unstored; tables without a change stay as they are."""
     return _Merged(g, changes)
 
@@ -168,10 +190,14 @@ def after_moderation(g: Garage, applied: DataFrame) -> Changes:
 def after_field_notes(g: Garage, applied: DataFrame) -> Changes:
     """New notes, and the newest accepted one copied into its booking."""
     ok = _accepted(applied)
-    new = number_rows(ok.select("note_seq", "booking_id", "mechanic_id", "note", "date", "status"), ["note_seq", "booking_id"],
-                      start=_next_id(g.field_notes), out="id")
-    newest = ok.select(F.col("booking_id").alias("_key"), F.col("booking_note_after").alias("_note")).distinct()
-    return {"field_notes": conform(new, "field_notes"), "bookings": _updated(g.bookings, newest, notes=F.col("_note"))}
+
+    @cache
+    def notes() -> DataFrame:
+        return conform(number_rows(ok.select("note_seq", "booking_id", "mechanic_id", "note", "date", "status"), ["note_seq", "booking_id"],
+                                   start=_next_id(g.field_notes), out="id"), "field_notes")
+    newest = ok.groupBy(F.col("booking_id").alias("_key")).agg(F.max("booking_note_after").alias("_note"))  # the same in all its rows
+    return Changes({"field_notes": notes, "bookings": _updated(g.bookings, newest, notes=F.col("_note"))},
+                   field_notes=lambda: g.field_notes.unionByName(notes()), bookings=_with_updates(g.bookings, newest, notes=F.col("_note")))
 
 
 def after_provisioning(g: Garage, applied: DataFrame) -> Changes:
