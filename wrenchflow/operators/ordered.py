@@ -180,10 +180,11 @@ def joined_by(rows: DataFrame, row: str, more: DataFrame, other: str) -> DataFra
     return rows.repartition(n, row).join(more.repartition(n, other), F.col(row) == F.col(other))
 
 
-def first_come(rows: DataFrame, row: str, keys: list[str], rounds: int = 4) -> DataFrame:
-    """``(row, accepted)``: rows in order of ``row``, unless an earlier accepted row holds one of their keys.
+def first_come(rows: DataFrame, row: str, keys: list[str], rounds: int = 4, keep: list[str] | None = None, fixed: bool = False) -> DataFrame:
+    """``(row, *keep, accepted)``, stored: rows in order of ``row``, unless an earlier accepted row holds one of their keys.
 
-    ``row`` is unique; a null key conflicts with nothing.  A rejected row takes nothing,
+    ``row`` is unique; a null key conflicts with nothing; ``keep`` are keys to be shown, ``fixed`` rows are read from stored
+    ones already.  A rejected row takes nothing,
     so a later row may have its keys.  Each round accepts the rows that come first
     among the undecided ones in all their keys, and rejects those that share a
     key with an accepted row: a key that a third of all rows ask for is settled by one
@@ -191,7 +192,15 @@ def first_come(rows: DataFrame, row: str, keys: list[str], rounds: int = 4) -> D
     order, a component of conflicting rows at a time, as a stream that holds one
     component's taken keys.
     """
-    left = stored(rows.select(row, *keys))
+    shown, files = [row, *(keep or [])], []
+
+    def held(df: DataFrame, instead_of: tuple[DataFrame, ...] = ()) -> DataFrame:
+        files.append(out := stored(df, instead_of))
+        for gone in instead_of:
+            files.remove(gone)
+        return out
+
+    left = rows.select(row, *keys) if fixed else held(rows.select(row, *keys))
     large = left.count() > session.TASK_ROWS
     hot = [hot_keys(left, k) if large else None for k in keys]
     decided = []
@@ -204,17 +213,21 @@ def first_come(rows: DataFrame, row: str, keys: list[str], rounds: int = 4) -> D
         firsts = [left.where(F.col(k).isNotNull()).groupBy(k).agg(F.min(row).alias("_w")).select("_w") for k in keys]
         votes = reduce(DataFrame.union, firsts).repartition(n, "_w").groupBy("_w").agg(F.count("*").alias("_votes"))
         needed = reduce(Column.__add__, [F.col(k).isNotNull().cast("long") for k in keys])
-        judged = stored(left.repartition(n, row).join(votes, F.col(row) == F.col("_w"), "left").select(
+        judged = held(left.repartition(n, row).join(votes, F.col(row) == F.col("_w"), "left").select(
             row, *keys, (F.coalesce("_votes", F.lit(0)) == needed).alias("_first")))
-        taken = judged.where("_first")
-        rest = stored(judged.where("not _first").select(row, *keys, F.lit(False).alias("_lost")))
+        taken, before = judged.where("_first"), ()
+        rest = judged.where("not _first").select(row, *keys, F.lit(False).alias("_lost"))
         for i, k in enumerate(keys):
             holders = taken.where(F.col(k).isNotNull()).select(F.col(k).alias("_t"))
             met = looked_up(rest, row, k, holders, "_t", hot[i])
-            rest = stored(met.select(row, *keys, (F.col("_lost") | F.col("_t").isNotNull()).alias("_lost")))
-        decided += [taken.select(row, F.lit(True).alias("accepted")), rest.where("_lost").select(row, F.lit(False).alias("accepted"))]
-        left = stored(rest.where("not _lost").drop("_lost"))
-    return reduce(DataFrame.union, [*decided, _replayed(left, row, keys)])
+            rest = held(met.select(row, *keys, (F.col("_lost") | F.col("_t").isNotNull()).alias("_lost")), before)
+            before = (rest,)
+        decided += [taken.select(*shown, F.lit(True).alias("accepted")), rest.where("_lost").select(*shown, F.lit(False).alias("accepted"))]
+        left = rest.where("not _lost").drop("_lost")
+    replayed = _replayed(left, row, keys)
+    if keep:
+        replayed = left.select(*shown).join(replayed, row).select(*shown, "accepted")
+    return stored(reduce(DataFrame.union, [*decided, replayed]), tuple(files))
 
 
 def _replayed(left: DataFrame, row: str, keys: list[str]) -> DataFrame:
